@@ -4,19 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textbank.llm import common
+from textbank.llm import bpe, common, decontam
 from textbank.llm.quality_rules import quality_rules
 
+#: The rank file of the encoding query.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents")).drop("dup_line_chars", "dup_ngram_chars")
 
 
+def bpe_digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of docs, by encoding and decoding."""
+    return bpe.decode(bpe.encode(docs, path, pattern), path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(common.table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+QUERIES = (op4_byte_level_bpe, op5_quality_rules, op8_benchmark_decontamination)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_benchmark_decontamination": decontam.SQL}
