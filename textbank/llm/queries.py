@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbank.llm import bpe, common, decontam
+from textbank.llm import bpe, common, decontam, substring_dedup
 from textbank.llm.quality_rules import quality_rules
 
 #: The rank file of the encoding query.
@@ -45,7 +45,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
-QUERIES = (op4_byte_level_bpe, op5_quality_rules, op8_benchmark_decontamination)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = (op4_byte_level_bpe, op5_quality_rules, op8_benchmark_decontamination, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -53,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_benchmark_decontamination": decontam.SQL}
+    return {"op8_benchmark_decontamination": decontam.SQL, "op10_substring_dedup": substring_dedup.SQL}
