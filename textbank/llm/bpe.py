@@ -25,7 +25,7 @@ from textbank.llm.common import map_texts
 #: Widths of the numpy trees; a longer pre-token gets a tree of its own.
 WIDTHS = (4, 8, 16, 32, 64)
 #: Distinct strings whose ids a worker keeps; beyond it the worker starts afresh.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 _BEFORE_SPACE = regex.compile(r"(?s) ?[^ ]+| ").findall
 _TWO_SPACES = regex.compile(r"\s\s").search
 #: Pre-tokens merged at once, few enough that their trees stay in a processor's cache.
@@ -33,16 +33,33 @@ ROWS = 2048
 _NONE = np.int32(1 << 24)
 
 
-class Ranks:
-    """A rank table: the id of each token's bytes and of each pair of tokens that may merge."""
+class Tokens:
+    """The bytes of each id of a rank table."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.token = [b""] * (max(self.rank.values()) + 1)
+        token = [b""] * (max(self.rank.values()) + 1)
+        for t, r in self.rank.items():
+            token[r] = t
+        self.lengths = np.array([len(t) for t in token], dtype=np.int64)
+        self.ends = np.cumsum(self.lengths)
+        self.blob = np.frombuffer(b"".join(token), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids, end to end."""
+        n = self.lengths[ids]
+        at = np.repeat(self.ends[ids] - np.cumsum(n), n) + np.arange(int(n.sum()))
+        return self.blob[at]
+
+
+class Ranks(Tokens):
+    """A rank table with the id of each pair of tokens that may merge."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
         pairs: dict[tuple[int, int], int] = {}
         for token, r in self.rank.items():
-            self.token[r] = token
             for i in range(1, len(token)):
                 a, b = self.rank.get(token[:i]), self.rank.get(token[i:])
                 if a is not None and b is not None:
@@ -62,9 +79,6 @@ class Ranks:
             placed = self._keys[slot] == keys
             self._ranks[slot[placed]] = ranks[placed]
             keys, ranks, slot = keys[~placed], ranks[~placed], (slot[~placed] + 1) & self._mask
-        self.lengths = np.array([len(t) for t in self.token], dtype=np.int64)
-        self.ends = np.cumsum(self.lengths)
-        self.blob = np.frombuffer(b"".join(self.token), dtype=np.uint8)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.int64(0x2545F4914F6CDD1D)) >> np.int64(35)) & self._mask
@@ -79,11 +93,10 @@ class Ranks:
             held[open_] = self._keys[slot[open_]]
         return self._ranks[slot]
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids, end to end."""
-        n = self.lengths[ids]
-        at = np.repeat(self.ends[ids] - np.cumsum(n), n) + np.arange(int(n.sum()))
-        return self.blob[at]
+
+@lru_cache(maxsize=4)
+def tokens(path: str) -> Tokens:
+    return Tokens(path)
 
 
 @lru_cache(maxsize=4)
@@ -342,7 +355,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 part = column.slice(start, 512)
                 ids = part.flatten().to_numpy(zero_copy_only=False)
                 counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                table = load(path)
+                table = tokens(path)
                 data = table.decode(ids)
                 sizes = np.concatenate([[0], np.cumsum(table.lengths[ids])])
                 ends = sizes[np.concatenate([[0], np.cumsum(counts)])]
