@@ -1,10 +1,11 @@
 """Benchmark decontamination: a prefix-filtered set join of documents with item-sized windows.
 
-A window of an item is contained in a document only if the window's rarest word
-is, so that word is the whole necessary prefix under an order by rarity. Words
-of documents are joined with these prefixes alone; a match fixes where the
-window would lie, which the document's length must allow, and the words there
-are compared with the window one by one. Only DataFrame functions are used.
+A window of an item is contained in a document only if its rarest shingle of
+three words is, so that shingle is the whole necessary prefix under an order by
+rarity. Shingles of documents are joined with these prefixes alone; a match
+fixes where the window would lie, which the document's length must allow, and
+the words there are compared with the window one by one, so equal hashes of
+different shingles do no harm. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from textbank.llm.common import cut, small
 
 #: Words in a window; an item with fewer words is one window.
 WINDOW = 13
+#: Words in a shingle; a shorter window is one shingle.
+SHINGLE = 3
 #: A document is contaminated if 1 / HIT_SHARE of its words are hit.
 HIT_SHARE = 20
 #: ASCII characters that end a word, after lower-casing.
@@ -43,8 +46,14 @@ def windows(items: DataFrame) -> DataFrame:
     )
 
 
+def shingles(w: Column, k: int) -> Column:
+    """Array of (at, token): the hash of the k words from each place of w."""
+    places = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: i + k <= F.size(w))
+    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *[F.get(w, i + j) for j in range(k)]).alias("token")))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted array), hit_starts for each row of docs.
+    """doc_id, n_words, n_hit, item_ids (sorted array), hit_starts, contaminated for each row of docs.
 
     docs has doc_id and text, items has item_id and text; other columns are
     ignored. Null and empty texts have no words: such a document gets zeros, such
@@ -52,35 +61,40 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     each gets its own row; items that share an id count once.
     """
     own = cut(windows(items))
-    tokenised = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), words(F.col("text")).alias("w"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), words(F.col("text")).alias("w"))
 
-    # How often each word of a window occurs in the documents.
-    vocabulary = small(cut(own.select(F.explode("window").alias("word")).distinct()))
-    counts = cut(tokenised.select(F.explode("w").alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count("*").alias("n")))
+    # Windows of fewer than three words are one shingle of their own length.
+    kinds = [r[0] for r in own.select(F.least(F.size("window"), F.lit(SHINGLE))).distinct().collect()]
+    of_window = F.coalesce(*[F.when(F.least(F.size("window"), F.lit(SHINGLE)) == k, shingles(F.col("window"), k)) for k in kinds or [SHINGLE]])
+    of_doc = F.concat(*[shingles(F.col("w"), k) for k in kinds or [SHINGLE]])
+    placed = cut(own.select("item_id", "window", F.inline(of_window)))
 
-    # The rarest word of each window and its place there. A word that no document has rules the window out.
-    placed = own.select("item_id", "window", F.posexplode("window").alias("at", "word")).join(counts, "word", "left")
+    # How often each shingle of a window occurs in the documents; one that none has rules its windows out.
+    wanted = small(cut(placed.select("token").distinct()))
+    counts = cut(docs.select(F.explode(F.transform(of_doc, lambda x: x["token"])).alias("token")).join(wanted, "token").groupBy("token").agg(F.count("*").alias("n")))
     prefixes = (
-        placed.groupBy("item_id", "window")
-        .agg(F.min_by(F.struct("word", "at"), F.struct(F.coalesce("n", F.lit(0)), F.col("word"), F.col("at"))).alias("p"), F.count("n").alias("known"))
-        .where(F.col("known") == F.size("window"))
-        .select("item_id", "window", F.col("p.word").alias("word"), F.col("p.at").alias("at"))
+        placed.join(counts, "token", "left")
+        .groupBy("item_id", "window")
+        .agg(F.min_by(F.struct("token", "at"), F.struct("n", "token", "at")).alias("rarest"), F.count("n").alias("known"), F.count("*").alias("all"))
+        .where("known = all")
+        .select("item_id", "window", "rarest.token", F.col("rarest.at").alias("offset"))
     )
-    prefixes = small(cut(prefixes))
+    prefixes = small(cut(prefixes), max_rows=50_000)
 
     found = (
-        tokenised.select("doc_id", "version", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-        .join(prefixes, "word")
-        .withColumn("start", F.col("pos") - F.col("at"))
+        docs.select("doc_id", "version", F.size("w").alias("n"), F.inline(of_doc))
+        .join(prefixes, "token")
+        .withColumn("start", F.col("at") - F.col("offset"))
         .where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n")))
     )
     found = cut(found.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "item_id", "window")).alias("found")))
 
-    w, found_col = F.col("w"), F.col("found")
-    verified = F.filter(F.coalesce(found_col, F.array()), lambda c: F.slice(w, c["start"] + 1, F.size(c["window"])) == c["window"])
+    w = F.col("w")
+    verified = F.filter(F.coalesce(F.col("found"), F.array()), lambda c: F.slice(w, c["start"] + 1, F.size(c["window"])) == c["window"])
     hit = F.array_distinct(F.flatten(F.transform(F.col("v"), lambda c: F.sequence(c["start"], c["start"] + F.size(c["window"]) - 1))))
+    found = found.select(F.col("doc_id").alias("id_"), F.col("version").alias("version_"), "found")
     return (
-        tokenised.join(small(found).withColumnRenamed("doc_id", "d").withColumnRenamed("version", "v_"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("version").eqNullSafe(F.col("v_")), "left")
+        docs.join(found, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("version") == F.col("version_")), "left")
         .select("doc_id", F.size("w").cast("long").alias("n_words"), verified.alias("v"))
         .select(
             "doc_id",

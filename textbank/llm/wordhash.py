@@ -47,7 +47,7 @@ class Words:
 
     doc: document index of each word; first: index of each document's first
     word, with the total at the end; hashes: uint64 per word; start, end: byte
-    range of each word in data.
+    range of each word in data; is_word: per byte of data.
     """
 
     def __init__(self, texts: pa.Array, separators: bytes = WHITESPACE, lower: bool = False):
@@ -74,7 +74,7 @@ class Words:
         data[keep] = table[body]
         is_word = inside[data]
         edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
-        self.data, self.start, self.end = data, edge[0::2], edge[1::2]
+        self.data, self.is_word, self.start, self.end = data, is_word, edge[0::2], edge[1::2]
         self.n_docs = n
         self.first = np.searchsorted(self.start, at)
         self.doc = np.repeat(np.arange(n), np.diff(self.first))
