@@ -72,3 +72,22 @@ def map_texts(df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatc
             yield per_slice(piece)
 
     return df.mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> DataFrame:
+    """doc_id, text, label of at most `most` labelled documents, chosen by a hash of the id.
+
+    labels has doc_id and the label column; train is a condition on doc_id. A doc_id
+    with several labels counts with the least. Only ids and labels of the sample,
+    whose number `most` bounds, are broadcast.
+    """
+    chosen = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("long").alias("label"))
+        .where(train & F.col("label").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(most)
+    )
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.join(F.broadcast(chosen), "doc_id")

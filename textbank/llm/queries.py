@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbank.llm import bpe, common, decontam, jaccard_join, substring_dedup
+from textbank.llm import bpe, common, decontam, jaccard_join, substring_dedup, toxicity
 from textbank.llm.quality_rules import quality_rules
 
 #: The rank file of the encoding query.
@@ -33,6 +33,13 @@ def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(common.table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    sample = common.labelled_sample(docs, labels, "toxic", common.remainder("doc_id", 5) != 0, toxicity.MAX_ROWS)
+    scored = toxicity.toxicity(docs, toxicity.train(sample))
+    return scored.select("doc_id", (common.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(common.table(spark, sf_dir, "documents"))
 
@@ -54,7 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = (op4_byte_level_bpe, op5_quality_rules, op7_ngram_jaccard_join, op8_benchmark_decontamination, op10_substring_dedup)
+QUERIES = (op4_byte_level_bpe, op5_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op8_benchmark_decontamination, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
