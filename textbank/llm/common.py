@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(key)
     spark.conf.set(key, "true")
     try:
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # the setting holds for frames made under it
     finally:
         spark.conf.set(key, before)
 
