@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbank.llm import bpe, common, decontam, jaccard_join, substring_dedup, toxicity
+from textbank.llm import bpe, common, decontam, jaccard_join, language_id, substring_dedup, toxicity
 from textbank.llm.quality_rules import quality_rules
 
 #: The rank file of the encoding query.
@@ -56,12 +56,19 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = language_id.train(language_id.sample(docs, common.remainder("doc_id", 4) != 2))
+    found = language_id.language(docs, model)
+    return found.select("doc_id", (common.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = (op4_byte_level_bpe, op5_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op8_benchmark_decontamination, op10_substring_dedup)
+QUERIES = (op4_byte_level_bpe, op5_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_language_id, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
