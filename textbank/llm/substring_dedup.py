@@ -118,7 +118,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     # A copy loses all its words, and what it has, the first of its kind has too.
     near = sound.join(suspects.where(F.size("places") > 0), "doc_id").select("doc_id", "text", "places", "copies")
-    windows = cut(map_texts(near, _windows, "h long, h2 long, doc_id long, version long, start int"))
+    windows = map_texts(near, _windows, "h long, h2 long, doc_id long, version long, start int")
     first = cut(windows.groupBy("h", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("h", "h2", "first_doc"))
     flagged = windows.join(first, ["h", "h2"]).where("first_doc < doc_id").groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"), F.lit(False).alias("copy"))
     copies = suspects.select("doc_id", F.explode("copies").alias("version"), F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
