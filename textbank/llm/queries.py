@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbank.llm import bpe, common, decontam, jaccard_join, language_id, substring_dedup, toxicity
+from textbank.llm import bpe, common, decontam, jaccard_join, language_id, quality_classifier, substring_dedup, toxicity
 from textbank.llm.quality_rules import quality_rules
 
 #: The rank file of the encoding query.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    sample = common.labelled_sample(docs, labels, "quality", common.remainder("doc_id", 3) != 1, quality_classifier.MAX_ROWS)
+    scored = quality_classifier.quality(docs, quality_classifier.train(sample))
+    return scored.select("doc_id", (common.remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents")).drop("dup_line_chars", "dup_ngram_chars")
 
@@ -68,7 +75,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = (op4_byte_level_bpe, op5_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_language_id, op10_substring_dedup)
+QUERIES = (op1_quality_classifier, op4_byte_level_bpe, op5_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_language_id, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

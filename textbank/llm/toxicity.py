@@ -92,15 +92,23 @@ def _worst(word_scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     return best, start[at], end[at]
 
 
+def _fresh(words: Words) -> np.ndarray:
+    """Per word, 1 unless it repeats the word before it; a word said over and over counts once."""
+    out = np.ones(len(words.hashes))
+    out[1:] = words.hashes[1:] != words.hashes[:-1]
+    return out
+
+
 def fit(batches: Iterator[pa.RecordBatch], epochs: int = 80, warm: int = 20, seed: int = 7) -> tuple[np.ndarray, float]:
     """Score per table row and bias, from rows of (doc_id, text, label)."""
-    labels, counts, tokens = [], [], []
+    labels, counts, tokens, fresh_words = [], [], [], []
     known, rows, sizes = np.zeros(0, np.uint64), [], []
     for piece in slices(batches):
         words = Words(piece.column(1), _SEPARATORS, lower=True)
         labels.append(piece.column(2).to_numpy(zero_copy_only=False))
         counts.append(words.counts)
         tokens.append(words.hashes)
+        fresh_words.append(_fresh(words))
         unique, at = np.unique(words.hashes, return_index=True)
         fresh = ~np.isin(unique, known)
         r, k = _bags(words, at[fresh])
@@ -112,6 +120,7 @@ def fit(batches: Iterator[pa.RecordBatch], epochs: int = 80, warm: int = 20, see
     first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
     order = np.argsort(known)
     token = order[np.searchsorted(known[order], np.concatenate(tokens))]
+    fresh = np.concatenate(fresh_words)
     rows, sizes = np.concatenate(rows).astype(np.int64), np.concatenate(sizes)
     begin = np.cumsum(sizes) - sizes
     rng = np.random.default_rng(seed)
@@ -128,16 +137,16 @@ def fit(batches: Iterator[pa.RecordBatch], epochs: int = 80, warm: int = 20, see
         word = np.add.reduceat(np.append(score[rows], 0), np.minimum(begin, len(rows))) * inverse
         word[sizes == 0] = 0
         if epoch < warm:  # whole texts first, until the worst passages mean something
-            logit = np.bincount(doc, word[token], len(y)) / n_words * 20
-            share = (weight / n_words * 20)[doc]
+            logit = np.bincount(doc, word[token] * fresh, len(y)) / n_words * 20
+            share = (weight / n_words * 20)[doc] * fresh
             at, owner = token, doc
         else:
-            logit, start, end = _worst(word[token], first)
+            logit, start, end = _worst(word[token] * fresh, first)
             logit = logit * PASSAGE
             k = end - start
             place = np.repeat(start - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
             owner = np.repeat(np.arange(len(y)), k)
-            at, share = token[place], (weight / np.maximum(k, 1) * PASSAGE)[owner]
+            at, share = token[place], (weight / np.maximum(k, 1) * PASSAGE)[owner] * fresh[place]
         p = 1 / (1 + np.exp(-np.clip(logit + bias[1] - bias[0], -40, 40)))
         error = p - y
         # Gradients: of the two outputs with opposite signs, through words to rows.
@@ -184,7 +193,7 @@ def toxicity(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def piece(batch: pa.RecordBatch) -> pa.RecordBatch:
         table, bias = shared.value
         words = Words(batch.column(1), _SEPARATORS, lower=True)
-        logit, start, end = _worst(_word_scores(words, table), words.first)
+        logit, start, end = _worst(_word_scores(words, table) * _fresh(words), words.first)
         blob = words.data.tobytes()
         worst = [b" ".join(blob[x:y] for x, y in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)).decode() for a, b in zip(start, end, strict=True)]
         return pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logit + bias, -30, 30)))), pa.array(worst, pa.string())], names=["doc_id", "score", "worst"])
