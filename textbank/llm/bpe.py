@@ -282,6 +282,11 @@ class Encoder:
         self._merge(fresh)
         return np.array([self.pieces.code[p] for p in found], dtype=np.int64)
 
+    def piece_counts(self, found: list[str]) -> np.ndarray:
+        """Number of ids of each pre-token."""
+        codes = self._pieces(found)
+        return self.pieces.count[codes]
+
     def _matched(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts by the pattern, end to end, and their number for each."""
         found: list[str] = []

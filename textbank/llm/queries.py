@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbank.llm import bpe, common, decontam, jaccard_join, language_id, quality_classifier, substring_dedup, toxicity
+from textbank.llm import bpe, common, decontam, jaccard_join, language_id, licenses, quality_classifier, substring_dedup, token_counts, toxicity
 from textbank.llm.quality_rules import quality_rules
 
 #: The rank file of the encoding query.
@@ -22,6 +22,20 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (common.remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every text: a cut in its first quarter, an insertion in its middle, a line at its end."""
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda at, length, new: F.struct(at.cast("int").alias("start"), F.lit(length).alias("length"), F.lit(new).alias("replacement"))
+    docs = common.table(spark, sf_dir, "documents").withColumn("edits", F.array(edit(F.floor(n / 4), 3, ""), edit(F.floor(n / 2), 0, " and so, "), edit(n + 6, 0, "\nThe end.")))
+    counted = token_counts.token_counts(docs, RANKS, public_tokenizers.PATTERN)
+    return counted.select("doc_id", "n_before", "n_tokens", "n_pieces", "n_reencoded", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+
+
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_matches")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents")).drop("dup_line_chars", "dup_ngram_chars")
 
@@ -75,7 +89,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = (op1_quality_classifier, op4_byte_level_bpe, op5_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_language_id, op10_substring_dedup)
+QUERIES = (op1_quality_classifier, op2_token_counts, op3_license_scans, op4_byte_level_bpe, op5_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_language_id, op10_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -83,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ngram_jaccard_join": jaccard_join.SQL, "op8_benchmark_decontamination": decontam.SQL, "op10_substring_dedup": substring_dedup.SQL}
+    return {"op3_license_scans": licenses.SQL, "op7_ngram_jaccard_join": jaccard_join.SQL, "op8_benchmark_decontamination": decontam.SQL, "op10_substring_dedup": substring_dedup.SQL}
