@@ -1,15 +1,71 @@
-"""A corpus pipeline of five stages over documents; each stage works on what its predecessor kept."""
+"""A corpus pipeline of five stages over documents; each stage works on all that its predecessor kept.
+
+Each function takes (spark, docs, sf_dir) and returns the columns of documents
+(doc_id, text, lang, source, n_chars), the last one token ids. No stage looks at
+lang or source.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textbank.llm import common, decontam, jaccard_join, quality_classifier, substring_dedup
+from textbank.llm.queries import RANKS, bpe_digests
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labelled ones among them whose crc32(doc_id) mod 3 is not 1."""
+    sample = common.labelled_sample(docs, common.table(spark, sf_dir, "labels"), "quality", common.remainder("doc_id", 3) != 1, quality_classifier.MAX_ROWS)
+    return quality_classifier.accepted(docs.select(*COLUMNS), quality_classifier.train(sample))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of least doc_id."""
+    dropped = jaccard_join.jaccard_join(docs).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(common.small(common.cut(dropped)), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words or more that an earlier document has; one with nothing left goes.
+
+    A text that loses no word stays as it is; else its words are joined by single spaces.
+    """
+    found = substring_dedup.substring_dedup(docs, carry=("text", "lang", "source", "n_chars"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    whole = F.col("n_removed") == 0
+    return found.where(whole | (F.col("n_removed") < F.col("n_words"))).select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    found = decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    dropped = common.small(common.cut(found.where("contaminated").select("doc_id").distinct()))
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the token ids and of the text that they decode to."""
+    return bpe_digests(docs, RANKS)
+
 
-STAGES = []
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_free),
+    ("byte-level BPE", token_ids),
+]
+#: The first stage is a fitted model, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The last stage's rows over all of documents; what each stage kept is computed once."""
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

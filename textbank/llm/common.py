@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python task turns into numpy arrays at once; a longer text is taken alone and whole.
 SLICE_BYTES = 3 << 20
@@ -64,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """per_slice over df in slices of whole texts, in Arrow, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,3 +220,15 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
         return pa.record_batch([batch.column(0), pa.array(_probability(_logits(pooled(batch.column(1), m.vectors), m), m.temperature).astype(np.float64))], names=["doc_id", "score"])
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), piece, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def piece(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m = shared.value
+        texts = batch.column(batch.schema.get_field_index("text"))
+        return batch.filter(pa.array(_probability(_logits(pooled(texts, m.vectors), m), m.temperature) >= threshold))
+
+    return map_texts(docs, piece, docs.schema)

@@ -95,20 +95,22 @@ def _remove(batch: pa.RecordBatch) -> pa.RecordBatch:
     removed = np.concatenate([[0], np.cumsum(gone)])
     n_removed = removed[words.first[1:]] - removed[words.first[:-1]]
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-    return pa.record_batch([batch.column(0), pa.array(words.counts.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(kept, pa.string()), pa.array(spans, kind)], names=["doc_id", "n_words", "n_removed", "kept", "removed"])
+    carried = range(3, batch.num_columns)
+    return pa.record_batch([batch.column(0), pa.array(words.counts.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(kept, pa.string()), pa.array(spans, kind), *(batch.column(i) for i in carried)], names=["doc_id", "n_words", "n_removed", "kept", "removed", *(batch.schema.names[i] for i in carried)])
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text), removed (spans of word numbers) for each row of docs (doc_id, text).
 
     A word goes if a window over it also starts in a document of smaller doc_id.
     Null and empty texts, texts of fewer than 50 words and rows without an id
     lose nothing, and such rows are no source. Rows that share an id never cost
-    each other words. Other columns are ignored. Texts of one sequence of words
+    each other words. Columns named in carry go along, other columns are ignored. Texts of one sequence of words
     are told by a 64-bit hash of it, single windows by 128 bits.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sound = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    more = [docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    sound = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
     anchors = map_texts(sound, _anchors, "h long, doc_id long, place int")
     repeated = cut(anchors.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("h", "first_doc"))
@@ -123,8 +125,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     flagged = windows.join(first, ["h", "h2"]).where("first_doc < doc_id").groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts"), F.lit(False).alias("copy"))
     copies = suspects.select("doc_id", F.explode("copies").alias("version"), F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
     marks = cut(flagged.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("version", "starts", "copy")).alias("marks")))
-    rows = docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks")
-    return map_texts(rows, _remove, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:long,end:long>>")
+    rows = docs.join(marks, "doc_id", "left").select("doc_id", "text", "marks", *(f"carried_{i}" for i in range(len(carry))))
+    kinds = "".join(f", carried_{i} {rows.schema[f'carried_{i}'].dataType.simpleString()}" for i in range(len(carry)))
+    found = map_texts(rows, _remove, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:long,end:long>>" + kinds)
+    return found.withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
 
 
 #: The contract's rows of op10 in DuckDB SQL.
