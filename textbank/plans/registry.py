@@ -30,3 +30,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+from textbank.plans import retrieval_queries  # noqa: E402, F401  (each registers its queries)
