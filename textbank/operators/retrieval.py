@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import random
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from textbank.functions.text import distinct_tokens, matches
@@ -66,7 +68,7 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int = 5, scope: tuple[st
     return ranked.select("query_id", "_id", F.round("exact", 6).alias("similarity"), "rank")
 
 
-def approximate_topk(queries: DataFrame, rows: DataFrame, k: int = 5, planes: int = 8, tables: int = 24, probes: int = 1, seed: int = 17) -> DataFrame:
+def approximate_topk(queries: DataFrame, rows: DataFrame, k: int = 5, planes: int = 6, tables: int = 16, seed: int = 17) -> DataFrame:
     """query_id, _id, similarity, rank among candidates that share a bucket of random hyperplanes with the query.
 
     Every row is indexed in each of `tables` tables under the signs of its dot
@@ -74,20 +76,24 @@ def approximate_topk(queries: DataFrame, rows: DataFrame, k: int = 5, planes: in
     each and those that differ in one sign. Candidates are scored exactly. More
     tables find more; planes should grow with the logarithm of the rows.
     """
-    rng = random.Random(seed)
-    width = rows.select(F.size("embedding").alias("n")).agg(F.max("n")).first()[0] or 0
-    directions = [[[rng.gauss(0, 1) for _ in range(width)] for _ in range(planes)] for _ in range(tables)]
-
-    def keys(v: Column) -> Column:
-        bits = [F.concat_ws("", *[F.when(dot(v, F.array(*map(F.lit, d))) >= 0, "1").otherwise("0") for d in table]) for table in directions]
-        return F.array(*[F.struct(F.lit(i).alias("t"), b.alias("b")) for i, b in enumerate(bits)])
+    def keys(flip: bool):  # noqa: ANN202
+        @F.pandas_udf(ArrayType(IntegerType()))
+        def of(vectors: pd.Series) -> pd.Series:
+            v = np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
+            rng = np.random.default_rng(seed)
+            bits = np.stack([(v @ rng.standard_normal((v.shape[1], planes)) >= 0) @ (1 << np.arange(planes)) for _ in range(tables)], axis=1)
+            own = bits + (np.arange(tables) << planes)
+            if flip:
+                own = np.concatenate([own, *(own ^ (1 << i) for i in range(planes))], axis=1)
+            return pd.Series(list(own.astype(np.int32)))
+
+        return of
 
     r = rows.select("_id", unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
     q = queries.select("query_id", unit(F.col("embedding")).alias("q")).where("q IS NOT NULL")
-    near = lambda b: F.concat(F.array(b), *([F.transform(F.sequence(F.lit(1), F.lit(planes)), lambda i: F.overlay(b, F.when(F.substr(b, i, F.lit(1)) == "1", "0").otherwise("1"), i, F.lit(1)))] if probes else []))
-    index = r.select("_id", "v", F.inline(keys(F.col("v"))))
-    probe = q.select("query_id", "q", F.inline(keys(F.col("q")))).withColumn("b", F.explode(near(F.col("b"))))
-    pairs = probe.join(index, ["t", "b"]).select("query_id", "_id", dot(F.col("q"), F.col("v")).alias("exact")).dropDuplicates(["query_id", "_id"])
+    index = r.select("_id", "v", F.explode(keys(False)("v")).alias("bucket"))
+    probe = q.select("query_id", "q", F.explode(keys(True)("q")).alias("bucket"))
+    pairs = probe.join(index, "bucket").dropDuplicates(["query_id", "_id"]).select("query_id", "_id", dot(F.col("q"), F.col("v")).alias("exact"))
     own = Window.partitionBy("query_id").orderBy(F.desc("exact"), "_id")
     return pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "_id", F.round("exact", 6).alias("similarity"), "rank")
 
