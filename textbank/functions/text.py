@@ -31,6 +31,11 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """body of a column that is computed once, however often body or a lambda in it names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -59,8 +64,8 @@ def rubric_keywords(c: Column) -> Column:
 
 def keyword_coverage(answer: Column, keywords: Column) -> Column:
     """Share of the keywords that are tokens of the answer; 0.5 without keywords."""
-    own = tokens(answer, r"\b[a-z][a-z0-9\-]*\b")
-    return F.when(F.size(keywords) == 0, 0.5).otherwise(F.size(F.filter(keywords, lambda k: F.array_contains(own, k))) / F.size(keywords))
+    both = F.struct(tokens(answer, r"\b[a-z][a-z0-9\-]*\b").alias("own"), keywords.alias("keys"))
+    return let(both, lambda s: F.when(F.size(s["keys"]) == 0, 0.5).otherwise(F.size(F.filter(s["keys"], lambda k: F.array_contains(s["own"], k))) / F.size(s["keys"])))
 
 
 def safe_csv(c: Column) -> Column:
