@@ -25,7 +25,7 @@ from textbank.llm.common import map_texts
 #: Widths of the numpy trees; a longer pre-token gets a tree of its own.
 WIDTHS = (4, 8, 16, 32, 64)
 #: Distinct strings whose ids a worker keeps; beyond it the worker starts afresh.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 150_000
 _BEFORE_SPACE = regex.compile(r"(?s) ?[^ ]+| ").findall
 _TWO_SPACES = regex.compile(r"\s\s").search
 #: Pre-tokens merged at once, few enough that their trees stay in a processor's cache.

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python task turns into numpy arrays at once; a longer text is taken alone and whole.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
+#: Texts that Spark sends to a Python task in one Arrow batch.
+BATCH_ROWS = 512
 #: Rows of fixed width up to which a side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -65,13 +67,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """per_slice over df in slices of whole texts, in Arrow, without a shuffle."""
+def map_texts(df: DataFrame, per_slice: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, most: int = SLICE_BYTES) -> DataFrame:
+    """per_slice over df in slices of whole texts, in Arrow, without a shuffle. Sets the session's Arrow batches to BATCH_ROWS if they are larger: texts are long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
+        for piece in slices(batches, most=most):
             yield per_slice(piece)
 
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
     return df.mapInArrow(run, schema)
 
 

@@ -33,6 +33,10 @@ HIDDEN, EPOCHS = 32, 250
 CALIBRATION = 5
 
 
+#: Bytes of text worked on at once: a word takes some hundred bytes of vectors.
+AT_ONCE = 1 << 19
+
+
 class Model(NamedTuple):
     vectors: np.ndarray  # rows x DIMENSION
     scale: np.ndarray  # 2 x features: mean and spread
@@ -133,7 +137,7 @@ def _probability(logits: np.ndarray, temperature: float) -> np.ndarray:
 
 def fit(batches: Iterator[pa.RecordBatch]) -> Model:
     """A model from rows of (doc_id, text, label)."""
-    pieces = [(p.column(1), p.column(2).to_numpy(zero_copy_only=False)) for p in slices(batches)]
+    pieces = [(p.column(1), p.column(2).to_numpy(zero_copy_only=False)) for p in slices(batches, most=AT_ONCE)]
     index = _index_vectors()
     total, count = np.zeros(index.shape), np.zeros(len(index))
     for texts, _ in pieces:
@@ -219,7 +223,7 @@ def quality(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         return pa.record_batch([batch.column(0), pa.array(_probability(_logits(pooled(batch.column(1), m.vectors), m), m.temperature).astype(np.float64))], names=["doc_id", "score"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), piece, "doc_id long, score double")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), piece, "doc_id long, score double", AT_ONCE)
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -231,4 +235,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
         texts = batch.column(batch.schema.get_field_index("text"))
         return batch.filter(pa.array(_probability(_logits(pooled(texts, m.vectors), m), m.temperature) >= threshold))
 
-    return map_texts(docs, piece, docs.schema)
+    return map_texts(docs, piece, docs.schema, AT_ONCE)
