@@ -32,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
-from textbank.plans import analytics_queries, corpus_queries, retrieval_queries  # noqa: E402, F401  (each registers its queries)
+from textbank.plans import analytics_queries, assessment_queries, corpus_queries, retrieval_queries, stream_queries  # noqa: E402, F401  (each registers its queries)
