@@ -11,7 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
 #: Function words that say nothing about a match.
 STOPWORDS = (
@@ -247,7 +247,7 @@ def marking_reply(raw: Column, max_marks: Column) -> Column:
     found = F.coalesce(*[F.when(t["mark"].isNotNull(), t) for t in tries])
     salvaged = F.regexp_extract(text_or_empty(raw), r'"?mark"?\s*[:=]\s*(-?\d+(?:\.\d+)?)', 1).try_cast("double")
     mark = F.coalesce(found["mark"], salvaged)
-    return F.struct(F.greatest(F.lit(0.0), F.least(max_marks.cast("double"), mark)).alias("mark"), F.coalesce(found["feedback"], F.lit("")).alias("feedback"), mark.isNotNull().alias("parsed"))
+    return F.struct(F.when(mark.isNotNull(), F.greatest(F.lit(0.0), F.least(max_marks.cast("double"), mark))).alias("mark"), F.coalesce(found["feedback"], F.lit("")).alias("feedback"), mark.isNotNull().alias("parsed"))
 
 
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Pow: operator.pow, ast.Mod: operator.mod, ast.USub: operator.neg, ast.UAdd: operator.pos}
@@ -309,3 +309,52 @@ def table_html(markdown: pd.Series) -> pd.DataFrame:
         return "".join([*out, "</tbody></table>"]), blanks
 
     return pd.DataFrame([one(m) for m in markdown], columns=["html", "n_blanks"])
+
+
+_MARK = re.compile(r"(?<![A-Za-z0-9])\(?([A-D])[).:]\s+")
+
+
+@F.pandas_udf(StructType([StructField("stem", StringType()), StructField("options", MapType(StringType(), StringType()))]))
+def split_mcq(question: pd.Series) -> pd.DataFrame:
+    """Stem and options of a question with options in its text: the first run of A, B, C (and D) marks; text from an answer line on is dropped."""
+
+    def one(q: str | None) -> tuple[str, dict[str, str]]:
+        text = re.split(r"(?im)^\s*(?:correct\s+)?answer\s*:", q or "")[0]
+        marks = list(_MARK.finditer(text))
+        for i, m in enumerate(marks):
+            run = [m]
+            for other in marks[i + 1 :]:
+                if len(run) < 4 and other.group(1) == "ABCD"[len(run)]:
+                    run.append(other)
+            if m.group(1) == "A" and len(run) >= 3:
+                ends = [*(r.start() for r in run[1:]), len(text)]
+                values = [re.sub(r"\s+", " ", text[r.end() : e]).strip() for r, e in zip(run, ends, strict=True)]
+                return text[: m.start()].strip(), dict(zip("ABCD", values, strict=False))
+        return text.strip(), {}
+
+    return pd.DataFrame([one(q) for q in question], columns=["stem", "options"])
+
+
+def chunk_score(density: Column, formula: Column, example: Column, terms: Column) -> Column:
+    """How much there is to ask about a chunk: density, formulas, examples and more than two terms; 1 at most."""
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    return F.least(F.lit(1.0), 0.5 * density + 0.2 * flag(formula) + 0.2 * flag(example) + 0.1 * flag(F.size(terms) > 2))
+
+
+def concept_queries(question: Column, rubric: Column, most: int = 3) -> Column:
+    """Up to three different queries about an answer: the question, its beginning up to a comma or question mark, and the rubric's beginning."""
+    parts = F.array(F.substring(strip(text_or_empty(question)), 1, 300), strip(F.regexp_extract(text_or_empty(question), r"^[^,?.]{8,}", 0)), F.substring(strip(text_or_empty(rubric)), 1, 200))
+    full = F.filter(parts, lambda p: p != "")
+    keys = F.transform(full, F.lower)
+    return F.slice(F.filter(full, lambda p, i: F.array_position(keys, F.lower(p)) == i + 1), 1, most)
+
+
+def prompt_block(text: Column, chapter: Column, section: Column, tables: Column, images: Column, cap: int = 2000) -> Column:
+    """A chunk as a prompt shows it: headings, what else it holds, text."""
+    mark = lambda c, name: F.when(F.size(c) > 0, F.concat(F.lit(f"[{name}: "), F.size(c).cast("string"), F.lit("]")))
+    return F.concat_ws("\n", F.concat_ws(" > ", F.nullif(chapter, F.lit("")), F.nullif(section, F.lit(""))), mark(tables, "tables"), mark(images, "figures"), F.substring(text_or_empty(text), 1, cap))
+
+
+def has_inline_table(c: Column) -> Column:
+    """Whether a text carries a table itself: HTML, or two lines with two bars."""
+    return F.contains(F.lower(c), F.lit("<table")) | (F.size(F.filter(F.split(c, "\n"), lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2)) >= 2)

@@ -204,3 +204,45 @@ def similar_pairs(rows: DataFrame, scope: str, threshold: float) -> DataFrame:
     a = rows.select(F.col(scope).alias("s_"), F.col("_id").alias("a"), unit(F.col("embedding")).alias("x"))
     b = rows.select(F.col(scope).alias("s_"), F.col("_id").alias("b"), unit(F.col("embedding")).alias("y"))
     return a.join(b, "s_").where("a < b").select("a", "b", dot(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def routed_retrieve(queries: DataFrame, indexes: dict[str, DataFrame], k: int = 8, constant: int = 60, expand: int = 2) -> DataFrame:
+    """query_group, kind, _id, score, place: the whole of retrieval for groups of queries.
+
+    queries has query_group, query_id, query, embedding and chapter_num; indexes has
+    for each of text, formula, figure and table its rows (_id, embedding,
+    chapter_num, parent_chunk_id). Each query runs on the lists its intent asks for,
+    each kind's lists are fused, capped, and parents of specialist rows that are
+    not among the text rows are added.
+    """
+    routes = fan_out(queries, k)
+    pieces = []
+    for kind, rows in indexes.items():
+        wanted = routes.where(F.col("kind") == kind).join(queries.select("query_group", "query_id", "embedding", "chapter_num"), ["query_group", "query_id"])
+        top = vector_topk(wanted.select(F.struct("query_group", "query_id").alias("query_id"), "embedding", "chapter_num"), rows, max(k, 3), ("chapter_num",))
+        top = top.select(F.col("query_id.query_group").alias("query_group"), F.col("query_id.query_id").alias("query_id"), "_id", "rank")
+        top = top.join(wanted.select("query_group", "query_id", "k"), ["query_group", "query_id"]).where("rank <= k")
+        lists = top.select("query_group", F.col("query_id").alias("list_no"), "_id", "rank")
+        pieces.append(fuse(lists, constant).withColumn("kind", F.lit(kind)))
+    fused = cap_per_kind(reduce(lambda a, b: a.unionByName(b), pieces), {"text": k, "formula": 5, "figure": 3, "table": 2})
+    own = fused.select("query_group", "kind", "_id", "score", "place")
+    parents = reduce(lambda a, b: a.unionByName(b), [r.select(F.lit(kind).alias("kind"), "_id", "parent_chunk_id") for kind, r in indexes.items() if kind != "text"])
+    hits = own.where("kind <> 'text'").join(parents, ["kind", "_id"]).select("query_group", F.col("place").alias("hit_rank"), "parent_chunk_id")
+    more = expand_to_parents(hits, indexes["text"], own.where("kind = 'text'").select("query_group", "_id"), expand)
+    return own.unionByName(more.select("query_group", F.lit("parent").alias("kind"), "_id", F.lit(0.0).alias("score"), "place"))
+
+
+def marking_context(chunks: DataFrame, similar: DataFrame, specialist: DataFrame, k: int = 5) -> DataFrame:
+    """query_group, source, _id, place: chunks of several queries once each, k at most, three similar questions, and the specialist rows."""
+    first = union_first_seen(chunks)
+    place = F.row_number().over(Window.partitionBy("query_group").orderBy("list_no", "rank", "_id"))
+    own = first.withColumn("place", place).where(F.col("place") <= k).select("query_group", F.lit("chunk").alias("source"), "_id", "place")
+    alike = similar.where("rank <= 3").select("query_group", F.lit("question").alias("source"), "_id", F.col("rank").alias("place"))
+    return own.unionByName(alike).unionByName(specialist.select("query_group", F.lit("specialist").alias("source"), "_id", "place"))
+
+
+def route_by_level(rows: DataFrame) -> DataFrame:
+    """_id, kind, k: which specialist lists a question of a level draws on: L3 five formulas, L4 three figures and two tables."""
+    pair = lambda kind, k: F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k"))
+    routes = F.when(F.col("bloom_level") == "L3", F.array(pair("formula", 5))).when(F.col("bloom_level") == "L4", F.array(pair("figure", 3), pair("table", 2)))
+    return rows.select("_id", F.inline(routes))

@@ -295,3 +295,50 @@ _simple(
     "SELECT l_orderkey, l_linenumber, l_partkey, strftime(o_orderdate + INTERVAL 30 MINUTE, '%Y-%m-%dT%H:%M:%S') AS deadline, CAST(date_diff('second', o_orderdate, l_shipdate) AS BIGINT) AS seconds FROM lineitem JOIN orders ON o_orderkey = l_orderkey",
     lambda s, d: inputs.table(s, d, "lineitem").join(inputs.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", F.date_format(F.col("o_orderdate") + F.make_dt_interval(mins=F.lit(30)), "yyyy-MM-dd'T'HH:mm:ss").alias("deadline"), (F.unix_timestamp("l_shipdate") - F.unix_timestamp("o_orderdate")).alias("seconds")),
 )
+
+_simple(
+    "WN-2_chunk_scores",
+    "SELECT doc_id, round(least(1.0, 0.5 * (doc_id % 10) / 10 + CASE WHEN regexp_matches(text, '[=%]') THEN 0.2 ELSE 0 END + CASE WHEN contains(text, '|') THEN 0.2 ELSE 0 END + CASE WHEN len(string_split(text, chr(10))) > 2 THEN 0.1 ELSE 0 END), 6) AS score FROM documents",
+    lambda s, d: inputs.table(s, d, "documents").select("doc_id", F.round(T.chunk_score((F.col("doc_id") % 10) / 10, F.col("text").rlike("[=%]"), F.col("text").contains("|"), F.split("text", "\n")), 6).alias("score")),
+)
+_simple(
+    "JN-3_zero_filled",
+    f"WITH {SUBMISSIONS}, {QUESTIONS} SELECT q._id, count(s._id) AS n FROM questions q LEFT JOIN submissions s ON s.question_id = q._id GROUP BY 1",
+    lambda s, d: analytics.question_accuracy(inputs.submissions(s, d), inputs.questions(s, d)).select(F.col("question_id").alias("_id"), "n"),
+)
+_simple(
+    "JN-14_open_sections",
+    f"WITH {SUBMISSIONS}, l AS (SELECT DISTINCT o_orderkey AS quiz_id, o_custkey % 150 AS student_id, l_partkey % 100 AS question_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT quiz_id, count(*) AS n FROM l WHERE NOT EXISTS (SELECT 1 FROM submissions s WHERE s.student_id = l.student_id AND s.question_id = l.question_id) GROUP BY 1",
+    lambda s, d: _attempts(s, d)[1]
+    .select(F.col("_id").alias("quiz_id"), (F.col("student_id") % 150).alias("student_id"), F.explode(F.array_distinct("question_ids")).alias("question_id"))
+    .join(inputs.submissions(s, d).select("student_id", "question_id"), ["student_id", "question_id"], "left_anti")
+    .groupBy("quiz_id")
+    .agg(F.count("*").alias("n")),
+)
+_simple(
+    "PF-11_display_names",
+    "SELECT p_partkey, p_brand AS name FROM part",
+    lambda s, d: inputs.table(s, d, "part").select("p_partkey", T.display_name(F.concat(F.lower("p_brand"), F.lit(""))).alias("name")),
+)
+_simple(
+    "SF-15_inline_tables",
+    "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\\|')) >= 2)) >= 2 AS has_table FROM documents",
+    lambda s, d: inputs.table(s, d, "documents").select("doc_id", T.has_inline_table(F.col("text")).alias("has_table")),
+)
+_simple(
+    "SF-19_within_tolerance",
+    "SELECT l_orderkey, l_linenumber, l_partkey, abs(l_extendedprice - l_quantity * 2000) / greatest(abs(l_quantity * 2000), 1e-12) <= 0.02 AS near FROM lineitem",
+    lambda s, d: inputs.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.within_tolerance(F.col("l_extendedprice"), F.col("l_quantity") * 2000).alias("near")),
+)
+_simple(
+    "SF-11_unmangled",
+    "SELECT p_partkey, '\\frac ' || p_name AS text FROM part",
+    lambda s, d: inputs.table(s, d, "part").select("p_partkey", T.unmangle_latex(F.concat(F.lit("\x0crac "), "p_name")).alias("text")),
+)
+_simple(
+    "SF-3_split_mcq",
+    "SELECT p_partkey, 'Which is ' || p_name || '?' AS stem, p_type AS a, p_brand AS c FROM part",
+    lambda s, d: inputs.table(s, d, "part")
+    .select("p_partkey", "p_name", "p_type", "p_brand", T.split_mcq(F.concat(F.lit("Which is "), "p_name", F.lit("? A. "), "p_type", F.lit(" B. none C. "), "p_brand", F.lit(" D) all\nAnswer: A"))).alias("q"))
+    .select("p_partkey", "q.stem", F.col("q.options")["A"].alias("a"), F.col("q.options")["C"].alias("c")),
+)

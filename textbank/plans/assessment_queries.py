@@ -249,3 +249,7 @@ query("QZ-6_merged_drafts", "SELECT o_orderkey, 'new' AS a, 'old' AS b FROM orde
 query("QZ-7_hidden", "SELECT o_orderkey AS _id, CASE WHEN any_value(o_orderpriority) = '5-LOW' OR o_orderkey % 4 = 0 THEN count(*) ELSE 0 END AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")(
     lambda s, d: quizzes.hide_timed(inputs.quizzes(s, d), inputs.quizzes(s, d).where("_id % 4 = 0").select(F.col("_id").alias("quiz_id"), "student_id")).select("_id", F.size("question_ids").cast("long").alias("n"))
 )
+query("MK-2_coverage", f"WITH {_SCORED} SELECT _id, cov AS keyword_coverage FROM r")(lambda s, d: scored(s, d).where("question_text || answer_text RLIKE '^[\\\\x00-\\\\x7F]*$'").select("_id", "keyword_coverage"))
+query("MK-4_routes", f"WITH {_SCORED} SELECT CASE WHEN sim >= 0.92 AND cov >= 0.6 THEN 'HIGH' WHEN confidence >= 0.55 THEN 'MID' ELSE 'LOW' END AS route, count(*) AS n FROM r GROUP BY 1")(
+    lambda s, d: scored(s, d).where("question_text || answer_text RLIKE '^[\\\\x00-\\\\x7F]*$'").groupBy("route").agg(F.count("*").alias("n"))
+)

@@ -320,3 +320,7 @@ _column("SF-24_stem", lambda c: T.stem_of(F.concat(F.substring(c, 1, 100), F.lit
 _column("SF-25_masked", lambda c: F.sha1(T.mask_secrets(F.concat(c, F.lit(" Bearer abc.def key=xyz"))).cast("binary")), r"sha1(regexp_replace(regexp_replace(text || ' Bearer abc.def key=xyz', '(?i)(key=)[^&\s]+', '\1***', 'g'), '(?i)(bearer )\S+', '\1***', 'g'))")
 _column("SF-10_source_labels", lambda c: T.generic_labels(F.concat(F.lit("Table 1.9 shows it; see Figure 2.3. "), F.substring(c, 1, 40))), "'The table below shows it; see the figure below. ' || substr(text, 1, 40)")
 _column("SF-14_table_html", lambda c: T.table_html(F.concat(F.lit("| a | b |\n|---|---|\n| "), F.substring(F.get(F.split(c, r"[\n|]"), 0), 1, 20), F.lit(" | ? |")))["n_blanks"], None)
+query("IX-7_fallbacks", "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_type END, p_name) AS plain FROM part")(lambda s, d: inputs.table(s, d, "part").select("p_partkey", F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.col("p_name")).alias("plain")))
+query("IX-24_exercise_index")(lambda s, d: indexes.rebuild("exercises", exercise_chunks(s, d)).groupBy("book_id", "kind").agg(F.count("*").alias("n")))
+query("IX-28_rebuilt", "SELECT source AS book_id, count(*) AS n FROM documents GROUP BY 1")(lambda s, d: indexes.rebuild("tables", rich_chunks(s, d).withColumn("table_texts", F.array(F.concat(F.lit("| Name | Size | of the table |\n| "), F.col("_id").cast("string"), F.lit(" | 1 | 2 |"))))).groupBy("book_id").agg(F.count("*").alias("n")))
+query("IX-12_summaries", "SELECT p_partkey AS batch_id, CAST(p_size % 4 + 1 AS INTEGER) AS i FROM part")(lambda s, d: indexes.parse_enrichment(replies(s, d)).select("batch_id", "i"))

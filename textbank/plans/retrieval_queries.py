@@ -221,3 +221,62 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = distinct_tokens(F.col("text"))
     return inputs.table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.array_join(F.array_sort(t), " ").alias("tokens"))
+
+
+def _indexes(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The vectors dealt to four indexes by number; a row's parent is the text row before it."""
+    v = inputs.vectors(s, d).withColumn("parent_chunk_id", F.floor(F.col("_id") / 4) * 4)
+    return {kind: v.where(F.col("_id") % 4 == i) for i, kind in enumerate(("text", "formula", "figure", "table"))}
+
+
+@query("RT-10_routed_retrieve")
+def routed(s: SparkSession, d: str) -> DataFrame:
+    text = F.element_at(F.array(F.lit("what is a mean?"), F.lit("compute the variance"), F.lit("read the histogram")), (F.col("query_id") / 50 % 3 + 1).cast("int"))
+    q = inputs.vector_queries(s, d).withColumns({"query_group": F.floor(F.col("query_id") / 100), "query": text})
+    return retrieval.routed_retrieve(q, _indexes(s, d))
+
+
+@query("RT-11_concept_queries")
+def concepts(s: SparkSession, d: str) -> DataFrame:
+    from textbank.functions.text import concept_queries
+
+    c = inputs.table(s, d, "conversations")
+    return c.select("conv_id", "turn", F.array_join(concept_queries(F.col("text"), F.col("role")), " | ").alias("queries"))
+
+
+@query("RT-13_marking_context")
+def context(s: SparkSession, d: str) -> DataFrame:
+    lists = _lists(s, d)
+    similar = everywhere(s, d, 3).withColumnRenamed("query_id", "query_group")
+    return retrieval.marking_context(lists, similar, similar.where("rank = 1").select("query_group", "_id", F.col("rank").alias("place")))
+
+
+query("RT-15_level_routes", f"WITH {inputs.QUESTIONS} SELECT _id, 'formula' AS kind, 5 AS k FROM questions WHERE bloom_level = 'L3' UNION ALL SELECT _id, 'figure', 3 FROM questions WHERE bloom_level = 'L4' UNION ALL SELECT _id, 'table', 2 FROM questions WHERE bloom_level = 'L4'")(
+    lambda s, d: retrieval.route_by_level(inputs.questions(s, d))
+)
+
+
+@query("RT-16_prompt_blocks", "SELECT doc_id AS _id, lang || ' > ' || source || chr(10) || '[tables: ' || len(string_split(text, chr(10))) || ']' || chr(10) || substr(text, 1, 2000) AS block FROM documents")
+def blocks(s: SparkSession, d: str) -> DataFrame:
+    from textbank.functions.text import prompt_block
+
+    c = inputs.chunks(s, d)
+    return c.select("_id", prompt_block(F.col("text"), F.col("topic_tag"), F.col("book_id"), F.split("text", "\n"), F.array()).alias("block"))
+
+
+@query("EV-8_golden_evaluation")
+def golden(s: SparkSession, d: str) -> DataFrame:
+    """Every stated query over the four indexes, judged by whether a row's document shares its chapter with the query."""
+    found = routed(s, d).where("kind <> 'parent'")
+    v = inputs.vectors(s, d).select("_id", "chapter_num")
+    queries = inputs.vector_queries(s, d).select(F.floor(F.col("query_id") / 100).alias("query_group"), "chapter_num").groupBy("query_group").agg(F.min("chapter_num").alias("wanted"))
+    judged_ = found.join(v, "_id").join(queries, "query_group").select(F.col("query_group").alias("query_id"), F.col("kind").alias("specialist"), F.col("place").alias("rank"), (F.col("chapter_num") == F.col("wanted")).alias("relevant"))
+    totals = v.join(queries, v["chapter_num"] == queries["wanted"]).groupBy(F.col("query_group").alias("query_id")).agg(F.count("*").alias("total_relevant"))
+    pairs = queries.select(F.col("query_group").alias("query_id"), F.explode(F.array(*map(F.lit, ("text", "formula", "figure", "table")))).alias("specialist"))
+    return evaluation.mean_scores(evaluation.score_queries(judged_, pairs, totals))
+
+
+@query("EV-9_auto_golden", "SELECT book_id, _id, query FROM (SELECT source AS book_id, doc_id AS _id, lang || ' ' || source AS query, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p FROM documents) WHERE p % 10 = 0")
+def auto_golden(s: SparkSession, d: str) -> DataFrame:
+    c = inputs.chunks(s, d).withColumns({"section_title": F.col("topic_tag"), "key_terms": F.array("book_id")})
+    return evaluation.auto_golden(c).select("book_id", "_id", "query")
