@@ -1,0 +1,346 @@
+"""Each operator against a brute-force version, and on rows that are odd in every way."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+import tiktoken
+import public_tokenizers
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from textbank.llm import bpe, common, decontam, jaccard_join, language_id, licenses, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from textbank.llm.queries import RANKS, bpe_digests, queries
+
+SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+WORDS = [f"w{i}" for i in range(40)]
+
+
+def words(text):
+    out, word = [], ""
+    for ch in text or "":
+        if ch in SPACE:
+            if word:
+                out.append(word)
+            word = ""
+        else:
+            word += ch
+    return [*out, word] if word else out
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Texts with copies, near copies, shared passages, repeated lines and odd ones."""
+    rng = random.Random(4)
+    passage = [rng.choice(WORDS) + str(i) for i in range(60)]
+    base = [f"v{rng.randrange(2000)}" for _ in range(120)]
+    out = ["", None, "one", "Ein Wort", "a b c d e", "A b C d E", " \n\t ", "é x  y"]
+    for i in range(40):
+        body = [f"{rng.choice(WORDS)}{rng.randrange(60)}" for _ in range(rng.randrange(1, 150))]
+        if i % 4 == 0:
+            at = rng.randrange(len(body) + 1)
+            body = body[:at] + passage[: rng.randrange(45, 61)] + body[at:]
+        out.append(" ".join(body))
+    for i in range(12):
+        copy = list(base)
+        for _ in range(i):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(9999)}"
+        out.append(("\n" if i % 2 else " ").join(copy))
+    out += [out[20], out[21], out[20].upper(), "same line here\n" * 30, "lorem " * 4000]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, docs):
+    """Null ids, repeated rows, one id with two texts, and columns with names that the operators use inside."""
+    more = spark.createDataFrame([(None, "a text without an id of its own here", None, None, None), (None, None, None, None, None), (3, "another text of the id three", "de", "s", 1), (20, "x", "en", "s", 1), (20, "x", "en", "s", 1)], docs.schema)
+    clash = {c: F.lit(7) for c in ("h", "n", "w", "words", "found", "version", "marks", "node", "token", "label", "score", "prefix", "ids", "start", "item_id")}
+    return docs.unionByName(more).withColumns(clash)
+
+
+def by_id(df, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]] for r in df.collect()}
+
+
+def test_quality_rules(docs, texts):
+    got = by_id(quality_rules.quality_rules(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    for i, t in enumerate(texts):
+        w = words(t)
+        runs = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        hit = {k + j for k, r in enumerate(runs) if runs.count(r) > 1 for j in range(5)} if len(runs) < 900 else set(range(len(w)))
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        failed = len(w) < 10 or 100 * len(hit) > 20 * len(w)
+        assert got[i][:6] == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(hit), failed), i
+        assert not (failed and got[i][6])
+
+
+def test_bpe(docs, texts):
+    r = bpe.load(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=r.rank, special_tokens={})
+    got = by_id(bpe_digests(docs), "n_tokens", "ids_sha256", "decoded_sha256")
+    for i, t in enumerate(texts):
+        ids = enc.encode_ordinary(t or "")
+        assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_bpe_pieces():
+    rng = random.Random(1)
+    r = bpe.load(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=r.rank, special_tokens={})
+    coder = bpe.Encoder(r, public_tokenizers.PATTERN)
+    made = ["".join(rng.choice("ab \n\tthe1é😀#$'s\0") for _ in range(rng.randrange(120))) for _ in range(400)] + ["a" * 3000, " " * 2000 + "x", "<|endoftext|>", "日本語" * 100]
+    ids, counts = coder.encode(made)
+    ends = 0
+    for t, n in zip(made, counts, strict=True):
+        assert ids[ends : ends + n].tolist() == enc.encode_ordinary(t), t[:50]
+        ends += n
+
+
+def test_token_counts():
+    rng = random.Random(3)
+    r = bpe.load(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=r.rank, special_tokens={})
+    coder = bpe.Encoder(r, public_tokenizers.PATTERN)
+    for _ in range(300):
+        t = "".join(rng.choice("ab c  \n'sé1,.") for _ in range(rng.randrange(60)))
+        counted = token_counts.CountedText(t, coder)
+        for _ in range(4):
+            a, n, new = rng.randrange(len(t) + 1), rng.randrange(6), "".join(rng.choice("ab '\n1") for _ in range(rng.randrange(5)))
+            t = t[:a] + new + t[a + n :]
+            counted.edit(a, n, new)
+            assert counted.text() == t and counted.n_tokens == len(enc.encode_ordinary(t))
+    long = token_counts.CountedText("word " * 5000, coder)
+    long.edit(12_000, 3, "xyz")
+    assert long.reencoded < 10
+
+
+def test_jaccard(docs, texts):
+    sets = []
+    for t in texts:
+        w = words(lower(t))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = by_id(jaccard_join.jaccard_join(docs), "n_shingles", "component_id")
+    assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
+
+
+def test_jaccard_large_group(spark):
+    """Hundreds of near copies around one text, some too far from it, linked only through others."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    made = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            t[rng.randrange(100)] = f"c{rng.randrange(10**6)}"
+        made.append(t)
+    far = list(made[5])
+    for k in (3, 50):
+        far[k] = f"far{k}"
+    made.append(far)
+    rows = [(i, " ".join(t)) for i, t in enumerate(made)]
+    sets = [{tuple(t[k : k + 5]) for k in range(96)} for t in made]
+    seen, groups = set(), {}
+    for i in range(len(sets)):
+        if i not in seen:
+            todo, own = [i], set()
+            while todo:
+                x = todo.pop()
+                if x not in own:
+                    own.add(x)
+                    todo += [y for y in range(len(sets)) if y not in own and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+            seen |= own
+            groups |= dict.fromkeys(own, min(own))
+    got = by_id(jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")), "component_id")
+    assert got == groups
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(40)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r["node"]: r["component"] for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_decontamination(spark, docs, texts):
+    items = [(0, texts[8][:400]), (1, texts[30]), (2, "w1 w2"), (3, None), (4, "Lorem"), (5, "lorem lorem lorem"), (6, "zz yy xx"), (7, texts[31])]
+
+    def split(t):
+        out, word = [], ""
+        for ch in lower(t):
+            if ch.isascii() and not ("0" <= ch <= "9" or "a" <= ch <= "z"):
+                out, word = ([*out, word] if word else out), ""
+            else:
+                word += ch
+        return [*out, word] if word else out
+
+    wins = {i: {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))} for i, t in items if (w := split(t))}
+    got = by_id(decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")), "n_words", "n_hit", "item_ids", "contaminated")
+    for i, t in enumerate(texts):
+        w = split(t)
+        hit, ids = set(), set()
+        for item, own in wins.items():
+            for k in {len(x) for x in own}:
+                for s in range(len(w) - k + 1):
+                    if tuple(w[s : s + k]) in own:
+                        hit |= set(range(s, s + k))
+                        ids.add(str(item))
+        assert got[i] == (len(w), len(hit), sorted(ids), len(hit) > 0 and 20 * len(hit) >= len(w)), i
+
+
+def test_substrings(docs, texts):
+    first = {}
+    for i, t in enumerate(texts):
+        w = words(t)
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    got = by_id(substring_dedup.substring_dedup(docs), "n_words", "n_removed", "kept", "removed")
+    for i, t in enumerate(texts):
+        w = words(t)
+        gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(50)}
+        assert got[i][:3] == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)), i
+        assert sum(s["end"] - s["first"] for s in got[i][3]) == len(gone)
+
+
+def test_cover():
+    differences = {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER}
+    assert differences == set(range(substring_dedup.PERIOD))
+
+
+def test_licenses(spark):
+    texts = ["Released under the MIT License.\nfoo", "A. Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.", "All rights reserved. Licensed under CC BY-NC 4.0.", "nothing", None, ""]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "licenses", "n_matches")
+    assert [got[i] for i in range(6)] == [(["MIT"], 1), (["Apache-2.0"], 1), (["CC-BY-NC-4.0", "LicenseRef-All-Rights-Reserved"], 2), ([], 0), ([], 0), ([], 0)]
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize(("name", "label", "mod", "rest", "least"), [("op1_quality_classifier", "quality", 3, 1, 0.97), ("op6_toxicity", "toxic", 5, 0, 0.93)])
+def test_held_out(spark, name, label, mod, rest, least):
+    got = queries()[name](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").toPandas()
+    assert (got["held_out"] == got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % mod == rest)).all()
+    held = got[got["held_out"]]
+    assert (held["predicted"] == held[label]).mean() >= least
+    assert got["score"].between(0, 1).all() and ((got["score"] >= 0.5) == (got["predicted"] == 1)).all()
+
+
+def test_language(spark):
+    got = queries()["op9_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    held = got[got["held_out"]]
+    assert (held["lang_pred"] == held["lang"]).mean() >= 0.99 and got["score"].between(0, 1).all()
+
+
+def test_language_without_letters(spark):
+    rows = spark.createDataFrame([(0, None), (1, ""), (2, "12 - 3"), (3, "le chat")], "doc_id long, text string")
+    train = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the cat sat", "en"), ("le chat noir", "fr")] * 4)], "doc_id long, text string, lang string")
+    model = language_id.train(language_id.sample(train, F.lit(True)))
+    got = by_id(language_id.language(rows, model), "lang_pred", "score")
+    assert [got[i][0] for i in range(4)] == ["und", "und", "und", "fr"] and got[0][1] == 0
+
+
+def test_spelling(spark):
+    """Words that share most character n-grams with toxic ones are toxic too."""
+    d, l = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(common.labelled_sample(d, l, "toxic", F.lit(True), 3000))
+    rows = [(0, "what a stupidd moronn"), (1, "such patheticc scumm here"), (2, "the of and with for")]
+    got = by_id(toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), model), "score")
+    assert got[0] > 0.5 and got[1] > 0.5 and got[2] < 0.5
+
+
+def all_operators(spark, rows):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    labels = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("quality"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("toxic"))
+    edits = F.array(F.struct(F.lit(2).alias("start"), F.lit(1).alias("length"), F.lit("zz").alias("replacement")))
+    return {
+        "quality classifier": lambda: quality_classifier.quality(rows, quality_classifier.train(common.labelled_sample(rows, labels, "quality", F.lit(True), 100))),
+        "token counts": lambda: token_counts.token_counts(rows.withColumn("edits", edits), RANKS, public_tokenizers.PATTERN),
+        "licenses": lambda: licenses.scan(rows),
+        "bpe": lambda: bpe_digests(rows),
+        "quality rules": lambda: quality_rules.quality_rules(rows),
+        "toxicity": lambda: toxicity.toxicity(rows, toxicity.train(common.labelled_sample(rows, labels, "toxic", F.lit(True), 100))),
+        "jaccard": lambda: jaccard_join.jaccard_join(rows),
+        "decontamination": lambda: decontam.decontaminate(rows, bench),
+        "language": lambda: language_id.language(rows, language_id.train(language_id.sample(rows, F.lit(True)))),
+        "substrings": lambda: substring_dedup.substring_dedup(rows),
+    }
+
+
+NAMES = ("quality classifier", "token counts", "licenses", "bpe", "quality rules", "toxicity", "jaccard", "decontamination", "language", "substrings")
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_odd_rows(spark, odd, name):
+    want = sorted(str(r[0]) for r in odd.select("doc_id").collect())
+    assert sorted(str(r["doc_id"]) for r in all_operators(spark, odd)[name]().collect()) == want
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_table(spark, odd, name):
+    assert all_operators(spark, odd.where("false"))[name]().collect() == []
+
+
+def test_pipeline(spark):
+    """The stages one by one, each judged on its own input."""
+    sf = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = [d]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept.append(common.cut(stage(spark, kept[-1], sf)))
+    columns = d.columns
+    assert all(k.columns == columns for k in kept)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    ids = [{r["doc_id"] for r in k.select("doc_id").collect()} for k in kept]
+    good = [i for i in labels if labels[i] == 1]
+    assert sum(i in ids[1] for i in good) >= 0.97 * len(good)
+    # One of each near-duplicate group: the least id.
+    groups = by_id(jaccard_join.jaccard_join(kept[1]), "component_id")
+    assert ids[2] == {i for i, c in groups.items() if i == c}
+    before, after = by_id(kept[2], "text"), by_id(kept[3], "text")
+    first = {}
+    for i in sorted(before):
+        w = words(before[i])
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    for i, t in before.items():
+        w = words(t)
+        gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for j in range(50)}
+        assert after.get(i) == (t if not gone else " ".join(x for k, x in enumerate(w) if k not in gone) or None)
+    dirty = {r["doc_id"] for r in decontam.decontaminate(kept[3], spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").collect()}
+    assert ids[4] == ids[3] - dirty
+    last = corpus_pipeline.STAGES[-1][1](spark, kept[4], sf)
+    assert last.count() == len(ids[4])
+    run = corpus_pipeline.run(spark, sf)
+    assert sorted(map(str, run.collect())) == sorted(map(str, last.collect()))

@@ -106,6 +106,8 @@ def train(rows: DataFrame) -> Model:
 
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text", "lang")
     r = ordered.mapInArrow(run, "languages array<string>, landmarks binary, weights binary, mean binary").first()
+    if r is None:  # no task had a row
+        return fit(iter(()))
     n = len(r["languages"])
     return Model(list(r["languages"]), np.frombuffer(r["landmarks"], np.float32).reshape(PLACES, -1), np.frombuffer(r["weights"], np.float64).reshape(-1, n) if n else np.zeros((1, 0)), np.frombuffer(r["mean"], np.float64))
 

@@ -206,6 +206,8 @@ def train(sample: DataFrame) -> Model:
 
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
     r = ordered.mapInArrow(run, ", ".join(f"{n} binary" for n in names) + ", temperature double").first()
+    if r is None:  # no task had a row
+        return fit(iter(()))
     width = 6 * DIMENSION + 3
     shapes = ((-1, DIMENSION), (2, width), (width, HIDDEN), (HIDDEN,), (HIDDEN, 2), (2,))
     return Model(*(np.frombuffer(r[n], np.float32).reshape(s) for n, s in zip(names, shapes, strict=True)), r["temperature"])

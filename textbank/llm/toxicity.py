@@ -178,6 +178,8 @@ def train(sample: DataFrame) -> tuple[np.ndarray, float]:
 
     ordered = sample.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("text"))
     row = ordered.mapInArrow(run, "score binary, bias double").first()
+    if row is None:  # no task had a row
+        return fit(iter(()))
     return np.frombuffer(row["score"], np.float32), row["bias"]
 
 
