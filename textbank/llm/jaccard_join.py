@@ -69,7 +69,8 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
     parts = docs.mapInArrow(count, "part int, salt int, counts binary")
     parts = parts.groupBy("part", "salt").applyInArrow(add, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
-    return np.concatenate([np.frombuffer(r["counts"], np.int32) for r in parts.orderBy("part").collect()])
+    found = parts.orderBy("part").collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int32) for r in found]) if found else np.zeros(BUCKETS, np.int32)
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
