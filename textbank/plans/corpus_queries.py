@@ -85,14 +85,15 @@ def page_text(s: SparkSession, d: str) -> DataFrame:
 
 
 # Structure: every fifth line of a text is given a heading in front, by its number.
-_heading = F.concat(F.lit("Chapter "), (F.col("doc_id") % 60).cast("string"), F.lit(": "), F.initcap(F.regexp_extract("text", r"^[\p{L}]+", 0)), F.lit(" Title .... 12"))
+def _heading():  # noqa: ANN202
+    return F.concat(F.lit("Chapter "), (F.col("doc_id") % 60).cast("string"), F.lit(": "), F.initcap(F.regexp_extract("text", r"^[\p{L}]+", 0)), F.lit(" Title .... 12"))
 
 
 def headed(s: SparkSession, d: str) -> DataFrame:
     """Pages: every fourth starts with a chapter heading, every third with a section heading."""
     page = docs(s, d)
     section = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n1."), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" Section of things\n"))).otherwise("\n")
-    return page.select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("page"), F.concat(F.when(F.col("doc_id") % 80 < 20, _heading).otherwise(""), section, F.col("text")).alias("text"))
+    return page.select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("page"), F.concat(F.when(F.col("doc_id") % 80 < 20, _heading()).otherwise(""), section, F.col("text")).alias("text"))
 
 
 def headings(s: SparkSession, d: str) -> DataFrame:
