@@ -342,3 +342,16 @@ _simple(
     .select("p_partkey", "p_name", "p_type", "p_brand", T.split_mcq(F.concat(F.lit("Which is "), "p_name", F.lit("? A. "), "p_type", F.lit(" B. none C. "), "p_brand", F.lit(" D) all\nAnswer: A"))).alias("q"))
     .select("p_partkey", "q.stem", F.col("q.options")["A"].alias("a"), F.col("q.options")["C"].alias("c")),
 )
+
+_simple(
+    "JN-4_attempts_with_students",
+    f"""WITH {SUBMISSIONS}, l AS (SELECT DISTINCT o_orderkey, o_custkey % 150 AS student_id, l_partkey % 100 AS question_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+      s AS (SELECT DISTINCT student_id, question_id FROM submissions)
+      SELECT l.o_orderkey AS quiz_id, coalesce(c_name, '') AS student, count(s.question_id) AS n_answered FROM l LEFT JOIN customer ON c_custkey = l.student_id LEFT JOIN s ON s.student_id = l.student_id AND s.question_id = l.question_id GROUP BY 1, 2""",
+    lambda s, d: _attempts(s, d)[1]
+    .select(F.col("_id").alias("quiz_id"), (F.col("student_id") % 150).alias("student_id"), F.explode(F.array_distinct("question_ids")).alias("question_id"))
+    .join(inputs.table(s, d, "customer").select(F.col("c_custkey").alias("student_id"), "c_name"), "student_id", "left")
+    .join(inputs.submissions(s, d).select("student_id", "question_id", F.lit(1).alias("hit")).distinct(), ["student_id", "question_id"], "left")
+    .groupBy("quiz_id", F.coalesce("c_name", F.lit("")).alias("student"))
+    .agg(F.count("hit").alias("n_answered")),
+)

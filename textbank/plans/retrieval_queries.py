@@ -280,3 +280,7 @@ def golden(s: SparkSession, d: str) -> DataFrame:
 def auto_golden(s: SparkSession, d: str) -> DataFrame:
     c = inputs.chunks(s, d).withColumns({"section_title": F.col("topic_tag"), "key_terms": F.array("book_id")})
     return evaluation.auto_golden(c).select("book_id", "_id", "query")
+
+
+for _id, _measure in (("EV-2_hit_at_k", "hit_at_k"), ("EV-3_recall_at_k", "recall_at_k"), ("EV-4_mrr", "mrr"), ("EV-5_ndcg_at_k", "ndcg_at_k")):
+    query(_id, _SCORES + f" SELECT query_id, specialist, {_measure} FROM scores")(lambda s, d, m=_measure: scores(s, d).select("query_id", "specialist", m))
