@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python task turns into numpy arrays at once; a longer text is taken alone and whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Texts that Spark sends to a Python task in one Arrow batch.
 BATCH_ROWS = 512
 #: Rows of fixed width up to which a side of a join is broadcast; beyond it the join shuffles.

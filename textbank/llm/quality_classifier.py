@@ -34,7 +34,7 @@ CALIBRATION = 5
 
 
 #: Bytes of text worked on at once: a word takes some hundred bytes of vectors.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 18
 
 
 class Model(NamedTuple):

@@ -94,7 +94,7 @@ def _worst(word_scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _fresh(words: Words) -> np.ndarray:
     """Per word, 1 unless it repeats the word before it; a word said over and over counts once."""
-    out = np.ones(len(words.hashes))
+    out = np.ones(len(words.hashes), np.float32)
     out[1:] = words.hashes[1:] != words.hashes[:-1]
     return out
 
@@ -119,9 +119,10 @@ def fit(batches: Iterator[pa.RecordBatch], epochs: int = 80, warm: int = 20, see
     y = np.concatenate(labels).astype(np.float64)
     first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
     order = np.argsort(known)
-    token = order[np.searchsorted(known[order], np.concatenate(tokens))]
+    token = order[np.searchsorted(known[order], np.concatenate(tokens))].astype(np.int32)
+    tokens.clear()
     fresh = np.concatenate(fresh_words)
-    rows, sizes = np.concatenate(rows).astype(np.int64), np.concatenate(sizes)
+    rows, sizes = np.concatenate(rows).astype(np.int32), np.concatenate(sizes)
     begin = np.cumsum(sizes) - sizes
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.05, (BUCKETS, DIMENSION)).astype(np.float32)
@@ -129,7 +130,7 @@ def fit(batches: Iterator[pa.RecordBatch], epochs: int = 80, warm: int = 20, see
     seen_t, seen_o, seen_b = np.full(BUCKETS, 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(2, 1e-8)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
     n_words = np.maximum(np.diff(first), 1)
-    doc = np.repeat(np.arange(len(y)), np.diff(first))
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(first))
     sign = np.array([-1.0, 1.0])
     inverse = 1.0 / np.maximum(sizes, 1)
     for epoch in range(epochs):
