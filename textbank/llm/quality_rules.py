@@ -97,3 +97,31 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     one row, repeated ids too. Other columns are ignored.
     """
     return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), _score, SCHEMA)
+
+
+def _sql() -> str:
+    limits = " AND ".join(f"coalesce(max(a.chars) FILTER (a.n = {n}), 0) <= CAST({limit} AS DOUBLE) * any_value(length(array_to_string(d.w, '')))" for n, limit in NGRAM_LIMITS.items())
+    lengths = ", ".join(f"({n})" for n in NGRAM_LIMITS)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, (VALUES {lengths}) AS t(n), unnest(generate_series(1, len(w) - n + 1)) AS u(i)
+), cov AS (
+  SELECT DISTINCT doc_id, n, p FROM (SELECT doc_id, n, i, count(*) OVER (PARTITION BY doc_id, n, g) AS c FROM win), unnest(generate_series(i, i + n - 1)) AS v(p) WHERE c > 1
+), a AS (SELECT doc_id, n, count(*) AS k, sum(length(w[p])) AS chars FROM cov JOIN d USING (doc_id) GROUP BY 1, 2), l AS (
+  SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS r FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dl AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM l WHERE r > 1 GROUP BY 1),
+s AS (
+  SELECT d.doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, CAST(any_value(length(array_to_string(d.w, ''))) AS BIGINT) AS word_chars, CAST(any_value(len(regexp_extract_all(d.text, '[#*$%&|<>]'))) AS BIGINT) AS n_symbols,
+    CAST(coalesce(any_value(dl.n), 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(max(a.k) FILTER (a.n = 5), 0) AS BIGINT) AS n_repeat_words,
+    coalesce(any_value(dl.chars), 0) <= CAST({LINE_LIMIT} AS DOUBLE) * any_value(length(array_to_string(d.w, ''))) AND {limits} AS fine
+  FROM d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN dl ON dl.doc_id = d.doc_id GROUP BY d.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND fine AS kept FROM s
+"""
+
+
+#: The contract's rows of op5 in DuckDB SQL.
+SQL = _sql()

@@ -8,8 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbank.llm import bpe, common, decontam, jaccard_join, language_id, licenses, quality_classifier, substring_dedup, token_counts, toxicity
-from textbank.llm.quality_rules import quality_rules
+from textbank.llm import bpe, common, decontam, jaccard_join, language_id, licenses, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 
 #: The rank file of the encoding query.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -37,7 +36,7 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(common.table(spark, sf_dir, "documents")).drop("dup_line_chars", "dup_ngram_chars")
+    return quality_rules.quality_rules(common.table(spark, sf_dir, "documents")).drop("dup_line_chars", "dup_ngram_chars")
 
 
 def bpe_digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -97,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scans": licenses.SQL, "op7_ngram_jaccard_join": jaccard_join.SQL, "op8_benchmark_decontamination": decontam.SQL, "op10_substring_dedup": substring_dedup.SQL}
+    return {"op3_license_scans": licenses.SQL, "op5_quality_rules": quality_rules.SQL, "op7_ngram_jaccard_join": jaccard_join.SQL, "op8_benchmark_decontamination": decontam.SQL, "op10_substring_dedup": substring_dedup.SQL}
