@@ -203,8 +203,13 @@ _simple(
 )
 _simple(
     "ST-4_page_difference",
-    "WITH e AS (SELECT source AS book_id, unnest(range(0, 1000)) AS page FROM (SELECT DISTINCT source FROM documents)) SELECT book_id, CAST(page AS BIGINT) AS page FROM e EXCEPT SELECT source, doc_id FROM documents",
-    lambda s, d: inputs.chunks(s, d).select("book_id").distinct().select("book_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))).alias("page")).join(inputs.chunks(s, d).select("book_id", F.col("_id").alias("page")), ["book_id", "page"], "left_anti"),
+    "WITH e AS (SELECT source AS book_id, unnest(range(0, (SELECT max(doc_id) + 1 FROM documents))) AS page FROM (SELECT DISTINCT source FROM documents)) SELECT book_id, CAST(page AS BIGINT) AS page FROM e EXCEPT SELECT source, doc_id FROM documents",
+    lambda s, d: inputs.chunks(s, d)
+    .select("book_id")
+    .distinct()
+    .join(F.broadcast(inputs.chunks(s, d).agg(F.max("_id").alias("last"))))
+    .select("book_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("page"))
+    .join(inputs.chunks(s, d).select("book_id", F.col("_id").alias("page")), ["book_id", "page"], "left_anti"),
 )
 _simple(
     "ST-5_token_intersection",

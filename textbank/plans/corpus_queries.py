@@ -174,13 +174,12 @@ query("CH-13_chunk_id", "SELECT doc_id AS _id, substr(sha1(source || ':' || doc_
 )
 
 
-@query("CH-14_repairs", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fixed' ELSE 'kept' END AS outcome FROM documents WHERE length(text) BETWEEN 200 AND 3000 AND text NOT LIKE '% '")
+@query("CH-14_repairs", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND text <> '' OR doc_id % 3 = 1 AND 5 >= 0.7 * length(text) THEN 'fixed' ELSE 'kept' END AS outcome FROM documents")
 def repairs(s: SparkSession, d: str) -> DataFrame:
-    """Replies: the text itself in capitals for every third, a far too short one for others."""
-    rows = docs(s, d).where("length(text) BETWEEN 200 AND 3000 AND text NOT LIKE '% '")
+    """Replies: the text itself for every third, five letters or nothing readable for the others."""
     raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Here: "), F.to_json(F.struct(F.col("text").alias("text"), F.lit("m").alias("math_text"))))).when(F.col("doc_id") % 3 == 1, '{"text": "short"}').otherwise("none")
     r = chunking.accept_repair(raw, F.col("text"), F.lit(""))
-    return rows.select("doc_id", F.when(r["accepted"], "fixed").otherwise("kept").alias("outcome"))
+    return docs(s, d).select("doc_id", F.when(r["accepted"], "fixed").otherwise("kept").alias("outcome"))
 
 
 @query("CH-15_cache_misses", "SELECT doc_id FROM documents WHERE sha1(text) NOT IN (SELECT sha1(text) FROM documents WHERE doc_id % 2 = 0)")
@@ -258,7 +257,7 @@ query("IX-20_group_stems", "SELECT doc_id AS parent_chunk_id, 2 AS n FROM docume
 query("IX-21_exercise_types", "SELECT 'example' AS kind, 'short_answer' AS inferred_qtype, count(*) AS n FROM documents UNION ALL SELECT 'homework', 'mcq', count(*) FROM documents")(
     lambda s, d: indexes.build_exercises(exercise_chunks(s, d)).where("kind = 'example' OR inferred_qtype = 'mcq'").groupBy("kind", "inferred_qtype").agg(F.count("*").alias("n"))
 )
-_column("IX-22_junk", lambda c: indexes.is_junk(F.substring(c, 1, 30)), r"length(substr(text, 1, 30)) < 25 OR regexp_full_match(substr(text, 1, 30), '[\d\s.,%$()/-]+')")
+_column("IX-22_junk", indexes.is_junk, r"length(text) < 25 OR regexp_full_match(text, '[\d\s.,%$()/-]+')")
 query("IX-23_exercise_text")(lambda s, d: indexes.build_exercises(exercise_chunks(s, d)).select("_id", indexes.exercise_text(F.col("stem"), F.col("options"), F.col("solution")).alias("text")))
 query("IX-25_index_status", "SELECT source AS book_id, 'tables' AS index, 'done' AS status, count(*) AS n FROM documents GROUP BY 1")(
     lambda s, d: indexes.index_status(inputs.chunks(s, d).select("book_id", F.lit("tables").alias("index"), F.lit("done").alias("status")).distinct(), inputs.chunks(s, d).select("book_id", F.lit("tables").alias("index")))
@@ -298,7 +297,7 @@ query("QC-9_junk_formulas", "SELECT count(*) AS n, count(*) FILTER (length(trim(
     lambda s, d: quality.junk_rate(inputs.table(s, d, "part").select(F.when(F.col("p_size") % 7 == 0, "N/A").otherwise(F.col("p_name")).alias("formula_latex")))
 )
 query("QC-10_duplicates", "WITH b AS (SELECT source, text, count(*) AS n FROM documents GROUP BY 1, 2), t AS (SELECT text, sum(n) AS n, count(*) AS p FROM b GROUP BY 1) SELECT CAST(sum(n - p) AS BIGINT) AS n_duplicates, CAST(sum(p - 1) AS BIGINT) AS n_repeats FROM t")(lambda s, d: quality.duplicate_counts(docs(s, d), "source", "text"))
-_column("QC-11_prose", lambda c: quality.is_prose(F.substring(c, 1, 120)), r"len(regexp_extract_all(substr(text, 1, 120), '[A-Za-z]{2,}')) >= 8 AND NOT regexp_matches(substr(text, 1, 120), '[=+√∑∫±≤≥^\\]')")
+_column("QC-11_prose", quality.is_prose, r"len(regexp_extract_all(text, '[A-Za-z]{2,}')) >= 8 AND NOT regexp_matches(text, '[=+√∑∫±≤≥^\\]')")
 query("QC-12_capture", "WITH f AS (SELECT lang AS kind, count(*) AS n FROM documents WHERE doc_id % 3 > 0 AND lang <> 'es' GROUP BY 1), t AS (SELECT lang AS kind, count(*) AS n FROM documents GROUP BY 1) SELECT kind, coalesce(f.n, 0) AS n_found, t.n AS n_true, round(100.0 * coalesce(f.n, 0) / t.n, 2) AS pct FROM t LEFT JOIN f USING (kind)")(
     lambda s, d: quality.capture(docs(s, d).where("doc_id % 3 > 0 AND lang <> 'es'").groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("n_found")), docs(s, d).groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("n_true")))
 )
@@ -317,7 +316,7 @@ def cosines(s: SparkSession, d: str) -> DataFrame:
 
 _column("SF-16_balanced", T.delimiters_balanced, r"len(regexp_extract_all(text, '\(')) = len(regexp_extract_all(text, '\)')) AND (NOT regexp_matches(text, '\\[a-zA-Z]+') OR (len(regexp_extract_all(text, '\$')) % 2 = 0 AND len(regexp_extract_all(text, '\{')) = len(regexp_extract_all(text, '\}'))))")
 _column("SF-17_needs_latex", T.needs_latex, r"NOT contains(text, '$') AND regexp_matches(text, '[√∑∫±≤≥^]|\bsqrt\(|\\frac|[a-zA-Z]_[a-zA-Z0-9]')")
-_column("SF-24_stem", lambda c: T.stem_of(F.concat(F.substring(c, 1, 100), F.lit("\nA. one\nB. two"))), r"regexp_replace(substr(text, 1, 100), '^\s+|\s+$', '', 'g')")
+_column("SF-24_stem", lambda c: T.stem_of(F.concat(c, F.lit("\nA. one\nB. two"))), r"substr(regexp_replace(regexp_replace(text || chr(10) || 'A. one', '(?s)\n[A-D]\.\s.*$', ''), '^\s+|\s+$', '', 'g'), 1, 500)")
 _column("SF-25_masked", lambda c: F.sha1(T.mask_secrets(F.concat(c, F.lit(" Bearer abc.def key=xyz"))).cast("binary")), r"sha1(regexp_replace(regexp_replace(text || ' Bearer abc.def key=xyz', '(?i)(key=)[^&\s]+', '\1***', 'g'), '(?i)(bearer )\S+', '\1***', 'g'))")
 _column("SF-10_source_labels", lambda c: T.generic_labels(F.concat(F.lit("Table 1.9 shows it; see Figure 2.3. "), F.substring(c, 1, 40))), "'The table below shows it; see the figure below. ' || substr(text, 1, 40)")
 _column("SF-14_table_html", lambda c: T.table_html(F.concat(F.lit("| a | b |\n|---|---|\n| "), F.substring(F.get(F.split(c, r"[\n|]"), 0), 1, 20), F.lit(" | ? |")))["n_blanks"], None)

@@ -167,7 +167,7 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 _JUDGED = """r AS (
   SELECT b.item_id AS query_id, d.doc_id AS _id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank, contains(lower(d.text), lower(b.text)) AS relevant
   FROM benchmark b JOIN documents d ON b.item_id % 20 = d.doc_id % 20
-), t AS (SELECT query_id, count(*) FILTER (relevant) AS total FROM r GROUP BY 1), top AS (SELECT * FROM r WHERE rank <= 30)"""
+), t AS (SELECT query_id, count(*) FILTER (relevant) AS total FROM r GROUP BY 1), top AS (SELECT * FROM r)"""
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,8 +193,7 @@ _SCORES = (
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = judged(spark, sf_dir)
     totals = j.groupBy("query_id").agg(F.sum(F.col("relevant").cast("int")).alias("total_relevant"))
-    top = j.where("rank <= 30")
-    return evaluation.score_queries(top, top.select("query_id", "specialist").distinct(), totals)
+    return evaluation.score_queries(j, j.select("query_id", "specialist").distinct(), totals)
 
 
 @query("EV-7_mean_scores", _SCORES + " SELECT specialist, round(avg(hit_at_k), 4) AS hit_at_k, round(avg(recall_at_k), 4) AS recall_at_k, round(avg(mrr), 4) AS mrr, round(avg(ndcg_at_k), 4) AS ndcg_at_k, count(*) AS n_queries FROM scores GROUP BY 1")
