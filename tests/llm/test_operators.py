@@ -94,6 +94,12 @@ def test_bpe(docs, texts):
         assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
 
 
+def test_encode_then_decode(docs, texts):
+    got = by_id(bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS), "ids", "decoded")
+    once = by_id(bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN), "ids", "decoded")
+    assert got == once and [bytes(got[i][1]) for i in range(len(texts))] == [(t or "").encode() for t in texts]
+
+
 def test_bpe_pieces():
     rng = random.Random(1)
     r = bpe.load(RANKS)

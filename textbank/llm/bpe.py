@@ -350,6 +350,24 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), piece, "doc_id long, ids array<int>")
 
 
+def _decoded(table: Tokens, ids: np.ndarray, counts: np.ndarray, nulls: list[bool] | None = None) -> pa.Array:
+    """The bytes of each list of ids."""
+    body = table.decode(ids).tobytes()
+    sizes = np.concatenate([[0], np.cumsum(table.lengths[ids])])
+    ends = sizes[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    return pa.array([None if nulls and nulls[i] else body[a:b] for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))], pa.binary())
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """encode and decode in one pass, so that a task needs one Python worker and not two: doc_id, ids, decoded."""
+
+    def piece(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, counts = encoder(path, pattern).encode(batch.column(1).to_pylist())
+        return pa.record_batch([batch.column(0), lists(ids, counts), _decoded(load(path), ids, counts)], names=["doc_id", "ids", "decoded"])
+
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), piece, "doc_id long, ids array<int>, decoded binary")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded (doc_id, ids) with a column decoded: the bytes of its ids (empty for none, null for null)."""
 
@@ -360,13 +378,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 part = column.slice(start, 512)
                 ids = part.flatten().to_numpy(zero_copy_only=False)
                 counts = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                table = tokens(path)
-                data = table.decode(ids)
-                sizes = np.concatenate([[0], np.cumsum(table.lengths[ids])])
-                ends = sizes[np.concatenate([[0], np.cumsum(counts)])]
-                body = data.tobytes()
-                nulls = part.is_null().to_pylist()
-                out = [None if gone else body[a:b] for a, b, gone in zip(ends[:-1], ends[1:], nulls, strict=True)]
-                yield pa.record_batch([batch.column(0).slice(start, 512), part, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+                yield pa.record_batch([batch.column(0).slice(start, 512), part, _decoded(tokens(path), ids, counts, part.is_null().to_pylist())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

@@ -41,7 +41,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of docs, by encoding and decoding."""
-    return bpe.decode(bpe.encode(docs, path, pattern), path).select(
+    return bpe.round_trip(docs, path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
