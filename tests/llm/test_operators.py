@@ -286,6 +286,18 @@ def test_spelling(spark):
     assert got[0] > 0.5 and got[1] > 0.5 and got[2] < 0.5
 
 
+def test_toxicity_of_copies(spark):
+    """A text scores alike whatever stands before it in its slice."""
+    model = toxicity.np.random.default_rng(1).uniform(1, 5, toxicity.BUCKETS).astype("float32"), -2.0
+    texts = ["scum", "scum", "", None, "scum", "scum scum scum", "scum scum scum", "you scum", "scum you", "you"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    once, apart = (by_id(toxicity.toxicity(rows.repartition(n, "doc_id"), model), "score") for n in (1, 16))
+    alone = {t: by_id(toxicity.toxicity(rows.where(rows.doc_id == texts.index(t)), model), "score")[texts.index(t)] for t in set(texts)}
+    for i, t in enumerate(texts):
+        assert once[i] == pytest.approx(alone[t], abs=1e-9) and apart[i] == pytest.approx(alone[t], abs=1e-9)
+    assert alone["scum"] > alone["scum scum scum"] > alone[""] == alone[None]
+
+
 def all_operators(spark, rows):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     labels = rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("quality"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("toxic"))

@@ -93,9 +93,10 @@ def _worst(word_scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _fresh(words: Words) -> np.ndarray:
-    """Per word, 1 unless it repeats the word before it; a word said over and over counts once."""
+    """Per word, 1 unless it repeats the word before it in its document; a word said over and over counts once."""
     out = np.ones(len(words.hashes), np.float32)
     out[1:] = words.hashes[1:] != words.hashes[:-1]
+    out[words.first[:-1][words.counts > 0]] = 1
     return out
 
 
