@@ -7,10 +7,11 @@ lang or source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textbank.llm import common, decontam, jaccard_join, quality_classifier, substring_dedup
+from textbank.llm.common import cut
 from textbank.llm.queries import RANKS, bpe_digests
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,10 +23,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.accepted(docs.select(*COLUMNS), quality_classifier.train(sample))
 
 
+def _row_key() -> Column:
+    """A 64-bit hash of id and text, null or not: rows that share it are the same document."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least doc_id."""
-    dropped = jaccard_join.jaccard_join(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(common.small(common.cut(dropped)), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates: one of least doc_id, a null id after all others.
+
+    Rows are told apart by id and text, so ids may repeat or be null; of rows
+    equal in both one stays. Texts without a word are in no group and all stay.
+    """
+    keyed = docs.select(*COLUMNS, _row_key().alias("key"))
+    found = jaccard_join.jaccard_join(keyed.select(F.col("key").alias("doc_id"), "text")).where("n_shingles > 0")
+    members = cut(found.groupBy(F.col("doc_id").alias("key"), "component_id").agg(F.count("*").alias("copies")))
+    crowded = members.groupBy("component_id").agg(F.sum("copies").alias("n")).where("n > 1").select("component_id")
+    members = cut(members.join(crowded, "component_id", "left_semi"))
+    ids = keyed.select("key", "doc_id").join(common.small(members.select("key")), "key", "left_semi").distinct()
+    first = members.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))["key"].alias("key"))
+    members = cut(members.join(first.select("key", F.lit(True).alias("first")), "key", "left").select("key", "copies", F.col("first").isNotNull().alias("first")))
+    out = keyed.join(common.small(cut(members.where("NOT first OR copies > 1").select("key"))), "key", "left_anti").select(*COLUMNS)
+    repeated = cut(members.where("first AND copies > 1").select("key"))
+    if repeated.isEmpty():
+        return out
+    one = keyed.join(common.small(repeated), "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return out.unionByName(one.select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +63,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    found = decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    dropped = common.small(common.cut(found.where("contaminated").select("doc_id").distinct()))
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that are not contaminated by the benchmark; rows are told apart by id and text."""
+    keyed = docs.select(*COLUMNS, _row_key().alias("key"))
+    found = decontam.decontaminate(keyed.select(F.col("key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    dropped = common.small(cut(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct()))
+    return keyed.join(dropped, "key", "left_anti").select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +90,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over all of documents; what each stage kept is computed once."""
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

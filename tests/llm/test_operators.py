@@ -362,3 +362,21 @@ def test_pipeline(spark):
     assert last.count() == len(ids[4])
     run = corpus_pipeline.run(spark, sf)
     assert sorted(map(str, run.collect())) == sorted(map(str, last.collect()))
+
+
+def test_pipeline_repeated_ids(spark):
+    """Rows that share an id or have none: one row of each group stays, and no other row goes with it."""
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "abcd")
+    item = max((r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], schema)
+    left = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, frame(rows), sf).collect()), key=str)
+    rows = [(1, a), (1, a), (1, a), (2, a + " more"), (2, b), (None, b), (None, b), (None, c), (None, c), (None, c + " more"), (3, d), (4, None), (4, None), (5, "")]
+    got = left(corpus_pipeline.near_duplicates, rows)
+    lone = [r for r in got if r[1] not in (c, c + " more")]
+    assert lone == sorted([(1, a), (2, b), (3, d), (4, None), (4, None), (5, "")], key=str)
+    assert len(got) == len(lone) + 1 and got.count((None, c)) + got.count((None, c + " more")) == 1
+    rows = [(1, a), (1, item), (None, item), (None, b), (2, b), (2, b)]
+    assert left(corpus_pipeline.benchmark_free, rows) == sorted([(1, a), (None, b), (2, b), (2, b)], key=str)
