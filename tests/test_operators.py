@@ -131,6 +131,17 @@ def test_keep_first_of_similar(spark):
     assert got == [0, 2, 4]
 
 
+def test_keep_first_of_long_chain(spark):
+    n = 212  # more than 100 rounds
+    rows = spark.range(n).withColumnRenamed("id", "_id")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    held = lambda d: spark.createDataFrame(d.toArrow())
+    with pytest.raises(RuntimeError):
+        curation.keep_first_of_similar(rows, pairs, held, max_rounds=3)
+    got = sorted(r[0] for r in curation.keep_first_of_similar(rows, pairs, held).collect())
+    assert got == list(range(0, n, 2))
+
+
 def test_gate(spark):
     rows = [("What is the mean?", "short_answer", None), ("", "short_answer", None), ("Fill ____ in", "short_answer", None), ("Use Table 1.9 to find it.", "short_answer", None), ("See the figure below and explain.", "short_answer", None), ("Pick\nA. one\nB. one", "mcq", "A"), ("Pick\nA. one\nB. two", "mcq", "C"), ("It is the sum of", "short_answer", None), ("Is (x closed?", "short_answer", None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_id int, question_text string, question_type string, correct_answer string")

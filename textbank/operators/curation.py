@@ -71,22 +71,27 @@ def dedup_by_prefix(questions: DataFrame, n: int = 80, order: str = "_id") -> Da
     return keyed.withColumn("n_", F.row_number().over(Window.partitionBy("key_").orderBy(order))).where("n_ = 1").drop("key_", "n_")
 
 
-def keep_first_of_similar(rows: DataFrame, pairs: DataFrame, cut, max_rounds: int = 100) -> DataFrame:  # noqa: ANN001
+def keep_first_of_similar(rows: DataFrame, pairs: DataFrame, cut, max_rounds: int | None = None) -> DataFrame:  # noqa: ANN001
     """rows (_id) without those similar to an earlier row that is kept itself; pairs (a, b) with a < b are similar.
 
     Row by row this is a loop; here each round keeps rows without an undecided
     earlier neighbour and drops their neighbours, which gives the same rows. cut
-    materialises a frame between rounds.
+    materialises a frame between rounds. Rounds go on until no pair is open; a
+    chain needs one for two of its rows. If max_rounds is given and pairs are
+    still open after it, an error is raised.
     """
     edges = cut(pairs.select("a", "b").distinct())
-    dropped = None
-    for _ in range(max_rounds):
+    dropped, rounds = None, 0
+    while not edges.isEmpty():
+        if rounds == max_rounds:
+            raise RuntimeError(f"similar pairs are still open after {rounds} rounds")
+        rounds += 1
         waiting = edges.select(F.col("b").alias("_id")).distinct()
         # Heads: earlier ends of open pairs that wait for nothing.
         heads = edges.select(F.col("a").alias("_id")).distinct().join(waiting, "_id", "left_anti")
         gone = cut(edges.join(heads.withColumnRenamed("_id", "a"), "a", "left_semi").select(F.col("b").alias("_id")).distinct())
-        if gone.isEmpty():
-            break
+        if gone.isEmpty():  # the least end of all pairs is a head, unless a pair is not in order
+            raise ValueError("similar pairs must have a < b")
         dropped = gone if dropped is None else cut(dropped.unionByName(gone))
         edges = cut(edges.join(gone.withColumnRenamed("_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("_id", "b"), "b", "left_anti").join(heads.withColumnRenamed("_id", "a"), "a", "left_anti"))
     return rows if dropped is None else rows.join(dropped, "_id", "left_anti")
