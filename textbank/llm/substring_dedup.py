@@ -5,7 +5,8 @@ modulo PERIOD is in COVER. Two equal windows of 50 words, wherever they start,
 both have such a run at one and the same offset: every difference modulo PERIOD
 is one of two members of COVER. So a window can only repeat if one of its
 anchors does, and only windows around repeated anchors are extended to all 50
-words, hashed on 128 bits and traced to the first document that has them.
+words and traced to the first document that has them. Equal windows and equal
+texts are told by two independent 64-bit hashes of every word and of their order.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ WINDOW = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Words in an anchor. A window has PERIOD anchor places in a row.
 ANCHOR = WINDOW - PERIOD + 1
+#: Seed of the second hash of words, windows and texts.
 _SECOND = 0x5851F42D4C957F2D
 
 
 def _anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Anchors of each text that has a window, and one row (place -1) for its whole sequence of words."""
+    """Anchors of each text that has a window, and one row for its whole sequence of words, whose place is negative: a second hash of it."""
     words = Words(batch.column(1), WHITESPACE)
     doc_id = batch.column(0).to_numpy(zero_copy_only=False)
     at = words.run_starts(ANCHOR)
@@ -38,7 +40,8 @@ def _anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
     long = np.flatnonzero(words.counts >= WINDOW)
     h = np.concatenate([words.runs(ANCHOR, at), words.sequence_hashes()[long]]).view(np.int64)
     doc = np.concatenate([words.doc[at], long])
-    place = np.concatenate([place, np.full(len(long), -1)]).astype(np.int32)
+    second = words.sequence_hashes(_SECOND)[long].view(np.int64)
+    place = np.concatenate([place, second | np.int64(-(1 << 63))])
     return pa.record_batch([pa.array(h), pa.array(doc_id[doc].astype(np.int64)), pa.array(place)], names=["h", "doc_id", "place"])
 
 
@@ -105,18 +108,17 @@ def substring_dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     A word goes if a window over it also starts in a document of smaller doc_id.
     Null and empty texts, texts of fewer than 50 words and rows without an id
     lose nothing, and such rows are no source. Rows that share an id never cost
-    each other words. Columns named in carry go along, other columns are ignored. Texts of one sequence of words
-    are told by a 64-bit hash of it, single windows by 128 bits.
+    each other words. Columns named in carry go along, other columns are ignored.
     """
     more = [docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     sound = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
-    anchors = map_texts(sound, _anchors, "h long, doc_id long, place int")
-    repeated = cut(anchors.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("h", "first_doc"))
-    hits = anchors.join(repeated, "h")
+    anchors = map_texts(sound, _anchors, "h long, doc_id long, place long").withColumn("kind", F.least("place", F.lit(0)))
+    repeated = cut(anchors.groupBy("h", "kind").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("h", "kind", "first_doc"))
+    hits = anchors.join(repeated, ["h", "kind"])
     copied = (F.col("place") < 0) & (F.col("first_doc") < F.col("doc_id"))
-    suspects = cut(hits.groupBy("doc_id").agg(F.collect_set(F.when(copied, F.col("h"))).alias("copies"), F.collect_set(F.when(F.col("place") >= 0, F.col("place"))).alias("places")))
+    suspects = cut(hits.groupBy("doc_id").agg(F.collect_set(F.when(copied, F.col("h"))).alias("copies"), F.collect_set(F.when(F.col("place") >= 0, F.col("place").cast("int"))).alias("places")))
 
     # A copy loses all its words, and what it has, the first of its kind has too.
     near = sound.join(suspects.where(F.size("places") > 0), "doc_id").select("doc_id", "text", "places", "copies")

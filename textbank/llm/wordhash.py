@@ -1,36 +1,27 @@
 """Words of a batch of texts as numpy arrays, without a Python loop over words.
 
 A batch's texts lie in one UTF-8 buffer. Words are the runs of bytes outside a
-separator set; each gets a 64-bit polynomial hash of its bytes, read off a
-running sum, and each run of k words a 64-bit hash of its word hashes, read off
-another. Equal words and runs have equal hashes everywhere, in any process.
+separator set; each gets a 64-bit hash of its bytes, taken eight at a time. A run
+of k words gets one by doubling: hashes of two neighbouring runs are combined to
+that of the longer one. Every step scrambles, so no arrangement of few different
+bytes or words cancels out, as it does in sums of powers modulo 2**64. Another
+seed gives another hash of words and runs, and both together 128 bits. Equal
+words and runs have equal hashes everywhere, in any process.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 #: Bytes that end a word: space and \x09-\x0D.
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
-
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xC2B2AE3D27D4EB4F
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least; kept per process."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length()) if n > 1 else 1 << 16
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _powers[base] = (out[0], out[1])
-    return have[0][:n], have[1][:n]
+#: A word of more bytes is hashed by itself.
+LONG_WORD = 256
+_EIGHT = np.uint64(0xFFFFFFFFFFFFFFFF)
+_LEFT = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,12 +33,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of what a stands for, followed by what b stands for."""
+    return mix(a * _LEFT + b)
+
+
+def fold(h: np.ndarray, first: np.ndarray, seed: int = 0) -> np.ndarray:
+    """One hash for each group h[first[i]:first[i + 1]], of its members in order and their number."""
+    counts = np.diff(first)
+    out = mix(counts.astype(np.uint64) ^ np.uint64(seed))
+    filled = np.flatnonzero(counts)
+    h = mix(h ^ np.uint64(seed))
+    group = np.repeat(np.arange(len(filled)), counts[filled])
+    left = counts[filled]
+    while len(h) > len(filled):
+        # Neighbours join in pairs; the last of an odd number waits for the next round.
+        begin = np.cumsum(left) - left
+        place = np.arange(len(h)) - begin[group]
+        heads = np.flatnonzero(place % 2 == 0)
+        paired = place[heads] + 1 < left[group[heads]]
+        new = h[heads]
+        new[paired] = join(new[paired], h[heads[paired] + 1])
+        h, group, left = new, group[heads], (left + 1) // 2
+    out[filled] = join(out[filled], h)
+    return out
+
+
 class Words:
     """Words of a batch of documents.
 
     doc: document index of each word; first: index of each document's first
-    word, with the total at the end; hashes: uint64 per word; start, end: byte
-    range of each word in data; is_word: per byte of data.
+    word, with the total at the end; start, end: byte range of each word in data;
+    is_word: per byte of data; hashes: uint64 per word.
     """
 
     def __init__(self, texts: pa.Array, separators: bytes = WHITESPACE, lower: bool = False):
@@ -79,11 +96,33 @@ class Words:
         self.first = np.searchsorted(self.start, at)
         self.doc = np.repeat(np.arange(n), np.diff(self.first))
         self.counts = np.diff(self.first)
-        power, inverse = _power_tables(_BYTE_BASE, len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-        self.hashes = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
-        self._sums: np.ndarray | None = None
+        self._levels: dict[tuple[int, int], np.ndarray] = {}
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.word_hashes()
+
+    def word_hashes(self, seed: int = 0) -> np.ndarray:
+        """uint64 hash of each word's bytes."""
+        have = self._levels.get((seed, 1))
+        if have is not None:
+            return have
+        length = self.end - self.start
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data), "<u8", padded, strides=(1,))
+        h = mix(length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 ^ seed))
+        at = np.arange(len(length))
+        for k in range(0, LONG_WORD, 8):
+            at = at[length[at] > k]
+            if not len(at):
+                break
+            short = np.minimum(length[at] - k, 8).astype(np.uint64)
+            h[at] = join(h[at], eight[self.start[at] + k] & (_EIGHT >> (np.uint64(64) - short * np.uint64(8))))
+        for i in np.flatnonzero(length > LONG_WORD).tolist():
+            digest = hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little"))
+            h[i] = int.from_bytes(digest.digest(), "little")
+        self._levels[seed, 1] = h
+        return h
 
     def codes(self) -> np.ndarray:
         """A number per word that is equal for equal words of the batch, by their bytes and not by their hash."""
@@ -91,20 +130,23 @@ class Words:
         table: dict[bytes, int] = {}
         return np.fromiter((table.setdefault(blob[a:b], len(table)) for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)), dtype=np.int64, count=len(self.start))
 
+    def _doubled(self, k: int, seed: int) -> np.ndarray:
+        """Hashes of the k words from every index that has as many after it in the batch; k is a power of two."""
+        if (seed, k) not in self._levels:
+            half = self._doubled(k // 2, seed) if k > 2 else self.word_hashes(seed)
+            self._levels[seed, k] = join(half[: max(0, len(half) - k // 2)], half[k // 2 :])
+        return self._levels[seed, k]
+
     def runs(self, k: int, at: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
         """uint64 hash of the k words from each index in `at` (default: from every index that has k words after it in the batch)."""
-        n = len(self.hashes)
-        power, inverse = _power_tables(_WORD_BASE, n + 1)
-        if seed:
-            sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(mix(self.hashes ^ np.uint64(seed)) * power[:-1], out=sums[1:])
-        else:
-            if self._sums is None:
-                self._sums = np.zeros(n + 1, dtype=np.uint64)
-                np.cumsum(self.hashes * power[:-1], out=self._sums[1:])
-            sums = self._sums
-        at = np.arange(max(0, n - k + 1)) if at is None else at
-        return mix((sums[at + k] - sums[at]) * inverse[at])
+        at = np.arange(max(0, len(self.start) - k + 1)) if at is None else at
+        out, place = None, 0
+        for bit in range(k.bit_length() - 1, -1, -1):
+            if k >> bit & 1:
+                part = (self._doubled(1 << bit, seed) if bit else self.word_hashes(seed))[at + place]
+                out = part if out is None else join(out, part)
+                place += 1 << bit
+        return out
 
     def run_starts(self, k: int) -> np.ndarray:
         """Indices from which k words of one document follow."""
@@ -113,9 +155,4 @@ class Words:
 
     def sequence_hashes(self, seed: int = 0) -> np.ndarray:
         """uint64 per document, of its whole sequence of words."""
-        n = len(self.hashes)
-        power, inverse = _power_tables(_WORD_BASE, n + 1)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mix(self.hashes ^ np.uint64(seed)) * power[:-1], out=sums[1:])
-        a, b = self.first[:-1], self.first[1:]
-        return mix((sums[b] - sums[a]) * inverse[a] + self.counts.astype(np.uint64))
+        return fold(self.word_hashes(seed), self.first, seed)
