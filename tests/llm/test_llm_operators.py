@@ -117,20 +117,72 @@ def test_token_counts():
     rng = random.Random(3)
     r = bpe.load(RANKS)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=r.rank, special_tokens={})
-    coder = bpe.Encoder(r, public_tokenizers.PATTERN)
-    for _ in range(300):
-        t = "".join(rng.choice("ab c  \n'sé1,.") for _ in range(rng.randrange(60)))
-        counted = token_counts.CountedText(t, coder)
-        for _ in range(4):
-            a, n, new = rng.randrange(len(t) + 1), rng.randrange(6), "".join(rng.choice("ab '\n1") for _ in range(rng.randrange(5)))
-            t = t[:a] + new + t[a + n :]
-            counted.edit(a, n, new)
-            assert counted.text() == t and counted.n_tokens == len(enc.encode_ordinary(t))
-    long = token_counts.CountedText("word " * 5000, coder)
+    count = token_counts.counter(RANKS, public_tokenizers.PATTERN)
+    for signs in ("ab c  \n'sé1,.", "  \n'lvre s", "a "):
+        for _ in range(150):
+            t = "".join(rng.choice(signs) for _ in range(rng.randrange(60)))
+            counted = token_counts.CountedText(t, count)
+            for _ in range(8):
+                a, n, new = rng.randrange(len(t) + 1), rng.randrange(6), "".join(rng.choice(signs) for _ in range(rng.randrange(9)))
+                t = t[:a] + new + t[a + n :]
+                counted.edit(a, n, new)
+                assert counted.text == t and counted.n_tokens == len(enc.encode_ordinary(t))
+    long = token_counts.CountedText("word " * 5000, count)
     long.edit(12_000, 3, "xyz")
     assert long.reencoded < 10
 
 
+def test_token_counts_of_a_hot_spot():
+    """Many edits of one place: each counts only what it touches, and no leaf gathers them all."""
+    r = bpe.load(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=r.rank, special_tokens={})
+    text = "word " * 1000
+    counted = token_counts.CountedText(text, token_counts.counter(RANKS, public_tokenizers.PATTERN))
+    for _ in range(500):
+        counted.edit(2000, 0, "x ")
+        text = text[:2000] + "x " + text[2000:]
+    assert counted.n_tokens == len(enc.encode_ordinary(text)) and counted.reencoded < 5000
+    assert max(map(len, counted.several.values())) <= token_counts.FULL
+
+
+def test_token_counts_of_rows(spark, docs, texts):
+    """The whole table under edits that fall on every kind of place, null edits among them, against the tokenizer library."""
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load(RANKS).rank, special_tokens={})
+    edits = [(0, 2, "So "), None, (5, None, "\n\n"), (None, 1, None), (10**6, 5, " end")]
+    rows = docs.join(spark.createDataFrame([(edits,)], f"edits {token_counts.EDIT}"))
+    got = by_id(token_counts.token_counts(rows, RANKS, public_tokenizers.PATTERN), "n_before", "n_tokens", "edited")
+    for i, t in enumerate(texts):
+        new = t or ""
+        for e in edits:
+            if e:
+                a, n, own = e[0] or 0, e[1] or 0, e[2] or ""
+                new = new[:a] + own + new[a + n :]
+        assert got[i] == (len(enc.encode_ordinary(t or "")), len(enc.encode_ordinary(new)), new), i
+
+
+def thue_morse(n, x, y):
+    out = [x]
+    while len(out) < n:
+        out += [y if v == x else x for v in out]
+    return out[:n]
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_that_cancel_in_sums_of_powers(spark, n):
+    """Words and sequences of words that sums of powers modulo 2**64 cannot tell apart are told apart."""
+    a, b = "".join(thue_morse(n, "a", "b")), "".join(thue_morse(n, "b", "a"))
+    more = " ".join(f"t{i}" for i in range(60))
+    rows = [(0, f"{a} x y z u"), (1, f"{b} x y z u"), (2, f"{a} {more}"), (3, f"{b} {more}"), (4, " ".join(thue_morse(n, "p", "q"))), (5, " ".join(thue_morse(n, "q", "p")))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = by_id(jaccard_join.jaccard_join(table), "component_id")
+    assert linked[0] == 0 and linked[1] == 1 and linked[2] == linked[3] == 2
+    removed = by_id(substring_dedup.substring_dedup(table), "n_removed")
+    assert removed[3] == 60 and removed[1] == 0
+    t4, t5 = rows[4][1].split(), rows[5][1].split()
+    known = {tuple(t4[k : k + 50]) for k in range(n - 49)}
+    assert removed[5] == len({k + j for k in range(n - 49) if tuple(t5[k : k + 50]) in known for j in range(50)})
+
+
 def test_jaccard(docs, texts):
     sets = []
     for t in texts:

@@ -297,8 +297,8 @@ class Encoder:
         ids, n = self.pieces.ids(self._pieces(found))
         return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[ends])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, end to end, and their number for each; a null text has none."""
+    def chunked(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[int]]:
+        """Chunks of all texts that may be cut before spaces, where each text's end, and the texts that must be matched whole."""
         chunks: list[str] = []
         ends = np.zeros(len(texts) + 1, np.int64)
         whole = []
@@ -308,6 +308,11 @@ class Encoder:
             elif text:
                 chunks += text.replace(" ", "\0 ").split("\0") if "\0" not in text else _BEFORE_SPACE(text)
             ends[i + 1] = len(chunks)
+        return chunks, ends, whole
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and their number for each; a null text has none."""
+        chunks, ends, whole = self.chunked(texts)
         fresh = list({c for c in chunks if c not in self.chunks.code})
         if len(fresh) + len(self.chunks.code) > KEPT_PIECES and self.chunks.code:
             self.chunks = Known()

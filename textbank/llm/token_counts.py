@@ -1,54 +1,110 @@
 """Edit-aware token counts.
 
-A document's pre-tokens are the leaves of a segment tree that sums characters
+A document's pre-tokens lie in the leaves of a segment tree that sums characters
 and tokens. An edit finds its place by descending the tree, matches the pattern
 anew from the last boundary that the edit cannot move to the first old boundary
-it meets again behind the edit, encodes only those pre-tokens, and updates the
-sums above them.
+it meets again behind the edit, counts the tokens of only those pre-tokens, and
+updates the sums above them. The pre-tokens of all texts of a slice are counted
+together before their trees are built.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textbank.llm.bpe import Encoder, encoder
+from textbank.llm.bpe import KEPT_PIECES, Encoder, Known, encoder, merge_one
 from textbank.llm.common import map_texts
 
 EDIT = "array<struct<start:int,length:int,replacement:string>>"
+#: Characters behind a match that may have decided it, so that it depends on no edit beyond them.
+AHEAD = 2
+#: Pre-tokens that a leaf holds on average before more leaves share them.
+FULL = 4
+
+
+class Counter:
+    """Lengths in characters and in tokens of the pre-tokens of texts, for whole slices at once."""
+
+    def __init__(self, coder: Encoder):
+        self.coder, self.known = coder, Known()
+
+    def _matched(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of lengths, end to end, and how many numbers each text has there."""
+        found: list[str] = []
+        ends = [0]
+        for text in texts:
+            found += self.coder.find(text)
+            ends.append(len(found))
+        pairs = np.empty((len(found), 2), np.int32)
+        pairs[:, 0] = np.fromiter(map(len, found), np.int32, len(found))
+        pairs[:, 1] = self.coder.piece_counts(found)
+        return pairs.reshape(-1), 2 * np.diff(ends)
+
+    def sizes(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text an array of (characters, tokens) of its pre-tokens."""
+        chunks, ends, whole = self.coder.chunked(texts)
+        fresh = list({c for c in chunks if c not in self.known.code})
+        if len(fresh) + len(self.known.code) > KEPT_PIECES and self.known.code:
+            self.known = Known()
+            fresh = list(set(chunks))
+        self.known.add(fresh, *self._matched(fresh))
+        code = self.known.code
+        pairs, n = self.known.ids(np.array([code[c] for c in chunks], dtype=np.int64))
+        at = np.concatenate([[0], np.cumsum(n)])[ends]
+        out = [pairs[a:b].reshape(-1, 2) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        if whole:
+            pairs, n = self._matched([texts[i] for i in whole])
+            end = np.cumsum(n).tolist()
+            for i, a, b in zip(whole, [0, *end], end, strict=False):
+                out[i] = pairs[a:b].reshape(-1, 2)
+        return out
+
+    def tokens(self, piece: str) -> int:
+        """Number of ids of one pre-token."""
+        code = self.coder.pieces.code.get(piece)
+        if code is not None:
+            return int(self.coder.pieces.count[code])
+        raw = piece.encode()
+        return 1 if raw in self.coder.ranks.rank else len(merge_one(self.coder.ranks, raw))
+
+
+@lru_cache(maxsize=4)
+def counter(path: str, pattern: str) -> Counter:
+    return Counter(encoder(path, pattern))
 
 
 class CountedText:
     """A text with its token count, kept up to date under edits."""
 
-    def __init__(self, text: str, coder: Encoder):
-        self.coder = coder
-        found = coder.find(text)
-        #: Pre-tokens of each leaf; an edit puts all of its own in one leaf and empties the others it replaces.
-        self.leaves: list[list[str]] = [[p] for p in found]
-        self.width = 1 << max(0, len(found) - 1).bit_length() if found else 1
-        self.reencoded = 0
-        sums = np.zeros((2, 2 * self.width), np.int64)
-        if found:
-            sums[0, self.width : self.width + len(found)] = np.fromiter(map(len, found), np.int64, len(found))
-            sums[1, self.width : self.width + len(found)] = coder.piece_counts(found)
+    def __init__(self, text: str, count: Counter, sizes: np.ndarray | None = None):
+        self.text, self.count, self.reencoded = text, count, 0
+        self._build(count.sizes([text])[0] if sizes is None else sizes)
+
+    def _build(self, sizes: np.ndarray) -> None:
+        """The tree over pre-tokens of these sizes, one a leaf."""
+        n = len(sizes)
+        self.width = 1 << max(0, n - 1).bit_length()
+        #: (characters, tokens) of the pre-tokens of leaves that hold several.
+        self.several: dict[int, list[tuple[int, int]]] = {}
+        sums = np.zeros((2 * self.width, 2), np.int64)
+        sums[self.width : self.width + n] = sizes
         k = self.width // 2
         while k:
-            sums[:, k : 2 * k] = sums[:, 2 * k : 4 * k : 2] + sums[:, 2 * k + 1 : 4 * k : 2]
+            np.add(sums[2 * k : 4 * k : 2], sums[2 * k + 1 : 4 * k : 2], out=sums[k : 2 * k])
             k //= 2
-        self.chars, self.tokens = sums[0].tolist(), sums[1].tolist()
+        self.chars, self.tokens = sums[:, 0].tolist(), sums[:, 1].tolist()
 
     @property
     def n_tokens(self) -> int:
         return self.tokens[1]
 
-    def text(self) -> str:
-        return "".join(p for leaf in self.leaves for p in leaf)
-
     def _leaf(self, at: int) -> tuple[int, int]:
-        """The leaf that holds the character at `at`, or the last, and the character it starts with."""
+        """The leaf that holds the character at `at`, or the last with any, and the character it starts with."""
         k, before = 1, 0
         while k < self.width:
             k *= 2
@@ -57,71 +113,80 @@ class CountedText:
                 k += 1
         return k - self.width, before
 
-    def _put(self, leaf: int, pieces: list[str], tokens: int) -> None:
-        self.leaves[leaf] = pieces
-        k = self.width + leaf
-        chars = sum(map(len, pieces)) - self.chars[k]
-        tokens -= self.tokens[k]
-        while k:
-            self.chars[k] += chars
-            self.tokens[k] += tokens
-            k //= 2
+    def _held(self, first: int, end: int) -> list[tuple[int, int]]:
+        """(characters, tokens) of the pre-tokens of these leaves, in order."""
+        out: list[tuple[int, int]] = []
+        for leaf in range(first, end):
+            if leaf in self.several:
+                out += self.several[leaf]
+            elif self.chars[self.width + leaf]:
+                out.append((self.chars[self.width + leaf], self.tokens[self.width + leaf]))
+        return out
+
+    def _put(self, first: int, end: int, sizes: list[tuple[int, int]]) -> None:
+        """Gives these leaves the pre-tokens; if they are too many, leaves around share them, and beyond that the tree grows."""
+        while len(sizes) > FULL * (end - first):
+            if end - first == self.width:
+                self._build(np.array(sizes, np.int64))
+                return
+            block = 2
+            while first // block * block + block < end or block <= end - first:
+                block *= 2
+            lower = first // block * block
+            sizes = [*self._held(lower, first), *sizes, *self._held(end, lower + block)]
+            first, end = lower, lower + block
+        share = -(-len(sizes) // (end - first))
+        for i, leaf in enumerate(range(first, end)):
+            own = sizes[i * share : (i + 1) * share]
+            self.several.pop(leaf, None)
+            if len(own) > 1:
+                self.several[leaf] = own
+            self.chars[self.width + leaf] = sum(c for c, _ in own)
+            self.tokens[self.width + leaf] = sum(t for _, t in own)
+        a, b = (self.width + first) // 2, (self.width + end - 1) // 2
+        while a:
+            for k in range(a, b + 1):
+                self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
+                self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+            a, b = a // 2, b // 2
 
     def edit(self, start: int, length: int, replacement: str) -> None:
         """Replaces `length` characters from `start`, both cut to the text."""
         total = self.chars[1]
         start = min(max(start, 0), total)
         length = min(max(length, 0), total - start)
-        if not self.leaves:
-            self.leaves, self.width = [[]], 1
-        # A match that ends two characters or more before the edit saw nothing of it.
-        first, begin = self._leaf(max(start - 2, 0))
-        last, _ = self._leaf(start + length)
-        old = [p for leaf in self.leaves[first : last + 1] for p in leaf]
-        own = "".join(old)
-        cut = start - begin
-        tail = start + length
-        new = own[:cut] + replacement + own[cut + length :]
-        shift = len(replacement) - length
-        #: Old boundaries behind the edit, in the new text's places; matching may stop at one.
-        boundaries = set()
-        place = begin
-        for p in old:
-            place += len(p)
-            if place >= tail:
-                boundaries.add(place - begin + shift)
-        done: list[str] = []
+        # A match that ends AHEAD characters or more before the edit saw nothing of it.
+        first, begin = self._leaf(max(start - AHEAD, 0))
+        last, stop = self._leaf(start + length)
+        end, stop = last + 1, stop + self.chars[self.width + last]
+        old = self._held(first, end)
+        tail, shift = start + length, len(replacement) - length
+        self.text = self.text[:start] + replacement + self.text[tail:]
+        more = 1
         while True:
-            done, used, settled = [], 0, False
-            for p in self.coder.find(new):
-                done.append(p)
-                used += len(p)
-                # The last match of the window may go on behind it.
-                if used in boundaries and used > cut + len(replacement) and used < len(new):
-                    settled = True
+            window = self.text[begin : stop + shift]
+            # Old boundaries behind the edit, in the window's places; matching may stop at one.
+            places = np.cumsum([c for c, _ in old]) + begin
+            boundaries = {p - begin + shift: i + 1 for i, p in enumerate(places.tolist()) if p >= tail}
+            done: list[tuple[int, int]] = []
+            used, rest = 0, None
+            for piece in self.count.coder.find(window):
+                done.append((len(piece), self.count.tokens(piece)))
+                used += len(piece)
+                # What the window's end may have decided is not settled.
+                if used in boundaries and used + AHEAD <= len(window):
+                    rest = old[boundaries[used] :]
                     break
-            if settled or last + 1 >= len(self.leaves):
+            if rest is not None or stop >= total:
                 break
-            last += 1
-            more = self.leaves[last]
-            for p in more:
-                new += p
-                boundaries.add(len(new))
-        rest: list[str] = []
-        if settled:
-            place = begin
-            for leaf in self.leaves[first : last + 1]:
-                for p in leaf:
-                    if place - begin + shift >= used and place >= tail:
-                        rest.append(p)
-                    place += len(p)
+            while more and end < self.width:
+                stop += self.chars[self.width + end]
+                old += self._held(end, end + 1)
+                end += 1
+                more -= 1
+            more = end - first
         self.reencoded += len(done)
-        pieces = done + rest
-        tokens = int(self.coder.piece_counts(pieces).sum()) if pieces else 0
-        for leaf in range(first + 1, min(last + 1, len(self.leaves))):
-            if self.leaves[leaf]:
-                self._put(leaf, [], 0)
-        self._put(first, pieces, tokens)
+        self._put(first, end, done + (rest or []))
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -129,23 +194,28 @@ def token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     edits is an array of (start, length, replacement) in characters, applied in
     order, each to the text that the ones before it left; null means none, and a
-    null field counts as 0 or the empty string. n_before and n_tokens count tokens
-    before and after, n_pieces the pre-tokens of the whole text and n_reencoded
-    those encoded again; edited is the text after the edits. A null text is empty.
+    null edit or field counts as 0 or the empty string. n_before and n_tokens count
+    tokens before and after, n_pieces the pre-tokens of the text before and
+    n_reencoded those matched again; edited is the text after the edits. A null
+    text is empty. Repeated rows give repeated rows, other columns are ignored.
+    The pattern must match every character and decide a match by at most AHEAD
+    characters behind it.
     """
 
     def piece(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = encoder(path, pattern)
+        count = counter(path, pattern)
+        texts = [t or "" for t in batch.column(1).to_pylist()]
         before, after, pieces, again, edited = [], [], [], [], []
-        for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            counted = CountedText(text or "", coder)
+        for text, edits, sizes in zip(texts, batch.column(2).to_pylist(), count.sizes(texts), strict=True):
+            counted = CountedText(text, count, sizes)
             before.append(counted.n_tokens)
-            pieces.append(len(counted.leaves))
+            pieces.append(len(sizes))
             for e in edits or ():
-                counted.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "")
+                if e:
+                    counted.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "")
             after.append(counted.n_tokens)
             again.append(counted.reencoded)
-            edited.append(counted.text())
+            edited.append(counted.text)
         long = pa.int64()
         return pa.record_batch([batch.column(0), pa.array(before, long), pa.array(after, long), pa.array(pieces, long), pa.array(again, long), pa.array(edited, pa.string())], names=["doc_id", "n_before", "n_tokens", "n_pieces", "n_reencoded", "edited"])
 
