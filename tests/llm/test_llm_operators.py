@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on rows that are odd in every way."""
 
 import hashlib
+import pathlib
 import random
 import zlib
 
@@ -297,10 +298,124 @@ def test_cover():
     assert differences == set(range(substring_dedup.PERIOD))
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC = """Copyright (c) 2020, A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
+SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES.
+"""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+APACHE = """# Copyright 2020 A. Person
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} {2}.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY.
+"""
+LATER = "either version {} of the License, or\n(at your option) any later version"
+
+
 def test_licenses(spark):
-    texts = ["Released under the MIT License.\nfoo", "A. Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.", "All rights reserved. Licensed under CC BY-NC 4.0.", "nothing", None, ""]
-    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "licenses", "n_matches")
-    assert [got[i] for i in range(6)] == [(["MIT"], 1), (["Apache-2.0"], 1), (["CC-BY-NC-4.0", "LicenseRef-All-Rights-Reserved"], 2), ([], 0), ([], 0), ([], 0)]
+    want = {
+        "Released under the MIT License.\nfoo": ["MIT"],
+        "Released under the MIT License\nfoo and more": ["MIT"],
+        "A. Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.": ["Apache-2.0"],
+        "All rights reserved. Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0", "LicenseRef-All-Rights-Reserved"],
+        "All rights " + "- " * 600 + "reserved.": ["LicenseRef-All-Rights-Reserved"],
+        MIT: ["MIT"],
+        ISC: ["ISC"],
+        BSD3: ["BSD-3-Clause"],
+        BSD3[: BSD3.index("3. ")] + BSD3[BSD3.index("THIS SOFT") :]: ["BSD-2-Clause"],
+        APACHE: ["Apache-2.0"],
+        MPL: ["MPL-2.0"],
+        GPL.format(":", ",", LATER.format(3)): ["GPL-3.0-or-later"],
+        GPL.format(";", ";", LATER.format(2)): ["GPL-2.0-or-later"],
+        GPL.format(":", ",", "version 3"): ["GPL-3.0-only"],
+        GPL.format(";", ";", "version 2 of the License"): ["GPL-2.0-only"],
+        GPL.replace("General", "Lesser General").format(";", ";", LATER.format("2.1")): ["LGPL-2.1-or-later"],
+        GPL.replace("General", "Affero General").format(":", ",", LATER.format(3)): ["AGPL-3.0-or-later"],
+        "A licence is a permission to use a work. It is granted by its owner.\n\nMIT is a university.": [],
+        "": [],
+    }
+    texts = [*want, None, *("\n\n".join(" ".join(x.split()) for x in t.split("\n\n")) for t in want), *(f"Some words first.\n\n{t}\n\nAnd some after." for t in want)]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "licenses")
+    n = len(want)
+    for i, (t, names) in enumerate(want.items()):
+        assert got[i] == names and got[n + 1 + n + i] == names, t[:60]
+        # Each paragraph on one line.
+        assert got[n + 1 + i] == names or "foo" in t or "#" in t, t[:60]
+    assert got[n] == []
+
+
+@pytest.mark.parametrize(("file", "name"), [("Apache-2.0", "Apache-2.0"), ("BSD", "BSD-3-Clause"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-3", "LGPL-3.0-only"), ("MPL-2.0", "MPL-2.0")])
+def test_full_license_texts(spark, file, name):
+    path = pathlib.Path("/usr/share/common-licenses", file)
+    if not path.exists():
+        pytest.skip("no licence texts on this machine")
+    text = path.read_text()
+    found = licenses.scan(spark.createDataFrame([(1, text), (2, "\n".join(x.strip() for x in text.split("\n")))], "doc_id long, text string"))
+    assert {tuple(x) for x in by_id(found.withColumn("licenses", F.array_remove("licenses", "LicenseRef-All-Rights-Reserved")), "licenses").values()} == {(name,)}
 
 
 SF = "/root/testdata/sf0.1"
