@@ -253,22 +253,20 @@ def test_components(spark):
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
 
 
-def test_decontamination(spark, docs, texts):
-    items = [(0, texts[8][:400]), (1, texts[30]), (2, "w1 w2"), (3, None), (4, "Lorem"), (5, "lorem lorem lorem"), (6, "zz yy xx"), (7, texts[31])]
+def split_item(t):
+    out, word = [], ""
+    for ch in lower(t):
+        if ch.isascii() and not ("0" <= ch <= "9" or "a" <= ch <= "z"):
+            out, word = ([*out, word] if word else out), ""
+        else:
+            word += ch
+    return [*out, word] if word else out
 
-    def split(t):
-        out, word = [], ""
-        for ch in lower(t):
-            if ch.isascii() and not ("0" <= ch <= "9" or "a" <= ch <= "z"):
-                out, word = ([*out, word] if word else out), ""
-            else:
-                word += ch
-        return [*out, word] if word else out
-
-    wins = {i: {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))} for i, t in items if (w := split(t))}
-    got = by_id(decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")), "n_words", "n_hit", "item_ids", "contaminated")
-    for i, t in enumerate(texts):
-        w = split(t)
+
+def contamination(texts, items):
+    wins = {i: {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))} for i, t in items if (w := split_item(t))}
+    for t in texts:
+        w = split_item(t)
         hit, ids = set(), set()
         for item, own in wins.items():
             for k in {len(x) for x in own}:
@@ -276,7 +274,32 @@ def test_decontamination(spark, docs, texts):
                     if tuple(w[s : s + k]) in own:
                         hit |= set(range(s, s + k))
                         ids.add(str(item))
-        assert got[i] == (len(w), len(hit), sorted(ids), len(hit) > 0 and 20 * len(hit) >= len(w)), i
+        yield len(w), len(hit), sorted(ids), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+def test_decontamination(spark, docs, texts):
+    items = [(0, texts[8][:400]), (1, texts[30]), (2, "w1 w2"), (3, None), (4, "Lorem"), (5, "lorem lorem lorem"), (6, "zz yy xx"), (7, texts[31])]
+    columns = ("n_words", "n_hit", "item_ids", "contaminated")
+    for own in (items, items[:2], items[2:5], [(3, None)]):
+        got = by_id(decontam.decontaminate(docs, spark.createDataFrame(own, "item_id long, text string")), *columns)
+        assert got == dict(enumerate(contamination(texts, own)))
+
+
+def test_decontamination_of_repetitive_texts(spark):
+    """A long text that says one thing over and over, and many items that share its windows."""
+    words = [f"r{i % 16}" for i in range(5000)]
+    items = [(i, " ".join([*words[i % 16 : i % 16 + 20], f"own{i}"])) for i in range(300)]
+    rows = [" ".join(words), " ".join(words[:400]) + " none of it", "none"]
+    got = by_id(decontam.decontaminate(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")), "n_words", "n_hit", "item_ids", "contaminated")
+    assert got == {0: (5000, 5000, sorted(str(i) for i in range(300)), True), 1: (403, 400, sorted(str(i) for i in range(300)), True), 2: (1, 0, [], False)}
+
+
+def test_decontamination_tells_rows_apart(spark):
+    """Rows of one id, or of none, with different texts; repeated rows; items of one id."""
+    item = " ".join(f"q{i}" for i in range(15))
+    rows = [(1, item), (1, "other words"), (1, item), (None, item), (None, "x"), (None, None)]
+    found = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, item), (9, item)], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["item_ids"]) for r in found) == [("1", 2, 0, []), ("1", 15, 15, ["9"]), ("1", 15, 15, ["9"]), ("None", 0, 0, []), ("None", 1, 0, []), ("None", 15, 15, ["9"])]
 
 
 def test_substrings(docs, texts):

@@ -2,10 +2,11 @@
 
 A window of an item is contained in a document only if its rarest shingle of
 three words is, so that shingle is the whole necessary prefix under an order by
-rarity. Shingles of documents are joined with these prefixes alone; a match
-fixes where the window would lie, which the document's length must allow, and
-the words there are compared with the window one by one, so equal hashes of
-different shingles do no harm. Only DataFrame functions are used.
+rarity. Texts are read once for the places of the windows' shingles; of these,
+only prefixes are joined. A match fixes where the window would lie, which the
+document's length must allow, and the words there are compared with the windows,
+so equal hashes of different shingles do no harm. Only DataFrame functions are
+used.
 """
 
 from __future__ import annotations
@@ -49,7 +50,30 @@ def windows(items: DataFrame) -> DataFrame:
 def shingles(w: Column, k: int) -> Column:
     """Array of (at, token): the hash of the k words from each place of w."""
     places = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: i + k <= F.size(w))
-    return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *[F.get(w, i + j) for j in range(k)]).alias("token")))
+    return F.transform(places, lambda i: F.struct(i.alias("at"), _token([F.get(w, i + j) for j in range(k)]).alias("token")))
+
+
+def _token(row: list[Column]) -> Column:
+    return F.xxhash64(F.lit(len(row)), *row)
+
+
+def _marks(docs: DataFrame, wanted: DataFrame, kinds: list[int]) -> DataFrame:
+    """Places of wanted shingles: doc_id, version, n (words), at, token, and one row more for each row of docs (lead).
+
+    docs has doc_id, version and the words w, which are read once; kinds are the lengths of shingles.
+    """
+    w = F.col("w")
+    columns = [w if j == 0 else F.slice(w, j + 1, F.size(w)) for j in range(max(kinds))]
+    row = docs.select("doc_id", "version", F.size("w").alias("n"), F.posexplode_outer(F.arrays_zip(*columns)).alias("at", "x"))
+    first = F.coalesce("at", F.lit(0)) == 0
+    word = [F.col("x").getField(f) for f in row.schema["x"].dataType.names]
+    tokens = [F.when(word[k - 1].isNotNull(), _token(word[:k])) for k in kinds]
+    if len(kinds) == 1:
+        row = row.select("doc_id", "version", "n", "at", tokens[0].alias("token"), first.alias("lead"))
+    else:
+        own = F.array(*[F.struct(t.alias("token"), (first & F.lit(i == 0)).alias("lead")) for i, t in enumerate(tokens)])
+        row = row.select("doc_id", "version", "n", "at", F.inline(own))
+    return row.join(wanted.withColumn("known", F.lit(True)), "token", "left").where("known OR lead")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -58,50 +82,66 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs has doc_id and text, items has item_id and text; other columns are
     ignored. Null and empty texts have no words: such a document gets zeros, such
     an item no window. Rows that share a doc_id are told apart by their text and
-    each gets its own row; items that share an id count once.
+    each gets its own row; items that share an id count once. Of a document only
+    places are gathered, never more than it has words for each length of window.
     """
     own = cut(windows(items))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), words(F.col("text")).alias("w"))
+    wins = cut(own.select("window").distinct().withColumn("window_id", F.monotonically_increasing_id()).withColumn("k", F.size("window")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
+    same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.version") == F.col(f"{y}.version"))
 
     # Windows of fewer than three words are one shingle of their own length.
-    kinds = [r[0] for r in own.select(F.least(F.size("window"), F.lit(SHINGLE))).distinct().collect()]
-    of_window = F.coalesce(*[F.when(F.least(F.size("window"), F.lit(SHINGLE)) == k, shingles(F.col("window"), k)) for k in kinds or [SHINGLE]])
-    of_doc = F.concat(*[shingles(F.col("w"), k) for k in kinds or [SHINGLE]])
-    placed = cut(own.select("item_id", "window", F.inline(of_window)))
+    kinds = sorted(r[0] for r in wins.select(F.least("k", F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
+    of_window = F.coalesce(*[F.when(F.least("k", F.lit(SHINGLE)) == k, shingles(F.col("window"), k)) for k in kinds])
+    placed = cut(wins.select("window_id", "k", F.inline(of_window)))
 
-    # How often each shingle of a window occurs in the documents; one that none has rules its windows out.
+    # Where each shingle of a window occurs in the documents, and how often; one that none has rules its windows out.
     wanted = small(cut(placed.select("token").distinct()))
-    counts = cut(docs.select(F.explode(F.transform(of_doc, lambda x: x["token"])).alias("token")).join(wanted, "token").groupBy("token").agg(F.count("*").alias("n")))
+    marks = cut(_marks(docs.select("doc_id", "version", words(F.col("text")).alias("w")), wanted, kinds))
+    counts = cut(marks.where("known").groupBy("token").agg(F.count("*").alias("n")))
     prefixes = (
         placed.join(counts, "token", "left")
-        .groupBy("item_id", "window")
-        .agg(F.min_by(F.struct("token", "at"), F.struct("n", "token", "at")).alias("rarest"), F.count("n").alias("known"), F.count("*").alias("all"))
-        .where("known = all")
-        .select("item_id", "window", "rarest.token", F.col("rarest.at").alias("offset"))
+        .groupBy("window_id", "k")
+        .agg(F.min_by(F.struct("token", "at"), F.struct("n", "token", "at")).alias("rarest"), F.count("n").alias("held"), F.count("*").alias("all"))
+        .where("held = all")
+        .select("k", "rarest.token", F.col("rarest.at").alias("offset"))
+        .distinct()
     )
-    prefixes = small(cut(prefixes), max_rows=50_000)
 
-    found = (
-        docs.select("doc_id", "version", F.size("w").alias("n"), F.inline(of_doc))
-        .join(prefixes, "token")
-        .withColumn("start", F.col("at") - F.col("offset"))
-        .where((F.col("start") >= 0) & (F.col("start") + F.size("window") <= F.col("n")))
+    # A prefix fixes where its window would start, which the document's length must allow.
+    start = F.col("at") - F.col("offset")
+    possible = marks.where("known").join(small(cut(prefixes)), "token").where((start >= 0) & (start + F.col("k") <= F.col("n")))
+    possible = cut(possible.groupBy("doc_id", "version", "k").agg(F.collect_set(start).alias("starts")))
+    keys = small(cut(possible.select("doc_id", "version").distinct()))
+    some = docs.alias("d").join(keys.alias("p"), same("d", "p"), "left_semi").distinct()
+    at = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice(F.col("w"), s + 1, F.col("k")).alias("window")))
+    some = some.alias("d").join(possible.alias("p"), same("d", "p")).select("d.doc_id", "d.version", "k", "starts", words(F.col("text")).alias("w"))
+    # The words there must be those of a window.
+    verified = cut(some.select("doc_id", "version", F.inline(at)).join(small(wins), "window").select("doc_id", "version", "start", "k", "window_id"))
+
+    spans = verified.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "k"))).alias("spans"))
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
+    end = lambda x: x["start"] + x["k"]
+    hit = F.aggregate(
+        "spans",
+        zero,
+        lambda a, x: F.struct(F.greatest(a["end"], end(x)).alias("end"), (a["hit"] + F.greatest(F.lit(0), end(x) - F.greatest(a["end"], x["start"]))).alias("hit")),
+        lambda a: a["hit"],
     )
-    found = cut(found.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "item_id", "window")).alias("found")))
-
-    w = F.col("w")
-    verified = F.filter(F.coalesce(F.col("found"), F.array()), lambda c: F.slice(w, c["start"] + 1, F.size(c["window"])) == c["window"])
-    hit = F.array_distinct(F.flatten(F.transform(F.col("v"), lambda c: F.sequence(c["start"], c["start"] + F.size(c["window"]) - 1))))
-    found = found.select(F.col("doc_id").alias("id_"), F.col("version").alias("version_"), "found")
+    spans = spans.select("doc_id", "version", hit.alias("n_hit"), F.array_distinct(F.transform("spans", lambda x: x["start"])).alias("hit_starts"))
+    holders = own.join(wins, "window").select("window_id", "item_id")
+    named = verified.select("doc_id", "version", "window_id").distinct().join(holders, "window_id").groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    found = spans.alias("s").join(named.alias("i"), same("s", "i")).select("s.doc_id", "s.version", "n_hit", "hit_starts", "item_ids")
     return (
-        docs.join(found, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("version") == F.col("version_")), "left")
-        .select("doc_id", F.size("w").cast("long").alias("n_words"), verified.alias("v"))
+        marks.where("lead")
+        .alias("m")
+        .join(found.alias("f"), same("m", "f"), "left")
         .select(
-            "doc_id",
-            "n_words",
-            F.size(hit).cast("long").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.transform("v", lambda c: c["item_id"]))).alias("item_ids"),
-            F.array_sort(F.array_distinct(F.transform("v", lambda c: c["start"]))).alias("hit_starts"),
+            "m.doc_id",
+            F.greatest("n", F.lit(0)).cast("long").alias("n_words"),
+            F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+            F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+            F.coalesce("hit_starts", F.array().cast("array<int>")).alias("hit_starts"),
         )
         .withColumn("contaminated", (F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words")))
     )
