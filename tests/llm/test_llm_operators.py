@@ -236,6 +236,50 @@ def test_jaccard_large_group(spark):
     assert got == groups
 
 
+def brute_components(sets):
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("changes", [12])
+def test_jaccard_without_a_hub(spark, changes, monkeypatch):
+    """Texts about one text, of which few or none are linked to a list's hub, in many sizes and small blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 3)
+    rng = random.Random(changes)
+    base = [f"b{i}" for i in range(120)]
+    made = []
+    for _ in range(60):
+        t = base[: rng.randrange(80, 121)]
+        at = rng.randrange(len(t))
+        for k in range(rng.randrange(changes)):
+            t[(at + k * rng.choice((1, 1, 7))) % len(t)] = f"c{rng.randrange(300)}"
+        made.append(t)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in made]
+    got = by_id(jaccard_join.jaccard_join(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(made)], "doc_id long, text string")), "component_id")
+    assert got == brute_components(sets) and len(set(got.values())) > 1
+
+
+def test_jaccard_of_odd_ids(spark):
+    """Rows of one id with different texts, rows without an id, repeated rows."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(5, a), (5, b), (5, a), (None, a), (None, b), (None, "c d e f g h"), (7, a), (7, a + " more"), (None, None), (8, "")]
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(5, 26, 5), (5, 26, 5), (5, 26, 5), (None, 26, 5), (None, 26, 5), (None, 2, None), (7, 26, 5), (7, 27, 5), (None, 0, None), (8, 0, 8)]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(40)]

@@ -2,13 +2,16 @@
 
 Documents of one set form a class; a set stands in the index lists of its rarest
 shingles only, as many as a set of similarity 0.8 must share one of. An entry
-knows its position and how many shared shingles stand before it, so a list's
-blocks of impossible positions and sizes are skipped before any set is read.
-
-Sets that are highly similar to a list's hub, its entry of least position, take
-over the hub's answers: once linked to the hub they belong to one component, and
-no pair among them is looked at. What is left to compare are pairs that lie in
-different components, and those are all verified, so no link is lost.
+knows its position, how many shared shingles stand before it and its set's size.
+
+First each list's hub, its entry of least position, is compared with the list.
+What is highly similar to the hub belongs to its component, and no pair within a
+component is looked at. The other pairs of a list are found by blocks: entries of
+like size and position form a block with bounds of its own, and pairs of blocks
+whose bounds allow no link are skipped before any entry of them is read. The
+answers of such sets are derived from those of their hub: what each shares with
+the hub bounds what they share with each other, often from both sides, and only
+pairs that the bounds leave open are compared shingle by shingle. No link is lost.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textbank.llm.common import cut, map_texts, slices, small
-from textbank.llm.wordhash import WHITESPACE, Words
+from textbank.llm.wordhash import WHITESPACE, Words, fold
 
 #: Words in a shingle.
 SHINGLE = 5
 #: Buckets of the shingle counts by which rarity is judged, and rows that they travel in. The size is fixed: 4 MB.
 BUCKETS, PARTS = 1 << 20, 256
-_SET_SEED = np.uint64(0x9FB21C651E98DF25)
+#: Partners of a set that one task compares with it at a time, about; entries of a block, about.
+PARTNERS, BLOCK = 512, 256
+_SET_SEED = 0x1FB21C651E98DF25
 
 
 def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +79,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), node (hash of the set), prefix (its rarest shingles in order), last (count of the last of them)."""
+    """doc_id, n (size of the set), set_1 and set_2 (hashes of the set), prefix (its rarest shingles in order), last (count of the last of them)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def piece(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -87,44 +92,64 @@ def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
         kept = order[np.arange(len(h)) - first[doc] < length[doc]]
         length = np.where(n > 0, length, 0)
         ends = np.concatenate([[0], np.cumsum(length)])
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum((h ^ _SET_SEED) * (h | np.uint64(1)), out=sums[1:])
-        node = (sums[first[1:]] - sums[first[:-1]]) * np.uint64(0x9E3779B97F4A7C15) ^ n.astype(np.uint64)
         last = np.zeros(len(n), np.int32)
         last[n > 0] = rarity[kept[ends[1:][n > 0] - 1]]
+        sets = [pa.array(x.view(np.int64)) for x in set_hashes(h, first)]
         return pa.record_batch(
-            [batch.column(0), pa.array(n.astype(np.int64)), pa.array(node.view(np.int64), mask=n == 0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[kept].view(np.int64))), pa.array(last)],
-            names=["doc_id", "n", "node", "prefix", "last"],
+            [batch.column(0), pa.array(n.astype(np.int64)), *sets, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[kept].view(np.int64))), pa.array(last)],
+            names=["doc_id", "n", "set_1", "set_2", "prefix", "last"],
         )
 
-    return map_texts(docs, piece, "doc_id long, n long, node long, prefix array<long>, last int")
+    return map_texts(docs, piece, "doc_id long, n long, set_1 long, set_2 long, prefix array<long>, last int")
+
+
+def set_hashes(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each set."""
+    return fold(h, first), fold(h, first, _SET_SEED)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """node and its whole set of shingles, as packed 64-bit numbers in order."""
+    """set_1, set_2, the columns after doc_id and text, and the whole set of shingles as packed 64-bit numbers in order."""
+    more = docs.columns[2:]
 
     def piece(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, first = _shingles(batch.column(1))
-        return pa.record_batch([batch.column(2), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["node", "shingles"])
+        sets = [pa.array(x.view(np.int64)) for x in set_hashes(h, first)]
+        return pa.record_batch([*sets, *batch.columns[2:], pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["set_1", "set_2", *more, "shingles"])
 
-    return map_texts(docs, piece, "node long, shingles binary")
+    return map_texts(docs, piece, f"set_1 long, set_2 long, {', '.join(f'{c} long' for c in more)}, shingles binary")
 
 
-def _linked(pairs: DataFrame) -> DataFrame:
-    """a, b of the pairs (a, b, x, y with their sets x and y) that are similar enough."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, shared (shingles in common), linked for the pairs (a, b) of nodes of sets (node, shingles).
+
+    Pairs of one a go to tasks in parts of about PARTNERS; each part gets a's set once, in front of its partners' sets.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    pairs = cut(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")))
+    none = F.lit(None).cast("long")
+    own = pairs.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", none.alias("b"), "shingles")
+    theirs = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "shingles")
+    rows = own.unionByName(theirs).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, np.uint64)
         for batch in batches:
-            similar = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                similar.append(180 * common >= 80 * (len(x) + len(y)))
-            mask = pa.array(similar, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            at, shared, linked = [], [], []
+            for i, (b, raw) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                y = np.frombuffer(raw.as_buffer(), np.uint64)
+                if b is None:
+                    x = y.copy()
+                    continue
+                found = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                common = int((x[found] == y).sum())
+                at.append(i)
+                shared.append(common)
+                linked.append(180 * common >= 80 * (len(x) + len(y)))
+            own = batch.take(pa.array(at, pa.int64()))
+            yield pa.record_batch([own.column(0), own.column(1), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
+
+    return rows.mapInArrow(run, "a long, b long, shared long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -163,24 +188,71 @@ def _possible(x: str, y: str) -> Column:
     return (5 * F.least(c(x, "n"), c(y, "n")) >= 4 * F.greatest(c(x, "n"), c(y, "n"))) & (9 * here >= 4 * total) & (9 * cap >= 4 * total)
 
 
+def _blocks(entries: DataFrame) -> DataFrame:
+    """entries with their block: sizes within a sixth of a doubling, positions within an eighth of the prefix, and a share of the list by node where that would be more than BLOCK entries."""
+    size = F.floor(F.log2("n") * 6)
+    position = F.floor(8 * F.col("pos") / F.greatest(F.floor(F.col("n") / 5) + 1, F.col("pos") + 1))
+    share = F.pmod(F.xxhash64("node"), F.ceil(F.col("k") / BLOCK))
+    return entries.withColumn("block", F.xxhash64(size, position, share, "outer"))
+
+
+def _derived(x: str, y: str) -> tuple[Column, Column]:
+    """Least and greatest number of shingles that two entries of one list can have in common, from what each shares with the list's hub; null if not known."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    known = c(x, "shared").isNotNull() & c(y, "shared").isNotNull()
+    low = F.when(known, c(x, "shared") + c(y, "shared") - c(x, "hub_n"))
+    high = F.when(known, F.least(c(x, "shared"), c(y, "shared")) + F.least(c(x, "n") - c(x, "shared"), c(y, "n") - c(y, "shared")))
+    return low, high
+
+
+def _rest(entries: DataFrame) -> DataFrame:
+    """a, b, sure: pairs of entries in one list and two components that can be linked; sure if they are by what they share with the list's hub.
+
+    entries has token, node, n, pos, before, cap, last, last_token, component, k
+    (entries of the list), outer (not of its largest component), hub_n, shared.
+    """
+    entries = cut(_blocks(entries))
+    outside = F.max(F.col("n") - F.col("shared"))
+    blocks = entries.groupBy("token", "block", "outer").agg(
+        F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.min("pos").alias("first"), F.max("before").alias("before"), F.max("cap").alias("cap"),
+        F.max("shared").alias("shared"), outside.alias("outside"), (F.count("shared") == F.count("*")).alias("known"), F.min("component").alias("low"), F.max("component").alias("high"),
+    )
+    blocks = cut(blocks)
+    c = lambda side, name: F.col(f"{side}.{name}")
+    least = c("x", "n_least") + c("y", "n_least")
+    # The most that any two entries of the blocks can share: by position, by the lists they stand in, by the hub.
+    by_place = F.least(c("x", "before"), c("y", "before")) + F.least(c("x", "n_most") - c("x", "first"), c("y", "n_most") - c("y", "first"))
+    by_hub = F.least(c("x", "shared"), c("y", "shared")) + F.least(c("x", "outside"), c("y", "outside"))
+    sizes = (5 * c("x", "n_most") >= 4 * c("y", "n_least")) & (5 * c("y", "n_most") >= 4 * c("x", "n_least"))
+    bounds = (9 * by_place >= 4 * least) & (9 * F.greatest(c("x", "cap"), c("y", "cap")) >= 4 * least) & (~(c("x", "known") & c("y", "known")) | (9 * by_hub >= 4 * least))
+    apart = (c("x", "low") != c("y", "low")) | (c("x", "high") != c("y", "high")) | (c("x", "low") != c("x", "high"))
+    met = blocks.where("outer").alias("x").join(blocks.alias("y"), (c("x", "token") == c("y", "token")) & sizes & bounds & apart)
+    met = met.select(c("x", "token").alias("token"), c("x", "block").alias("x_block"), c("y", "block").alias("y_block"))
+    left = entries.where("outer").withColumnRenamed("block", "x_block").join(met, ["token", "x_block"])
+    low, high = _derived("x", "y")
+    total = c("x", "n") + c("y", "n")
+    same = (c("x", "token") == c("y", "token")) & (c("x", "y_block") == c("y", "block")) & (c("x", "component") != c("y", "component")) & (~c("y", "outer") | (c("x", "node") < c("y", "node")))
+    found = left.alias("x").join(entries.alias("y"), same & _possible("x", "y") & (high.isNull() | (9 * high >= 4 * total)))
+    return cut(found.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.max(F.coalesce(9 * low >= 4 * total, F.lit(False))).alias("sure")))
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
     Sets are linked if 100 * intersection >= 80 * union, and component_id is the
     least doc_id that links lead to. Null and empty texts have no set, are linked
-    with nothing and are their own component, as are rows without an id (null).
-    Equal sets are one class however often they occur; they are told by a 64-bit
-    hash, of which a wrong match is to be expected once in 4 * 10**9 different
-    sets. Rows that share an id are linked only if their sets are. Other columns
-    are ignored.
+    with nothing and are their own component. A row without an id (null) has the
+    component_id of rows that have an id and the same set, null if there are none,
+    and links nothing. Equal sets are one class however often they occur; they are
+    told by 128 bits. Rows that share an id are linked only if their sets are.
+    Other columns are ignored, repeated rows give repeated rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(_prefixes(docs, shingle_counts(docs)))
-    classes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_doc")))
+    classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_1", "set_2").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()))
 
     # Entries of the lists, of one document for each class; only lists of two classes or more matter.
-    ones = classes.select(F.col("first_doc").alias("doc_id"))
-    nodes = rows.where("node IS NOT NULL").join(ones, "doc_id", "left_semi")
+    nodes = rows.join(classes, ["set_1", "set_2", "doc_id"])
     entries = nodes.select("node", "n", "last", F.element_at("prefix", -1).alias("last_token"), F.size("prefix").alias("length"), F.posexplode("prefix").alias("pos", "token"))
     lists = cut(entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token"))
     entries = cut(entries.join(lists, "token").dropDuplicates(["token", "node"]))
@@ -191,43 +263,39 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         .select("token", "node", "n", "pos", "before", "cap", "last", "last_token")
     )
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        involved = cut(involved.join(classes, "node").select("node", F.col("first_doc").alias("doc_id")))
-        sets = cut(_sets(docs.join(small(involved), "doc_id").select("doc_id", "text", "node")).dropDuplicates(["node"]))
-        x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return cut(_linked(pairs.join(x, "a").join(y, "b")))
-
-    def ordered(found: DataFrame) -> DataFrame:
-        return cut(found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+        involved = cut(involved.join(classes, "node").select("doc_id", "node", F.col("set_1").alias("own_1"), F.col("set_2").alias("own_2")))
+        sets = _sets(docs.join(small(involved), "doc_id").select("doc_id", "text", "node", "own_1", "own_2")).where("set_1 = own_1 AND set_2 = own_2")
+        return cut(_overlaps(pairs.select("a", "b"), cut(sets.select("node", "shingles").dropDuplicates(["node"]))))
 
     # First, each list's entries against its hub.
     hubs = cut(entries.groupBy("token").agg(F.min(F.struct("pos", "n", "node", "before", "cap", "last", "last_token")).alias("hub"))).select("token", "hub.*")
-    stars = ordered(hubs.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _possible("x", "y")))
-    links = verified(stars)
+    stars = hubs.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _possible("x", "y"))
+    stars = compared(cut(stars.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()))
+    links = stars.where("linked").select("a", "b")
     component = components(links)
 
     # Then every pair of a list that lies in two components: sets outside a list's largest component against the list.
     labelled = cut(entries.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    largest = labelled.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("m"))
-    largest = cut(largest.where("m > 1").select("token", "largest"))
-    open_ = cut(labelled.join(largest, "token"))
-    rest = ordered(
-        open_.where("component <> largest").alias("x").join(
-            open_.alias("y"),
-            (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))) & _possible("x", "y"),
-        )
-    )
+    largest = labelled.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("m"), F.sum("k").alias("k"))
+    largest = largest.where("m > 1").join(hubs.select("token", F.col("node").alias("hub"), F.col("n").alias("hub_n")), "token")
+    open_ = labelled.join(cut(largest.select("token", "largest", "k", "hub", "hub_n")), "token").withColumn("outer", F.col("component") != F.col("largest"))
+    open_ = open_.withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")}).join(stars.select("a", "b", "shared"), ["a", "b"], "left")
+    rest = _rest(open_.withColumn("shared", F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.col("shared"))).drop("a", "b", "hub", "largest"))
     rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = verified(rest)
+        more = cut(compared(rest.where("NOT sure")).where("linked").select("a", "b").unionByName(rest.where("sure").select("a", "b")))
         if not more.isEmpty():
             component = components(links.unionByName(more))
 
-    members = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = members.groupBy("component").agg(F.min("first_doc").alias("least"))
-    answer = cut(members.join(least, "component").select("node", F.col("least").alias("component_id")))
-    return rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(answer, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Only linked classes have another component than their own.
+    members = cut(component.join(classes, "node").select("node", "doc_id", "component"))
+    least = small(cut(members.groupBy("component").agg(F.min("doc_id").alias("component_id"))))
+    linked = members.join(least, "component").select("node", "component_id")
+    answer = cut(classes.join(linked, "node", "left").select("set_1", "set_2", F.coalesce("component_id", "doc_id").alias("component_id")))
+    found = rows.where("n > 0").select("doc_id", "set_1", "set_2", F.col("n").alias("n_shingles")).join(answer, ["set_1", "set_2"], "left").select("doc_id", "n_shingles", "component_id")
+    return found.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 #: The contract's rows of op7 in DuckDB SQL: all linked pairs by shared shingles, then reachability.
