@@ -511,6 +511,126 @@ def test_language_without_letters(spark):
     assert [got[i][0] for i in range(4)] == ["und", "und", "und", "fr"] and got[0][1] == 0
 
 
+FEW = ["", "a", "The cat sat on 12 mats", "the cat  sat\non 77 mats", "Äpfel und Birnen, Äpfel!", "le chat noir " * 30, "xx", "日本語の文", "UPPER lower 3", "end."]
+
+
+def test_presence_kernel():
+    """Kernel values against sets of n-grams, and against the same hashing in plain Python."""
+    import pyarrow as pa
+
+    def signs(text):
+        return [0x20 if 9 <= b <= 13 else 0x30 if 0x30 <= b <= 0x39 else b + 0x20 if 0x41 <= b <= 0x5A else b for b in text.encode()]
+
+    def places(text):
+        data, out = signs(text), set()
+        for n in language_id.NGRAMS:
+            for i in range(len(data) - n + 1):
+                h = 0
+                for j in range(n):
+                    h = (h * 0x01000193 + data[i + j] + j + 1) % 2**32
+                out.add((h * 0x9E3779B1) % 2**32 >> (33 - language_id.PLACES.bit_length()))
+        return out
+
+    def grams(text):
+        data = signs(text)
+        return {(n, tuple(data[i : i + n])) for n in language_id.NGRAMS for i in range(len(data) - n + 1)}
+
+    found = language_id.Presence(pa.array(FEW))
+    kernel = found.times(_filled(found))
+    for i, a in enumerate(FEW):
+        for j, b in enumerate(FEW):
+            for own in (places, grams):
+                x, y = own(a), own(b)
+                want = len(x & y) / (len(x) * len(y)) ** 0.5 if x and y else 0
+                assert kernel[i, j] == pytest.approx(want, abs=1e-5 if own is places else 0.02), (a, b)
+
+
+def _filled(found):
+    """The rows of found as columns; an empty text has none."""
+    out = quality_classifier.np.zeros((language_id.PLACES, len(found.counts)), "float32")
+    rows = quality_classifier.np.flatnonzero(found.counts)
+    out[:, rows] = found.dense(rows)
+    return out
+
+
+def test_language_of_long_texts(spark):
+    """Texts of 20,000 words in languages of the same letters."""
+    rng = random.Random(6)
+    syllables = {"aa": "ba ne ti ko su".split(), "bb": "ab en it ok us".split(), "cc": "bat nek tis kob sun".split()}
+    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    train = spark.createDataFrame([(i, text(g, 60), g) for i in range(30) for g in syllables], "doc_id long, text string, lang string").withColumn("doc_id", F.monotonically_increasing_id())
+    model = language_id.train(language_id.sample(train, F.lit(True)))
+    rows = [(i, text(g, 20_000)) for i, g in enumerate(syllables)] + [(3, text("aa", 10_000) + " " + text("bb", 200))]
+    got = by_id(language_id.language(spark.createDataFrame(rows, "doc_id long, text string"), model), "lang_pred")
+    assert [got[i] for i in range(4)] == ["aa", "bb", "cc", "aa"]
+
+
+def test_samples_are_bounded(spark):
+    """An id that is repeated counts once in what a model is fitted on."""
+    rows = spark.createDataFrame([(1, f"text {i % 3}", "en") for i in range(3000)] + [(2, "other", "de")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    got = common.labelled_sample(rows, labels, "quality", F.lit(True), 10).collect()
+    assert sorted(map(tuple, got)) == [(1, "text 0", 0), (2, "other", 1)]
+    assert sorted(map(tuple, language_id.sample(rows, F.lit(True), 10).collect())) == [(1, "text 0", "en"), (2, "other", "de")]
+
+
+def test_word_bags():
+    """A word's score against its n-grams, counted and hashed in plain Python."""
+    import pyarrow as pa
+
+    table = toxicity.np.random.default_rng(3).normal(size=toxicity.BUCKETS)
+
+    def row(gram):
+        h = 0
+        for n, b in enumerate(gram, 1):
+            h = ((h ^ b) * 0x01000193 + n) % 2**32
+        return (h * 0x9E3779B1) % 2**32 >> (33 - toxicity.BUCKETS.bit_length())
+
+    found = toxicity.Words(pa.array(FEW), toxicity._SEPARATORS, lower=True)
+    got = iter(toxicity._word_scores(found, table).tolist())
+    for text in FEW:
+        for word in lower("".join(c if not c.isascii() or c.isalnum() else " " for c in text)).split(" "):
+            if word:
+                own = b" " + word.encode() + b" "
+                grams = [own[i : i + n] for n in toxicity.NGRAMS for i in range(len(own) - n + 1)]
+                assert next(got) == pytest.approx(sum(table[row(g)] for g in grams) / max(len(grams), 1)), word
+    assert next(got, None) is None
+
+
+def test_worst_passage():
+    """The passage of the greatest mean, against a plain loop."""
+    rng = random.Random(1)
+    for n in (0, 1, 5, 11, 12, 13, 18, 40, 300):
+        scores = [rng.random() for _ in range(n)]
+        got = toxicity._worst(toxicity.np.array(scores), toxicity.np.array([0, n]))[0][0]
+        half = toxicity.PASSAGE // 2
+        passages = [scores[k * half : k * half + toxicity.PASSAGE] for k in range(max((2 * n - 1) // toxicity.PASSAGE, 1))]
+        assert got == pytest.approx(max(sum(p) / max(len(p), 1) for p in passages))
+
+
+def test_pooling():
+    """Pooled vectors against plain loops over the words of each text."""
+    import pyarrow as pa
+
+    np = quality_classifier.np
+    vectors = np.random.default_rng(2).normal(size=(quality_classifier.WORD_ROWS + quality_classifier.SHAPE_ROWS, quality_classifier.DIMENSION))
+    got = quality_classifier.pooled(pa.array(FEW), vectors)
+    _, word, shape = quality_classifier.terms(pa.array(FEW))
+    at = 0
+    for i, text in enumerate(FEW):
+        n = len(words(text))
+        want = []
+        for rows in (word[at : at + n], shape[at : at + n]):
+            own = [vectors[r] for r in rows] or [np.zeros(quality_classifier.DIMENSION)]
+            different = [vectors[r] for r in sorted(set(rows.tolist()))] or own
+            mean = sum(own) / len(own)
+            want += [*mean, *np.sqrt(np.maximum(sum(v * v for v in own) / len(own) - mean**2, 0)), *(sum(different) / len(different)), np.log1p(len(set(rows.tolist()))) - np.log1p(n)]
+        assert got[i] == pytest.approx(np.array([*want, np.log1p(n)]), abs=1e-4), text
+        at += n
+    kinds = dict(zip([w for t in FEW for w in words(t)], zip(word.tolist(), shape.tolist(), strict=True), strict=True))
+    assert kinds["12"][1] == kinds["77"][1] == kinds["3"][1] and kinds["The"][0] == kinds["the"][0] and kinds["The"][1] != kinds["the"][1] == kinds["cat"][1]
+
+
 def test_spelling(spark):
     """Words that share most character n-grams with toxic ones are toxic too."""
     d, l = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))

@@ -26,12 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the cluster's shared checkpoint folder.
 
-    The shuffle files that led to it are no longer needed and go at once.
+    The shuffle files that led to it are no longer needed and go at once. On a
+    cluster spark.checkpoint.dir must name the folder; a session of one machine
+    without it gets a temporary one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key)
     spark.conf.set(key, "true")
@@ -47,9 +52,9 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def remainder(doc_id: Column | str, mod: int) -> Column:
-    """crc32 of the id as text, modulo mod (null for a null id)."""
+    """crc32 of the id as text, modulo mod; -1 for a null id, which is thus in no held-out part."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.crc32(c.cast("string").cast("binary")) % mod
+    return F.coalesce(F.crc32(c.cast("string").cast("binary")) % mod, F.lit(-1))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -84,8 +89,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     """doc_id, text, label of at most `most` labelled documents, chosen by a hash of the id.
 
     labels has doc_id and the label column; train is a condition on doc_id. A doc_id
-    with several labels counts with the least. Only ids and labels of the sample,
-    whose number `most` bounds, are broadcast.
+    with several labels counts with the least, one with several texts with the
+    first in order, so `most` bounds the rows. Only ids and labels of the sample,
+    whose number it bounds too, are broadcast.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("long").alias("label"))
@@ -96,4 +102,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         .limit(most)
     )
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(F.broadcast(chosen), "doc_id")
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
