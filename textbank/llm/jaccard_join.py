@@ -125,10 +125,10 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Pairs of one a go to tasks in parts of about PARTNERS; each part gets a's set once, in front of its partners' sets.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
-    pairs = cut(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")))
+    parts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")))
+    pairs = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     none = F.lit(None).cast("long")
-    own = pairs.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", none.alias("b"), "shingles")
+    own = parts.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), none.alias("b"), "shingles")
     theirs = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "shingles")
     rows = own.unionByName(theirs).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "shingles")
 
@@ -154,17 +154,16 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (least node it is linked with) for the nodes of links (a, b), by alternating large and small stars."""
-    edges = cut(links.select("a", "b").where("a <> b").distinct())
+    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct())
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-        least = cut(down.groupBy("a").agg(F.min("b").alias("m")))
-        joined = down.join(least, "a")
-        edges = cut(joined.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        large = cut(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = large.join(least, "a").where("b <> m")
+        edges = cut(joined.select("b", "m").toDF("a", "b").unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -173,6 +172,16 @@ def components(links: DataFrame) -> DataFrame:
     return cut(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct())
 
 
+def _labels(links: DataFrame, rounds: int = 2) -> DataFrame:
+    """node, component: a node that links (a, b) lead to, the same for most nodes of a component; cheaper than components."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
+    for _ in range(rounds):
+        # The least label of the neighbours is never more than the own.
+        label = both.join(label.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
+    return label.toDF("node", "component")
+
+
 def _possible(x: str, y: str) -> Column:
     """Whether two entries of one list can be of sets that are similar enough; of each side's columns only sizes, positions and counts count.
 
@@ -274,10 +283,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     stars = hubs.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _possible("x", "y"))
     stars = compared(cut(stars.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()))
     links = stars.where("linked").select("a", "b")
-    component = components(links)
 
-    # Then every pair of a list that lies in two components: sets outside a list's largest component against the list.
-    labelled = cut(entries.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    # Then every pair of a list that may lie in two components: sets outside a list's largest one against the list.
+    labelled = cut(entries.join(_labels(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
     largest = labelled.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("m"), F.sum("k").alias("k"))
     largest = largest.where("m > 1").join(hubs.select("token", F.col("node").alias("hub"), F.col("n").alias("hub_n")), "token")
     open_ = labelled.join(cut(largest.select("token", "largest", "k", "hub", "hub_n")), "token").withColumn("outer", F.col("component") != F.col("largest"))
@@ -285,9 +293,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rest = _rest(open_.withColumn("shared", F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.col("shared"))).drop("a", "b", "hub", "largest"))
     rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = cut(compared(rest.where("NOT sure")).where("linked").select("a", "b").unionByName(rest.where("sure").select("a", "b")))
-        if not more.isEmpty():
-            component = components(links.unionByName(more))
+        links = links.unionByName(compared(rest.where("NOT sure")).where("linked").select("a", "b")).unionByName(rest.where("sure").select("a", "b"))
+    component = components(links)
 
     # Only linked classes have another component than their own.
     members = cut(component.join(classes, "node").select("node", "doc_id", "component"))
