@@ -15,16 +15,18 @@ from pyspark.sql.types import DoubleType, IntegerType, MapType, StringType, Stru
 
 #: Function words that say nothing about a match.
 STOPWORDS = (
-    "the and for with what how does this that from are was were which into about when then than them its can will each "
-    "between using use you your have has had would could should there their"
-).split()
+    "the", "and", "for", "with", "what", "how", "does", "this", "that", "from", "are", "was", "were", "which", "into", "about", "when", "then",
+    "than", "them", "its", "can", "will", "each", "between", "using", "use", "you", "your", "have", "has", "had", "would", "could", "should",
+    "there", "their",
+)
 #: Words of a rubric that are not keywords.
 RUBRIC_STOPWORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might shall must can need dare "
-    "and or but if in on at to for of with by from up about into through during before after above below between each every both "
-    "few more most other some such than too very just because as until while although though that this these those it its they them their "
-    "1 2 3 4 5 mark marks marks: correct correct:"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "must", "can", "need", "dare", "and", "or", "but", "if", "in", "on", "at", "to", "for", "of", "with", "by",
+    "from", "up", "about", "into", "through", "during", "before", "after", "above", "below", "between", "each", "every", "both", "few", "more",
+    "most", "other", "some", "such", "than", "too", "very", "just", "because", "as", "until", "while", "although", "though", "that", "this", "these",
+    "those", "it", "its", "they", "them", "their", "1", "2", "3", "4", "5", "mark", "marks", "marks:", "correct", "correct:",
+)
 
 
 def text_or_empty(c: Column) -> Column:
@@ -37,8 +39,8 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without ASCII white space of any kind at the ends."""
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -59,12 +61,12 @@ def distinct_tokens(c: Column) -> Column:
 
 def rubric_keywords(c: Column) -> Column:
     """Words of a rubric that an answer should have, duplicates kept."""
-    return F.filter(tokens(c, r"\b[a-z][a-z0-9\-]{2,}\b"), lambda t: ~t.isin(*RUBRIC_STOPWORDS))
+    return F.filter(tokens(c, r"(?U)\b[a-z][a-z0-9\-]{2,}\b"), lambda t: ~t.isin(*RUBRIC_STOPWORDS))
 
 
 def keyword_coverage(answer: Column, keywords: Column) -> Column:
     """Share of the keywords that are tokens of the answer; 0.5 without keywords."""
-    both = F.struct(tokens(answer, r"\b[a-z][a-z0-9\-]*\b").alias("own"), keywords.alias("keys"))
+    both = F.struct(tokens(answer, r"(?U)\b[a-z][a-z0-9\-]*\b").alias("own"), keywords.alias("keys"))
     return let(both, lambda s: F.when(F.size(s["keys"]) == 0, 0.5).otherwise(F.size(F.filter(s["keys"], lambda k: F.array_contains(s["own"], k))) / F.size(s["keys"])))
 
 

@@ -95,11 +95,11 @@ def adjacent_distances(rows: DataFrame) -> DataFrame:
 
 def breakpoints(distances: DataFrame, percentile: int = 80, least: int = 6) -> DataFrame:
     """_id, pos, cut: whether the text breaks behind a sentence: its distance lies above the percentile; never in texts of fewer than `least` sentences."""
-    by = Window.partitionBy("_id")
-    n = F.count("*").over(by)
-    place = F.least(n, F.floor(n * percentile / 100) + 1).cast("int")
-    threshold = F.element_at(F.array_sort(F.collect_list("distance").over(by)), place)
-    return distances.select("_id", "pos", ((n + 1 >= least) & (F.col("distance") > threshold)).alias("cut"))
+    place = F.row_number().over(Window.partitionBy("_id").orderBy("distance"))
+    n = distances.groupBy("_id").agg(F.count("*").alias("n"))
+    at = F.least(F.col("n"), F.floor(F.col("n") * percentile / 100) + 1)
+    threshold = distances.select("_id", "distance", place.alias("place")).join(n, "_id").where(F.col("place") == at).select("_id", "n", F.col("distance").alias("threshold"))
+    return distances.join(threshold, "_id").select("_id", "pos", ((F.col("n") + 1 >= least) & (F.col("distance") > F.col("threshold"))).alias("cut"))
 
 
 def assemble(rows: DataFrame, cuts: DataFrame, least: int = 300) -> DataFrame:
@@ -142,13 +142,30 @@ def drop_repeated_content(text: Column, tables: Column) -> Column:
     return F.when(strip(kept) == "", text).otherwise(kept)
 
 
+def drop_repeated_math(math: Column, text: Column, tables: Column, threshold: float = 0.92) -> Column:
+    """math, or the empty string if text and tables have nearly all of its words."""
+    base = F.concat_ws("\n", text, F.array_join(F.coalesce(tables, F.array().cast("array<string>")), "\n"))
+    repeated = redundant(math, base, threshold) & (F.size(tokens(math, r"(?U)\w+")) > 0)
+    return F.when(F.coalesce(repeated, F.lit(False)), "").otherwise(math)
+
+
 def validate(chunks: DataFrame) -> DataFrame:
-    """chunks with trimmed and capped fields, arrays without blanks and repetitions, and page ranges the right way round."""
+    """chunks with trimmed fields, titles and formulas capped, arrays without blanks and repetitions, and page ranges the right way round.
+
+    text is whole; math_text has 4,000 characters at most, chapter_title and
+    section_title 300, "Unknown" standing for a missing chapter. math_text and
+    chapter_title may be missing from chunks.
+    """
     array = lambda c, n: F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), strip), lambda x: x != "")), 1, n)
+    trimmed = lambda c, n: F.substring(strip(text_or_empty(c)), 1, n)
+    more = {"math_text": trimmed(F.col("math_text"), 4000)} if "math_text" in chunks.columns else {}
+    if "chapter_title" in chunks.columns:
+        more["chapter_title"] = trimmed(F.coalesce(F.nullif(F.col("chapter_title"), F.lit("")), F.lit("Unknown")), 300)
     return chunks.withColumns(
         {
-            "text": F.substring(strip(F.col("text")), 1, 4000),
-            "section_title": F.substring(strip(text_or_empty(F.col("section_title"))), 1, 300),
+            **more,
+            "text": strip(text_or_empty(F.col("text"))),
+            "section_title": trimmed(F.col("section_title"), 300),
             "table_texts": array("table_texts", 20),
             "image_texts": array("image_texts", 20),
             "key_terms": array("key_terms", 30),

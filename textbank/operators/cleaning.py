@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 
@@ -10,23 +11,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from textbank.functions.text import strip
-
-#: How marks outside ASCII look when UTF-8 was read as Latin-1 twice or once, in order of replacement.
-MANGLED_TWICE = {"’": "’", "‘": "‘", "“": "“", "”": "”", "—": "--", "–": "-", "…": "...", "€": "€"}
-MANGLED_ONCE = "é è à â ê î ô û ç ü ö ä".split()
+from textbank.functions.text import let, strip
+
+#: Text whose UTF-8 was read as Latin-1, and what it was meant to be, in order of replacement.
+MOJIBAKE = [
+    ("\xc3\xa2\xc2\x80\xc2\x99", "’"),
+    ("\xc3\xa2\xc2\x80\xc2\x98", "‘"),
+    ("\xc3\xa2\xc2\x80\xc2\x9c", "“"),
+    ("\xc3\xa2\xc2\x80\xc2\x9d", "”"),
+    ("\xc3\xa2\xc2\x80\xc2\x94", "--"),
+    ("\xc3\xa2\xc2\x80\xc2\x93", "-"),
+    ("\xc3\xa2\xc2\x80\xc2\xa6", "..."),
+    ("\xc3\xa2\xc2\x82\xc2\xac", "€"),
+    ("\xc3\xa9", "é"),
+    ("\xc3\xa8", "è"),
+    ("\xc3\xa0", "à"),
+    ("\xc3\xa2", "â"),
+    ("\xc3\xaa", "ê"),
+    ("\xc3\xae", "î"),
+    ("\xc3\xb4", "ô"),
+    ("\xc3\xbb", "û"),
+    ("\xc3\xa7", "ç"),
+    ("\xc3\xbc", "ü"),
+    ("\xc3\xb6", "ö"),
+    ("\xc3\xa4", "ä"),
+    ("\xef\xbf\xbd", ""),
+]
+_SPACE = " \t\n\x0b\f\r"
 #: Times that a line may occur in a text.
 MOST_REPEATS = 2
-
-
-def _as_latin1(s: str, times: int) -> str:
-    for _ in range(times):
-        s = s.encode("utf-8").decode("latin-1")
-    return s
-
-
-#: What is replaced by what; the last is the replacement character itself.
-MOJIBAKE = [*((_as_latin1(k, 2), v) for k, v in MANGLED_TWICE.items()), *((_as_latin1(c, 1), c) for c in MANGLED_ONCE), (_as_latin1("�", 1), "")]
 #: Ligatures and letter forms.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ſ": "s", "ı": "i"}
 #: Quotes, and dashes that become one hyphen or two.
@@ -76,11 +89,11 @@ def drop_invisible(c: Column) -> Column:
 @F.pandas_udf(StringType())
 def compose(text: pd.Series) -> pd.Series:
     """Unicode normal form C."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
+    return text.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t), na_action="ignore")
 
 
 def join_hyphenated(c: Column) -> Column:
-    return F.regexp_replace(c, r"-\s*\n\s*([a-z])(?!\p{M})", "$1")
+    return F.regexp_replace(c, r"-[^\S\n]*+\n\s*+([a-z])(?!\p{M})", "$1")
 
 
 def join_sentences(c: Column) -> Column:
@@ -99,28 +112,52 @@ def drop_running_heads(c: Column) -> Column:
 
 def drop_page_numbers(c: Column) -> Column:
     """Without lines of a number of up to four digits that stand between blank lines or at an end."""
-    lines = F.split(c, "\n")
-    blank = lambda i: F.coalesce(F.get(lines, i).rlike(r"^\s*$"), F.lit(True))
-    return F.array_join(F.filter(lines, lambda x, i: ~(x.rlike(r"^\s*\d{1,4}\s*$") & blank(i - 1) & blank(i + 1))), "\n")
+    number, empty = r"^\s*\d{1,4}\s*$", r"^\s*$"
+
+    def kept(lines: Column) -> Column:
+        blank = lambda i: F.coalesce(F.get(lines, i).rlike(empty), F.lit(True))
+        return F.filter(lines, lambda x, i: ~((F.length(x) > 0) & x.rlike(number) & blank(i - 1) & blank(i + 1)))
+
+    return F.array_join(let(F.split(c, "\n"), kept), "\n")
 
 
 def drop_pipe_noise(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?md)^\s*[|\s]{3,}\s*$", "")
+    return F.regexp_replace(c, r"(?md)^[|\s]{3,}$", "")
+
+
+def _limited(lines: list[str]) -> list[str]:
+    seen: Counter[str] = Counter()
+    kept = []
+    for line in lines:
+        key = line.strip().lower()
+        seen[key] += 1
+        if not key or seen[key] <= MOST_REPEATS:
+            kept.append(line)
+    return kept
 
 
 @F.pandas_udf(StringType())
 def limit_repeated_lines(text: pd.Series) -> pd.Series:
     """Each line, by its trimmed lower case, at most twice; blank lines always."""
+    return text.map(lambda t: "\n".join(_limited(t.split("\n"))), na_action="ignore")
+
+
+_NUMBER = re.compile(r"\s*\d{1,4}\s*", re.ASCII).fullmatch
+_NOISE = re.compile(r"^[|\s]{3,}$", re.ASCII | re.MULTILINE)
+
+
+@F.pandas_udf(StringType())
+def finish_lines(text: pd.Series) -> pd.Series:
+    """drop_page_numbers, drop_pipe_noise, compose and limit_repeated_lines in one pass."""
 
     def one(t: str) -> str:
-        seen: Counter[str] = Counter()
-        kept = []
-        for line in t.split("\n"):
-            key = line.strip().lower()
-            seen[key] += 1
-            if not key or seen[key] <= MOST_REPEATS:
-                kept.append(line)
-        return "\n".join(kept)
+        lines = t.split("\n")
+        blank = [True, *(not x or not x.strip(_SPACE) for x in lines), True]
+        t = "\n".join([x for i, x in enumerate(lines) if not (blank[i] and blank[i + 2] and _NUMBER(x))])
+        t = _NOISE.sub("", t)
+        if not t.isascii():
+            t = unicodedata.normalize("NFC", t)
+        return "\n".join(_limited(t.split("\n")))
 
     return text.map(one, na_action="ignore")
 
@@ -133,22 +170,19 @@ def tidy_space(c: Column) -> Column:
 
 
 def _plain_steps(c: Column) -> Column:
-    for step in (fix_mojibake, fix_ligatures, straighten, drop_invisible, join_hyphenated, join_sentences, drop_boilerplate, drop_running_heads, drop_page_numbers, drop_pipe_noise):
+    for step in (fix_mojibake, fix_ligatures, straighten, drop_invisible, join_hyphenated, join_sentences, drop_boilerplate, drop_running_heads):
         c = step(c)
     return c
 
 
 def clean(c: Column) -> Column:
     """All steps; null and empty texts as they are. Composition comes late: until then a letter with a mark after it counts as marked."""
-    out = _plain_steps(c)
-    for step in (compose, limit_repeated_lines, tidy_space):
-        out = step(out)
-    return F.when(c.isNull() | (c == ""), c).otherwise(out)
+    return F.when(c.isNull() | (c == ""), c).otherwise(tidy_space(finish_lines(_plain_steps(c))))
 
 
 def clean_rows(rows: DataFrame, texts: list[str], arrays: list[str] = ()) -> DataFrame:
     """rows with the text columns cleaned, and each text of the array columns but for composition and repeated lines."""
-    return rows.withColumns({**{t: clean(F.col(t)) for t in texts}, **{a: F.transform(a, lambda x: tidy_space(_plain_steps(x))) for a in arrays}})
+    return rows.withColumns({**{t: clean(F.col(t)) for t in texts}, **{a: F.transform(a, lambda x: tidy_space(drop_pipe_noise(drop_page_numbers(_plain_steps(x))))) for a in arrays}})
 
 
 def noise_ratio(c: Column) -> Column:

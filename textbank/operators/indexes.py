@@ -27,28 +27,40 @@ def _ids(entries: DataFrame, text: str) -> DataFrame:
     return out.withColumn("n_", F.row_number().over(own)).where("n_ = 1").drop("n_")
 
 
-def _first_distinct(chunks: DataFrame, texts: Column, most: int) -> DataFrame:
-    """_id, book_id, text, entry, place: the first `most` different entries of each chunk, in order, told apart by their normal form."""
-    rows = chunks.select("_id", "book_id", "text", F.posexplode(texts).alias("pos", "entry")).withColumn("normal", _normal(F.col("entry")))
+def _first_distinct(chunks: DataFrame, texts: Column, most: int | None = None, carry: str = "text") -> DataFrame:
+    """_id, book_id, the carried column, entry, place: the different entries of each chunk in order, told apart by their normal form; the first `most` if that is given."""
+    rows = chunks.select("_id", "book_id", carry, F.posexplode(texts).alias("pos", "entry")).withColumn("normal", _normal(F.col("entry")))
     once = rows.withColumn("n_", F.row_number().over(Window.partitionBy("_id", "normal").orderBy("pos"))).where("n_ = 1")
-    place = F.row_number().over(Window.partitionBy("_id").orderBy("pos"))
-    return once.withColumn("place", place).where(F.col("place") <= most).select("_id", "book_id", "text", "entry", "place")
+    placed = once.withColumn("place", F.row_number().over(Window.partitionBy("_id").orderBy("pos")))
+    return (placed if most is None else placed.where(F.col("place") <= most)).select("_id", "book_id", carry, "entry", "place")
 
 
-def split_formulas(chunks: DataFrame, most: int = 12) -> DataFrame:
-    """_id, book_id, text, entry, place: lines of math_text of four characters and more, then prose lines that look like formulas."""
+def split_formulas(chunks: DataFrame, most: int = 12, carry: str = "text") -> DataFrame:
+    """_id, book_id, the carried column, entry, place: lines of math_text of four characters and more, then prose lines that look like formulas."""
     lines = lambda c: F.filter(F.transform(F.split(text_or_empty(c), "\n"), strip), lambda x: F.length(x) >= 4)
     wordy = lambda x: F.regexp_count(x, F.lit("[A-Za-z]{2,}"))
     prose = F.filter(lines(F.col("text")), lambda x: x.rlike(FORMULA_LINE) & (wordy(x) <= 6))
-    return _first_distinct(chunks, F.concat(lines(F.col("math_text")), prose), most)
+    return _first_distinct(chunks, F.concat(lines(F.col("math_text")), prose), most, carry)
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(r"\w+"), F.lit(0)))
+
+
+def told_sentences(text: Column, least: int = 20) -> Column:
+    """Sentences of more than `least` characters with their words, for context_of."""
+    return F.transform(F.filter(sentences(text), lambda s: F.length(s) > least), lambda s: F.struct(s.alias("s"), _words(s).alias("words")))
+
+
+def context_of(entry: Column, told: Column, cap: int = 240) -> Column:
+    """Of told_sentences the one that shares most words with the entry, the first of equals; null if none shares one."""
+    scored = let(_words(entry), lambda own: F.transform(told, lambda x, i: F.struct(F.size(F.array_intersect(x["words"], own)).alias("score"), (-i).alias("at"), x["s"].alias("s"))))
+    return let(F.array_max(scored), lambda best: F.when(best["score"] > 0, F.substring(best["s"], 1, cap)))
 
 
 def context_sentence(entry: Column, text: Column, cap: int = 240) -> Column:
-    """The sentence of more than 20 characters that shares most words with the entry, the first of equals; null if none shares one."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(r"\w+"), F.lit(0)))
-    scored = let(words(entry), lambda own: F.transform(F.filter(sentences(text), lambda s: F.length(s) > 20), lambda s, i: F.struct(F.size(F.array_intersect(words(s), own)).alias("score"), (-i).alias("at"), s.alias("s"))))
-    best = F.array_max(scored)
-    return F.when(best["score"] > 0, F.substring(best["s"], 1, cap))
+    """The sentence of more than 20 characters of the text that shares most words with the entry, the first of equals; null if none shares one."""
+    return context_of(entry, told_sentences(text), cap)
 
 
 def build_formulas(chunks: DataFrame, enriched: DataFrame | None = None) -> DataFrame:
@@ -56,8 +68,9 @@ def build_formulas(chunks: DataFrame, enriched: DataFrame | None = None) -> Data
 
     enriched (formula_latex, concept_label, formula_plain) is what an enricher said; without it a formula is its own plain text.
     """
-    own = split_formulas(chunks.where((F.coalesce("math_text", F.lit("")) != "") | F.col("text").rlike(FORMULA_LINE)))
-    entries = own.select("book_id", F.col("_id").alias("parent_chunk_id"), "place", F.col("entry").alias("formula_latex"), context_sentence(F.col("entry"), F.col("text")).alias("context_sentence"))
+    some = chunks.where((F.coalesce("math_text", F.lit("")) != "") | F.col("text").rlike(FORMULA_LINE))
+    own = split_formulas(some.withColumn("told", told_sentences(F.col("text"))), carry="told")
+    entries = own.select("book_id", F.col("_id").alias("parent_chunk_id"), "place", F.col("entry").alias("formula_latex"), context_of(F.col("entry"), F.col("told")).alias("context_sentence"))
     out = _ids(entries, "formula_latex")
     if enriched is not None:
         out = out.join(enriched, "formula_latex", "left")
@@ -79,6 +92,13 @@ def parse_enrichment(replies: DataFrame) -> DataFrame:
     return sound.select("batch_id", "i", F.substring(F.trim("concept_label"), 1, 120).alias("label"), F.substring(F.trim("formula_plain"), 1, 500).alias("plain"), F.map_from_entries(cut).alias("variables"))
 
 
+def parse_summaries(replies: DataFrame, most: int = 300) -> DataFrame:
+    """batch_id, i, summary from replies about tables: objects with i in the batch and a summary, cut to `most` characters."""
+    items = replies.select("batch_id", "batch_size", F.inline(json_array(F.col("raw"), "struct<i:int,table_summary:string>")))
+    summary = F.substring(strip(text_or_empty(F.col("table_summary"))), 1, most)
+    return items.where((F.col("i") >= 1) & (F.col("i") <= F.col("batch_size")) & (summary != "")).select("batch_id", "i", summary.alias("summary"))
+
+
 def parse_kinds(replies: DataFrame) -> DataFrame:
     """batch_id, i, kind, axis_summary from classification replies; an unknown kind is other."""
     items = replies.select("batch_id", "batch_size", F.inline(json_array(F.col("raw"), "struct<i:int,kind:string,axis_summary:string>")))
@@ -102,7 +122,7 @@ def headers(table: Column, most: int = 10) -> Column:
 def build_tables(chunks: DataFrame) -> DataFrame:
     """_id, book_id, parent_chunk_id, place, table_markdown, headers, table_summary: tables of 30 characters and more."""
     texts = F.filter(F.transform(F.coalesce("table_texts", F.array().cast("array<string>")), strip), lambda x: F.length(x) >= 30)
-    own = _first_distinct(chunks.where(F.size("table_texts") > 0), texts, 1000)
+    own = _first_distinct(chunks.where(F.size("table_texts") > 0), texts)
     out = _ids(own.select("book_id", F.col("_id").alias("parent_chunk_id"), "place", F.col("entry").alias("table_markdown")), "table_markdown")
     return out.withColumn("headers", headers(F.col("table_markdown"))).withColumn("table_summary", F.substring(F.array_join("headers", ", "), 1, 200))
 
@@ -119,7 +139,7 @@ def caption(text: Column) -> Column:
 def build_figures(chunks: DataFrame) -> DataFrame:
     """_id, book_id, parent_chunk_id, place, description, caption, figure_kind: descriptions of 20 characters and more."""
     texts = F.filter(F.transform(F.coalesce("image_texts", F.array().cast("array<string>")), strip), lambda x: F.length(x) >= 20)
-    own = _first_distinct(chunks.where(F.size("image_texts") > 0), texts, 1000)
+    own = _first_distinct(chunks.where(F.size("image_texts") > 0), texts)
     out = _ids(own.select("book_id", F.col("_id").alias("parent_chunk_id"), "place", F.col("entry").alias("description"), caption(F.col("text")).alias("caption")), "description")
     return out.withColumn("figure_kind", F.lit("other"))
 

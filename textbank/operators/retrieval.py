@@ -28,10 +28,10 @@ KIND_SYNONYMS = {
 }
 #: Words that tell formulas apart.
 MATH_WORDS = (
-    "sigma mu alpha beta lambda theta chi rho nu sqrt sum integral mean median mode variance deviation probability "
-    "proportion correlation regression interval score statistic frequency midpoint quartile percentile factorial "
-    "combination permutation expected"
-).split()
+    "sigma", "mu", "alpha", "beta", "lambda", "theta", "chi", "rho", "nu", "sqrt", "sum", "integral", "mean", "median", "mode", "variance",
+    "deviation", "probability", "proportion", "correlation", "regression", "interval", "score", "statistic", "frequency", "midpoint", "quartile",
+    "percentile", "factorial", "combination", "permutation", "expected",
+)
 #: What marks a query as one about a picture, and as one about a calculation.
 VISUAL = (
     r"graph|chart|figure|histogram|scatter|boxplot|box plot|bar (chart|graph)|pie chart|plot\b|table\b|distribution shape|skew|axis|axes|trend|outlier"

@@ -28,7 +28,7 @@ def _replace(c: str, pairs: list[tuple[str, str]]) -> str:
 
 
 #: Text with noise put in: a mangled quote, a ligature, typographic marks, invisible and control characters, a broken word, a page number.
-_MANGLED = cleaning._as_latin1("’", 2)
+_MANGLED = cleaning.MOJIBAKE[0][0]
 _NOISE = "Don" + _MANGLED + "t ﬁnd “x” — y–z.​\x07 co-\n op"
 _noisy = lambda c: F.concat(F.lit(_NOISE), F.lit("\n\n12\n\n"), c, F.lit("\nCC BY 4.0 line\n| | |\n12 Chapter 3 | Means\nend  of   it\n\n\n\nlast"))
 
@@ -52,7 +52,7 @@ _column(
     lambda c: F.sha1(cleaning.drop_page_numbers(_noisy(c)).cast("binary")),
     rf"(SELECT sha1(array_to_string(list_filter(l, lambda x, i: NOT (regexp_full_match(x, '\s*\d{{1,4}}\s*') AND regexp_full_match(coalesce(l[i - 1], ''), '\s*') AND regexp_full_match(coalesce(l[i + 1], ''), '\s*'))), chr(10))) FROM (SELECT string_split({_N}, chr(10)) AS l))",
 )
-_column("CL-12_pipe_noise", lambda c: F.sha1(cleaning.drop_pipe_noise(_noisy(c)).cast("binary")), None)
+_column("CL-12_pipe_noise", lambda c: F.sha1(cleaning.drop_pipe_noise(_noisy(c)).cast("binary")), rf"sha1(regexp_replace({_N}, '(?m)^[|\s]{{3,}}$', '', 'g'))")
 _column("CL-8_join_sentences", lambda c: F.sha1(cleaning.join_sentences(c).cast("binary")), r"sha1(regexp_replace(text, '([^.!?:;])\n([a-z])', '\1 \2', 'g'))")
 _column(
     "CL-13_repeated_lines",
@@ -61,18 +61,44 @@ _column(
       FROM (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, lower(regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g')) AS key)) WHERE key = '' OR n <= 2)""",
 )
 _column("CL-14_tidy_space", lambda c: F.sha1(cleaning.tidy_space(_noisy(c)).cast("binary")), rf"sha1(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_N}, '[^\S\n]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)[^\S\n]+$', '', 'g'), '^\s+|\s+$', '', 'g'))")
-_column("CL-15_clean", lambda c: F.sha1(cleaning.clean(_noisy(c)).cast("binary")), None)
-_column("CL-17_noise_ratio", lambda c: F.round(cleaning.noise_ratio(c), 6), rf"CASE WHEN length(text) > 0 THEN round(least(1.0, (len(regexp_extract_all(text, '[\p{{Cc}}\p{{Cf}}]')) + 3 * len(regexp_extract_all(text, '{cleaning.ZERO_WIDTH}')) + 50 * len(regexp_extract_all(text, '(?im)^[^\n]*(?:{'|'.join(cleaning.BOILERPLATE)})[^\n]*'))) / length(text)), 6) ELSE 0.0 END")
+
+
+def _clean_sql(text: str) -> str:
+    """Common table expressions that end in cleaned (doc_id, before, t): all steps of cleaning over a text of documents."""
+    replaced = _replace(text, [*cleaning.MOJIBAKE, *cleaning.LIGATURES.items(), *cleaning.QUOTES.items(), *cleaning.DASHES.items(), *cleaning.LONG_DASHES.items()])
+    steps = [
+        f"regexp_replace(regexp_replace(t, '{cleaning.ZERO_WIDTH}', '', 'g'), '{cleaning.CONTROL}', '', 'g')",
+        r"regexp_replace(t, '-[^\S\n]*\n\s*([a-z])', '\1', 'g')",
+        r"regexp_replace(t, '([^.!?:;])\n([a-z])', '\1 \2', 'g')",
+        "regexp_replace(t, '(?im)^[^\\n]*(?:" + "|".join(cleaning.BOILERPLATE) + ")[^\\n]*', '', 'g')",
+        r"regexp_replace(t, '(?im)^(?:\d{1,4}\s+)?Chapter\s+\d{1,2}\s*\|[^\n]{0,80}$|^[^\n]{0,80}\|\s*Chapter\s+\d{1,2}\s*(?:\d{1,4})?$', '', 'g')",
+        r"(SELECT array_to_string(list_filter(l, lambda x, i: NOT (regexp_full_match(x, '\s*\d{1,4}\s*') AND regexp_full_match(coalesce(l[i - 1], ''), '\s*') AND regexp_full_match(coalesce(l[i + 1], ''), '\s*'))), chr(10)) FROM (SELECT string_split(t, chr(10)) AS l))",
+        r"nfc_normalize(regexp_replace(t, '(?m)^[|\s]{3,}$', '', 'g'))",
+    ]
+    out = f"c0 AS (SELECT doc_id, source, {text} AS before, {replaced} AS t FROM documents)"
+    for i, step in enumerate(steps):
+        out += f", c{i + 1} AS (SELECT doc_id, source, before, {step} AS t FROM c{i})"
+    n = len(steps)
+    out += rf""", l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM c{n}),
+      k AS (SELECT *, lower(regexp_replace(line, '^\s+|\s+$', '', 'g')) AS key FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS n FROM k),
+      j AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM r WHERE key = '' OR n <= 2 GROUP BY doc_id),
+      cleaned AS (SELECT doc_id, source, before, CASE WHEN before = '' THEN before ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(j.t, '[^\S\n]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)[^\S\n]+$', '', 'g'), '^\s+|\s+$', '', 'g') END AS t FROM c{n} JOIN j USING (doc_id))"""
+    return out
+
+
+query("CL-15_clean", f"WITH {_clean_sql(_N)} SELECT doc_id, sha1(t) AS value FROM cleaned")(lambda s, d: docs(s, d).select("doc_id", F.sha1(cleaning.clean(_noisy(F.col("text"))).cast("binary")).alias("value")))
+_NOISE_RATIO = rf"CASE WHEN length(text) > 0 THEN round(least(1.0, (len(regexp_extract_all(text, '[\p{{Cc}}\p{{Cf}}]')) + 3 * len(regexp_extract_all(text, '{cleaning.ZERO_WIDTH}')) + 50 * len(regexp_extract_all(text, '(?im)^[^\n]*(?:{'|'.join(cleaning.BOILERPLATE)})[^\n]*'))) / length(text)), 6) ELSE 0.0 END"
+_column("CL-17_noise_ratio", lambda c: F.round(cleaning.noise_ratio(c), 6), _NOISE_RATIO)
 
 
 @query("CL-16_clean_rows")
 def clean_rows(s: SparkSession, d: str) -> DataFrame:
-    rows = docs(s, d).select("doc_id", "text", F.slice(F.split("text", "\n"), 1, 5).alias("table_texts"))
-    return cleaning.clean_rows(rows, ["text"], ["table_texts"]).select("doc_id", F.sha1(F.col("text").cast("binary")).alias("text_sha1"), F.array_join("table_texts", "|").alias("tables"))
+    rows = docs(s, d).select("doc_id", "text", F.split("text", "\n").alias("table_texts"))
+    return cleaning.clean_rows(rows, ["text"], ["table_texts"]).select("doc_id", F.sha1(F.col("text").cast("binary")).alias("text_sha1"), F.sha1(F.array_join("table_texts", "|").cast("binary")).alias("tables_sha1"))
 
 
 query("CL-18_noisiest")(lambda s, d: cleaning.noisiest(inputs.chunks(s, d)))
-query("SS-15_changed_rows")(lambda s, d: cleaning.changed_rows(inputs.chunks(s, d)).groupBy("book_id").agg(F.sum(F.col("changed").cast("long")).alias("n_changed"), F.count("*").alias("n")))
+query("SS-15_changed_rows", f"WITH {_clean_sql('text')} SELECT source AS book_id, CAST(sum(CAST(t <> before OR {_NOISE_RATIO.replace('text', 'before')} > 0.01 AS INT)) AS BIGINT) AS n_changed, count(*) AS n FROM cleaned GROUP BY 1")(lambda s, d: cleaning.changed_rows(inputs.chunks(s, d)).groupBy("book_id").agg(F.sum(F.col("changed").cast("long")).alias("n_changed"), F.count("*").alias("n")))
 
 
 @query(
@@ -126,11 +152,14 @@ query("DS-16_chapters")(lambda s, d: structure.list_chapters(headings(s, d), inp
 _column("DS-17_formula_lines", lambda c: F.size(structure.formula_lines(c)), r"CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[=√∑∫±≤≥^]') AND length(regexp_replace(x, '^\s+|\s+$', '', 'g')) >= 4)) AS INTEGER)")
 _column("DS-18_table_rows", lambda c: structure.table_rows(F.transform(F.split(c, "\n"), lambda x: F.split(x, r"\|"))), None)
 query("DS-19_descriptions")(
-    lambda s, d: structure.triage_descriptions(docs(s, d).select(F.col("doc_id").alias("_id"), F.posexplode(F.slice(F.split("text", "\n"), 1, 4)).alias("pos", "line")).select("_id", "pos", F.concat(F.element_at(F.array(F.lit("TEXT: "), F.lit("CHART: "), F.lit("NO_CHART "), F.lit("")), (F.col("pos") % 4 + 1).cast("int")), "line").alias("description")))
+    lambda s, d: structure.triage_descriptions(docs(s, d).select(F.col("doc_id").alias("_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("_id", "pos", F.concat(F.element_at(F.array(F.lit("TEXT: "), F.lit("CHART: "), F.lit("NO_CHART "), F.lit("")), (F.col("pos") % 4 + 1).cast("int")), "line").alias("description")))
 )
 _column("DS-20_garbled", structure.garbled, r"coalesce(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / nullif(strlen(text), 0) < 0.4, false)")
 
 
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
 # Chunking.
 @query("CH-1_recursive_split")
 def recursive(s: SparkSession, d: str) -> DataFrame:
@@ -163,11 +192,23 @@ query("CH-7_assembled")(lambda s, d: chunking.assemble(sentence_vectors(s, d).se
 query("CH-8_semantic_quota", "WITH c AS (SELECT doc_id AS _id, source, length(text) >= 1500 AS long, round(n_chars / 7.0, 3) AS density, count(*) OVER (PARTITION BY source) AS n FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source, long ORDER BY density DESC, _id) AS p FROM c) SELECT _id, long AND p <= ceil(n * 0.2) AS chosen FROM r")(
     lambda s, d: chunking.semantic_quota(docs(s, d).select(F.col("doc_id").alias("_id"), "source", "text", F.round(F.col("n_chars") / 7.0, 3).alias("teaching_density")), "source").select("_id", "chosen")
 )
-_column("CH-9_redundant_line", lambda c: chunking.redundant(F.get(F.split(c, "\n"), 0), F.get(F.split(c, "\n"), 1)), None)
-_column("CH-10_embedding_text", lambda c: F.sha1(chunking.embedding_text(c, F.slice(F.split(c, "\n"), 1, 2), F.array(F.lit("A chart of quite other things")), F.lit("x = y")).cast("binary")), None)
-_column("CH-11_repeated_content", lambda c: F.length(chunking.drop_repeated_content(c, F.slice(F.split(c, "\n"), 1, 2))), None)
-query("CH-12_validated")(
-    lambda s, d: chunking.validate(inputs.chunks(s, d).withColumns({"section_title": F.substring("text", 1, 400), "table_texts": F.split("text", "\n"), "image_texts": F.lit(None).cast("array<string>"), "key_terms": F.split("text", " "), "page_end": F.col("page_start") - 2})).select("_id", F.length("text").alias("n"), "page_start", "page_end", F.size("table_texts").alias("n_tables"), F.size("key_terms").alias("n_terms"))
+_column("CH-9_redundant_line", lambda c: chunking.redundant(F.get(F.split(c, "\n"), 0), F.array_join(F.slice(F.split(c, "\n"), 2, F.size(F.split(c, "\n"))), "\n")), None)
+_column("CH-10_embedding_text", lambda c: F.sha1(chunking.embedding_text(c, F.split(c, "\n"), F.array(F.lit("A chart of quite other things")), F.lit("x = y")).cast("binary")), None)
+_column("CH-11_repeated_content", lambda c: F.length(chunking.drop_repeated_content(c, F.filter(F.split(c, "\n"), lambda x, i: i % 2 == 0))), None)
+_column("CH-11_repeated_math", lambda c: F.length(chunking.drop_repeated_math(F.concat(c, F.lit(" z = q")), c, F.array(c))), None)
+def _distinct_sql(items: str, most: int) -> str:
+    """Size of the different non-blank items of a list, at most `most`."""
+    return rf"CAST(least({most}, len(list_distinct(list_filter(list_transform({items}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')))) AS INTEGER)"
+
+
+query(
+    "CH-12_validated",
+    rf"""SELECT doc_id AS _id, CAST(length({_STRIP.format("text")}) AS INTEGER) AS n, CAST(least(length({_STRIP.format("text")}), 4000) AS INTEGER) AS n_math, CAST(length(substr({_STRIP.format("substr(text, 1, 400)")}, 1, 300)) AS INTEGER) AS n_title, CASE WHEN doc_id % 2 = 0 THEN 'Unknown' ELSE source END AS chapter_title,
+      CAST(doc_id - 2 AS INTEGER) AS page_start, CAST(doc_id AS INTEGER) AS page_end, {_distinct_sql("string_split(text, chr(10))", 20)} AS n_tables, {_distinct_sql("string_split(text, ' ')", 30)} AS n_terms FROM documents""",
+)(
+    lambda s, d: chunking.validate(inputs.chunks(s, d).withColumns({"math_text": F.col("text"), "chapter_title": F.when(F.col("_id") % 2 == 0, F.lit(None)).otherwise(F.col("book_id")), "section_title": F.substring("text", 1, 400), "table_texts": F.split("text", "\n"), "image_texts": F.lit(None).cast("array<string>"), "key_terms": F.split("text", " "), "page_end": F.col("page_start") - 2})).select(
+        "_id", F.length("text").alias("n"), F.length("math_text").alias("n_math"), F.length("section_title").alias("n_title"), "chapter_title", "page_start", "page_end", F.size("table_texts").alias("n_tables"), F.size("key_terms").alias("n_terms")
+    )
 )
 query("CH-13_chunk_id", "SELECT doc_id AS _id, substr(sha1(source || ':' || doc_id || ':' || doc_id || ':' || substr(text, 1, 2000)), 1, 24) AS chunk_id FROM documents")(
     lambda s, d: inputs.chunks(s, d).select("_id", chunking.chunk_id(F.col("book_id"), F.col("page_start"), F.col("page_end"), F.col("text")).alias("chunk_id"))
@@ -189,19 +230,33 @@ def cache_misses(s: SparkSession, d: str) -> DataFrame:
     return chunking.cache_split(docs(s, d), cache, key)[1].select("doc_id")
 
 
-# Indexes: the first lines of a text with a sign put in are its formulas, lines with bars its tables.
+# Indexes: every line of a text with a sign put in is a formula, with bars a table, and as it is a figure's description.
 def rich_chunks(s: SparkSession, d: str) -> DataFrame:
     lines = F.split("text", "\n")
     return inputs.chunks(s, d).withColumns(
         {
-            "math_text": F.array_join(F.transform(F.slice(lines, 1, 3), lambda x: F.concat(F.substring(x, 1, 20), F.lit(" = "), F.length(x).cast("string"))), "\n"),
-            "table_texts": F.array(F.concat(F.lit("| Name | Size |\n|---|---|\n| "), F.substring(F.get(lines, 0), 1, 20), F.lit(" | 3 |\n| b | 4 |\n| c | 5 |"))),
-            "image_texts": F.slice(lines, 1, 3),
+            "math_text": F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit(" = "), F.length(x).cast("string"))), "\n"),
+            "table_texts": F.transform(lines, lambda x: F.concat(F.lit("| Name | Size |\n|---|---|\n| "), x, F.lit(" | 3 |\n| b | 4 |\n| c | 5 |"))),
+            "image_texts": lines,
         }
     )
 
 
-_FORMULA = "l AS (SELECT doc_id, i, regexp_replace(substr(x, 1, 20) || ' = ' || length(x), '^\\s+|\\s+$', '', 'g') AS e FROM (SELECT doc_id, unnest(string_split(text, chr(10))[1:3]) AS x, generate_subscripts(string_split(text, chr(10))[1:3], 1) AS i FROM documents))"
+def _entries_sql(entry: str, least: int, most: int | None = None) -> str:
+    """Common table expressions that end in e (doc_id, book_id, place, entry, _id): different entries of each text made from its lines x, as an index keeps them."""
+    normal = r"substr(lower(regexp_replace(entry, '\s+', '', 'g')), 1, 300)"
+    cap = f"WHERE place <= {most}" if most else ""
+    return rf"""lines AS (SELECT doc_id, source AS book_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+      raw AS (SELECT doc_id, book_id, i, {_STRIP.format(entry)} AS entry FROM lines), sized AS (SELECT *, {normal} AS normal FROM raw WHERE length(entry) >= {least}),
+      once AS (SELECT * FROM sized QUALIFY row_number() OVER (PARTITION BY doc_id, normal ORDER BY i) = 1),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM once),
+      keyed AS (SELECT doc_id, book_id, CAST(place AS INTEGER) AS place, entry, substr(sha1(book_id || ':' || doc_id || ':' || normal), 1, 24) AS _id FROM placed {cap}),
+      e AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY _id ORDER BY place) = 1)"""
+
+
+_TABLES = _entries_sql("'| Name | Size |' || chr(10) || '|---|---|' || chr(10) || '| ' || x || ' | 3 |' || chr(10) || '| b | 4 |' || chr(10) || '| c | 5 |'", 30)
+_FIGURES = _entries_sql("x", 20)
+_CAPTION = _STRIP.format(r"regexp_extract(text, '(?im)^\s*(?:Figure|Fig\.)\s+\d+(?:\.\d+)*[^\n]*')")
 
 
 @query("IX-1_formula_candidates")
@@ -210,7 +265,7 @@ def formula_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 _column("IX-2_normal_formula", lambda c: indexes._normal(c), r"substr(lower(regexp_replace(text, '\s+', '', 'g')), 1, 300)")
-query("IX-3_context_sentence")(lambda s, d: docs(s, d).select("doc_id", indexes.context_sentence(F.substring("text", 1, 60), F.col("text")).alias("sentence")))
+query("IX-3_context_sentence")(lambda s, d: docs(s, d).select("doc_id", indexes.context_sentence(F.get(F.split("text", "\n"), 0), F.col("text")).alias("sentence")))
 query("IX-4_entry_id", r"SELECT doc_id, substr(sha1(source || ':' || doc_id || ':' || substr(lower(regexp_replace(text, '\s+', '', 'g')), 1, 300)), 1, 24) AS entry_id FROM documents")(
     lambda s, d: docs(s, d).select("doc_id", chunking.entry_id(F.col("source"), F.col("doc_id"), indexes._normal(F.col("text"))).alias("entry_id"))
 )
@@ -229,32 +284,39 @@ query("IX-16_figure_kinds", "SELECT p_partkey AS batch_id, CAST(p_size % 4 + 1 A
 query("IX-6_batches", "SELECT doc_id AS _id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS BIGINT) AS batch, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 10 + 1 AS INTEGER) AS i FROM documents")(lambda s, d: indexes.number_batches(inputs.chunks(s, d), "book_id").select("_id", "batch", "i"))
 query("IX-8_formula_text", "SELECT p_partkey, p_name || ': x = ' || p_size || ' — ' || p_type AS text FROM part")(lambda s, d: inputs.table(s, d, "part").select("p_partkey", indexes.formula_text(F.col("p_name"), F.concat(F.lit("x = "), F.col("p_size").cast("string")), F.col("p_type")).alias("text")))
 query("IX-9_formulas")(lambda s, d: indexes.build_formulas(rich_chunks(s, d)).select("_id", "book_id", "parent_chunk_id", "place", "formula_latex", "formula_plain"))
-query("IX-10_tables")(lambda s, d: indexes.build_tables(rich_chunks(s, d)).select("_id", "book_id", "parent_chunk_id", "table_summary"))
+query("IX-10_tables", f"WITH {_TABLES} SELECT _id, book_id, doc_id AS parent_chunk_id, 'Name, Size' AS table_summary FROM e")(lambda s, d: indexes.build_tables(rich_chunks(s, d)).select("_id", "book_id", "parent_chunk_id", "table_summary"))
 query("IX-11_headers", r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))[1], ''), '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_full_match(x, '[-: ]+'))[1:10], ',') AS headers FROM documents")(
     lambda s, d: docs(s, d).select("doc_id", F.array_join(indexes.headers(F.col("text")), ",").alias("headers"))
 )
-query("IX-13_table_text")(lambda s, d: indexes.build_tables(rich_chunks(s, d)).select("_id", indexes.table_text(F.col("table_summary"), F.col("headers"), F.col("table_markdown")).alias("text")))
-query("IX-14_table_index")(lambda s, d: indexes.rebuild("tables", rich_chunks(s, d)).select("_id", "table_markdown"))
+query("IX-13_table_text", f"WITH {_TABLES} SELECT _id, 'Name, Size — Name, Size — ' || array_to_string(string_split(entry, chr(10))[1:4], chr(10)) AS text FROM e")(lambda s, d: indexes.build_tables(rich_chunks(s, d)).select("_id", indexes.table_text(F.col("table_summary"), F.col("headers"), F.col("table_markdown")).alias("text")))
+query("IX-14_table_index", f"WITH {_TABLES} SELECT _id, entry AS table_markdown FROM e")(lambda s, d: indexes.rebuild("tables", rich_chunks(s, d)).select("_id", "table_markdown"))
 _column("IX-15_caption", lambda c: indexes.caption(F.concat(c, F.lit("\nFigure 2.3 The end"))), r"regexp_extract(text || chr(10) || 'Figure 2.3 The end', '(?im)^\s*(?:Figure|Fig\.)\s+\d+(?:\.\d+)*[^\n]*')")
-query("IX-17_figure_text")(lambda s, d: indexes.build_figures(rich_chunks(s, d)).select("_id", indexes.figure_text(F.col("figure_kind"), F.col("caption"), F.col("description")).alias("text")))
-query("IX-18_figures")(lambda s, d: indexes.build_figures(rich_chunks(s, d)).select("_id", "book_id", "parent_chunk_id", "description", "caption"))
+query("IX-17_figure_text", f"WITH {_FIGURES} SELECT _id, concat_ws(' — ', nullif({_CAPTION}, ''), entry) AS text FROM e JOIN documents USING (doc_id)")(lambda s, d: indexes.build_figures(rich_chunks(s, d)).select("_id", indexes.figure_text(F.col("figure_kind"), F.col("caption"), F.col("description")).alias("text")))
+query("IX-18_figures", f"WITH {_FIGURES} SELECT _id, book_id, doc_id AS parent_chunk_id, entry AS description, {_CAPTION} AS caption FROM e JOIN documents USING (doc_id)")(lambda s, d: indexes.build_figures(rich_chunks(s, d)).select("_id", "book_id", "parent_chunk_id", "description", "caption"))
 
 
 def exercise_chunks(s: SparkSession, d: str) -> DataFrame:
-    """Texts dressed as exercises: an example with a solution, a practice box, homework with a group stem and options."""
-    line = lambda i: F.substring(F.coalesce(F.get(F.split("text", "\n"), i), F.lit("nothing further")), 1, 60)
+    """Whole texts dressed as exercises: an example with a solution, a practice box, homework with a group stem and options."""
+    whole, flat = F.col("text"), F.regexp_replace("text", r"\s+", " ")
     text = F.concat(
-        F.lit("Example 1."), F.col("_id").cast("string"), F.lit("\nWhat does this text of ours say, in short: "), line(0), F.lit("\nSolution\nIt says "), line(1), F.lit("\nTry It 1.2\nSay it in your own words, please: "), line(2),
-        F.lit("\nHOMEWORK\nUse the following information to answer the next two exercises: A survey of words.\n1. How long is the text that says "), line(0), F.lit("\na. short\nb. long\n2. How is it spelt, this text of words? "), line(1), F.lit("\n3. What else could be said about all of this?"),
+        F.lit("Example 1."), F.col("_id").cast("string"), F.lit("\nWhat does this text of ours say, in short:\n"), whole, F.lit("\nSolution\nIt says\n"), whole, F.lit("\nTry It 1.2\nSay it in your own words, please:\n"), whole,
+        F.lit("\nHOMEWORK\nUse the following information to answer the next two exercises: A survey of words.\n1. How long is the text that says "), flat, F.lit("\na. short\nb. long\n2. How is it spelt, this text of words? "), flat, F.lit("\n3. What else could be said about all of this?"),
     )
     return inputs.chunks(s, d).withColumn("text", text)
 
 
+#: The same text in SQL, and its lines from the homework on.
+_FLAT = r"regexp_replace(text, '\s+', ' ', 'g')"
+_EXERCISES = rf"""x AS (SELECT doc_id, source, 'Example 1.' || doc_id || chr(10) || 'What does this text of ours say, in short:' || chr(10) || text || chr(10) || 'Solution' || chr(10) || 'It says' || chr(10) || text || chr(10) || 'Try It 1.2' || chr(10) || 'Say it in your own words, please:' || chr(10) || text
+    || chr(10) || 'HOMEWORK' || chr(10) || 'Use the following information to answer the next two exercises: A survey of words.' || chr(10) || '1. How long is the text that says ' || {_FLAT} || chr(10) || 'a. short' || chr(10) || 'b. long' || chr(10) || '2. How is it spelt, this text of words? ' || {_FLAT} || chr(10) || '3. What else could be said about all of this?' AS t FROM documents),
+  h AS (SELECT doc_id, source, t, list_filter(string_split(t, chr(10) || 'HOMEWORK' || chr(10))[-1:], lambda y: true)[1] AS rest FROM x)"""
+
+
 query("IX-19_exercises")(lambda s, d: indexes.build_exercises(exercise_chunks(s, d)).select("_id", "parent_chunk_id", "place", "kind", "label", "stem", "solution", F.array_join("options", "|").alias("options"), "inferred_qtype"))
-query("IX-20_group_stems", "SELECT doc_id AS parent_chunk_id, 2 AS n FROM documents")(
+query("IX-20_group_stems", rf"WITH {_EXERCISES} SELECT doc_id AS parent_chunk_id, CAST(least(2, len(regexp_extract_all(rest, '(?m)^\s*\d{{1,3}}\.\s[^\n]{{1}}'))) AS INTEGER) AS n FROM h")(
     lambda s, d: indexes.build_exercises(exercise_chunks(s, d)).where("kind = 'homework' AND stem LIKE 'A survey of words.%'").groupBy("parent_chunk_id").agg(F.count("*").cast("int").alias("n"))
 )
-query("IX-21_exercise_types", "SELECT 'example' AS kind, 'short_answer' AS inferred_qtype, count(*) AS n FROM documents UNION ALL SELECT 'homework', 'mcq', count(*) FROM documents")(
+query("IX-21_exercise_types", rf"WITH {_EXERCISES} SELECT 'example' AS kind, 'short_answer' AS inferred_qtype, CAST(sum(len(regexp_extract_all(t, '(?m)^\s*(?:EXAMPLE|Example)\s+\d+\.\d+\s*$'))) AS BIGINT) AS n FROM h UNION ALL SELECT 'homework', 'mcq', count(*) FROM h WHERE len(regexp_extract_all(rest, '(?m)^\s*[a-d]\.\s')) >= 2")(
     lambda s, d: indexes.build_exercises(exercise_chunks(s, d)).where("kind = 'example' OR inferred_qtype = 'mcq'").groupBy("kind", "inferred_qtype").agg(F.count("*").alias("n"))
 )
 _column("IX-22_junk", indexes.is_junk, r"length(text) < 25 OR regexp_full_match(text, '[\d\s.,%$()/-]+')")
@@ -304,7 +366,8 @@ query("QC-12_capture", "WITH f AS (SELECT lang AS kind, count(*) AS n FROM docum
 query("QC-13_scorecard", "WITH m AS (SELECT lang AS measure, round(avg(CAST(regexp_matches(text, '[0-9]') AS INT)), 4) AS value FROM documents GROUP BY 1) SELECT measure, value, CASE WHEN measure NOT IN ('en', 'de', 'fr') THEN 'SKIP' WHEN value >= 0.3 THEN 'PASS' WHEN value >= 0.1 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM m")(
     lambda s, d: quality.scorecard(docs(s, d).groupBy(F.col("lang").alias("measure")).agg(F.round(F.avg(F.col("text").rlike("[0-9]").cast("double")), 4).alias("value")), {"en": (0.3, 0.1), "de": (0.3, 0.1), "fr": (0.3, 0.1)})
 )
-query("QC-14_markers", "SELECT source AS book_id, count(*) AS n_examples, count(*) AS n_solutions, count(*) AS n_try_its FROM documents GROUP BY 1")(lambda s, d: quality.marker_counts(exercise_chunks(s, d)).select("book_id", "n_examples", "n_solutions", "n_try_its"))
+_MARKS = {"n_examples": r"(?:EXAMPLE|Example)\s+\d+\.\d+", "n_solutions": r"(?:SOLUTION|Solution)(?:\s*\d+\.\d+)?", "n_try_its": r"(?:TRY\s*IT|Try\s*It)(?:\s*\d+\.\d+)?"}
+query("QC-14_markers", f"WITH {_EXERCISES} SELECT source AS book_id, " + ", ".join(rf"CAST(sum(len(regexp_extract_all(t, '(?m)^[ \t]*{m}[ \t]*$'))) AS BIGINT) AS {n}" for n, m in _MARKS.items()) + " FROM x GROUP BY 1")(lambda s, d: quality.marker_counts(exercise_chunks(s, d)).select("book_id", "n_examples", "n_solutions", "n_try_its"))
 
 
 @query("SF-1_cosine", "SELECT x.vec_id AS a, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1")
@@ -318,9 +381,11 @@ _column("SF-16_balanced", T.delimiters_balanced, r"len(regexp_extract_all(text,
 _column("SF-17_needs_latex", T.needs_latex, r"NOT contains(text, '$') AND regexp_matches(text, '[√∑∫±≤≥^]|\bsqrt\(|\\frac|[a-zA-Z]_[a-zA-Z0-9]')")
 _column("SF-24_stem", lambda c: T.stem_of(F.concat(c, F.lit("\nA. one\nB. two"))), r"substr(regexp_replace(regexp_replace(text || chr(10) || 'A. one', '(?s)\n[A-D]\.\s.*$', ''), '^\s+|\s+$', '', 'g'), 1, 500)")
 _column("SF-25_masked", lambda c: F.sha1(T.mask_secrets(F.concat(c, F.lit(" Bearer abc.def key=xyz"))).cast("binary")), r"sha1(regexp_replace(regexp_replace(text || ' Bearer abc.def key=xyz', '(?i)(key=)[^&\s]+', '\1***', 'g'), '(?i)(bearer )\S+', '\1***', 'g'))")
-_column("SF-10_source_labels", lambda c: T.generic_labels(F.concat(F.lit("Table 1.9 shows it; see Figure 2.3. "), F.substring(c, 1, 40))), "'The table below shows it; see the figure below. ' || substr(text, 1, 40)")
-_column("SF-14_table_html", lambda c: T.table_html(F.concat(F.lit("| a | b |\n|---|---|\n| "), F.substring(F.get(F.split(c, r"[\n|]"), 0), 1, 20), F.lit(" | ? |")))["n_blanks"], None)
+_column("SF-10_source_labels", lambda c: T.generic_labels(F.concat(F.lit("Table 1.9 shows it; see Figure 2.3. "), c)), "'The table below shows it; see the figure below. ' || text")
+_column("SF-14_table_html", lambda c: T.table_html(F.concat(F.lit("| a | b |\n|---|---|\n| "), F.regexp_replace(c, r"[\n|?]", " "), F.lit(" | ? |")))["n_blanks"], "1")
 query("IX-7_fallbacks", "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_type END, p_name) AS plain FROM part")(lambda s, d: inputs.table(s, d, "part").select("p_partkey", F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.col("p_name")).alias("plain")))
 query("IX-24_exercise_index")(lambda s, d: indexes.rebuild("exercises", exercise_chunks(s, d)).groupBy("book_id", "kind").agg(F.count("*").alias("n")))
 query("IX-28_rebuilt", "SELECT source AS book_id, count(*) AS n FROM documents GROUP BY 1")(lambda s, d: indexes.rebuild("tables", rich_chunks(s, d).withColumn("table_texts", F.array(F.concat(F.lit("| Name | Size | of the table |\n| "), F.col("_id").cast("string"), F.lit(" | 1 | 2 |"))))).groupBy("book_id").agg(F.count("*").alias("n")))
-query("IX-12_summaries", "SELECT p_partkey AS batch_id, CAST(p_size % 4 + 1 AS INTEGER) AS i FROM part")(lambda s, d: indexes.parse_enrichment(replies(s, d)).select("batch_id", "i"))
+query("IX-12_summaries", "SELECT p_partkey AS batch_id, CAST(p_size % 4 + 1 AS INTEGER) AS i, substr(p_name || ' ' || repeat('x', p_size * 10), 1, 300) AS summary FROM part")(
+    lambda s, d: indexes.parse_summaries(inputs.table(s, d, "part").select(F.col("p_partkey").alias("batch_id"), F.lit(4).alias("batch_size"), F.format_string('Here: [{"i": %d, "table_summary": " %s %s "}, {"i": 7, "table_summary": "outside"}, {"i": 1}]', F.col("p_size") % 4 + 1, F.col("p_name"), F.expr("repeat('x', p_size * 10)")).alias("raw"))).select("batch_id", "i", "summary")
+)

@@ -102,7 +102,7 @@ _TOKENS = r"""list_distinct(list_transform(list_filter(regexp_extract_all(lower(
 def _tokens_sql(c: str) -> str:
     from textbank.functions.text import STOPWORDS
 
-    return _TOKENS.format(c=c, stop=str(STOPWORDS))
+    return _TOKENS.format(c=c, stop=str(list(STOPWORDS)))
 
 
 @query(
