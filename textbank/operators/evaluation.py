@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from textbank.functions.text import let
 
 
 def relevant(page_start: Column, page_end: Column, text: Column, pages: Column, contains: Column) -> Column:
@@ -14,6 +17,39 @@ def relevant(page_start: Column, page_end: Column, text: Column, pages: Column,
     return on_page | held
 
 
+def _triples(text: Column) -> Column:
+    """Array of (w0, w1, w2): every three words in a row, in lower case."""
+    return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.arrays_zip(w.alias("w0"), F.slice(w, 2, F.size(w)).alias("w1"), F.slice(w, 3, F.size(w)).alias("w2")))
+
+
+def shared_triples(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, _id, shared, n: how many of the n different word triples of a query (query_id, text) a document (_id, text) has, if it has any.
+
+    Documents are joined by their triples, so a query meets only what shares one.
+    """
+    triples = lambda rows, key: rows.select(key, F.explode(_triples(F.col("text"))).alias("t")).select(key, *[F.col("t").getField(f).alias(f"w{i}") for i, f in enumerate(rows.select(_triples(F.col("text")).alias("t")).schema["t"].dataType.elementType.names)]).where("w2 IS NOT NULL").select(key, F.xxhash64("w0", "w1", "w2").alias("triple"))
+    own = triples(queries, "query_id").distinct()
+    n = own.groupBy("query_id").agg(F.count("*").alias("n"))
+    met = triples(docs, "_id").join(own, "triple").distinct().groupBy("query_id", "_id").agg(F.count("*").alias("shared"))
+    return met.join(n, "query_id")
+
+
+def judged_by_containment(queries: DataFrame, docs: DataFrame, most: int = 20, specialist: str = "fused") -> tuple[DataFrame, DataFrame]:
+    """(judged, relevant): the `most` documents that share most triples with each query, and all that contain it.
+
+    judged has query_id, _id, specialist, rank and relevant; relevant has query_id
+    and _id. A document that contains a query's text, in any case, has all its
+    triples but those of a word cut at either end, so only such are read again.
+    """
+    met = shared_triples(queries, docs)
+    likely = met.where("shared >= n - 2").join(docs, "_id").join(queries.select("query_id", F.col("text").alias("needle")), "query_id")
+    page = F.lit(None).cast("int")
+    held = likely.where(relevant(page, page, F.col("text"), F.lit(None).cast("array<int>"), F.array("needle"))).select("query_id", "_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "_id"))
+    top = met.withColumn("rank", place).where(F.col("rank") <= most).join(held.withColumn("relevant", F.lit(True)), ["query_id", "_id"], "left")
+    return top.select("query_id", "_id", F.lit(specialist).alias("specialist"), "rank", F.coalesce("relevant", F.lit(False)).alias("relevant")), held
+
+
 def score_queries(judged: DataFrame, pairs: DataFrame, totals: DataFrame, k: int = 8) -> DataFrame:
     """query_id, specialist and hit_at_k, recall_at_k, mrr, ndcg_at_k, n_returned, n_relevant for every row of pairs.
 
@@ -62,8 +98,6 @@ def weakest(scores: DataFrame, specialist: str = "fused", n: int = 3) -> DataFra
 
 def auto_golden(chunks: DataFrame, stride: int = 10) -> DataFrame:
     """query, book_id, pages from every stride-th chunk of a book: its section title and first four key terms, expecting its own pages."""
-    from pyspark.sql.window import Window
-
     place = F.row_number().over(Window.partitionBy("book_id").orderBy("page_start", "_id")) - 1
     return (
         chunks.withColumn("place", place)

@@ -14,12 +14,15 @@ from textbank.plans.registry import query
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared checkpoint folder that the session names."""
+    """df computed once, in the shared checkpoint folder that the session names; a session of one machine may have a temporary one."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
 
 
@@ -110,11 +113,11 @@ def numbers(s: SparkSession, d: str) -> DataFrame:
     return curation.recheck_numbers(q).select("_id", "verdict")
 
 
-@query("QB-16_mcq_numbers", "SELECT p_partkey AS _id, 'B' AS new_answer FROM part WHERE p_size > 0")
+@query("QB-16_mcq_numbers", "SELECT p_partkey AS _id, (['A', 'B', 'C'])[p_size % 3 + 1] AS new_answer FROM part WHERE p_size > 0")
 def mcq_numbers(s: SparkSession, d: str) -> DataFrame:
     p = inputs.table(s, d, "part").where("p_size > 0")
-    text = F.format_string("How large?\nA. %d\nB. %d\nC. %d\nD. nothing", F.col("p_size") * 2, F.col("p_size"), F.col("p_size") * 3)
-    q = p.select(F.col("p_partkey").alias("_id"), text.alias("question_text"), F.lit("mcq").alias("question_type"), F.lit("A").alias("correct_answer"), F.col("p_size").cast("double").alias("computed"), F.lit(None).cast("string").alias("operator"), F.lit(None).cast("double").alias("threshold"))
+    text = F.format_string("How large?\nA. %d\nB. %d\nC. %d\nD. nothing", *[F.col("p_size") * F.when(F.col("p_size") % 3 == i, 1).otherwise(i + 2) for i in range(3)])
+    q = p.select(F.col("p_partkey").alias("_id"), text.alias("question_text"), F.lit("mcq").alias("question_type"), F.lit("D").alias("correct_answer"), F.col("p_size").cast("double").alias("computed"), F.lit(None).cast("string").alias("operator"), F.lit(None).cast("double").alias("threshold"))
     return curation.recheck_numbers(q).select("_id", "new_answer")
 
 
@@ -171,33 +174,41 @@ query("SF-23_stringified", "SELECT p_partkey, 'Size: ' || p_size || '.' AS text
 
 # Marking.
 def scored(s: SparkSession, d: str) -> DataFrame:
-    """Answered questions with vectors of their numbers; the rubric is the question itself."""
-    v = inputs.table(s, d, "embeddings").select((F.col("vec_id") % 250).alias("k"), "embedding", F.col("vec_id"))
-    one, two = v.where("vec_id < 250").select("k", F.col("embedding").alias("answer_embedding")), v.where("vec_id >= 250 AND vec_id < 500").select("k", F.col("embedding").alias("model_embedding"))
-    rows = turns(s, d).withColumn("k", F.col("_id") % 250).join(one, "k").join(two, "k")
+    """Answered questions with two vectors of all those there are, dealt by number; the rubric is the question itself."""
+    v = inputs.table(s, d, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
+    n = v.count()
+    rows = turns(s, d).withColumns({"k": F.col("_id") % n, "m": (F.col("_id") * 7 + n // 2) % n})
+    rows = rows.join(v.withColumnRenamed("embedding", "answer_embedding"), "k", "left").join(v.select(F.col("k").alias("m"), F.col("embedding").alias("model_embedding")), "m", "left")
     return marking.pre_score(rows.select("_id", "question_text", "answer_text", F.col("question_text").alias("rubric"), F.lit(10.0).alias("max_marks"), "answer_embedding", "model_embedding"))
 
 
-_STOP = str(T.RUBRIC_STOPWORDS)
-_KW = f"list_filter(regexp_extract_all(lower(question_text), '\\b[a-z][a-z0-9\\-]{{2,}}\\b'), lambda t: NOT list_contains({_STOP}, t))"
-_ASCII = "WHERE regexp_full_match(question_text || answer_text, '[\\x00-\\x7F]*')"
-_SCORED = f"""{_TURNS}, k AS (SELECT t.*, {_KW} AS kws, regexp_extract_all(lower(answer_text), '\\b[a-z][a-z0-9\\-]*\\b') AS toks, greatest(0.0, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)) AS sim
-  FROM turns t JOIN embeddings a ON a.vec_id = t._id % 250 JOIN embeddings b ON b.vec_id = t._id % 250 + 250 {_ASCII}),
+def replied(s: SparkSession, d: str) -> DataFrame:
+    """scored with a marker's reply of 0 to 11 marks; every seventh cannot be read."""
+    raw = F.when(F.col("_id") % 7 == 0, "no mark").otherwise(F.format_string('{"mark": %d, "feedback": "ok"}', F.col("_id") % 12))
+    return marking.mark_subjective(scored(s, d).withColumn("raw", raw))
+
+
+_STOP = str(list(T.RUBRIC_STOPWORDS))
+#: In SQL a word boundary is one of ASCII words: other letters and digits are made word characters first.
+_WORDS = r"array_to_string(list_transform(string_split(lower({}), ''), lambda c: CASE WHEN c > chr(127) AND regexp_full_match(c, '[\p{{L}}\p{{N}}\p{{M}}]') THEN '_' ELSE c END), '')"
+_KW = f"list_filter(regexp_extract_all({_WORDS.format('question_text')}, '\\b[a-z][a-z0-9\\-]{{2,}}\\b'), lambda t: NOT list_contains({_STOP}, t))"
+_SCORED = f"""{_TURNS}, n AS (SELECT count(*) AS n FROM embeddings), k AS (SELECT t.*, {_KW} AS kws, regexp_extract_all({_WORDS.format('answer_text')}, '\\b[a-z][a-z0-9\\-]*\\b') AS toks, greatest(0.0, round(coalesce(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0.0), 6)) AS sim
+  FROM turns t CROSS JOIN n LEFT JOIN embeddings a ON a.vec_id = t._id % n.n LEFT JOIN embeddings b ON b.vec_id = (t._id * 7 + n.n // 2) % n.n),
   c AS (SELECT *, round(CASE WHEN len(kws) = 0 THEN 0.5 ELSE len(list_filter(kws, lambda t: list_contains(toks, t))) / len(kws) END, 6) AS cov FROM k),
-  r AS (SELECT *, round(0.4 * cov + 0.6 * sim, 4) AS confidence FROM c)"""
-query("MK-3_pre_score", f"WITH {_SCORED} SELECT _id, cov AS keyword_coverage, sim AS semantic_similarity, CASE WHEN sim >= 0.92 AND cov >= 0.6 THEN 'HIGH' WHEN confidence >= 0.55 THEN 'MID' ELSE 'LOW' END AS route FROM r")(
-    lambda s, d: scored(s, d).where("question_text || answer_text RLIKE '^[\\\\x00-\\\\x7F]*$'").select("_id", "keyword_coverage", "semantic_similarity", "route")
+  r AS (SELECT *, round(0.4 * cov + 0.6 * sim, 4) AS confidence FROM c),
+  o AS (SELECT *, CASE WHEN sim >= 0.92 AND cov >= 0.6 THEN 'HIGH' WHEN confidence >= 0.55 THEN 'MID' ELSE 'LOW' END AS route FROM r),
+  m AS (SELECT *, CASE WHEN route = 'HIGH' OR _id % 7 > 0 AND _id % 12 >= 10 THEN 10.0 WHEN _id % 7 = 0 THEN 0.0 ELSE CAST(_id % 12 AS DOUBLE) END AS auto_mark, route <> 'HIGH' AND (route = 'LOW' OR _id % 7 = 0) AS is_flagged FROM o)"""
+query("MK-3_pre_score", f"WITH {_SCORED} SELECT _id, cov AS keyword_coverage, sim AS semantic_similarity, route FROM o")(
+    lambda s, d: scored(s, d).select("_id", "keyword_coverage", "semantic_similarity", "route")
 )
-query("MK-1_keywords", f"SELECT _id, array_to_string({_KW}, ' ') AS keywords FROM (WITH {_TURNS} SELECT * FROM turns) {_ASCII}")(
-    lambda s, d: turns(s, d).where("question_text || answer_text RLIKE '^[\\\\x00-\\\\x7F]*$'").select("_id", F.array_join(T.rubric_keywords(F.col("question_text")), " ").alias("keywords"))
+query("MK-1_keywords", f"WITH {_TURNS} SELECT _id, array_to_string({_KW}, ' ') AS keywords FROM turns")(
+    lambda s, d: turns(s, d).select("_id", F.array_join(T.rubric_keywords(F.col("question_text")), " ").alias("keywords"))
 )
 query("MK-5_objective", "SELECT p_partkey AS _id, CASE WHEN p_size % 3 = 1 THEN 5.0 ELSE 0.0 END AS auto_mark, false AS is_flagged FROM part WHERE p_size % 4 = 0")(
     lambda s, d: marking.mark_objective(raw_questions(s, d).where("n % 4 = 0").withColumns({"question_type": F.lit("mcq"), "max_marks": F.lit(5.0), "answer_text": F.lit("b)")})).select("_id", "auto_mark", "is_flagged")
 )
-query("MK-6_subjective", f"WITH {_SCORED} SELECT _id, CASE WHEN confidence >= 0.55 THEN 4.0 ELSE 4.0 END AS auto_mark, confidence < 0.55 AS is_flagged FROM r")(
-    lambda s, d: marking.mark_subjective(scored(s, d).where("question_text || answer_text RLIKE '^[\\\\x00-\\\\x7F]*$'").withColumn("raw", F.lit('{"mark": 4, "feedback": "ok"}'))).select("_id", "auto_mark", "is_flagged")
-)
-query("MK-7_outcome")(lambda s, d: marking.outcome(marking.mark_subjective(scored(s, d).withColumn("raw", F.lit('{"mark": 4, "feedback": "ok"}')))))
+query("MK-6_subjective", f"WITH {_SCORED} SELECT _id, auto_mark, is_flagged FROM m")(lambda s, d: replied(s, d).select("_id", "auto_mark", "is_flagged"))
+query("MK-7_outcome", f"WITH {_SCORED} SELECT _id, auto_mark, is_flagged, true AS is_marked, '[Route:' || route || ' Conf:' || format('{{:.2f}}', confidence) || '] ' || CASE WHEN route = 'HIGH' THEN 'Full marks.' WHEN _id % 7 = 0 THEN '' ELSE 'ok' END AS auto_feedback FROM m")(lambda s, d: marking.outcome(replied(s, d)))
 query("MK-8_effective", f"WITH {SUBMISSIONS} SELECT _id, round(coalesce(override_mark, auto_mark), 6) AS mark FROM submissions")(lambda s, d: inputs.submissions(s, d).select("_id", F.round(F.coalesce("override_mark", "auto_mark"), 6).alias("mark")))
 
 
@@ -243,13 +254,13 @@ query("QZ-4_timing")(
 query("QZ-5_access", f"WITH {SUBMISSIONS}, a AS (SELECT DISTINCT o_custkey % 150 AS student_id, l_partkey % 100 AS question_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT s._id, a.student_id IS NOT NULL AS allowed FROM submissions s LEFT JOIN a ON a.student_id = s.student_id AND a.question_id = s.question_id")(
     lambda s, d: quizzes.access_verdict(inputs.submissions(s, d), inputs.submissions(s, d).where("false").select("student_id", "question_id"), _lines(s, d).select("student_id", F.explode("question_ids").alias("question_id"))).select("_id", "allowed")
 )
-query("QZ-6_merged_drafts", "SELECT o_orderkey, 'new' AS a, 'old' AS b FROM orders")(
-    lambda s, d: inputs.table(s, d, "orders").select("o_orderkey", quizzes.merge_drafts(F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("old")), F.create_map(F.lit("a"), F.lit("new"), F.lit("z"), F.col("o_orderstatus")), F.array(F.lit("a"), F.lit("b"))).alias("m")).select("o_orderkey", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
+query("QZ-6_merged_drafts", "SELECT o_orderkey, o_orderstatus AS a, 'old ' || o_orderpriority AS b FROM orders")(
+    lambda s, d: inputs.table(s, d, "orders").select("o_orderkey", quizzes.merge_drafts(F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.concat(F.lit("old "), "o_orderpriority")), F.create_map(F.lit("a"), F.col("o_orderstatus"), F.lit("z"), F.lit("new")), F.array(F.lit("a"), F.lit("b"))).alias("m")).select("o_orderkey", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
 )
 query("QZ-7_hidden", "SELECT o_orderkey AS _id, CASE WHEN any_value(o_orderpriority) = '5-LOW' OR o_orderkey % 4 = 0 THEN count(*) ELSE 0 END AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")(
     lambda s, d: quizzes.hide_timed(inputs.quizzes(s, d), inputs.quizzes(s, d).where("_id % 4 = 0").select(F.col("_id").alias("quiz_id"), "student_id")).select("_id", F.size("question_ids").cast("long").alias("n"))
 )
-query("MK-2_coverage", f"WITH {_SCORED} SELECT _id, cov AS keyword_coverage FROM r")(lambda s, d: scored(s, d).where("question_text || answer_text RLIKE '^[\\\\x00-\\\\x7F]*$'").select("_id", "keyword_coverage"))
-query("MK-4_routes", f"WITH {_SCORED} SELECT CASE WHEN sim >= 0.92 AND cov >= 0.6 THEN 'HIGH' WHEN confidence >= 0.55 THEN 'MID' ELSE 'LOW' END AS route, count(*) AS n FROM r GROUP BY 1")(
-    lambda s, d: scored(s, d).where("question_text || answer_text RLIKE '^[\\\\x00-\\\\x7F]*$'").groupBy("route").agg(F.count("*").alias("n"))
+query("MK-2_coverage", f"WITH {_SCORED} SELECT _id, cov AS keyword_coverage FROM r")(lambda s, d: scored(s, d).select("_id", "keyword_coverage"))
+query("MK-4_routes", f"WITH {_SCORED} SELECT route, count(*) AS n FROM o GROUP BY 1")(
+    lambda s, d: scored(s, d).groupBy("route").agg(F.count("*").alias("n"))
 )

@@ -163,37 +163,35 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.similar_pairs(inputs.vectors(spark, sf_dir), "chapter_num", 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
-# Evaluation: each benchmark item is a query whose relevant documents contain it; documents that share its rarest words are what is returned.
-_JUDGED = """r AS (
-  SELECT b.item_id AS query_id, d.doc_id AS _id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank, contains(lower(d.text), lower(b.text)) AS relevant
-  FROM benchmark b JOIN documents d ON b.item_id % 20 = d.doc_id % 20
-), t AS (SELECT query_id, count(*) FILTER (relevant) AS total FROM r GROUP BY 1), top AS (SELECT * FROM r)"""
+# Evaluation: each benchmark item is a query; the 20 documents of all that share most word triples with it are returned, relevant are those that contain it.
+_JUDGED = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+  dt AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(generate_series(1, len(w) - 2)) AS t(i)),
+  bt AS (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM bw, unnest(generate_series(1, len(w) - 2)) AS t(i)),
+  met AS (SELECT item_id AS query_id, doc_id AS _id, count(*) AS shared FROM bt JOIN dt USING (g) GROUP BY 1, 2),
+  held AS (SELECT b.item_id AS query_id, d.doc_id AS _id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
+  r AS (SELECT met.query_id, met._id, row_number() OVER (PARTITION BY met.query_id ORDER BY shared DESC, met._id) AS rank, held._id IS NOT NULL AS relevant FROM met LEFT JOIN held ON held.query_id = met.query_id AND held._id = met._id),
+  t AS (SELECT item_id AS query_id, count(held._id) AS total FROM benchmark LEFT JOIN held ON held.query_id = item_id GROUP BY 1), top AS (SELECT * FROM r WHERE rank <= 20)"""
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents dealt to the items by their number, in order of id, with their relevance."""
-    from pyspark.sql.window import Window
-
-    b = inputs.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"), (F.col("item_id") % 20).alias("g"))
-    d = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_id"), "text", (F.col("doc_id") % 20).alias("g"))
-    page = F.lit(None).cast("int")
-    rel = evaluation.relevant(page, page, F.col("text"), F.lit(None).cast("array<int>"), F.array("needle"))
-    return d.join(b, "g").select("query_id", "_id", F.row_number().over(Window.partitionBy("query_id").orderBy("_id")).alias("rank"), rel.alias("relevant"), F.lit("fused").alias("specialist"))
+def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The benchmark's items as queries over all documents: (queries, judged, relevant)."""
+    b = inputs.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    d = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_id"), "text")
+    return b, *evaluation.judged_by_containment(b, d)
 
 
 _SCORES = (
     f"WITH {_JUDGED}, g AS (SELECT query_id, max(CASE WHEN rank <= 8 AND relevant THEN 1.0 ELSE 0.0 END) AS hit, count(*) FILTER (rank <= 8 AND relevant) AS found, min(rank) FILTER (relevant) AS first, "
     "sum(CASE WHEN rank <= 8 AND relevant THEN 1 / log2(rank + 1) ELSE 0.0 END) AS dcg, count(*) FILTER (relevant) AS n_relevant, count(*) AS n_returned FROM top GROUP BY 1), "
-    "scores AS (SELECT query_id, 'fused' AS specialist, CAST(hit AS DOUBLE) AS hit_at_k, round(CASE WHEN total > 0 THEN found / total ELSE 0.0 END, 6) AS recall_at_k, round(coalesce(1 / first, 0.0), 6) AS mrr, "
-    "round(CASE WHEN n_relevant > 0 THEN dcg / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n_relevant, 8) + 1)]) ELSE 0.0 END, 6) AS ndcg_at_k, n_returned, n_relevant FROM g JOIN t USING (query_id))"
+    "scores AS (SELECT query_id, 'fused' AS specialist, CAST(coalesce(hit, 0) AS DOUBLE) AS hit_at_k, round(CASE WHEN total > 0 THEN coalesce(found, 0) / total ELSE 0.0 END, 6) AS recall_at_k, round(coalesce(1 / first, 0.0), 6) AS mrr, "
+    "round(CASE WHEN n_relevant > 0 THEN dcg / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n_relevant, 8) + 1)]) ELSE 0.0 END, 6) AS ndcg_at_k, coalesce(n_returned, 0) AS n_returned, coalesce(n_relevant, 0) AS n_relevant FROM t LEFT JOIN g USING (query_id))"
 )
 
 
 @query("EV-6_query_scores", _SCORES + " SELECT * FROM scores")
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = judged(spark, sf_dir)
-    totals = j.groupBy("query_id").agg(F.sum(F.col("relevant").cast("int")).alias("total_relevant"))
-    return evaluation.score_queries(j, j.select("query_id", "specialist").distinct(), totals)
+    queries, found, held = judged(spark, sf_dir)
+    return evaluation.score_queries(found, queries.select("query_id", F.lit("fused").alias("specialist")), held.groupBy("query_id").agg(F.count("*").alias("total_relevant")))
 
 
 @query("EV-7_mean_scores", _SCORES + " SELECT specialist, round(avg(hit_at_k), 4) AS hit_at_k, round(avg(recall_at_k), 4) AS recall_at_k, round(avg(mrr), 4) AS mrr, round(avg(ndcg_at_k), 4) AS ndcg_at_k, count(*) AS n_queries FROM scores GROUP BY 1")
@@ -206,9 +204,9 @@ def weakest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.weakest(scores(spark, sf_dir))
 
 
-@query("EV-1_relevance", f"WITH {_JUDGED} SELECT query_id, _id FROM r WHERE relevant")
+@query("EV-1_relevance", f"WITH {_JUDGED} SELECT query_id, _id FROM held")
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(spark, sf_dir).where("relevant").select("query_id", "_id")
+    return judged(spark, sf_dir)[2]
 
 
 @query(
