@@ -155,8 +155,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, component (least node it is linked with) for the nodes of links (a, b), by alternating large and small stars."""
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -164,22 +163,24 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a").where("b <> m")
         edges = cut(joined.select("b", "m").toDF("a", "b").unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return cut(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct())
 
 
-def _labels(links: DataFrame, rounds: int = 2) -> DataFrame:
-    """node, component: a node that links (a, b) lead to, the same for most nodes of a component; cheaper than components."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
-    for _ in range(rounds):
-        # The least label of the neighbours is never more than the own.
-        label = both.join(label.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
-    return label.toDF("node", "component")
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (a, b) with b < a are stars: no a has two b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """component (node, component) with the links (a, b) between nodes added: whole components are joined, not their nodes anew."""
+    of = component.toDF("a", "x")
+    ends = links.join(of, "a", "left").join(of.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    joined = components(ends)
+    own = component.unionByName(joined.select("node", F.col("node").alias("component")).join(component, "node", "left_anti"))
+    new = own.join(joined.toDF("component", "new"), "component", "left")
+    return cut(new.select("node", F.coalesce("new", "component").alias("component")))
 
 
 def _possible(x: str, y: str) -> Column:
@@ -284,8 +285,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     stars = compared(cut(stars.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()))
     links = stars.where("linked").select("a", "b")
 
-    # Then every pair of a list that may lie in two components: sets outside a list's largest one against the list.
-    labelled = cut(entries.join(_labels(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    component = components(links)
+
+    # Then every pair of a list that lies in two components: sets outside a list's largest component against the list.
+    labelled = cut(entries.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
     largest = labelled.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("m"), F.sum("k").alias("k"))
     largest = largest.where("m > 1").join(hubs.select("token", F.col("node").alias("hub"), F.col("n").alias("hub_n")), "token")
     open_ = labelled.join(cut(largest.select("token", "largest", "k", "hub", "hub_n")), "token").withColumn("outer", F.col("component") != F.col("largest"))
@@ -293,8 +296,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rest = _rest(open_.withColumn("shared", F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.col("shared"))).drop("a", "b", "hub", "largest"))
     rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.unionByName(compared(rest.where("NOT sure")).where("linked").select("a", "b")).unionByName(rest.where("sure").select("a", "b"))
-    component = components(links)
+        more = cut(compared(rest.where("NOT sure")).where("linked").select("a", "b").unionByName(rest.where("sure").select("a", "b")))
+        if not more.isEmpty():
+            component = _merged(component, more)
 
     # Only linked classes have another component than their own.
     members = cut(component.join(classes, "node").select("node", "doc_id", "component"))
