@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textbank.functions.text import matches, strip, text_or_empty
+from textbank.operators.folds import fold_sorted
 
 #: Forms of a chapter heading, most certain first; number, then title.
 CHAPTER_FORMS = [
@@ -123,29 +123,29 @@ def table_rows(grid: Column, least: float = 0.2) -> Column:
 def latch_chapters(headings: DataFrame, rule: str = "next") -> DataFrame:
     """book_id, page, num, title, accepted of headings (book_id, page, num, title).
 
-    In page order a heading is accepted if it is a book's first, repeats the
-    current chapter, or, by rule "next", is the next one, or goes back to 1 once;
-    by rule "near" it is at most three further. One row a heading; a book's
-    headings are few, and only they are gathered.
+    In order of page, number and title a heading is accepted if it is a book's
+    first, repeats the current chapter, or, by rule "next", is the next one, or
+    goes back to 1 once; by rule "near" it is at most three further. One row a
+    heading. A book's headings stream through one task, which keeps the current
+    number only.
     """
-    rows = F.array_sort(F.collect_list(F.struct("page", "num", "title")))
-    empty = "struct<current:int,restarted:boolean,out:array<struct<page:int,num:int,title:string,accepted:boolean>>>"
-    start = F.struct(F.lit(None).cast("int").alias("current"), F.lit(False).alias("restarted"), F.array().alias("out")).cast(empty)
-
-    def step(state: Column, x: Column) -> Column:
-        current = state["current"]
-        if rule == "next":
-            restart = (x["num"] == 1) & ~state["restarted"]
-            ok = current.isNull() | (x["num"] == current) | (x["num"] == current + 1) | restart
-            restarted = state["restarted"] | (current.isNotNull() & (x["num"] == 1) & (current != 1))
+
+    def step(state: tuple, row: dict) -> tuple:
+        current, restarted = state
+        num = row["num"]
+        if current is None:
+            ok = True
+        elif rule == "next":
+            ok = num in (current, current + 1) or (num == 1 and not restarted)
         else:
-            ok = current.isNull() | x["num"].between(current, current + 3)
-            restarted = state["restarted"]
-        row = F.struct(x["page"].cast("int").alias("page"), x["num"].cast("int").alias("num"), x["title"].alias("title"), ok.alias("accepted"))
-        return F.struct(F.when(ok, x["num"]).otherwise(current).cast("int").alias("current"), (F.when(ok, restarted).otherwise(state["restarted"])).alias("restarted"), F.concat(state["out"], F.array(row)).alias("out")).cast(empty)
+            ok = current <= num <= current + 3
+        if ok:
+            restarted = restarted or (rule == "next" and current is not None and num == 1 and current != 1)
+            current = num
+        return (current, restarted), [row | {"accepted": ok}]
 
-    folded = headings.where("num IS NOT NULL").groupBy("book_id").agg(F.aggregate(rows, start, step)["out"].alias("out"))
-    return folded.select("book_id", F.inline("out"))
+    rows = headings.where("num IS NOT NULL").select("book_id", F.col("page").cast("int").alias("page"), F.col("num").cast("int").alias("num"), "title")
+    return fold_sorted(rows, ["book_id"], ["page", "num", "title"], lambda: (None, False), step, rows.schema.add("accepted", "boolean"))
 
 
 def carry_forward(pages: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -172,23 +172,30 @@ def pack_pages(pages: DataFrame, size: int = 3000) -> DataFrame:
     """book_id, segment, block, page_start, page_end, text: pages joined greedily until a block has `size` characters or a boundary comes.
 
     pages has book_id, page, text, boundary (the page opens a chapter or section).
-    Segments between boundaries are packed on their own, so a book spreads over tasks.
+    A book's pages stream through one task, which holds one block at a time.
     """
-    segment = F.sum(F.coalesce(F.col("boundary"), F.lit(False)).cast("int")).over(Window.partitionBy("book_id").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, held, length = [], [], 0
-        for page, text in rows.sort_values("page")[["page", "text"]].itertuples(index=False):
-            held.append((page, text or ""))
-            length += len(text or "")
-            if length >= size:
-                out.append(held)
-                held, length = [], 0
-        blocks = [*out, held] if held else out
-        return pd.DataFrame([(key[0], key[1], i, b[0][0], b[-1][0], "\n".join(t for _, t in b)) for i, b in enumerate(blocks)], columns=["book_id", "segment", "block", "page_start", "page_end", "text"])
-
-    keyed = pages.withColumn("segment", segment).select("book_id", "segment", F.col("page").cast("long").alias("page"), "text")
-    return keyed.groupBy("book_id", "segment").applyInPandas(pack, "book_id string, segment long, block long, page_start long, page_end long, text string")
+    def step(state: dict, row: dict) -> tuple:
+        out = []
+        if row["boundary"]:
+            out = flush(state)
+            state["segment"] += 1
+            state["block"] = 0
+        state["book_id"] = row["book_id"]
+        state["pages"].append(row["page"])
+        state["texts"].append(row["text"] or "")
+        state["length"] += len(row["text"] or "")
+        return state, out + (flush(state) if state["length"] >= size else [])
+
+    def flush(state: dict) -> list[dict]:
+        if not state["pages"]:
+            return []
+        row = {"book_id": state["book_id"], "segment": state["segment"], "block": state["block"], "page_start": state["pages"][0], "page_end": state["pages"][-1], "text": "\n".join(state["texts"])}
+        state.update(block=state["block"] + 1, pages=[], texts=[], length=0)
+        return [row]
+
+    rows = pages.select("book_id", F.col("page").cast("long").alias("page"), "text", F.coalesce("boundary", F.lit(False)).alias("boundary"))
+    start = lambda: {"book_id": None, "segment": 0, "block": 0, "pages": [], "texts": [], "length": 0}
+    return fold_sorted(rows, ["book_id"], ["page"], start, step, "book_id string, segment long, block long, page_start long, page_end long, text string", flush)
 
 
 def keep_blocks(blocks: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from textbank.operators.folds import fold_sorted
+
 
 def once_only(rows: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """The first row of each key; on a stream, among rows that come within the delay (beyond it, append_new() of the sources keeps a table unique)."""
@@ -59,7 +61,7 @@ def stale(heartbeats: DataFrame, key: str, now: Column, seconds: int = 600, ts:
     return heartbeats.groupBy(F.col(key).alias("key")).agg(F.max(ts).alias("last")).where(F.unix_timestamp(now) - F.unix_timestamp("last") > seconds)
 
 
-# The sliding limit: a hit over the limit is flagged and not recorded.
+# The sliding limit: a hit over the limit is flagged and not recorded. held has the times of the last unlimited hits, `most` at most.
 def _limit(times: list[float], held: list[float], most: int, seconds: float) -> tuple[list[bool], list[float]]:
     over = []
     for t in times:
@@ -76,20 +78,15 @@ LIMITED = "key string, ts timestamp, limited boolean"
 def limit_hits(rows: DataFrame, most: int, seconds: int = 60) -> DataFrame:
     """key, ts, limited for each hit (key, ts): whether the key had `most` unlimited hits in the time before it.
 
-    After a pause of the whole time a key starts afresh, so each run between
-    pauses is worked on by itself.
+    A key's hits stream through one task in order of time, which keeps `most` times.
     """
-    own = Window.partitionBy("key").orderBy("ts")
-    pause = F.coalesce((F.col("ts").cast("timestamp").cast("double") - F.lag("ts").over(own).cast("timestamp").cast("double") >= seconds).cast("int"), F.lit(0))
-    runs = rows.select(F.col("key").cast("string").alias("key"), "ts").withColumn("run", pause)
-    runs = runs.withColumn("run", F.sum("run").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        over, _ = _limit([t.timestamp() for t in pdf["ts"]], [], most, seconds)
-        return pdf[["key", "ts"]].assign(limited=over)
+    def step(held: list[float], row: dict) -> tuple:
+        over, held = _limit([row["ts"].timestamp()], held, most, seconds)
+        return held, [row | {"limited": over[0]}]
 
-    return runs.groupBy("key", "run").applyInPandas(of, LIMITED)
+    own = rows.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return fold_sorted(own, ["key"], ["ts"], list, step, LIMITED)
 
 
 def limit_hits_stream(rows: DataFrame, most: int, seconds: int = 60) -> DataFrame:
@@ -129,21 +126,25 @@ OUTCOMES = "key string, ts timestamp, outcome string"
 
 
 def lockouts(rows: DataFrame, most: int = 10, seconds: int = 300) -> DataFrame:
-    """key, ts, outcome of each login attempt (key, ts, ok): success, failure, locked, or rejected while locked."""
+    """key, ts, outcome of each login attempt (key, ts, ok): success, failure, locked, or rejected while locked.
+
+    Of attempts at one time, failures come first. A key's attempts stream through
+    one task, which keeps the failures in a row and the end of the lock.
+    """
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        out, _, _ = _lockout([(t.timestamp(), bool(ok)) for t, ok in zip(pdf["ts"], pdf["ok"], strict=True)], 0, 0.0, most, seconds)
-        return pdf[["key", "ts"]].assign(outcome=out)
+    def step(state: tuple, row: dict) -> tuple:
+        out, failures, until = _lockout([(row["ts"].timestamp(), bool(row["ok"]))], *state, most, seconds)
+        return (failures, until), [{"key": row["key"], "ts": row["ts"], "outcome": out[0]}]
 
-    return rows.select(F.col("key").cast("string").alias("key"), "ts", "ok").groupBy("key").applyInPandas(of, OUTCOMES)
+    own = rows.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce("ok", F.lit(False)).alias("ok"))
+    return fold_sorted(own, ["key"], ["ts", "ok"], lambda: (0, 0.0), step, OUTCOMES)
 
 
 def lockouts_stream(rows: DataFrame, most: int = 10, seconds: int = 300) -> DataFrame:
     """lockouts on a stream; the state is the failures in a row and the end of the lock."""
 
     def of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("ts")
+        pdf = pd.concat(list(batches)).sort_values(["ts", "ok"])
         failures, until = state.get if state.exists else (0, 0.0)
         out, failures, until = _lockout([(t.timestamp(), bool(ok)) for t, ok in zip(pdf["ts"], pdf["ok"], strict=True)], failures, until, most, seconds)
         state.update((failures, until))
