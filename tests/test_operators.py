@@ -200,3 +200,128 @@ def test_golden(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "p.txt").write_text("a\nb")
     assert tables.read_pages(spark, f"{tmp_path}/t", "text").first()["text"] == "a\nb"
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.92])
+def test_similar_pairs_against_all_pairs(spark, threshold, monkeypatch):
+    """Clusters of near vectors, one of them with a third of all rows, unusable vectors, and several parts a cell."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "HELD", 16)
+    monkeypatch.setattr(retrieval, "PIVOTS", 7)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(9, 12))
+    v = np.concatenate([centres[rng.integers(0, 9, 120)] + 0.25 * rng.normal(size=(120, 12)), centres[0] + 0.2 * rng.normal(size=(60, 12))])
+    rows = [(i, f"c{i % 2}", x.tolist()) for i, x in enumerate(v)] + [(900, "c0", None), (901, "c0", []), (902, "c1", [0.0] * 12)]
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    table = spark.createDataFrame(rows, "_id long, chapter string, embedding array<double>").repartition(5)
+    for scope in ("chapter", None):
+        got = {(r["a"], r["b"]): r["similarity"] for r in retrieval.similar_pairs(table, scope, threshold).collect()}
+        want = {(a, b): float(unit[a] @ unit[b]) for a in range(180) for b in range(a + 1, 180) if unit[a] @ unit[b] >= threshold and (scope is None or a % 2 == b % 2)}
+        assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want) and len(want) > 100
+    assert retrieval.similar_pairs(table.where("false"), None, threshold).collect() == []
+
+
+def test_vector_topk_in_blocks(spark, monkeypatch):
+    """Blocks smaller than a scope, equal vectors, unusable ones, and struct ids."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 5)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 8))
+    v[10:20] = v[3]
+    rows = spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(v)] + [(70, 0, None), (71, 1, [0.0] * 8)], "_id long, chapter int, embedding array<double>")
+    queries = rows.where("_id % 7 = 0 OR _id = 70").withColumnRenamed("_id", "query_id")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    near = lambda q, of: [i for _, i in sorted((-round(float(unit[q] @ unit[i]), 9), i) for i in of)][:4]
+    for scope, pre in (((), True), (("chapter",), True), (("chapter",), False)):
+        got = {}
+        for r in sorted(retrieval.vector_topk(queries, rows, 4, scope, pre).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append(r["_id"])
+        for q in range(0, 60, 7):
+            if scope and pre:
+                assert got[q] == near(q, range(q % 3, 60, 3))
+            else:
+                assert got.get(q, []) == [i for i in near(q, range(60)) if not scope or i % 3 == q % 3]
+
+
+def test_latch_against_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"b{b}", p, rng.choice((1, 1, 2, 3, 4, 5, 9)), "T") for b in range(4) for p in range(60)]
+    for rule in ("next", "near"):
+        got = {(r["book_id"], r["page"]): r["accepted"] for r in structure.latch_chapters(spark.createDataFrame(rows, "book_id string, page int, num int, title string").repartition(3), rule).collect()}
+        for b in range(4):
+            current, restarted = None, False
+            for book, page, num, _ in rows:
+                if book != f"b{b}":
+                    continue
+                if rule == "near":
+                    ok = current is None or current <= num <= current + 3
+                else:
+                    ok = current is None or num in (current, current + 1) or (num == 1 and not restarted)
+                if ok:
+                    restarted = restarted or (current is not None and num == 1 and current != 1)
+                    current = num
+                assert got[book, page] == ok
+
+
+def test_limits_and_lockouts_against_loops(spark):
+    """Histories of one key that make many batches; equal times among them."""
+    import datetime
+    import random
+
+    from textbank.streaming import operators as streams
+
+    rng = random.Random(4)
+    start = datetime.datetime(2024, 1, 1)
+    hits = sorted((f"k{rng.randrange(3)}", start + datetime.timedelta(seconds=rng.randrange(4000)), rng.random() < 0.3) for _ in range(1500))
+    table = spark.createDataFrame(hits, "key string, ts timestamp, ok boolean").repartition(4)
+    limited = sorted((r["key"], r["ts"], r["limited"]) for r in streams.limit_hits(table.select("key", "ts"), 3, 60).collect())
+    outcomes = sorted((r["key"], r["ts"], r["outcome"]) for r in streams.lockouts(table, 5, 120).collect())
+    want_limited, want_outcomes = [], []
+    for k in ("k0", "k1", "k2"):
+        held, failures, until = [], 0, start
+        for key, ts, ok in hits:
+            if key != k:
+                continue
+            held = [h for h in held if (ts - h).total_seconds() < 60]
+            want_limited.append((key, ts, len(held) >= 3))
+            if len(held) < 3:
+                held.append(ts)
+            if ts < until:
+                want_outcomes.append((key, ts, "rejected"))
+            elif ok:
+                failures = 0
+                want_outcomes.append((key, ts, "success"))
+            else:
+                failures += 1
+                want_outcomes.append((key, ts, "locked" if failures >= 5 else "failure"))
+                if failures >= 5:
+                    failures, until = 0, ts + datetime.timedelta(seconds=120)
+    assert limited == sorted(want_limited) and outcomes == sorted(want_outcomes)
+
+
+def test_validation_keeps_whole_texts(spark):
+    from textbank.operators import chunking
+
+    row = spark.createDataFrame([(" " + "x" * 10_000 + " ", "m" * 5000, None, "s" * 400, ["a", " a ", "", "b"], None, ["t"] * 40, 9, 3)], "text string, math_text string, chapter_title string, section_title string, table_texts array<string>, image_texts array<string>, key_terms array<string>, page_start int, page_end int")
+    r = chunking.validate(row).first()
+    assert (len(r["text"]), len(r["math_text"]), r["chapter_title"], len(r["section_title"]), r["table_texts"], r["image_texts"], r["key_terms"], r["page_start"], r["page_end"]) == (10_000, 4000, "Unknown", 300, ["a", "b"], [], ["t"], 3, 9)
+
+
+def test_cleaning_of_long_runs(spark):
+    """White space of 100,000 characters in a row costs no more than its length."""
+    import time
+
+    from textbank.operators import cleaning
+
+    texts = ["a" + " " * 100_000 + "b", "a-" + "\n" * 100_000 + "B", "x\n" + " \n" * 50_000 + "y", "|" * 100_000 + " z", "1\n" * 50_000]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    table.select(cleaning.clean(F.col("t"))).collect()
+    began = time.time()
+    got = [r[0] for r in table.orderBy("i").select(cleaning.clean(F.col("t"))).collect()]
+    assert time.time() - began < 20
+    assert got[0] == "a b" and got[1].startswith("a-") and got[3] == texts[3] and got[4] == "1\n1"

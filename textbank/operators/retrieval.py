@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from textbank.functions.text import distinct_tokens, matches
@@ -49,33 +52,90 @@ FIELDS = {
 }
 
 
+#: Queries and rows in a block: 512 * 4096 similarities take 16 MB.
+QUERY_BLOCK, ROW_BLOCK = 512, 4096
+
+
+def _units(vectors: pa.Array) -> np.ndarray:
+    """Vectors, none of them null or of another length than the first, as rows of length one in double precision."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    """Rows whose embedding has a length other than zero and no null inside."""
+    e = F.col("embedding")
+    return rows.where(F.coalesce((F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull()) & F.exists(e, lambda x: x != 0), F.lit(False)))
+
+
+def _blocks(rows: DataFrame, key: str, scope: tuple[str, ...], size: int) -> DataFrame:
+    """ids, matrix (packed doubles), width and the scope columns: rows of one scope and vector length in blocks of `size`."""
+    rows = _usable(rows).select(key, *scope, "embedding", F.size("embedding").alias("width"))
+    by = [*scope, "width"]
+    if scope:  # a hot scope is dealt to many tasks
+        rows = rows.repartition(*by, F.pmod(F.xxhash64(key), F.lit(64)))
+    rows = rows.sortWithinPartitions(*by)
+    kind = StructType([StructField("ids", ArrayType(rows.schema[key].dataType)), *(rows.schema[c] for c in by), StructField("matrix", BinaryType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            start = 0
+            for i in range(1, batch.num_rows + 1):
+                if i == batch.num_rows or i - start == size or marks[i] != marks[start]:
+                    part = batch.slice(start, i - start)
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                    yield pa.RecordBatch.from_arrays([ids, *(part.column(c).slice(0, 1) for c in by), pa.array([_units(part.column("embedding")).tobytes()], pa.binary())], names=["ids", *by, "matrix"])
+                    start = i
+
+    return rows.mapInArrow(pack, kind)
+
+
 def vector_topk(queries: DataFrame, rows: DataFrame, k: int = 5, scope: tuple[str, ...] = (), pre_filter: bool = True) -> DataFrame:
     """query_id, _id, similarity, rank: the k rows most similar to each query, exactly.
 
     queries has query_id, embedding and the scope columns; rows has _id, embedding
     and them. With pre_filter the scope limits what is ranked, else it filters the
-    k best of all. Rows and queries without a usable vector are left out. Ties go
-    to the smaller _id.
+    k best of all. Rows and queries without a usable vector are left out, and only
+    vectors of one length meet. Ties go to the smaller _id. Blocks of queries meet
+    blocks of rows in one matrix product each, of which the k best go on.
     """
-    q = queries.select("query_id", *(F.col(c).alias(f"q_{c}") for c in scope), unit(F.col("embedding")).alias("q")).where("q IS NOT NULL")
-    r = rows.select("_id", *scope, unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
-    inside = reduce(lambda a, b: a & b, [F.col(f"q_{c}") == F.col(c) for c in scope], F.lit(True))
-    pairs = r.join(q, inside if pre_filter and scope else F.lit(True))
+    inner = scope if pre_filter else ()
+    q = _blocks(queries, "query_id", inner, QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "matrix": "query_matrix"})
+    pairs = _blocks(rows, "_id", inner, ROW_BLOCK).join(q, [*inner, "width"])
+    kind = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("_id", rows.schema["_id"].dataType), StructField("exact", DoubleType())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, query_ids = batch.column("ids")[i].values, batch.column("query_ids")[i].values
+                width = batch.column("width")[i].as_py()
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, width) for c in ("query_matrix", "matrix"))
+                exact = np.round(x @ y.T, 12)
+                by_id = pc.sort_indices(ids).to_numpy()
+                top = by_id[np.argsort(-exact[:, by_id], axis=1, kind="stable")[:, :k]]
+                own = np.repeat(np.arange(len(x)), top.shape[1])
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(own)), ids.take(pa.array(top.reshape(-1))), pa.array(exact[own, top.reshape(-1)])], names=["query_id", "_id", "exact"])
+
     own = Window.partitionBy("query_id").orderBy(F.desc("exact"), "_id")
-    ranked = pairs.withColumn("exact", dot(F.col("q"), F.col("v"))).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
-    if not pre_filter:
-        ranked = ranked.where(inside)
+    ranked = pairs.select("query_ids", "query_matrix", "ids", "matrix", "width").mapInArrow(best, kind).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+    if scope and not pre_filter:
+        ranked = ranked.join(queries.select("query_id", *scope), "query_id").join(rows.select("_id", *scope), ["_id", *scope], "left_semi")
     return ranked.select("query_id", "_id", F.round("exact", 6).alias("similarity"), "rank")
 
 
-def approximate_topk(queries: DataFrame, rows: DataFrame, k: int = 5, planes: int = 6, tables: int = 16, seed: int = 17) -> DataFrame:
+def approximate_topk(queries: DataFrame, rows: DataFrame, k: int = 5, planes: int | None = None, tables: int = 16, seed: int = 17) -> DataFrame:
     """query_id, _id, similarity, rank among candidates that share a bucket of random hyperplanes with the query.
 
     Every row is indexed in each of `tables` tables under the signs of its dot
     products with `planes` random directions; a query looks into its own bucket of
     each and those that differ in one sign. Candidates are scored exactly. More
-    tables find more; planes should grow with the logarithm of the rows.
+    tables find more. Without planes given there is one for each doubling of the
+    rows beyond 32, so that buckets keep their size as the rows grow.
     """
+    if planes is None:
+        planes = max(2, int(np.log2(max(rows.count(), 1) / 32)) + 1)
+
     def keys(flip: bool):  # noqa: ANN202
         @F.pandas_udf(ArrayType(IntegerType()))
         def of(vectors: pd.Series) -> pd.Series:
@@ -199,11 +259,70 @@ def union_first_seen(results: DataFrame) -> DataFrame:
     return results.withColumn("n_", F.row_number().over(own)).where("n_ = 1").drop("n_")
 
 
-def similar_pairs(rows: DataFrame, scope: str, threshold: float) -> DataFrame:
-    """a, b, similarity: rows of one scope with a < b whose cosine reaches threshold."""
-    a = rows.select(F.col(scope).alias("s_"), F.col("_id").alias("a"), unit(F.col("embedding")).alias("x"))
-    b = rows.select(F.col(scope).alias("s_"), F.col("_id").alias("b"), unit(F.col("embedding")).alias("y"))
-    return a.join(b, "s_").where("a < b").select("a", "b", dot(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= threshold)
+#: Pivots that vectors are dealt to, and rows of a pivot that a task holds at a time, about.
+PIVOTS, HELD = 64, 1024
+
+
+def similar_pairs(rows: DataFrame, scope: str | None, threshold: float) -> DataFrame:
+    """a, b, similarity: rows of one scope, or of all, with a < b whose cosine reaches threshold; every such pair.
+
+    rows has _id, embedding and the scope column. A vector belongs to the nearest
+    of PIVOTS vectors, which are chosen by a hash of the id, and visits the cells
+    of others only where the triangle inequality of angles allows a partner. A cell
+    is split into parts of about HELD rows; a task holds one part and compares it
+    with its visitors in matrix products, so no row is made for a pair that is not
+    similar. Rows without a usable vector are in no pair; all vectors have one length.
+    """
+    rows = _usable(rows).select("_id", (F.col(scope) if scope else F.lit(0)).cast("string").alias("scope"), "embedding").where("scope IS NOT NULL")
+    chosen = rows.select("_id", "embedding").orderBy(F.xxhash64("_id"), "_id").limit(PIVOTS).collect()
+    if not chosen:
+        return rows.select(F.col("_id").alias("a"), F.col("_id").alias("b"), F.lit(0.0).alias("similarity")).where("false")
+    pivots = _units(pa.array([r["embedding"] for r in chosen], pa.list_(pa.float64())))
+    reach = 2 * np.arccos(np.clip(threshold, -1, 1)) + 1e-9
+    id_kind = rows.schema["_id"].dataType
+    base = [StructField("_id", id_kind), StructField("scope", StringType()), StructField("unit", BinaryType())]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _units(batch.column("embedding"))
+            angle = np.arccos(np.clip(x @ pivots.T, -1, 1))
+            home = angle.argmin(axis=1)
+            cells = [np.flatnonzero(r).astype(np.int32).tolist() for r in angle - angle.min(axis=1, keepdims=True) <= reach]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(home.astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))], names=["_id", "scope", "unit", "home", "cells"])
+
+    dealt = rows.mapInArrow(deal, StructType([*base, StructField("home", IntegerType()), StructField("cells", ArrayType(IntegerType()))]))
+    parts = dealt.groupBy("scope", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / HELD).alias("parts"))
+    at_home = dealt.withColumn("cell", F.col("home")).join(parts, ["scope", "cell"]).select("scope", "cell", F.pmod(F.xxhash64("_id"), "parts").alias("part"), F.lit(0).alias("visits"), "_id", "unit")
+    visits = dealt.select("scope", F.explode("cells").alias("cell"), "_id", "unit").join(parts, ["scope", "cell"])
+    visits = visits.select("scope", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("visits"), "_id", "unit")
+    met = at_home.unionByName(visits).repartition("scope", "cell", "part").sortWithinPartitions("scope", "cell", "part", "visits")
+    kind = StructType([StructField("a", id_kind), StructField("b", id_kind), StructField("similarity", DoubleType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, ids, ready = None, [], [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("scope", "cell", "part")), strict=True))
+            visiting = np.asarray(batch.column("visits").to_pylist(), dtype=bool)
+            units = [np.frombuffer(v.as_buffer(), np.float64) for v in batch.column("unit")]
+            own_ids = batch.column("_id").to_pylist()
+            start = 0
+            for i in range(1, batch.num_rows + 1):
+                if i < batch.num_rows and keys[i] == keys[start] and visiting[i] == visiting[start]:
+                    continue
+                if keys[start] != key:
+                    key, held, ids, ready = keys[start], [], [], None
+                if not visiting[start]:
+                    held += [u.copy() for u in units[start:i]]
+                    ids += own_ids[start:i]
+                elif held:
+                    ready = np.stack(held) if ready is None else ready
+                    exact = np.round(np.stack(units[start:i]) @ ready.T, 12)
+                    pairs = [(own_ids[start + v], ids[h], exact[v, h]) for v, h in zip(*np.nonzero(exact >= threshold), strict=True) if own_ids[start + v] < ids[h]]
+                    a, b, s = zip(*pairs, strict=True) if pairs else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field("_id").type), pa.array(b, batch.schema.field("_id").type), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+                start = i
+
+    return met.mapInArrow(compare, kind)
 
 
 def routed_retrieve(queries: DataFrame, indexes: dict[str, DataFrame], k: int = 8, constant: int = 60, expand: int = 2) -> DataFrame:

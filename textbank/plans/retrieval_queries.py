@@ -38,7 +38,7 @@ query("RT-4_similar_questions", f"WITH {_ALL} SELECT query_id, _id, round(s, 6)
 
 @query("RT-2_approximate_topk")
 def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.approximate_topk(inputs.vector_queries(spark, sf_dir), inputs.vectors(spark, sf_dir), planes=4)
+    return retrieval.approximate_topk(inputs.vector_queries(spark, sf_dir), inputs.vectors(spark, sf_dir))
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
