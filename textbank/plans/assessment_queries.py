@@ -249,7 +249,13 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
 query("QZ-3_flushed_drafts", f"WITH {SUBMISSIONS}, l AS (SELECT DISTINCT o_orderkey, o_custkey % 150 AS student_id, l_partkey % 100 AS question_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT o_orderkey AS attempt_id, student_id, question_id, 'answer' AS answer_text FROM l WHERE NOT EXISTS (SELECT 1 FROM submissions s WHERE s.student_id = l.student_id AND s.question_id = l.question_id) AND question_id % 3 > 0")(
     lambda s, d: quizzes.flush_drafts(_lines(s, d).select("_id", F.col("_id").alias("quiz_id"), "student_id", F.map_from_entries(F.transform(F.array_distinct("question_ids"), lambda x: F.struct(x, F.when(x % 3 > 0, " answer ").otherwise(" ")))).alias("draft_answers")), _lines(s, d), inputs.submissions(s, d))
 )
-query("QZ-4_timing")(
+query(
+    "QZ-4_timing",
+    f"""WITH {SUBMISSIONS}, l AS (SELECT DISTINCT o_orderkey AS quiz_id, o_orderpriority = '5-LOW' AS untimed, o_orderstatus = 'F' AS strict, o_custkey % 150 AS student_id, l_partkey % 100 AS question_id, o_orderdate AS started_at, o_orderkey % 3 > 0 AS under_way FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+      j AS (SELECT s._id, l.*, greatest(0, date_diff('second', started_at + INTERVAL 1 DAY, submitted_at)) AS late FROM submissions s LEFT JOIN l ON l.student_id = s.student_id AND l.question_id = s.question_id)
+    SELECT _id, quiz_id, CASE WHEN quiz_id IS NULL OR untimed THEN 'accepted' WHEN under_way THEN CASE WHEN strict AND late > 30 THEN 'time is over' ELSE 'accepted' END ELSE 'finished' END AS verdict, CAST(CASE WHEN quiz_id IS NULL OR untimed THEN 0 ELSE late END AS BIGINT) AS late_by_seconds
+    FROM j QUALIFY row_number() OVER (PARTITION BY _id ORDER BY CASE WHEN quiz_id IS NULL OR untimed THEN 0 WHEN under_way THEN 1 ELSE 2 END, started_at NULLS FIRST, quiz_id) = 1""",
+)(
     lambda s, d: quizzes.timing_verdict(inputs.submissions(s, d), _lines(s, d), _lines(s, d).select(F.col("_id").alias("quiz_id"), "student_id", F.when(F.col("_id") % 3 == 0, "completed").otherwise("in_progress").alias("status"), F.col("created_at").alias("started_at"), (F.col("created_at") + F.make_dt_interval(days=F.lit(1))).alias("deadline_at")))
 )
 query("QZ-5_access", f"WITH {SUBMISSIONS}, a AS (SELECT DISTINCT o_custkey % 150 AS student_id, l_partkey % 100 AS question_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT s._id, a.student_id IS NOT NULL AS allowed FROM submissions s LEFT JOIN a ON a.student_id = s.student_id AND a.question_id = s.question_id")(

@@ -126,7 +126,30 @@ def headings(s: SparkSession, d: str) -> DataFrame:
     return headed(s, d).select("book_id", "page", structure.chapter_heading(F.col("text")).alias("h")).where("h IS NOT NULL").select("book_id", "page", "h.num", "h.title")
 
 
-query("DS-1_chapter_headings")(headings)
+#: headings() in SQL: the first sound heading of each page, by the most certain form, and the latch as a walk over a book's headings.
+_TITLE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '^\s+|\s+$', '', 'g'), '\s*\.{{2,}}\s*\d+\s*$', ''), '\s+\d{{1,4}}\s*$', ''), '(\s*\.\s*){{2,}}$', ''), '^\s+|\s+$', '', 'g')"
+_HEADED = """p AS (SELECT source AS book_id, CAST(doc_id AS INTEGER) AS page, CASE WHEN doc_id % 80 < 20 THEN 'Chapter ' || (doc_id % 60) || ': ' || upper(substr(regexp_extract(text, '^[\\p{L}]+'), 1, 1)) || lower(substr(regexp_extract(text, '^[\\p{L}]+'), 2)) || ' Title .... 12' ELSE '' END
+  || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '1.' || (doc_id % 9 + 1) || ' Section of things' || chr(10) ELSE chr(10) END || text AS t FROM documents)"""
+
+
+def _headings_sql() -> str:
+    out, names = _HEADED, []
+    for i, form in enumerate(structure.CHAPTER_FORMS):
+        form = form.replace("(?md)", "(?m)").replace("'", "''")
+        out += f""", f{i} AS (SELECT book_id, page, unnest(regexp_extract_all(t, '{form}', 1)) AS n, unnest(regexp_extract_all(t, '{form}', 2)) AS raw, generate_subscripts(regexp_extract_all(t, '{form}', 1), 1) AS i FROM p),
+      g{i} AS (SELECT book_id, page, i, TRY_CAST(n AS INTEGER) AS num, {_TITLE.format("raw")} AS title FROM f{i})"""
+        names.append(f"SELECT book_id, page, {i} AS form, i, num, title FROM g{i} WHERE num BETWEEN 1 AND 50 AND length(title) >= 4 AND NOT regexp_matches(regexp_replace(title, '\\s+', ' ', 'g'), '(?i){structure.FRONT_MATTER}')")
+    return out + f", h AS (SELECT book_id, page, num, title FROM ({' UNION ALL '.join(names)}) QUALIFY row_number() OVER (PARTITION BY book_id, page ORDER BY form, i) = 1)"
+
+
+def _latch_sql(ok: str, restarted: str) -> str:
+    return f"""WITH RECURSIVE {_headings_sql()}, o AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page, num, title) AS r FROM h), s AS (
+      SELECT book_id, page, num, title, r, true AS accepted, num AS cur, false AS again FROM o WHERE r = 1
+      UNION ALL SELECT o.book_id, o.page, o.num, o.title, o.r, {ok}, CASE WHEN {ok} THEN o.num ELSE cur END, again OR ({ok} AND {restarted}) FROM s JOIN o ON o.book_id = s.book_id AND o.r = s.r + 1
+    ) SELECT book_id, page, num, title, accepted FROM s"""
+
+
+query("DS-1_chapter_headings", f"WITH {_headings_sql()} SELECT book_id, page, num, title FROM h")(headings)
 query("DS-2_heading_title", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name || ' .... ' || p_size, '\s*\.{2,}\s*\d+\s*$', ''), '\s+\d{1,4}\s*$', '')) AS title FROM part")(
     lambda s, d: inputs.table(s, d, "part").select("p_partkey", structure.heading_title(F.concat_ws(" .... ", "p_name", F.col("p_size").cast("string"))).alias("title"))
 )
@@ -137,20 +160,22 @@ _LINES = r"list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x,
 query("DS-4_contents_pages", rf"SELECT doc_id, contains(lower(array_to_string(list_transform({_LINES}[1:12], lambda x: trim(x)), ' ')), 'table of contents') OR len(list_filter({_LINES}[1:80], lambda x: regexp_matches(trim(x), '(?i){structure.CONTENTS_LINE}'))) >= 4 AS is_contents FROM documents")(
     lambda s, d: docs(s, d).select("doc_id", structure.is_contents_page(F.col("text")).alias("is_contents"))
 )
-query("DS-5_latch")(lambda s, d: structure.latch_chapters(headings(s, d)))
-query("DS-6_near_latch")(lambda s, d: structure.latch_chapters(headings(s, d), rule="near"))
+query("DS-5_latch", _latch_sql("(o.num = cur OR o.num = cur + 1 OR (o.num = 1 AND NOT again))", "(o.num = 1 AND cur <> 1)"))(lambda s, d: structure.latch_chapters(headings(s, d)))
+query("DS-6_near_latch", _latch_sql("(o.num BETWEEN cur AND cur + 3)", "false"))(lambda s, d: structure.latch_chapters(headings(s, d), rule="near"))
 query("DS-7_carry_forward")(lambda s, d: structure.carry_forward(headed(s, d), structure.latch_chapters(headings(s, d))).select("book_id", "page", "chapter_num", "section_title"))
 query("DS-8_sections", r"SELECT source AS book_id, CAST(doc_id AS INTEGER) AS page, '1.' || (doc_id % 9 + 1) AS number, 'Section of things' AS title FROM documents WHERE doc_id % 3 = 0")(lambda s, d: structure.section_headings(headed(s, d)).where("title = 'Section of things'").select("book_id", "page", "number", "title"))
 query("DS-9_packed_pages")(lambda s, d: structure.pack_pages(headed(s, d).withColumn("boundary", F.col("page") % 40 < 20)))
-query("DS-10_kept_blocks")(lambda s, d: structure.keep_blocks(inputs.chunks(s, d)).select("_id"))
-_column("DS-11_skip_block", structure.is_skip_block, None)
+_DENSITY = rf"CASE WHEN len({_LINES}) > 0 THEN len(list_filter({_LINES}, lambda x: regexp_matches(x, '(?i){structure.TEACHING}'))) / len({_LINES}) ELSE 0.0 END"
+_SKIP = rf"(NOT regexp_matches(text, '\S') OR len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*\d{{1,3}}\.\s+[A-Z]'))) / len(string_split(text, chr(10))) > 0.35 OR (regexp_matches(substr(text, 1, 300), '(?i){structure.SKIP}') AND {_DENSITY} < 0.15))"
+query("DS-10_kept_blocks", f"SELECT doc_id AS _id FROM documents WHERE length(text) >= 40 AND NOT {_SKIP}")(lambda s, d: structure.keep_blocks(inputs.chunks(s, d)).select("_id"))
+_column("DS-11_skip_block", structure.is_skip_block, _SKIP)
 _column("DS-12_teaching_density", lambda c: F.round(structure.teaching_density(c), 6), rf"CASE WHEN len({_LINES}) > 0 THEN round(len(list_filter({_LINES}, lambda x: regexp_matches(x, '(?i){structure.TEACHING}'))) / len({_LINES}), 6) ELSE 0.0 END")
 _column("DS-13_key_terms", lambda c: F.array_join(structure.key_terms(F.concat(c, F.lit(" The Mean is defined. A Central Limit Theorem and the variance."))), ","), None)
 _column("DS-14_formula_flag", structure.has_formula, r"regexp_matches(text, '[=÷×±√∑∫µσ²]|\b\w+\s*=\s*[\w\d()\[\]]+\s*/|[A-Za-z]\s*[₀₁₂]|χ²')")
 query("DS-15_topic", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'General' ELSE lang END AS topic FROM documents")(lambda s, d: docs(s, d).select("doc_id", structure.topic(F.when(F.col("lang") == "en", " ").otherwise(F.col("lang"))).alias("topic")))
-query("DS-16_chapters")(lambda s, d: structure.list_chapters(headings(s, d), inputs.chunks(s, d)))
+query("DS-16_chapters", f"WITH {_headings_sql()}, f AS (SELECT book_id, num, arg_min(title, page) AS title FROM h GROUP BY 1, 2) SELECT * FROM f UNION ALL SELECT DISTINCT source, 0, 'Entire Document' FROM documents WHERE source NOT IN (SELECT book_id FROM f)")(lambda s, d: structure.list_chapters(headings(s, d), inputs.chunks(s, d)))
 _column("DS-17_formula_lines", lambda c: F.size(structure.formula_lines(c)), r"CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[=√∑∫±≤≥^]') AND length(regexp_replace(x, '^\s+|\s+$', '', 'g')) >= 4)) AS INTEGER)")
-_column("DS-18_table_rows", lambda c: structure.table_rows(F.transform(F.split(c, "\n"), lambda x: F.split(x, r"\|"))), None)
+_column("DS-18_table_rows", lambda c: structure.table_rows(F.transform(F.split(c, "\n"), lambda x: F.split(x, r"\|"))), r"(SELECT CASE WHEN len(g) >= 2 AND len(list_filter(flatten(g), lambda y: regexp_matches(y, '\S'))) / len(flatten(g)) >= 0.2 THEN array_to_string(list_transform(g, lambda y: array_to_string(y, ' | ')), chr(10)) END FROM (SELECT list_transform(string_split(text, chr(10)), lambda x: string_split(x, '|')) AS g))")
 query("DS-19_descriptions")(
     lambda s, d: structure.triage_descriptions(docs(s, d).select(F.col("doc_id").alias("_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("_id", "pos", F.concat(F.element_at(F.array(F.lit("TEXT: "), F.lit("CHART: "), F.lit("NO_CHART "), F.lit("")), (F.col("pos") % 4 + 1).cast("int")), "line").alias("description")))
 )
@@ -259,7 +284,14 @@ _FIGURES = _entries_sql("x", 20)
 _CAPTION = _STRIP.format(r"regexp_extract(text, '(?im)^\s*(?:Figure|Fig\.)\s+\d+(?:\.\d+)*[^\n]*')")
 
 
-@query("IX-1_formula_candidates")
+_FORMULAS = rf"""lines AS (SELECT doc_id, source AS book_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+  own AS (SELECT doc_id, book_id, 0 AS part, i, {_STRIP.format("x || ' = ' || length(x)")} AS entry FROM lines UNION ALL SELECT doc_id, book_id, 1, i, {_STRIP.format("x")} FROM lines),
+  sound AS (SELECT *, substr(lower(regexp_replace(entry, '\s+', '', 'g')), 1, 300) AS normal FROM own WHERE length(entry) >= 4 AND (part = 0 OR (regexp_matches(entry, '{indexes.FORMULA_LINE}') AND len(regexp_extract_all(entry, '[A-Za-z]{{2,}}')) <= 6))),
+  once AS (SELECT * FROM sound QUALIFY row_number() OVER (PARTITION BY doc_id, normal ORDER BY part, i) = 1),
+  f AS (SELECT doc_id, book_id, entry, normal, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, i) AS INTEGER) AS place FROM once QUALIFY place <= 12)"""
+
+
+@query("IX-1_formula_candidates", f"WITH {_FORMULAS} SELECT doc_id AS _id, place, entry FROM f")
 def formula_candidates(s: SparkSession, d: str) -> DataFrame:
     return indexes.split_formulas(rich_chunks(s, d)).select("_id", "place", "entry")
 
@@ -283,7 +315,7 @@ query("IX-5_enrichment", "SELECT p_partkey AS batch_id, CAST(p_size % 4 + 1 AS I
 query("IX-16_figure_kinds", "SELECT p_partkey AS batch_id, CAST(p_size % 4 + 1 AS INTEGER) AS i, CASE WHEN p_size % 2 = 0 THEN 'bar' ELSE 'other' END AS kind FROM part")(lambda s, d: indexes.parse_kinds(replies(s, d)).select("batch_id", "i", "kind"))
 query("IX-6_batches", "SELECT doc_id AS _id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS BIGINT) AS batch, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 10 + 1 AS INTEGER) AS i FROM documents")(lambda s, d: indexes.number_batches(inputs.chunks(s, d), "book_id").select("_id", "batch", "i"))
 query("IX-8_formula_text", "SELECT p_partkey, p_name || ': x = ' || p_size || ' — ' || p_type AS text FROM part")(lambda s, d: inputs.table(s, d, "part").select("p_partkey", indexes.formula_text(F.col("p_name"), F.concat(F.lit("x = "), F.col("p_size").cast("string")), F.col("p_type")).alias("text")))
-query("IX-9_formulas")(lambda s, d: indexes.build_formulas(rich_chunks(s, d)).select("_id", "book_id", "parent_chunk_id", "place", "formula_latex", "formula_plain"))
+query("IX-9_formulas", f"WITH {_FORMULAS} SELECT substr(sha1(book_id || ':' || doc_id || ':' || normal), 1, 24) AS _id, book_id, doc_id AS parent_chunk_id, place, entry AS formula_latex, entry AS formula_plain FROM f")(lambda s, d: indexes.build_formulas(rich_chunks(s, d)).select("_id", "book_id", "parent_chunk_id", "place", "formula_latex", "formula_plain"))
 query("IX-10_tables", f"WITH {_TABLES} SELECT _id, book_id, doc_id AS parent_chunk_id, 'Name, Size' AS table_summary FROM e")(lambda s, d: indexes.build_tables(rich_chunks(s, d)).select("_id", "book_id", "parent_chunk_id", "table_summary"))
 query("IX-11_headers", r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))[1], ''), '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT regexp_full_match(x, '[-: ]+'))[1:10], ',') AS headers FROM documents")(
     lambda s, d: docs(s, d).select("doc_id", F.array_join(indexes.headers(F.col("text")), ",").alias("headers"))
@@ -327,7 +359,7 @@ query("IX-25_index_status", "SELECT source AS book_id, 'tables' AS index, 'done'
 query("IX-26_worklist", "SELECT DISTINCT source AS book_id, i AS index FROM documents, (VALUES ('formulas'), ('tables'), ('figures')) AS t(i) WHERE NOT (i = 'tables' AND source IN (SELECT source FROM documents WHERE doc_id % 2 = 0))")(
     lambda s, d: indexes.worklist(inputs.chunks(s, d), ["formulas", "tables", "figures"], inputs.chunks(s, d).where("_id % 2 = 0").select("book_id", F.lit("tables").alias("index")).distinct())
 )
-query("IX-27_usable_tables")(lambda s, d: indexes.usable_tables(indexes.build_tables(rich_chunks(s, d))).select("_id"))
+query("IX-27_usable_tables", f"WITH {_TABLES}, u AS (SELECT *, list_filter(string_split(entry, chr(10)), lambda x: contains(x, '|') AND NOT regexp_matches(x, '^[\\s|:\\-]+$')) AS rows FROM e WHERE NOT contains(entry, '?')) SELECT _id FROM u WHERE len(rows) >= 4 QUALIFY row_number() OVER (PARTITION BY substr(entry, 1, 80) ORDER BY _id) = 1")(lambda s, d: indexes.usable_tables(indexes.build_tables(rich_chunks(s, d))).select("_id"))
 
 # Corpus checks.
 query("QC-1_page_coverage", "WITH e AS (SELECT source AS book_id, doc_id AS page, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 20 AS blank FROM documents), c AS (SELECT DISTINCT source AS book_id, unnest(range(doc_id, doc_id + 2)) AS page FROM documents WHERE doc_id % 3 = 0) SELECT coalesce(e.book_id, c.book_id) AS book_id, CAST(coalesce(e.page, c.page) AS INTEGER) AS page, CASE WHEN c.page IS NOT NULL AND e.page IS NOT NULL THEN 'covered' WHEN e.page IS NULL THEN 'extra' WHEN blank THEN 'blank' ELSE 'missing' END AS state FROM e FULL JOIN c ON e.book_id = c.book_id AND e.page = c.page")(

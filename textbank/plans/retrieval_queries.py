@@ -241,7 +241,14 @@ def concepts(s: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", F.array_join(concept_queries(F.col("text"), F.col("role")), " | ").alias("queries"))
 
 
-@query("RT-13_marking_context")
+@query(
+    "RT-13_marking_context",
+    _FUSED.replace("fused AS (", "unused AS (")
+    + """, f AS (SELECT query_id AS query_group, _id, list_no, rank FROM lists QUALIFY row_number() OVER (PARTITION BY query_id, _id ORDER BY list_no, rank) = 1),
+      c AS (SELECT *, row_number() OVER (PARTITION BY query_group ORDER BY list_no, rank, _id) AS place FROM f)
+    SELECT query_group, 'chunk' AS source, _id, CAST(place AS INTEGER) AS place FROM c WHERE place <= 5 UNION ALL SELECT query_id, 'question', _id, CAST(rank AS INTEGER) FROM all_ranked WHERE rank <= 3
+    UNION ALL SELECT query_id, 'specialist', _id, CAST(rank AS INTEGER) FROM all_ranked WHERE rank = 1""",
+)
 def context(s: SparkSession, d: str) -> DataFrame:
     lists = _lists(s, d)
     similar = everywhere(s, d, 3).withColumnRenamed("query_id", "query_group")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +87,46 @@ query("SS-17_back_fill", "SELECT doc_id AS _id, text || ' $' AS text FROM docume
         "text", lambda c: ~c.contains("$"),
     )
 )
+
+
+def fresh(s: SparkSession, name: str) -> str:
+    """A new folder below the warehouse, which all executors share."""
+    return f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/textbank-{name}-{uuid4().hex}"
+
+
+@query("SS-3_golden", "SELECT item_id // 10 AS book_id, item_id % 10 AS query_id, text AS query, CAST(item_id % 5 AS INTEGER) AS chapter_num, CAST(item_id AS INTEGER) AS page, substr(text, 1, 12) AS needle FROM benchmark")
+def golden(s: SparkSession, d: str) -> DataFrame:
+    """The benchmark written as golden sets, one JSON file for ten items, and read again."""
+    one = F.struct(F.col("item_id"), F.struct(F.col("text").alias("query"), (F.col("item_id") % 5).cast("int").alias("chapter_num"), F.struct(F.array(F.col("item_id").cast("int")).alias("pages"), F.array(F.substring("text", 1, 12)).alias("contains")).alias("expect")).alias("q"))
+    sets = inputs.table(s, d, "benchmark").groupBy(F.floor(F.col("item_id") / 10).cast("string").alias("book_id")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["q"]).alias("queries"))
+    sets.repartition("book_id").write.option("maxRecordsPerFile", 1).json(path := fresh(s, "golden"))
+    return tables.read_golden(s, path).select(F.col("book_id").cast("long").alias("book_id"), F.col("query_id").cast("long").alias("query_id"), "query", "chapter_num", F.get("pages", 0).alias("page"), F.get("contains", 0).alias("needle"))
+
+
+@query("SS-5_marks_csv", f"WITH {SUBMISSIONS} SELECT _id, student_id, coalesce(c_name, '') AS name, coalesce(p_name, '') AS question, round(coalesce(override_mark, auto_mark), 4) AS mark FROM submissions LEFT JOIN customer ON c_custkey = student_id LEFT JOIN part ON p_partkey = question_id")
+def marks_csv(s: SparkSession, d: str) -> DataFrame:
+    """Submissions with names of students and questions, written as CSV and read again."""
+    users = inputs.table(s, d, "customer").select(F.col("c_custkey").alias("student_id"), F.col("c_name").alias("name"))
+    questions = inputs.table(s, d, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_name").alias("question"))
+    rows = inputs.submissions(s, d).join(users, "student_id", "left").join(questions, "question_id", "left").select("_id", "student_id", "name", "question", F.round(F.coalesce("override_mark", "auto_mark"), 4).alias("mark"))
+    tables.write_csv(rows, path := fresh(s, "marks"))
+    return s.read.csv(path, header=True, schema="_id long, student_id long, name string, question string, mark double").fillna("", ["name", "question"])
+
+
+@query("SS-8_restored", "SELECT 'customer' AS name, c_custkey AS id, c_name AS text FROM customer UNION ALL SELECT 'part', p_partkey, p_name FROM part")
+def restored(s: SparkSession, d: str) -> DataFrame:
+    """Two tables dumped as JSON and restored from it; a third has no rows and is not dumped."""
+    customer, part = inputs.table(s, d, "customer").select("c_custkey", "c_name"), inputs.table(s, d, "part").select("p_partkey", "p_name")
+    tables.dump({"customer": customer, "part": part, "nobody": customer.where("false")}, path := fresh(s, "dump"))
+    done = tables.restore(s, path, {"customer": "c_custkey long, c_name string", "part": "p_partkey long, p_name string", "nobody": "c_custkey long, c_name string"}, target := fresh(s, "restored"))
+    found = [s.read.parquet(f"{target}/{name}").toDF("id", "text").select(F.lit(name).alias("name"), "id", "text") for name in done]
+    return found[0].unionByName(found[1])
+
+
+@query("SS-11_refreshed", "SELECT source AS book_id, CASE WHEN source = 'src3' THEN 2 ELSE 1 END AS version, count(*) AS n FROM documents WHERE source <> 'src3' OR doc_id % 2 = 0 GROUP BY 1")
+def refreshed(s: SparkSession, d: str) -> DataFrame:
+    """A table by book, of which one book is built anew from half of its pages."""
+    rows = inputs.chunks(s, d).select("_id", "book_id", F.lit(1).alias("version"))
+    tables.refresh(rows.repartition("book_id"), path := fresh(s, "books"))
+    tables.refresh(rows.where("book_id = 'src3' AND _id % 2 = 0").withColumn("version", F.lit(2)), path)
+    return s.read.parquet(path).groupBy(F.col("book_id").cast("string").alias("book_id"), "version").agg(F.count("*").alias("n"))
