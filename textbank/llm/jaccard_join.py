@@ -198,6 +198,20 @@ def _possible(x: str, y: str) -> Column:
     return (5 * F.least(c(x, "n"), c(y, "n")) >= 4 * F.greatest(c(x, "n"), c(y, "n"))) & (9 * here >= 4 * total) & (9 * cap >= 4 * total)
 
 
+def _first_common(x: str, y: str) -> Column:
+    """Whether two entries of one list can be of similar sets whose first common shingle, in the order of prefixes, is the list's.
+
+    A pair need only be met there. No shingle before it, of either set, is in the
+    other; of the set whose prefix ends first, neither is any outside the lists.
+    """
+    c = lambda side, name: F.col(f"{side}.{name}")
+    total = c(x, "n") + c(y, "n")
+    left = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
+    x_first = F.struct(c(x, "last"), c(x, "last_token")) <= F.struct(c(y, "last"), c(y, "last_token"))
+    cap = F.when(x_first, c(x, "cap") - c(x, "before")).otherwise(c(y, "cap") - c(y, "before"))
+    return (5 * F.least(c(x, "n"), c(y, "n")) >= 4 * F.greatest(c(x, "n"), c(y, "n"))) & (9 * left >= 4 * total) & (9 * cap >= 4 * total)
+
+
 def _blocks(entries: DataFrame) -> DataFrame:
     """entries with their block: sizes within a sixth of a doubling, positions within an eighth of the prefix, and a share of the list by node where that would be more than BLOCK entries."""
     size = F.floor(F.log2("n") * 6)
@@ -224,14 +238,14 @@ def _rest(entries: DataFrame) -> DataFrame:
     entries = cut(_blocks(entries))
     outside = F.max(F.col("n") - F.col("shared"))
     blocks = entries.groupBy("token", "block", "outer").agg(
-        F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.min("pos").alias("first"), F.max("before").alias("before"), F.max("cap").alias("cap"),
+        F.min("n").alias("n_least"), F.max("n").alias("n_most"), F.min("pos").alias("first"), F.max(F.col("cap") - F.col("before")).alias("cap"),
         F.max("shared").alias("shared"), outside.alias("outside"), (F.count("shared") == F.count("*")).alias("known"), F.min("component").alias("low"), F.max("component").alias("high"),
     )
     blocks = cut(blocks)
     c = lambda side, name: F.col(f"{side}.{name}")
     least = c("x", "n_least") + c("y", "n_least")
     # The most that any two entries of the blocks can share: by position, by the lists they stand in, by the hub.
-    by_place = F.least(c("x", "before"), c("y", "before")) + F.least(c("x", "n_most") - c("x", "first"), c("y", "n_most") - c("y", "first"))
+    by_place = F.least(c("x", "n_most") - c("x", "first"), c("y", "n_most") - c("y", "first"))
     by_hub = F.least(c("x", "shared"), c("y", "shared")) + F.least(c("x", "outside"), c("y", "outside"))
     sizes = (5 * c("x", "n_most") >= 4 * c("y", "n_least")) & (5 * c("y", "n_most") >= 4 * c("x", "n_least"))
     bounds = (9 * by_place >= 4 * least) & (9 * F.greatest(c("x", "cap"), c("y", "cap")) >= 4 * least) & (~(c("x", "known") & c("y", "known")) | (9 * by_hub >= 4 * least))
@@ -242,7 +256,7 @@ def _rest(entries: DataFrame) -> DataFrame:
     low, high = _derived("x", "y")
     total = c("x", "n") + c("y", "n")
     same = (c("x", "token") == c("y", "token")) & (c("x", "y_block") == c("y", "block")) & (c("x", "component") != c("y", "component")) & (~c("y", "outer") | (c("x", "node") < c("y", "node")))
-    found = left.alias("x").join(entries.alias("y"), same & _possible("x", "y") & (high.isNull() | (9 * high >= 4 * total)))
+    found = left.alias("x").join(entries.alias("y"), same & _first_common("x", "y") & (high.isNull() | (9 * high >= 4 * total)))
     return cut(found.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.max(F.coalesce(9 * low >= 4 * total, F.lit(False))).alias("sure")))
 
 
