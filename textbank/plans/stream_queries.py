@@ -103,12 +103,12 @@ def golden(s: SparkSession, d: str) -> DataFrame:
     return tables.read_golden(s, path).select(F.col("book_id").cast("long").alias("book_id"), F.col("query_id").cast("long").alias("query_id"), "query", "chapter_num", F.get("pages", 0).alias("page"), F.get("contains", 0).alias("needle"))
 
 
-@query("SS-5_marks_csv", f"WITH {SUBMISSIONS} SELECT _id, student_id, coalesce(c_name, '') AS name, coalesce(p_name, '') AS question, round(coalesce(override_mark, auto_mark), 4) AS mark FROM submissions LEFT JOIN customer ON c_custkey = student_id LEFT JOIN part ON p_partkey = question_id")
+@query("SS-5_marks_csv", f"WITH {SUBMISSIONS} SELECT _id, student_id, coalesce(c_name, '') AS name, coalesce(p_name, '') AS question, round(coalesce(override_mark, auto_mark), 6) AS mark FROM submissions LEFT JOIN customer ON c_custkey = student_id LEFT JOIN part ON p_partkey = question_id")
 def marks_csv(s: SparkSession, d: str) -> DataFrame:
     """Submissions with names of students and questions, written as CSV and read again."""
     users = inputs.table(s, d, "customer").select(F.col("c_custkey").alias("student_id"), F.col("c_name").alias("name"))
     questions = inputs.table(s, d, "part").select(F.col("p_partkey").alias("question_id"), F.col("p_name").alias("question"))
-    rows = inputs.submissions(s, d).join(users, "student_id", "left").join(questions, "question_id", "left").select("_id", "student_id", "name", "question", F.round(F.coalesce("override_mark", "auto_mark"), 4).alias("mark"))
+    rows = inputs.submissions(s, d).join(users, "student_id", "left").join(questions, "question_id", "left").select("_id", "student_id", "name", "question", F.round(F.coalesce("override_mark", "auto_mark"), 6).alias("mark"))
     tables.write_csv(rows, path := fresh(s, "marks"))
     return s.read.csv(path, header=True, schema="_id long, student_id long, name string, question string, mark double").fillna("", ["name", "question"])
 
@@ -123,10 +123,11 @@ def restored(s: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-@query("SS-11_refreshed", "SELECT source AS book_id, CASE WHEN source = 'src3' THEN 2 ELSE 1 END AS version, count(*) AS n FROM documents WHERE source <> 'src3' OR doc_id % 2 = 0 GROUP BY 1")
+@query("SS-11_refreshed", "WITH b AS (SELECT min(source) AS b FROM documents WHERE doc_id % 2 = 0) SELECT source AS book_id, CASE WHEN source = b THEN 2 ELSE 1 END AS version, count(*) AS n FROM documents, b WHERE source <> b OR doc_id % 2 = 0 GROUP BY 1, 2")
 def refreshed(s: SparkSession, d: str) -> DataFrame:
     """A table by book, of which one book is built anew from half of its pages."""
     rows = inputs.chunks(s, d).select("_id", "book_id", F.lit(1).alias("version"))
-    tables.refresh(rows.repartition("book_id"), path := fresh(s, "books"))
-    tables.refresh(rows.where("book_id = 'src3' AND _id % 2 = 0").withColumn("version", F.lit(2)), path)
+    book = rows.where("_id % 2 = 0").agg(F.min("book_id")).first()[0]
+    tables.refresh(rows, path := fresh(s, "books"))
+    tables.refresh(rows.where((F.col("book_id") == book) & (F.col("_id") % 2 == 0)).withColumn("version", F.lit(2)), path)
     return s.read.parquet(path).groupBy(F.col("book_id").cast("string").alias("book_id"), "version").agg(F.count("*").alias("n"))
