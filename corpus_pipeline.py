@@ -2,7 +2,8 @@
 
 Each function takes (spark, docs, sf_dir) and returns the columns of documents
 (doc_id, text, lang, source, n_chars), the last one token ids. No stage looks at
-lang or source.
+lang or source. Further columns of docs are ignored, whatever their names; an
+empty table gives an empty one. Nulls in any column are kept as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labelled ones among them whose crc32(doc_id) mod 3 is not 1."""
+    """Documents that the quality classifier accepts; it learns from the labelled ones among them whose crc32(doc_id) mod 3 is not 1.
+
+    A null or empty text is judged as one without words, a score of exactly 0.5
+    is accepted, and repeated rows share their fate. Without labelled documents
+    all have that score and stay.
+    """
     sample = common.labelled_sample(docs, common.table(spark, sf_dir, "labels"), "quality", common.remainder("doc_id", 3) != 1, quality_classifier.MAX_ROWS)
     return quality_classifier.accepted(docs.select(*COLUMNS), quality_classifier.train(sample))
 
@@ -32,7 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near duplicates: one of least doc_id, a null id after all others.
 
     Rows are told apart by id and text, so ids may repeat or be null; of rows
-    equal in both one stays. Texts without a word are in no group and all stay.
+    equal in both one stays, the least by its other columns. Among texts of one
+    least id any one stays. Texts without a word, null ones too, are in no group
+    and all stay.
     """
     keyed = docs.select(*COLUMNS, _row_key().alias("key"))
     found = jaccard_join.jaccard_join(keyed.select(F.col("key").alias("doc_id"), "text")).where("n_shingles > 0")
@@ -53,7 +61,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that an earlier document has; one with nothing left goes.
 
-    A text that loses no word stays as it is; else its words are joined by single spaces.
+    A text that loses no word stays as it is, null and empty ones too; else its
+    words are joined by single spaces. Rows without an id lose nothing and are no
+    source; rows of one id, repeated ones too, never cost each other words.
     """
     found = substring_dedup.substring_dedup(docs, carry=("text", "lang", "source", "n_chars"))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
@@ -63,7 +73,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark; rows are told apart by id and text."""
+    """Documents that are not contaminated by the benchmark; rows are told apart by id and text.
+
+    Null and empty texts are clean; repeated rows stay or go together. An empty
+    benchmark, or one of texts without words, contaminates nothing.
+    """
     keyed = docs.select(*COLUMNS, _row_key().alias("key"))
     found = decontam.decontaminate(keyed.select(F.col("key").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
     dropped = common.small(cut(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct()))
@@ -71,7 +85,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the token ids and of the text that they decode to."""
+    """doc_id, n_tokens and the digests of the token ids and of the text that they decode to; a null text counts as empty, each row gives one."""
     return bpe_digests(docs, RANKS)
 
 
