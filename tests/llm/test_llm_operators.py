@@ -734,3 +734,33 @@ def test_pipeline_repeated_ids(spark):
     assert len(got) == len(lone) + 1 and got.count((None, c)) + got.count((None, c + " more")) == 1
     rows = [(1, a), (1, item), (None, item), (None, b), (2, b), (2, b)]
     assert left(corpus_pipeline.benchmark_free, rows) == sorted([(1, a), (None, b), (2, b), (2, b)], key=str)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_tables(spark, stage):
+    """Null ids, texts and other columns, repeated rows, empty and very long texts, extra columns with clashing names; then no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(7)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(80)) for x in "ab")
+    rows = [(1, a, None, "s", 5), (1, a, None, "s", 5), (2, a + " more", "en", None, None), (None, b, "en", "s", 1), (None, None, None, None, None), (3, "", "en", "s", 0), (3, None, "en", "s", 0), (4, "word " * 40_000, "en", "s", 1), (5, "short", "en", "s", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = table.withColumns({c: F.lit(7) for c in ("h", "key", "n", "w", "version", "label", "score", "component_id", "first", "copies", "at", "token", "k", "spans", "ids", "marks", "kept", "set_1")})
+    got = stage(spark, odd, sf)
+    found = sorted(map(str, got.collect()))
+    whole = sorted(map(str, table.collect()))
+    if stage is corpus_pipeline.token_ids:
+        assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(r[0]) for r in rows)
+        assert all(r["n_tokens"] == 0 for r in got.collect() if r["doc_id"] == 3)
+    elif stage is corpus_pipeline.near_duplicates:
+        left = list(whole)
+        for r in table.where("doc_id = 1 OR doc_id = 2").collect()[1:]:
+            left.remove(str(r))
+        assert found == left
+    elif stage is corpus_pipeline.repeated_passages:
+        kept = {(r["doc_id"], r["text"]) for r in got.collect()}
+        assert (2, "more") in kept and (1, a) in kept and (None, b) in kept and got.count() == len(rows)
+    else:
+        assert set(found) <= set(whole)
+        assert stage is not corpus_pipeline.benchmark_free or found == whole
+    assert stage is corpus_pipeline.token_ids or got.columns == list(corpus_pipeline.COLUMNS)
+    assert stage(spark, odd.where("false"), sf).collect() == []
