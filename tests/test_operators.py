@@ -325,3 +325,14 @@ def test_cleaning_of_long_runs(spark):
     got = [r[0] for r in table.orderBy("i").select(cleaning.clean(F.col("t"))).collect()]
     assert time.time() - began < 20
     assert got[0] == "a b" and got[1].startswith("a-") and got[3] == texts[3] and got[4] == "1\n1"
+
+
+def test_render_kinds(spark):
+    formulas = spark.createDataFrame([(1, 2, "b = c", None, None, None), (1, 1, "a = b", "Mean", "The mean is a.", None), (2, 1, None, "", None, "x is y")], "query_group int, rank int, formula_latex string, concept_label string, context_sentence string, formula_plain string")
+    got = {r["query_group"]: r["block"].split("\n") for r in retrieval.render_kind(formulas, "formula").collect()}
+    assert got[1][1:] == ["- Mean: a = b   (The mean is a.)", "- formula: b = c"] and got[2][1:] == ["- formula: x is y"]
+    figures = spark.createDataFrame([(1, 1, "bar", None, "size by year", "d" * 300, 3), (1, 2, None, "Figure 1.2 Ages", None, None, None)], "query_group int, rank int, figure_kind string, caption string, axis_summary string, description string, chapter_num int")
+    block = retrieval.render_kind(figures, "figure").first()["block"].split("\n")
+    assert block[1:] == ["- [bar] bar (Ch3, p.?) — size by year", "  Description: " + "d" * 280, "- [figure] Figure 1.2 Ages", "  Description: "]
+    tables_ = spark.createDataFrame([(1, 1, None, "\n".join(f"| {i} |" for i in range(20)))], "query_group int, rank int, table_summary string, table_markdown string")
+    assert retrieval.render_kind(tables_, "table").first()["block"].split("\n")[1:] == ["- table (Ch?, p.?)", *(f"| {i} |" for i in range(8))]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from textbank.functions.text import distinct_tokens, matches
+from textbank.functions.text import distinct_tokens, matches, strip, text_or_empty
 from textbank.functions.vectors import dot, unit
 
 #: Words of a query that name a kind of figure.
@@ -253,6 +253,36 @@ def render(rows: DataFrame, label: Column, text: Column, cap: int = 400, limit:
     return rows.where(F.col("rank") <= limit).groupBy("query_group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("block"))
 
 
+#: The line above the rendered rows of each kind.
+KIND_HEADINGS = {
+    "formula": "KEY FORMULAS (verbatim from the textbook — base computations on these exact forms):",
+    "figure": "FIGURES FROM THE TEXTBOOK (write data-interpretation questions that reference these):",
+    "table": "TABLES FROM THE TEXTBOOK (write questions that require reading these):",
+}
+
+
+def render_kind(rows: DataFrame, kind: str) -> DataFrame:
+    """query_group, block: the formulas, figures or tables of each group in order of rank, each in its kind's own form, under its heading.
+
+    rows has query_group, rank and the columns of the kind's index; of these any
+    may be missing or null.
+    """
+    own = lambda c: text_or_empty(F.col(c)) if c in rows.columns else F.lit("")
+    full = lambda c, other: F.when(c != "", c).otherwise(other)
+    place = F.concat(F.lit("(Ch"), full(own("chapter_num"), F.lit("?")), F.lit(", p."), full(own("page"), F.lit("?")), F.lit(")"))
+    if kind == "formula":
+        context = F.substring(own("context_sentence"), 1, 160)
+        line = F.concat(F.lit("- "), full(own("concept_label"), F.lit("formula")), F.lit(": "), full(own("formula_latex"), own("formula_plain")), F.when(context != "", F.concat(F.lit("   ("), context, F.lit(")"))).otherwise(""))
+    elif kind == "figure":
+        named = full(own("figure_kind"), F.lit("figure"))
+        axis = F.when(own("axis_summary") != "", F.concat(F.lit(" — "), own("axis_summary"))).otherwise("")
+        line = F.concat(F.lit("- ["), named, F.lit("] "), full(own("caption"), F.concat(named, F.lit(" "), place)), axis, F.lit("\n  Description: "), F.substring(own("description"), 1, 280))
+    else:
+        line = F.concat(F.lit("- "), full(own("table_summary"), F.lit("table")), F.lit(" "), place, F.lit("\n"), F.array_join(F.slice(F.split(strip(own("table_markdown")), "\n"), 1, 8), "\n"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    return rows.groupBy("query_group").agg(F.concat(F.lit(KIND_HEADINGS[kind] + "\n"), F.array_join(lines, "\n")).alias("block"))
+
+
 def union_first_seen(results: DataFrame) -> DataFrame:
     """One row for each query_group and _id of several result lists: the first by list_no and rank."""
     own = Window.partitionBy("query_group", "_id").orderBy("list_no", "rank")

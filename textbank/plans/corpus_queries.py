@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textbank.functions import text as T
 from textbank.functions.vectors import cosine
-from textbank.operators import chunking, cleaning, indexes, quality, structure
+from textbank.operators import chunking, cleaning, indexes, quality, retrieval, structure
 from textbank.plans import inputs
 from textbank.plans.registry import query
 
@@ -327,6 +327,17 @@ query("IX-17_figure_text", f"WITH {_FIGURES} SELECT _id, concat_ws(' — ', null
 query("IX-18_figures", f"WITH {_FIGURES} SELECT _id, book_id, doc_id AS parent_chunk_id, entry AS description, {_CAPTION} AS caption FROM e JOIN documents USING (doc_id)")(lambda s, d: indexes.build_figures(rich_chunks(s, d)).select("_id", "book_id", "parent_chunk_id", "description", "caption"))
 
 
+def rendered(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """All entries of a chunk's index in the form of their kind."""
+    rows = {"formula": indexes.build_formulas, "figure": indexes.build_figures, "table": indexes.build_tables}[kind](rich_chunks(s, d))
+    return retrieval.render_kind(rows.withColumnsRenamed({"parent_chunk_id": "query_group", "place": "rank"}), kind)
+
+
+query("RT-14_rendered_tables", f"WITH {_TABLES} SELECT doc_id AS query_group, '{retrieval.KIND_HEADINGS['table']}' || chr(10) || string_agg('- Name, Size (Ch?, p.?)' || chr(10) || array_to_string(string_split(entry, chr(10))[1:8], chr(10)), chr(10) ORDER BY place) AS block FROM e GROUP BY 1")(lambda s, d: rendered(s, d, "table"))
+query("RT-14_rendered_figures", f"WITH {_FIGURES} SELECT doc_id AS query_group, '{retrieval.KIND_HEADINGS['figure']}' || chr(10) || string_agg('- [other] ' || CASE WHEN {_CAPTION} <> '' THEN {_CAPTION} ELSE 'other (Ch?, p.?)' END || chr(10) || '  Description: ' || substr(entry, 1, 280), chr(10) ORDER BY place) AS block FROM e JOIN documents USING (doc_id) GROUP BY 1")(lambda s, d: rendered(s, d, "figure"))
+query("RT-14_rendered_formulas")(lambda s, d: rendered(s, d, "formula"))
+
+
 def exercise_chunks(s: SparkSession, d: str) -> DataFrame:
     """Whole texts dressed as exercises: an example with a solution, a practice box, homework with a group stem and options."""
     whole, flat = F.col("text"), F.regexp_replace("text", r"\s+", " ")
