@@ -162,7 +162,16 @@ query("DS-4_contents_pages", rf"SELECT doc_id, contains(lower(array_to_string(li
 )
 query("DS-5_latch", _latch_sql("(o.num = cur OR o.num = cur + 1 OR (o.num = 1 AND NOT again))", "(o.num = 1 AND cur <> 1)"))(lambda s, d: structure.latch_chapters(headings(s, d)))
 query("DS-6_near_latch", _latch_sql("(o.num BETWEEN cur AND cur + 3)", "false"))(lambda s, d: structure.latch_chapters(headings(s, d), rule="near"))
-query("DS-7_carry_forward")(lambda s, d: structure.carry_forward(headed(s, d), structure.latch_chapters(headings(s, d))).select("book_id", "page", "chapter_num", "section_title"))
+_FIRST_SECTION = structure.SECTION.replace("(?md)", "(?m)")
+query(
+    "DS-7_carry_forward",
+    _latch_sql("(o.num = cur OR o.num = cur + 1 OR (o.num = 1 AND NOT again))", "(o.num = 1 AND cur <> 1)").replace(
+        ") SELECT book_id, page, num, title, accepted FROM s",
+        f"""), a AS (SELECT book_id, page, num FROM s WHERE accepted), j AS (SELECT p.book_id, p.page, a.num, list_last(regexp_extract_all(t, '{_FIRST_SECTION}', 2)) AS section FROM p LEFT JOIN a ON a.book_id = p.book_id AND a.page = p.page),
+        w AS (SELECT *, last_value(num IGNORE NULLS) OVER b AS chapter_num, sum(CASE WHEN num IS NOT NULL THEN 1 ELSE 0 END) OVER b AS part FROM j WINDOW b AS (PARTITION BY book_id ORDER BY page ROWS UNBOUNDED PRECEDING))
+        SELECT book_id, page, chapter_num, coalesce(last_value(section IGNORE NULLS) OVER (PARTITION BY book_id, part ORDER BY page ROWS UNBOUNDED PRECEDING), 'Introduction') AS section_title FROM w""",
+    ),
+)(lambda s, d: structure.carry_forward(headed(s, d), structure.latch_chapters(headings(s, d))).select("book_id", "page", "chapter_num", "section_title"))
 query("DS-8_sections", r"SELECT source AS book_id, CAST(doc_id AS INTEGER) AS page, '1.' || (doc_id % 9 + 1) AS number, 'Section of things' AS title FROM documents WHERE doc_id % 3 = 0")(lambda s, d: structure.section_headings(headed(s, d)).where("title = 'Section of things'").select("book_id", "page", "number", "title"))
 query("DS-9_packed_pages")(lambda s, d: structure.pack_pages(headed(s, d).withColumn("boundary", F.col("page") % 40 < 20)))
 _DENSITY = rf"CASE WHEN len({_LINES}) > 0 THEN len(list_filter({_LINES}, lambda x: regexp_matches(x, '(?i){structure.TEACHING}'))) / len({_LINES}) ELSE 0.0 END"
@@ -170,7 +179,7 @@ _SKIP = rf"(NOT regexp_matches(text, '\S') OR len(list_filter(string_split(text,
 query("DS-10_kept_blocks", f"SELECT doc_id AS _id FROM documents WHERE length(text) >= 40 AND NOT {_SKIP}")(lambda s, d: structure.keep_blocks(inputs.chunks(s, d)).select("_id"))
 _column("DS-11_skip_block", structure.is_skip_block, _SKIP)
 _column("DS-12_teaching_density", lambda c: F.round(structure.teaching_density(c), 6), rf"CASE WHEN len({_LINES}) > 0 THEN round(len(list_filter({_LINES}, lambda x: regexp_matches(x, '(?i){structure.TEACHING}'))) / len({_LINES}), 6) ELSE 0.0 END")
-_column("DS-13_key_terms", lambda c: F.array_join(structure.key_terms(F.concat(c, F.lit(" The Mean is defined. A Central Limit Theorem and the variance."))), ","), None)
+_column("DS-13_key_terms", lambda c: F.array_join(structure.key_terms(F.concat(c, F.lit(" The Mean is defined. A Central Limit Theorem and the variance."))), ","), rf"(SELECT array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') FROM (SELECT list_filter(list_transform(list_concat(regexp_extract_all(t, '([A-Z][a-z]+(?:\s+[A-Z]?[a-z]+){{0,4}})\s+(?:is|are)\s+(?:defined|called|known)', 1), regexp_extract_all(t, '(?i){structure.TERMS}', 1)), lambda x: lower(x)), lambda x: length(x) > 3) AS l FROM (SELECT text || ' The Mean is defined. A Central Limit Theorem and the variance.' AS t)))")
 _column("DS-14_formula_flag", structure.has_formula, r"regexp_matches(text, '[=÷×±√∑∫µσ²]|\b\w+\s*=\s*[\w\d()\[\]]+\s*/|[A-Za-z]\s*[₀₁₂]|χ²')")
 query("DS-15_topic", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'General' ELSE lang END AS topic FROM documents")(lambda s, d: docs(s, d).select("doc_id", structure.topic(F.when(F.col("lang") == "en", " ").otherwise(F.col("lang"))).alias("topic")))
 query("DS-16_chapters", f"WITH {_headings_sql()}, f AS (SELECT book_id, num, arg_min(title, page) AS title FROM h GROUP BY 1, 2) SELECT * FROM f UNION ALL SELECT DISTINCT source, 0, 'Entire Document' FROM documents WHERE source NOT IN (SELECT book_id FROM f)")(lambda s, d: structure.list_chapters(headings(s, d), inputs.chunks(s, d)))
@@ -193,7 +202,7 @@ def recursive(s: SparkSession, d: str) -> DataFrame:
 
 
 query("CH-2_paragraph_split")(lambda s, d: docs(s, d).select("doc_id", F.posexplode(chunking.paragraph_split(F.regexp_replace("text", r"\n", "\n\n"), 1000)).alias("pos", "part")).select("doc_id", "pos", F.sha1(F.col("part").cast("binary")).alias("part_sha1")))
-query("CH-3_merged_parts")(lambda s, d: docs(s, d).select("doc_id", F.size(chunking.merge_small(F.split("text", "\n"), 100, "\n")).alias("n_parts")))
+query("CH-3_merged_parts", "SELECT doc_id, CAST(1 + len(list_filter(string_split(text, chr(10))[2:], lambda x: length(x) >= 100)) AS INTEGER) AS n_parts FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.size(chunking.merge_small(F.split("text", "\n"), 100, "\n")).alias("n_parts")))
 query("CH-4_sentences", "SELECT doc_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')) AS INTEGER) AS n_sentences FROM documents")(
     lambda s, d: docs(s, d).select("doc_id", F.size(chunking.sentences(F.col("text"))).alias("n_sentences"))
 )
@@ -210,10 +219,17 @@ def sentence_vectors(s: SparkSession, d: str) -> DataFrame:
 _DIST = """v AS (SELECT vec_id % 50 AS _id, CAST(row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) - 1 AS INTEGER) AS pos, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
   dist AS (SELECT _id, pos, 1 - list_cosine_similarity(e, nxt) AS distance FROM (SELECT *, lead(e) OVER (PARTITION BY _id ORDER BY pos) AS nxt FROM v) WHERE nxt IS NOT NULL)"""
 query("CH-5_distances", f"WITH {_DIST} SELECT _id, pos, round(distance, 6) AS distance FROM dist")(lambda s, d: chunking.adjacent_distances(sentence_vectors(s, d)).withColumn("distance", F.round("distance", 6)))
-query("CH-6_breakpoints", f"WITH {_DIST}, t AS (SELECT _id, count(*) AS n, list(distance ORDER BY distance) AS l FROM dist GROUP BY 1) SELECT dist._id, pos, n + 1 >= 6 AND distance > l[CAST(least(n, floor(n * 80 / 100) + 1) AS INTEGER)] AS cut FROM dist JOIN t ON t._id = dist._id")(
+_CUTS = f"{_DIST}, t AS (SELECT _id, count(*) AS n, list(distance ORDER BY distance) AS l FROM dist GROUP BY 1), cuts AS (SELECT dist._id, pos, n + 1 >= 6 AND distance > l[CAST(least(n, floor(n * 80 / 100) + 1) AS INTEGER)] AS cut FROM dist JOIN t ON t._id = dist._id)"
+query("CH-6_breakpoints", f"WITH {_CUTS} SELECT _id, pos, cut FROM cuts")(
     lambda s, d: chunking.breakpoints(chunking.adjacent_distances(sentence_vectors(s, d)))
 )
-query("CH-7_assembled")(lambda s, d: chunking.assemble(sentence_vectors(s, d).select("_id", "pos", "sentence"), chunking.breakpoints(chunking.adjacent_distances(sentence_vectors(s, d))), least=30).select("_id", F.array_join("parts", " / ").alias("parts")))
+query(
+    "CH-7_assembled",
+    f"""WITH {_CUTS}, sen AS (SELECT vec_id % 50 AS _id, row_number() OVER (PARTITION BY vec_id % 50 ORDER BY vec_id) - 1 AS pos, 'Sentence ' || vec_id || '.' AS sentence FROM embeddings),
+      g AS (SELECT sen._id, sen.pos, sentence, coalesce(sum(CAST(coalesce(cut, false) AS INTEGER)) OVER (PARTITION BY sen._id ORDER BY sen.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM sen LEFT JOIN cuts ON cuts._id = sen._id AND cuts.pos = sen.pos),
+      p AS (SELECT _id, part, string_agg(sentence, ' ' ORDER BY pos) AS text FROM g GROUP BY 1, 2), m AS (SELECT *, sum(CASE WHEN length(text) >= 30 OR part = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY _id ORDER BY part) AS k FROM p),
+      j AS (SELECT _id, k, string_agg(text, ' ' ORDER BY part) AS text FROM m GROUP BY 1, 2) SELECT _id, string_agg(text, ' / ' ORDER BY k) AS parts FROM j GROUP BY 1""",
+)(lambda s, d: chunking.assemble(sentence_vectors(s, d).select("_id", "pos", "sentence"), chunking.breakpoints(chunking.adjacent_distances(sentence_vectors(s, d))), least=30).select("_id", F.array_join("parts", " / ").alias("parts")))
 query("CH-8_semantic_quota", "WITH c AS (SELECT doc_id AS _id, source, length(text) >= 1500 AS long, round(n_chars / 7.0, 3) AS density, count(*) OVER (PARTITION BY source) AS n FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source, long ORDER BY density DESC, _id) AS p FROM c) SELECT _id, long AND p <= ceil(n * 0.2) AS chosen FROM r")(
     lambda s, d: chunking.semantic_quota(docs(s, d).select(F.col("doc_id").alias("_id"), "source", "text", F.round(F.col("n_chars") / 7.0, 3).alias("teaching_density")), "source").select("_id", "chosen")
 )
