@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbank.llm import bpe, common, decontam, jaccard_join, language_id, licenses, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from textbank.llm import bpe, centroids, common, decontam, divergence, jaccard_join, language_id, licenses, quality_classifier, quality_rules, sentencepieces, substring_dedup, token_counts, toxicity
 
 #: The rank file of the encoding query.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The model file of the SentencePiece query.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: Centroids, rounds, seed and components of the clustering query.
+CENTROIDS, ROUNDS, SEED, COMPONENTS = 8, 10, 3, 64
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +92,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = (op1_quality_classifier, op2_token_counts, op3_license_scans, op4_byte_level_bpe, op5_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_language_id, op10_substring_dedup)
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepieces.round_trip(common.table(spark, sf_dir, "documents"), PIECES)
+    return coded.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = F.sha2(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"), 256)
+    found = centroids.cluster(common.table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS, order, COMPONENTS)
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)).drop("centroid")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_quality_classifier, op2_token_counts, op3_license_scans, op4_byte_level_bpe, op5_quality_rules, op6_toxicity, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_language_id, op10_substring_dedup, op11_sentencepiece, op12_centroid_clustering, op13_source_divergence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -96,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scans": licenses.SQL, "op5_quality_rules": quality_rules.SQL, "op7_ngram_jaccard_join": jaccard_join.SQL, "op8_benchmark_decontamination": decontam.SQL, "op10_substring_dedup": substring_dedup.SQL}
+    return {"op3_license_scans": licenses.SQL, "op5_quality_rules": quality_rules.SQL, "op7_ngram_jaccard_join": jaccard_join.SQL, "op8_benchmark_decontamination": decontam.SQL, "op10_substring_dedup": substring_dedup.SQL, "op12_centroid_clustering": centroids.sql(CENTROIDS, ROUNDS, SEED, COMPONENTS), "op13_source_divergence": divergence.SQL}
