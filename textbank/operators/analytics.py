@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textbank.operators.containment import containment
+
 
 def effective(override: str = "override_mark", auto: str = "auto_mark") -> Column:
     return F.coalesce(F.col(override), F.col(auto))
@@ -132,10 +134,38 @@ def page(rows: DataFrame, order: list[Column], skip: int = 0, limit: int = 100)
 
 
 def round_robin(rows: DataFrame, group: str, score: str, limit: int) -> DataFrame:
-    """The best row of each group, then the second of each, and so on; groups in order of their best row."""
+    """The best row of each group, then the second of each, and so on; groups in order of their best row.
+
+    A group never gives more than `limit` rows, so Spark cuts each to that many
+    before it is sorted, and the best of a group is that of its first turn.
+    """
     own = Window.partitionBy(group).orderBy(F.desc(score), "_id")
-    ranked = rows.withColumn("turn", F.row_number().over(own)).withColumn("best", F.max(score).over(Window.partitionBy(group)))
-    return ranked.orderBy("turn", F.desc("best"), group).limit(limit)
+    ranked = rows.withColumn("turn", F.row_number().over(own)).where(F.col("turn") <= limit)
+    best = F.first(score).over(Window.partitionBy(group).orderBy("turn"))
+    return ranked.withColumn("best", best).orderBy("turn", F.desc("best"), group).limit(limit)
+
+
+def diverse_selection(chunks: DataFrame, limit: int, topic: str | None = None, least: float = 0.15, few: int = 5) -> DataFrame:
+    """The chunks (_id, chapter_num, topic_tag, score) to ask about: all columns and turn.
+
+    Chunks of a chapter above 0 are the source, or all if there is none. Of these
+    the ones whose topic contains the wanted text, in any case, and that score
+    above `least` take turns by topic, topics in order of their best score, each
+    giving its best chunk left, up to `limit`. If no such chunk is left, the first
+    `few` of the source by _id are taken, all in turn 1. What decides between the
+    cases is counted over all rows; a topic is cut to `limit` rows before any sort.
+    A null topic is '', a null score or chapter 0.
+    """
+    rows = chunks.withColumns({"topic_tag": F.coalesce("topic_tag", F.lit("")), "score": F.coalesce("score", F.lit(0.0)), "chapter_num": F.coalesce("chapter_num", F.lit(0))})
+    in_topic = F.contains(F.lower("topic_tag"), F.lit((topic or "").lower()))
+    fit = in_topic & (F.col("score") > least)
+    some = lambda c: F.coalesce(F.max(c), F.lit(False))
+    chaptered = F.col("chapter_num") > 0
+    seen = rows.agg(some(chaptered).alias("chapters"), some(fit & chaptered).alias("fit_in_chapters"), some(fit).alias("fit_at_all")).first()
+    source = rows.where(chaptered) if seen["chapters"] else rows
+    if not (seen["fit_in_chapters"] if seen["chapters"] else seen["fit_at_all"]):
+        return source.orderBy("_id").limit(few).withColumn("turn", F.lit(1))
+    return round_robin(source.where(fit), "topic_tag", "score", limit).drop("best")
 
 
 def prefer(rows: DataFrame, condition: Column, k: int) -> DataFrame:
@@ -150,6 +180,27 @@ def every_nth(rows: DataFrame, group: str, order: list[str], stride: int) -> Dat
     return rows.withColumn("place", place).where(F.col("place") % stride == 0)
 
 
+def uncovered_concepts(concepts: DataFrame, questions: DataFrame) -> DataFrame:
+    """concept: different concepts that stand in no question (_id, text), in any case; a null one is in none."""
+    different = concepts.select("concept").distinct()
+    covered = containment(different.withColumn("needle", F.col("concept")), questions, "concept").select("concept").distinct()
+    return different.join(covered, "concept", "left_anti")
+
+
+def missing_pages(rows: DataFrame) -> DataFrame:
+    """book_id, first, last: runs of pages from 0 to the greatest page of all books that a book (book_id, page) lacks.
+
+    Gaps are read off the sorted pages of a book, so the work grows with the pages
+    there are and not with those that there might be.
+    """
+    last = rows.agg(F.max("page").alias("greatest"))
+    own = Window.partitionBy("book_id").orderBy("page")
+    pages = rows.select("book_id", F.col("page").cast("long").alias("page")).where("page IS NOT NULL").distinct()
+    before = pages.select("book_id", (F.coalesce(F.lag("page").over(own), F.lit(-1)) + 1).alias("first"), (F.col("page") - 1).alias("last"))
+    behind = pages.groupBy("book_id").agg((F.max("page") + 1).alias("first")).join(F.broadcast(last)).select("book_id", "first", F.col("greatest").cast("long").alias("last"))
+    return before.unionByName(behind).where("first <= last")
+
+
 def attempt_roster(attempts: DataFrame, submissions: DataFrame, quizzes: DataFrame, questions: DataFrame) -> DataFrame:
     """Per attempt: questions, answered and marked ones, score (null if none is marked) and possible marks (null if 0)."""
     lines = quizzes.select(F.col("_id").alias("quiz_id"), F.explode("question_ids").alias("question_id")).distinct().join(questions.select(F.col("_id").alias("question_id"), "max_marks"), "question_id", "left")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textbank.functions.text import let
+from textbank.operators.common import cut, small
+from textbank.operators.containment import containment
 
 
 def relevant(page_start: Column, page_end: Column, text: Column, pages: Column, contains: Column) -> Column:
@@ -18,19 +20,21 @@ def relevant(page_start: Column, page_end: Column, text: Column, pages: Column,
 
 
 def _triples(text: Column) -> Column:
-    """Array of (w0, w1, w2): every three words in a row, in lower case."""
-    return let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.arrays_zip(w.alias("w0"), F.slice(w, 2, F.size(w)).alias("w1"), F.slice(w, 3, F.size(w)).alias("w2")))
+    """Hashes of the different runs of three words, in lower case."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    runs = let(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.when(F.size(w) >= i + 2, F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))))
+    return F.array_distinct(F.array_compact(runs))
 
 
 def shared_triples(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, _id, shared, n: how many of the n different word triples of a query (query_id, text) a document (_id, text) has, if it has any.
 
-    Documents are joined by their triples, so a query meets only what shares one.
+    Documents are joined by their triples, so a query meets only what shares one;
+    the queries' triples are broadcast if they are counted few.
     """
-    triples = lambda rows, key: rows.select(key, F.explode(_triples(F.col("text"))).alias("t")).select(key, *[F.col("t").getField(f).alias(f"w{i}") for i, f in enumerate(rows.select(_triples(F.col("text")).alias("t")).schema["t"].dataType.elementType.names)]).where("w2 IS NOT NULL").select(key, F.xxhash64("w0", "w1", "w2").alias("triple"))
-    own = triples(queries, "query_id").distinct()
+    own = cut(queries.select("query_id", F.explode(_triples(F.col("text"))).alias("triple")).distinct())
     n = own.groupBy("query_id").agg(F.count("*").alias("n"))
-    met = triples(docs, "_id").join(own, "triple").distinct().groupBy("query_id", "_id").agg(F.count("*").alias("shared"))
+    met = docs.select("_id", F.explode(_triples(F.col("text"))).alias("triple")).join(small(own), "triple").groupBy("query_id", "_id").agg(F.count("*").alias("shared"))
     return met.join(n, "query_id")
 
 
@@ -38,18 +42,31 @@ def judged_by_containment(queries: DataFrame, docs: DataFrame, most: int = 20, s
     """(judged, relevant): the `most` documents that share most triples with each query, and all that contain it.
 
     judged has query_id, _id, specialist, rank and relevant; relevant has query_id
-    and _id. A document that contains a query's text, in any case, has all its
-    triples but those of a word cut at either end, so only such are read again.
+    and _id. A document is relevant if it contains the query's text, in any case,
+    however short the text is and wherever in a word it begins or ends.
     """
-    met = shared_triples(queries, docs)
-    likely = met.where("shared >= n - 2").join(docs, "_id").join(queries.select("query_id", F.col("text").alias("needle")), "query_id")
-    page = F.lit(None).cast("int")
-    held = likely.where(relevant(page, page, F.col("text"), F.lit(None).cast("array<int>"), F.array("needle"))).select("query_id", "_id")
+    held = cut(containment(queries.select("query_id", F.col("text").alias("needle")), docs))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "_id"))
-    top = met.withColumn("rank", place).where(F.col("rank") <= most).join(held.withColumn("relevant", F.lit(True)), ["query_id", "_id"], "left")
+    top = shared_triples(queries, docs).withColumn("rank", place).where(F.col("rank") <= most).join(held.withColumn("relevant", F.lit(True)), ["query_id", "_id"], "left")
     return top.select("query_id", "_id", F.lit(specialist).alias("specialist"), "rank", F.coalesce("relevant", F.lit(False)).alias("relevant")), held
 
 
+def expected_rows(expected: DataFrame, rows: DataFrame, fields: list[str]) -> DataFrame:
+    """query_id, _id: rows that meet what a golden query expects, by page or by a string in any of the text fields, in any case.
+
+    expected has query_id, pages (array) and contains (array of strings), either
+    may be null; rows has _id, page_start, page_end (null: page_start) and the
+    fields, which are read as one text with spaces between. Pages are joined page
+    by page, strings by containment, so nothing meets what it does not match.
+    """
+    pages = expected.select("query_id", F.explode(F.array_distinct("pages")).alias("page"))
+    spans = rows.where("page_start IS NOT NULL").select("_id", F.explode(F.sequence(F.col("page_start").cast("long"), F.greatest(F.coalesce("page_end", "page_start"), F.col("page_start")).cast("long"))).alias("page"))
+    by_page = spans.join(pages.select("query_id", F.col("page").cast("long").alias("page")), "page").select("query_id", "_id")
+    text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])
+    by_text = containment(expected.select("query_id", F.explode("contains").alias("needle")), rows.select("_id", text.alias("text")))
+    return by_page.unionByName(by_text).distinct()
+
+
 def score_queries(judged: DataFrame, pairs: DataFrame, totals: DataFrame, k: int = 8) -> DataFrame:
     """query_id, specialist and hit_at_k, recall_at_k, mrr, ndcg_at_k, n_returned, n_relevant for every row of pairs.
 
@@ -86,6 +103,30 @@ def score_queries(judged: DataFrame, pairs: DataFrame, totals: DataFrame, k: int
     )
 
 
+#: Specialists in the order in which the fused list takes them; parents of specialist rows close the text list.
+SPECIALISTS = ("text", "formula", "figure", "table")
+
+
+def golden_scores(expected: DataFrame, found: DataFrame, rows: DataFrame, fields: list[str], k: int = 8) -> DataFrame:
+    """score_queries for golden queries: every specialist's list and "fused", all lists one after the other.
+
+    expected has query_id, pages and contains as for expected_rows; found has
+    query_group (the query_id), kind, _id and place, as routed_retrieve gives;
+    rows has every row of the indexes once, with its pages and text fields. What
+    meets an expectation is counted per query before anything is joined to it.
+    """
+    met = cut(expected_rows(expected, rows, fields))
+    parent = F.col("kind") == "parent"
+    own = found.select(F.col("query_group").alias("query_id"), F.when(parent, "text").otherwise(F.col("kind")).alias("specialist"), parent.cast("int").alias("late"), "place", "_id")
+    order = F.array_position(F.array(*map(F.lit, SPECIALISTS)), F.col("specialist"))
+    listed = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "specialist").orderBy("late", "place", "_id")))
+    fused = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "late", "place", "_id"))).withColumn("specialist", F.lit("fused"))
+    judged = listed.unionByName(fused).select("query_id", "specialist", "rank", "_id").join(met.withColumn("relevant", F.lit(True)), ["query_id", "_id"], "left")
+    judged = judged.withColumn("relevant", F.coalesce("relevant", F.lit(False)))
+    pairs = expected.select("query_id", F.explode(F.array(*map(F.lit, (*SPECIALISTS, "fused")))).alias("specialist"))
+    return score_queries(judged, pairs, met.groupBy("query_id").agg(F.count("*").alias("total_relevant")), k)
+
+
 def mean_scores(scores: DataFrame) -> DataFrame:
     """Per specialist the mean of each measure, to four places, and the number of queries."""
     return scores.groupBy("specialist").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("hit_at_k", "recall_at_k", "mrr", "ndcg_at_k")], F.count("*").alias("n_queries"))

@@ -187,7 +187,7 @@ _simple(
 _simple(
     "JN-11_uncovered_concepts",
     "WITH concepts AS (SELECT DISTINCT p_type AS concept FROM part), q AS (SELECT p_name || ' ' || p_brand AS t FROM part) SELECT concept FROM concepts c WHERE NOT EXISTS (SELECT 1 FROM q WHERE contains(lower(q.t), lower(c.concept)))",
-    lambda s, d: inputs.table(s, d, "part").select(F.col("p_type").alias("concept")).distinct().alias("c").join(inputs.table(s, d, "part").select(F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("t")).distinct().alias("q"), F.contains(F.col("t"), F.lower("concept")), "left_anti"),
+    lambda s, d: analytics.uncovered_concepts(inputs.table(s, d, "part").select(F.col("p_type").alias("concept")), inputs.table(s, d, "part").select(F.col("p_partkey").alias("_id"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))),
 )
 
 # Sets.
@@ -204,12 +204,7 @@ _simple(
 _simple(
     "ST-4_page_difference",
     "WITH e AS (SELECT source AS book_id, unnest(range(0, (SELECT max(doc_id) + 1 FROM documents))) AS page FROM (SELECT DISTINCT source FROM documents)) SELECT book_id, CAST(page AS BIGINT) AS page FROM e EXCEPT SELECT source, doc_id FROM documents",
-    lambda s, d: inputs.chunks(s, d)
-    .select("book_id")
-    .distinct()
-    .join(F.broadcast(inputs.chunks(s, d).agg(F.max("_id").alias("last"))))
-    .select("book_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("page"))
-    .join(inputs.chunks(s, d).select("book_id", F.col("_id").alias("page")), ["book_id", "page"], "left_anti"),
+    lambda s, d: analytics.missing_pages(inputs.chunks(s, d).select("book_id", F.col("_id").alias("page"))).select("book_id", F.explode(F.sequence("first", "last")).alias("page")),
 )
 _simple(
     "ST-5_token_intersection",
@@ -228,6 +223,16 @@ _simple(
     "WITH r AS (SELECT doc_id AS _id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS turn, max(n_chars) OVER (PARTITION BY lang) AS best FROM documents) SELECT _id, CAST(turn AS INTEGER) AS turn FROM r ORDER BY turn, best DESC, lang LIMIT 25",
     lambda s, d: analytics.round_robin(inputs.table(s, d, "documents").withColumnRenamed("doc_id", "_id"), "lang", "n_chars", 25).select("_id", "turn"),
 )
+_CHUNK_SCORES = "SELECT doc_id AS _id, doc_id % 9 AS chapter_num, lang || source AS topic_tag, least(n_chars / 20000.0, 1.0) AS score FROM documents"
+for _name, _topic, _least in (("by_topic", "src1", 0.15), ("all", "", 0.15), ("fallback", "no such topic", 0.15)):
+    _simple(
+        f"WN-3_diverse_selection_{_name}",
+        f"WITH c AS ({_CHUNK_SCORES}), s AS (SELECT * FROM c WHERE chapter_num > 0), p AS (SELECT *, row_number() OVER (PARTITION BY topic_tag ORDER BY score DESC, _id) AS turn, max(score) OVER (PARTITION BY topic_tag) AS best FROM s WHERE contains(topic_tag, '{_topic}') AND score > {_least}), "
+        "t AS (SELECT _id, turn FROM p ORDER BY turn, best DESC, topic_tag LIMIT 25), f AS (SELECT _id, 1 AS turn FROM s ORDER BY _id LIMIT 5) SELECT _id, CAST(turn AS INTEGER) AS turn FROM t UNION ALL SELECT _id, 1 FROM f WHERE NOT EXISTS (SELECT 1 FROM t)",
+        lambda s, d, topic=_topic, least=_least: analytics.diverse_selection(
+            inputs.table(s, d, "documents").select(F.col("doc_id").alias("_id"), (F.col("doc_id") % 9).alias("chapter_num"), F.concat("lang", "source").alias("topic_tag"), F.least(F.col("n_chars") / 20000.0, F.lit(1.0)).alias("score")), 25, topic, least
+        ).select("_id", "turn"),
+    )
 _simple(
     "WN-4_best_chunk",
     "SELECT source AS book_id, arg_max(doc_id, (n_chars, -doc_id)) AS _id FROM documents GROUP BY 1",

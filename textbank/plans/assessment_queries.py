@@ -7,25 +7,13 @@ from pyspark.sql import functions as F
 
 from textbank.functions import text as T
 from textbank.operators import curation, marking, quizzes, retrieval
+from textbank.operators.common import cut
 from textbank.plans import inputs
 from textbank.plans.inputs import QUESTIONS, SUBMISSIONS
 from textbank.plans.corpus_queries import replies
 from textbank.plans.registry import query
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared checkpoint folder that the session names; a session of one machine may have a temporary one."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and sc.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def turns(s: SparkSession, d: str) -> DataFrame:
     """conversations as answered questions: a user's turn is the question, the next turn the answer."""
     from pyspark.sql.window import Window

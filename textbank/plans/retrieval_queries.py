@@ -268,16 +268,33 @@ def blocks(s: SparkSession, d: str) -> DataFrame:
     return c.select("_id", prompt_block(F.col("text"), F.col("topic_tag"), F.col("book_id"), F.split("text", "\n"), F.array()).alias("block"))
 
 
+def _golden(s: SparkSession, d: str) -> DataFrame:
+    """Every stated query as a golden one: the text of its document, expecting two pages behind it and a string cut out of it."""
+    q = inputs.vector_queries(s, d).join(inputs.table(s, d, "documents").select(F.col("doc_id").alias("query_id"), "text"), "query_id")
+    return q.select("query_id", F.col("text").alias("query"), "embedding", "chapter_num", F.array(F.col("query_id") + 1, F.col("query_id") + 2).alias("pages"), F.array(F.substring("text", 3, 25)).alias("contains"))
+
+
+def _indexed_pages(s: SparkSession, d: str) -> DataFrame:
+    """Every vector as a row of an index, with the text of its document and one page or two."""
+    v = inputs.vectors(s, d).select("_id").join(inputs.table(s, d, "documents").select(F.col("doc_id").alias("_id"), "text", "source"), "_id")
+    return v.select("_id", F.col("_id").alias("page_start"), (F.col("_id") + F.col("_id") % 2).alias("page_end"), "text", "source")
+
+
 @query("EV-8_golden_evaluation")
 def golden(s: SparkSession, d: str) -> DataFrame:
-    """Every stated query over the four indexes, judged by whether a row's document shares its chapter with the query."""
-    found = routed(s, d).where("kind <> 'parent'")
-    v = inputs.vectors(s, d).select("_id", "chapter_num")
-    queries = inputs.vector_queries(s, d).select(F.floor(F.col("query_id") / 100).alias("query_group"), "chapter_num").groupBy("query_group").agg(F.min("chapter_num").alias("wanted"))
-    judged_ = found.join(v, "_id").join(queries, "query_group").select(F.col("query_group").alias("query_id"), F.col("kind").alias("specialist"), F.col("place").alias("rank"), (F.col("chapter_num") == F.col("wanted")).alias("relevant"))
-    totals = v.join(queries, v["chapter_num"] == queries["wanted"]).groupBy(F.col("query_group").alias("query_id")).agg(F.count("*").alias("total_relevant"))
-    pairs = queries.select(F.col("query_group").alias("query_id"), F.explode(F.array(*map(F.lit, ("text", "formula", "figure", "table")))).alias("specialist"))
-    return evaluation.mean_scores(evaluation.score_queries(judged_, pairs, totals))
+    """Every stated query over the four indexes, judged by pages and strings, per specialist and fused."""
+    g = _golden(s, d)
+    found = retrieval.routed_retrieve(g.withColumn("query_group", F.col("query_id")), _indexes(s, d))
+    return evaluation.mean_scores(evaluation.golden_scores(g, found, _indexed_pages(s, d), ["text", "source"]))
+
+
+@query(
+    "EV-1_expected_rows",
+    """WITH r AS (SELECT vec_id AS _id, vec_id AS page_start, vec_id + vec_id % 2 AS page_end, text || ' ' || source AS hay FROM embeddings JOIN documents ON doc_id = vec_id)
+    SELECT q._id AS query_id, r._id FROM r q JOIN documents ON doc_id = q._id JOIN r ON q._id + 1 BETWEEN r.page_start AND r.page_end OR q._id + 2 BETWEEN r.page_start AND r.page_end OR (trim(substr(text, 3, 25)) <> '' AND contains(lower(r.hay), lower(substr(text, 3, 25)))) WHERE q._id % 50 = 0""",
+)
+def expected_rows(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.expected_rows(_golden(s, d), _indexed_pages(s, d), ["text", "source"])
 
 
 @query("EV-9_auto_golden", "SELECT book_id, _id, query FROM (SELECT source AS book_id, doc_id AS _id, lang || ' ' || source AS query, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p FROM documents) WHERE p % 10 = 0")
