@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textbank.llm import bpe, common, decontam, jaccard_join, language_id, licenses, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
-from textbank.llm.queries import RANKS, bpe_digests, queries
+from textbank.llm import bpe, common, decontam, jaccard_join, language_id, licenses, quality_classifier, quality_rules, sentencepieces, substring_dedup, token_counts, toxicity
+from textbank.llm.queries import PIECES, RANKS, bpe_digests, queries
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORDS = [f"w{i}" for i in range(40)]
@@ -667,10 +667,11 @@ def all_operators(spark, rows):
         "decontamination": lambda: decontam.decontaminate(rows, bench),
         "language": lambda: language_id.language(rows, language_id.train(language_id.sample(rows, F.lit(True)))),
         "substrings": lambda: substring_dedup.substring_dedup(rows),
+        "pieces": lambda: sentencepieces.round_trip(rows, PIECES),
     }
 
 
-NAMES = ("quality classifier", "token counts", "licenses", "bpe", "quality rules", "toxicity", "jaccard", "decontamination", "language", "substrings")
+NAMES = ("quality classifier", "token counts", "licenses", "bpe", "quality rules", "toxicity", "jaccard", "decontamination", "language", "substrings", "pieces")
 
 
 @pytest.mark.parametrize("name", NAMES)
