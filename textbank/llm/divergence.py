@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textbank.llm.common import cut
+from textbank.llm.common import cut, small
 
 UNIT = 1_000_000_000
 MIN_DOCS, MAX_RANK = 3, 200
 #: Terms of a block, sources of a group; a task holds at most about 2 * BLOCK_SOURCES arrays of BLOCK_TERMS.
 BLOCK_TERMS, BLOCK_SOURCES = 4096, 32
 #: Counts that a task gathers before it hands them on.
-KEPT_COUNTS = 300_000
+KEPT_COUNTS = 600_000
 #: Ids of the shorter array that are looked up at once.
 PIECE = 256
 # The term pattern on UTF-8: bytes from 0x80 on belong to characters from 0x80 on.
@@ -186,8 +186,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, max_rank: int = MAX_RANK) -
 
     by_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
     by_lang = cut(by_lang)
-    terms = by_lang.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_all"))
+    terms = small(cut(by_lang.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_all"))))
     block = F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / BLOCK_TERMS))
+    # The join above is a broadcast unless there are very many languages, so that terms are dealt by block and not by language.
     numbered = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term"))
     vocabulary = by_lang.join(terms, "lang").withColumn("block", block).withColumn("id", numbered)
     kept = cut(counts.drop("docs").join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n", "block", "id", "lang_n"))
@@ -205,12 +206,12 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, max_rank: int = MAX_RANK) -
 
     # The shares within the group and the language, then the terms that stand out.
     p, q = share(F.col("n") + 1, F.col("all")), share(F.col("lang_n") + 1, F.col("lang_all"))
-    own = kept.join(groups.select("lang", "source", "all", "lang_all"), ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q"))
+    own = kept.join(small(groups.select("lang", "source", "all", "lang_all")), ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q"))
     of_terms = own.where("p > q").select("lang", "source", F.lit("term").alias("part"), "item", price(F.col("p"), F.col("q")).alias("value"))
 
     # Each source's arrays in a block, a copy for each group of sources that its own meets.
     arrays = kept.groupBy("lang", "source", "block").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("x"))
-    arrays = arrays.join(groups.where("parts IS NOT NULL").select("lang", "source", "all", "part", "parts"), ["lang", "source"])
+    arrays = arrays.join(small(groups.select("lang", "source", "all", "part", "parts")), ["lang", "source"])
     arrays = arrays.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     arrays = arrays.select("lang", "block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "source", "part", "all", F.col("x.id").alias("ids"), F.col("x.n").alias("n"))
     found = _pairs(arrays).groupBy("lang", "a", "b").agg(*[F.sum(c).alias(c) for c in ("there", "back", "n")])
