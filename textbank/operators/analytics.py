@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textbank.operators.containment import containment
+from textbank.operators.folds import numbered
 
 
 def effective(override: str = "override_mark", auto: str = "auto_mark") -> Column:
@@ -176,8 +177,7 @@ def prefer(rows: DataFrame, condition: Column, k: int) -> DataFrame:
 
 def every_nth(rows: DataFrame, group: str, order: list[str], stride: int) -> DataFrame:
     """Every stride-th row of a group, from the first: a systematic sample."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return rows.withColumn("place", place).where(F.col("place") % stride == 0)
+    return numbered(rows, [group], order, "place").withColumn("place", F.col("place") - 1).where(F.col("place") % stride == 0)
 
 
 def uncovered_concepts(concepts: DataFrame, questions: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from textbank.functions.text import let, strip, text_or_empty, tokens
 from textbank.functions.vectors import cosine
+from textbank.operators.common import cut, small
+from textbank.operators.folds import numbered
 
 #: Where a text may be cut, coarsest first.
 SEPARATORS = ("\n\n", "\n", ". ", ", ", " ")
@@ -112,10 +114,12 @@ def assemble(rows: DataFrame, cuts: DataFrame, least: int = 300) -> DataFrame:
 
 def semantic_quota(chunks: DataFrame, group: str, share: float = 0.2, least: int = 1500) -> DataFrame:
     """Which chunks to split by meaning: of each group's long ones those of highest teaching density, a share of all its chunks."""
-    n = F.count("*").over(Window.partitionBy(group))
-    long = F.length("text") >= least
-    place = F.row_number().over(Window.partitionBy(group, long).orderBy(F.desc("teaching_density"), "_id"))
-    return chunks.withColumn("chosen", long & (place <= F.ceil(n * share)))
+    n = small(cut(chunks.groupBy(group).agg(F.count("*").alias("n_"))))
+    marked = chunks.withColumn("long_", F.coalesce(F.length("text") >= least, F.lit(False)))
+    placed = numbered(marked, [group, "long_"], [F.desc("teaching_density"), "_id"], "place_")
+    same = lambda a, b: a.eqNullSafe(b)
+    joined = placed.join(n.withColumnRenamed(group, "group_"), same(F.col(group), F.col("group_")))
+    return joined.withColumn("chosen", F.col("long_") & (F.col("place_") <= F.ceil(F.col("n_") * share))).select(*chunks.columns, "chosen")
 
 
 def redundant(part: Column, base: Column, threshold: float = 0.8) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from textbank.functions.text import let
 from textbank.operators.common import cut, small
 from textbank.operators.containment import containment
+from textbank.operators.folds import numbered
 
 
 def relevant(page_start: Column, page_end: Column, text: Column, pages: Column, contains: Column) -> Column:
@@ -139,9 +140,8 @@ def weakest(scores: DataFrame, specialist: str = "fused", n: int = 3) -> DataFra
 
 def auto_golden(chunks: DataFrame, stride: int = 10) -> DataFrame:
     """query, book_id, pages from every stride-th chunk of a book: its section title and first four key terms, expecting its own pages."""
-    place = F.row_number().over(Window.partitionBy("book_id").orderBy("page_start", "_id")) - 1
     return (
-        chunks.withColumn("place", place)
-        .where(F.col("place") % stride == 0)
+        numbered(chunks, ["book_id"], ["page_start", "_id"], "place_")
+        .where((F.col("place_") - 1) % stride == 0)
         .select("book_id", "_id", F.concat_ws(" ", "section_title", F.slice("key_terms", 1, 4)).alias("query"), F.sequence("page_start", "page_end").alias("pages"))
     )

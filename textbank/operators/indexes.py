@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from textbank.functions.text import json_array, let, strip, text_or_empty
 from textbank.operators.chunking import entry_id, sentences
+from textbank.operators.folds import numbered
 
 #: What makes a line a formula.
 FORMULA_LINE = r"[=√∑∏∫±≤≥≠^]|\\frac|\\sqrt|\\sum|\bsqrt\("
@@ -108,8 +109,8 @@ def parse_kinds(replies: DataFrame) -> DataFrame:
 
 def number_batches(rows: DataFrame, group: str, size: int = 10) -> DataFrame:
     """rows with batch and i: their place in calls of `size` rows, by group and _id."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy("_id")) - 1
-    return rows.withColumn("batch", F.floor(place / size)).withColumn("i", (place % size + 1).cast("int"))
+    place = F.col("place_") - 1
+    return numbered(rows, [group], ["_id"], "place_").withColumn("batch", F.floor(place / size)).withColumn("i", (place % size + 1).cast("int")).drop("place_")
 
 
 def headers(table: Column, most: int = 10) -> Column:

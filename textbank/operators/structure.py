@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textbank.functions.text import matches, strip, text_or_empty
-from textbank.operators.folds import fold_sorted
+from textbank.operators.folds import carried_last, composed, latch, packing
 
 #: Forms of a chapter heading, most certain first; number, then title.
 CHAPTER_FORMS = [
@@ -120,46 +119,31 @@ def table_rows(grid: Column, least: float = 0.2) -> Column:
     return F.when((F.size(grid) >= 2) & (F.try_divide(filled, F.size(cells)) >= least), F.array_join(F.transform(grid, lambda r: F.array_join(F.transform(r, text_or_empty), " | ")), "\n"))
 
 
-def latch_chapters(headings: DataFrame, rule: str = "next") -> DataFrame:
+def latch_chapters(headings: DataFrame, rule: str = "next", pieces: int | None = None) -> DataFrame:
     """book_id, page, num, title, accepted of headings (book_id, page, num, title).
 
     In order of page, number and title a heading is accepted if it is a book's
     first, repeats the current chapter, or, by rule "next", is the next one, or
     goes back to 1 once; by rule "near" it is at most three further. One row a
-    heading. A book's headings stream through one task, which keeps the current
-    number only.
+    heading; those without a number are left out. A book lies over as many pieces
+    as it needs, each mapped from every chapter number that occurs.
     """
-
-    def step(state: tuple, row: dict) -> tuple:
-        current, restarted = state
-        num = row["num"]
-        if current is None:
-            ok = True
-        elif rule == "next":
-            ok = num in (current, current + 1) or (num == 1 and not restarted)
-        else:
-            ok = current <= num <= current + 3
-        if ok:
-            restarted = restarted or (rule == "next" and current is not None and num == 1 and current != 1)
-            current = num
-        return (current, restarted), [row | {"accepted": ok}]
-
     rows = headings.where("num IS NOT NULL").select("book_id", F.col("page").cast("int").alias("page"), F.col("num").cast("int").alias("num"), "title")
-    return fold_sorted(rows, ["book_id"], ["page", "num", "title"], lambda: (None, False), step, rows.schema.add("accepted", "boolean"))
+    numbers = sorted(r[0] for r in rows.select("num").distinct().collect())
+    return composed(rows, ["book_id"], ["page", "num", "title"], latch(rule, numbers), pieces)
 
 
-def carry_forward(pages: DataFrame, chapters: DataFrame) -> DataFrame:
+def carry_forward(pages: DataFrame, chapters: DataFrame, pieces: int | None = None) -> DataFrame:
     """pages (book_id, page, text) with chapter_num, chapter_title and section_title in force on each page.
 
-    chapters are accepted headings. A section holds until the next; a chapter starts with "Introduction".
+    chapters are accepted headings. A section holds until the next; a chapter
+    starts with "Introduction". A book lies over as many pieces as it needs.
     """
-    heads = chapters.where("accepted").select("book_id", "page", "num", "title")
-    book = Window.partitionBy("book_id").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = pages.join(heads, ["book_id", "page"], "left")
+    heads = chapters.where("accepted").select("book_id", "page", F.col("num").alias("num_"), F.col("title").alias("title_"))
     section = F.get(F.reverse(F.regexp_extract_all(text_or_empty(F.col("text")), F.lit(SECTION), F.lit(2))), 0)
-    out = joined.withColumns({"chapter_num": F.last("num", True).over(book), "chapter_title": F.last("title", True).over(book), "part": F.sum(F.when(F.col("num").isNotNull(), 1).otherwise(0)).over(book), "section": section})
-    own = Window.partitionBy("book_id", "part").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return out.withColumn("section_title", F.coalesce(F.last("section", True).over(own), F.lit("Introduction"))).drop("num", "title", "part", "section")
+    joined = pages.join(heads, ["book_id", "page"], "left").withColumn("section_", F.coalesce(section, F.when(F.col("num_").isNotNull(), "Introduction")))
+    out = carried_last(joined, ["book_id"], ["page", "num_"], {"num_": "chapter_num", "title_": "chapter_title", "section_": "section_title"}, pieces)
+    return out.withColumn("section_title", F.coalesce("section_title", F.lit("Introduction"))).drop("num_", "title_", "section_")
 
 
 def section_headings(pages: DataFrame) -> DataFrame:
@@ -168,34 +152,19 @@ def section_headings(pages: DataFrame) -> DataFrame:
     return found.select("book_id", "page", "place", F.regexp_extract("raw", SECTION, 1).alias("number"), F.regexp_extract("raw", SECTION, 2).alias("title"))
 
 
-def pack_pages(pages: DataFrame, size: int = 3000) -> DataFrame:
+def pack_pages(pages: DataFrame, size: int = 3000, pieces: int | None = None) -> DataFrame:
     """book_id, segment, block, page_start, page_end, text: pages joined greedily until a block has `size` characters or a boundary comes.
 
-    pages has book_id, page, text, boundary (the page opens a chapter or section).
-    A book's pages stream through one task, which holds one block at a time.
+    pages has book_id, page, text, boundary (the page opens a chapter or section);
+    a null text is empty. Pages are told their block piece by piece, however long
+    the book, and gathered by block, of which none has more than `size` characters
+    and one page.
     """
-    def step(state: dict, row: dict) -> tuple:
-        out = []
-        if row["boundary"]:
-            out = flush(state)
-            state["segment"] += 1
-            state["block"] = 0
-        state["book_id"] = row["book_id"]
-        state["pages"].append(row["page"])
-        state["texts"].append(row["text"] or "")
-        state["length"] += len(row["text"] or "")
-        return state, out + (flush(state) if state["length"] >= size else [])
-
-    def flush(state: dict) -> list[dict]:
-        if not state["pages"]:
-            return []
-        row = {"book_id": state["book_id"], "segment": state["segment"], "block": state["block"], "page_start": state["pages"][0], "page_end": state["pages"][-1], "text": "\n".join(state["texts"])}
-        state.update(block=state["block"] + 1, pages=[], texts=[], length=0)
-        return [row]
-
-    rows = pages.select("book_id", F.col("page").cast("long").alias("page"), "text", F.coalesce("boundary", F.lit(False)).alias("boundary"))
-    start = lambda: {"book_id": None, "segment": 0, "block": 0, "pages": [], "texts": [], "length": 0}
-    return fold_sorted(rows, ["book_id"], ["page"], start, step, "book_id string, segment long, block long, page_start long, page_end long, text string", flush)
+    text = F.coalesce("text", F.lit(""))
+    rows = pages.select("book_id", F.col("page").cast("long").alias("page"), text.alias("text"), F.length(text).alias("length_"), F.coalesce("boundary", F.lit(False)).alias("boundary"))
+    labelled = composed(rows, ["book_id"], ["page", "text"], packing(size), pieces)
+    gathered = labelled.groupBy("book_id", "segment", "block").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("own"))
+    return gathered.select("book_id", "segment", "block", F.col("own")[0]["page"].alias("page_start"), F.element_at("own", -1)["page"].alias("page_end"), F.array_join(F.transform("own", lambda x: x["text"]), "\n").alias("text"))
 
 
 def keep_blocks(blocks: DataFrame) -> DataFrame:

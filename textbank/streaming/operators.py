@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from textbank.operators.folds import fold_sorted
+from textbank.operators.folds import Fold, composed
 
 
 def once_only(rows: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -75,18 +75,19 @@ def _limit(times: list[float], held: list[float], most: int, seconds: float) ->
 LIMITED = "key string, ts timestamp, limited boolean"
 
 
-def limit_hits(rows: DataFrame, most: int, seconds: int = 60) -> DataFrame:
+def limit_hits(rows: DataFrame, most: int, seconds: int = 60, pieces: int | None = None) -> DataFrame:
     """key, ts, limited for each hit (key, ts): whether the key had `most` unlimited hits in the time before it.
 
-    A key's hits stream through one task in order of time, which keeps `most` times.
+    A key's hits lie over as many pieces as they need; the state is `most` times.
+    It is forgotten after a pause of `seconds`, so that a piece is rarely run again.
     """
 
-    def step(held: list[float], row: dict) -> tuple:
-        over, held = _limit([row["ts"].timestamp()], held, most, seconds)
-        return held, [row | {"limited": over[0]}]
+    def step(held: list[float], values: tuple) -> tuple:
+        over, held = _limit([values[0].timestamp()], held, most, seconds)
+        return held, (over[0],)
 
     own = rows.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return fold_sorted(own, ["key"], ["ts"], list, step, LIMITED)
+    return composed(own, ["key"], ["ts"], Fold(["ts"], "limited boolean", list, step), pieces)
 
 
 def limit_hits_stream(rows: DataFrame, most: int, seconds: int = 60) -> DataFrame:
@@ -125,19 +126,21 @@ def _lockout(hits: list[tuple[float, bool]], failures: int, until: float, most:
 OUTCOMES = "key string, ts timestamp, outcome string"
 
 
-def lockouts(rows: DataFrame, most: int = 10, seconds: int = 300) -> DataFrame:
+def lockouts(rows: DataFrame, most: int = 10, seconds: int = 300, pieces: int | None = None) -> DataFrame:
     """key, ts, outcome of each login attempt (key, ts, ok): success, failure, locked, or rejected while locked.
 
-    Of attempts at one time, failures come first. A key's attempts stream through
-    one task, which keeps the failures in a row and the end of the lock.
+    Of attempts at one time, failures come first. A key's attempts lie over as many
+    pieces as they need; the state is the failures in a row and the end of the
+    lock, which a success or a lock that has run out makes one and the same.
     """
 
-    def step(state: tuple, row: dict) -> tuple:
-        out, failures, until = _lockout([(row["ts"].timestamp(), bool(row["ok"]))], *state, most, seconds)
-        return (failures, until), [{"key": row["key"], "ts": row["ts"], "outcome": out[0]}]
+    def step(state: tuple, values: tuple) -> tuple:
+        out, failures, until = _lockout([(values[0].timestamp(), bool(values[1]))], *state, most, seconds)
+        return (failures, until if out[0] in ("locked", "rejected") else never), (out[0],)
 
+    never = float("-inf")
     own = rows.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce("ok", F.lit(False)).alias("ok"))
-    return fold_sorted(own, ["key"], ["ts", "ok"], lambda: (0, 0.0), step, OUTCOMES)
+    return composed(own, ["key"], ["ts", "ok"], Fold(["ts", "ok"], "outcome string", lambda: (0, never), step), pieces).drop("ok")
 
 
 def lockouts_stream(rows: DataFrame, most: int = 10, seconds: int = 300) -> DataFrame:
