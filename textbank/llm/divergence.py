@@ -188,7 +188,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, max_rank: int = MAX_RANK) -
     by_lang = cut(by_lang)
     terms = small(cut(by_lang.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_all"))))
     block = F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / BLOCK_TERMS))
-    # The join above is a broadcast unless there are very many languages, so that terms are dealt by block and not by language.
+    # The join below is a broadcast unless there are very many languages, so that terms are dealt by block and not by language.
     numbered = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term"))
     vocabulary = by_lang.join(terms, "lang").withColumn("block", block).withColumn("id", numbered)
     kept = cut(counts.drop("docs").join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n", "block", "id", "lang_n"))
@@ -209,11 +209,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, max_rank: int = MAX_RANK) -
     own = kept.join(small(groups.select("lang", "source", "all", "lang_all")), ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q"))
     of_terms = own.where("p > q").select("lang", "source", F.lit("term").alias("part"), "item", price(F.col("p"), F.col("q")).alias("value"))
 
-    # Each source's arrays in a block, a copy for each group of sources that its own meets.
-    arrays = kept.groupBy("lang", "source", "block").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("x"))
-    arrays = arrays.join(small(groups.select("lang", "source", "all", "part", "parts")), ["lang", "source"])
+    # Each source's arrays in every block, empty ones too, a copy for each group of sources that its own meets.
+    own_arrays = kept.groupBy("lang", "source", "block").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("x"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("terms") / BLOCK_TERMS) - 1))
+    arrays = groups.where("terms > 0").select("lang", "source", "all", "part", "parts", blocks.alias("block")).join(own_arrays, ["lang", "source", "block"], "left")
+    ids, n = (F.coalesce(F.col(f"x.{c}"), F.array().cast(f"array<{kind}>")).alias(name) for c, kind, name in (("id", "int", "ids"), ("n", "long", "n")))
     arrays = arrays.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    arrays = arrays.select("lang", "block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "source", "part", "all", F.col("x.id").alias("ids"), F.col("x.n").alias("n"))
+    arrays = arrays.select("lang", "block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "source", "part", "all", ids, n)
     found = _pairs(arrays).groupBy("lang", "a", "b").agg(*[F.sum(c).alias(c) for c in ("there", "back", "n")])
     side = lambda x: groups.select("lang", F.col("source").alias(x), "terms", F.col("p0").alias(f"{x}0"))
     pairs = side("a").join(side("b").drop("terms"), "lang").where("a < b").join(found, ["lang", "a", "b"], "left")

@@ -3,7 +3,8 @@
 A text is marked: its spaces become whitespace markers, and one more stands
 before it. No piece of such a model holds a marker behind another character, so
 no merge crosses from a word into the marker behind it, and each marked word
-(markers and what follows up to the next marker) is segmented on its own. A task
+(markers and what follows up to the next marker, or to a control character that
+no piece joins to another) is segmented on its own. A task
 keeps a table of the distinct marked words it has met, segments each of them
 once, and joins the ids back by position in numpy. The table is bounded: a task
 that has met KEPT_CHUNKS words starts a new one, so vocabulary and corpus may
@@ -27,8 +28,9 @@ from textbank.llm.common import BATCH_ROWS, map_texts
 
 MARK = "▁"
 #: Distinct marked words whose ids a task keeps, and their characters; beyond either the task starts afresh.
-KEPT_CHUNKS, KEPT_CHARS = 200_000, 1 << 23
-_CHUNKS = re.compile(f"{MARK}+[^{MARK}]*").findall
+KEPT_CHUNKS, KEPT_CHARS = 400_000, 1 << 23
+#: Characters up to which a marked word's pairs stand in a list; those of a longer one stand in a heap.
+SHORT = 48
 
 
 class Pieces:
@@ -58,6 +60,9 @@ class Pieces:
         self.bos, self.eos = (next(i for i, p in enumerate(model.pieces) if p.piece == name) for name in (trained.bos_piece, trained.eos_piece))
         #: Whether marked words can be segmented on their own.
         self.apart = not any(MARK in p.lstrip(MARK) for p in self.id)
+        joined = {c for p in self.id if len(p) > 1 for c in p}
+        alone = re.escape("".join(c for c in map(chr, range(32)) if c not in joined))
+        self.chunks = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + (f"|[{alone}]" if alone else "")).findall
         token = [p.piece.replace(MARK, " ").encode() if p.type == kind.NORMAL else b"" for p in model.pieces]
         token[self.unknown] = trained.unk_surface.encode()
         for b, i in self.byte.items():
@@ -69,9 +74,22 @@ class Pieces:
         self.ends = np.cumsum(self.lengths)
         self.blob = np.frombuffer(b"".join(token), np.uint8)
 
-    def segment(self, chunk: str) -> list[int]:
-        """Ids of one marked word: the pair of the best piece merges first, the leftmost of equal ones."""
-        parts: list[str] = list(chunk)
+    def _merged(self, parts: list[str]) -> list[str]:
+        """parts after all merges, for few of them: the best of all pairs is looked up in a list."""
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], none)
+        return parts
+
+    def _merged_long(self, parts: list[str]) -> list[str]:
+        """parts after all merges, by a heap of pairs; a part that is gone is empty."""
         n, rank = len(parts), self.rank.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, 2) for i in range(n - 1) if (r := rank(parts[i] + parts[i + 1])) is not None]
@@ -92,6 +110,11 @@ class Pieces:
             h = before[i]
             if h >= 0 and (r := rank(parts[h] + parts[i])) is not None:
                 heapq.heappush(heap, (r, h, len(parts[h]) + len(parts[i])))
+        return parts
+
+    def segment(self, chunk: str) -> list[int]:
+        """Ids of one marked word: the pair of the best piece merges first, the leftmost of equal ones."""
+        parts = self._merged(list(chunk)) if len(chunk) <= SHORT else self._merged_long(list(chunk))
         out: list[int] = []
         for p in parts:
             if p:
@@ -178,7 +201,7 @@ class Encoder:
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)
-        return _CHUNKS(marked) if self.pieces.apart else [marked]
+        return self.pieces.chunks(marked) if self.pieces.apart else [marked]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with begin and end ids, end to end, and their number for each; a null text counts as empty."""
@@ -192,8 +215,8 @@ class Encoder:
             self.known, self.chars = Known(), 0
             fresh = list(set(found))
         self.chars += sum(map(len, fresh))
-        new = [np.array(self.pieces.segment(c), np.int32) for c in fresh]
-        self.known.add(fresh, np.concatenate([np.zeros(0, np.int32), *new]), np.array([len(x) for x in new], np.int64))
+        new = [self.pieces.segment(c) for c in fresh]
+        self.known.add(fresh, np.array([x for ids in new for x in ids], np.int32), np.array([len(x) for x in new], np.int64))
         code = self.known.code
         ids, n = self.known.ids(np.array([code[c] for c in found], np.int64))
         bounds = np.concatenate([[0], np.cumsum(n)])[ends]
