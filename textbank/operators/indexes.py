@@ -21,9 +21,9 @@ def _normal(c: Column, cap: int = 300) -> Column:
     return F.substring(F.lower(F.regexp_replace(c, r"\s+", "")), 1, cap)
 
 
-def _ids(entries: DataFrame, text: str) -> DataFrame:
+def _ids(entries: DataFrame, text: str, normal: Column | None = None) -> DataFrame:
     """entries with _id, one row an id: the first by parent and place."""
-    out = entries.withColumn("_id", entry_id(F.col("book_id"), F.col("parent_chunk_id"), _normal(F.col(text))))
+    out = entries.withColumn("_id", entry_id(F.col("book_id"), F.col("parent_chunk_id"), _normal(F.col(text)) if normal is None else normal))
     own = Window.partitionBy("_id").orderBy("place")
     return out.withColumn("n_", F.row_number().over(own)).where("n_ = 1").drop("n_")
 
@@ -151,13 +151,14 @@ def figure_text(kind: Column, title: Column, description: Column) -> Column:
 
 #: Headings of the parts of a chapter that hold exercises.
 _HEAD = {
+    "homework": r"^\s*HOMEWORK\b",
+    "practice": r"^\s*PRACTICE\b",
     "example": r"^\s*(?:EXAMPLE|Example)\s+(\d+\.\d+)\s*$",
     "try_it": r"^\s*(?:TRY\s*IT|Try\s*It)\s*(\d+\.\d+)?\s*$",
     "solution": r"^\s*(?:SOLUTION|Solution)\s*(\d+\.\d+)?\s*$",
-    "activity": r"(?i)^\s*(?:COLLABORATIVE(?:\s+EXERCISE)?|STATS?\s+LAB|BRINGING\s+IT\s+TOGETHER|ACTIVITY|DO\s+THIS|THINK\s+ABOUT\s+IT|TRY\s+THESE|GROUP\s+PROJECT)\b\s*[:.]?.*$",
-    "homework": r"^\s*HOMEWORK\s*$",
-    "practice": r"^\s*PRACTICE\s*$",
+    "activity": r"(?i)^\s*(?:COLLABORATIVE(?:\s+EXERCISE)?|STATS?\s+LAB|BRINGING\s+IT\s+TOGETHER|ACTIVITY|DO\s+THIS|THINK\s+ABOUT\s+IT|TRY\s+THESE|GROUP\s+PROJECT)\b\s*[:.]?\s*(.*)$",
 }
+_SECTION_HEAD = r"^\s*(\d+\.\d+)\s+[A-Z]"
 _GROUP_STEM = r"(?i)Use the following information to answer the next\s+([a-z0-9]+)\s+exercises?\s*:?\s*(.*)"
 _NUMBERED = r"^\s*(\d{1,3})\.\s*(.*)$"
 _OPTION = r"^\s*([a-d])\.\s*(.*)$"
@@ -169,7 +170,11 @@ ACTIVITY_LINES = 40
 def _count(word: Column) -> Column:
     w = F.lower(word)
     named = F.array_position(F.array(*map(F.lit, _NUMBER_WORDS)), w).cast("int")
-    return F.coalesce(w.try_cast("int"), F.nullif(named, F.lit(0)))
+    return F.coalesce(w.try_cast("int"), named, F.lit(0))
+
+
+def _one_line(c: Column) -> Column:
+    return strip(F.regexp_replace(c, r"\s+", " "))
 
 
 def is_junk(text: Column) -> Column:
@@ -177,51 +182,81 @@ def is_junk(text: Column) -> Column:
     return (F.length(text) < 25) | text.rlike(r"^[\d\s.,%$()/-]+$")
 
 
-def build_exercises(chunks: DataFrame) -> DataFrame:
-    """_id, book_id, parent_chunk_id, kind, label, stem, solution, options, inferred_qtype from chunks (_id, book_id, text).
+def _options(body: Column) -> Column:
+    """The texts of options a to d among lines, each with the lines up to the next; empty ones go."""
+    starts = F.array_compact(F.transform(body, lambda x, i: F.when(x.rlike(_OPTION), i)))
+    until = lambda k: F.coalesce(F.get(starts, k + 1), F.size(body))
+    own = lambda at, k: F.concat(F.array(F.regexp_extract(F.get(body, at), _OPTION, 2)), F.transform(F.slice(body, at + 2, F.greatest(until(k) - at - 1, F.lit(0))), strip))
+    return F.filter(F.transform(starts, lambda at, k: strip(F.array_join(own(at, k), " "))), lambda x: x != "")
 
-    Lines open a block if they are a heading, or a numbered item under HOMEWORK or
-    PRACTICE. A solution belongs to the example before it; an activity ends after
-    40 lines; the words of a group stem go before the stems of as many items as it
-    announces.
+
+def build_exercises(chunks: DataFrame) -> DataFrame:
+    """_id, book_id, parent_chunk_id, place, kind, label, stem, solution, options, inferred_qtype, table_markdown, figure_desc, math_text.
+
+    chunks has _id, book_id, text and, if they are there, table_texts, image_texts
+    and math_text, which go whole to each of the chunk's exercises, as a chunk does
+    not say where in it they belong. An example or try-it box goes up to its
+    solution, which belongs to it, an activity over 40 lines at most; under
+    HOMEWORK and PRACTICE each numbered line opens an item, whose options are no
+    part of its stem. The words of a group stem go before the stems of as many
+    items as it announces, unless a heading comes first.
     """
-    lines = chunks.select("_id", "book_id", F.posexplode(F.split(text_or_empty(F.col("text")), "\n")).alias("pos", "line"))
-    mark = F.coalesce(*[F.when(F.col("line").rlike(p), F.lit(k)) for k, p in _HEAD.items()], F.when(F.col("line").rlike(_GROUP_STEM), F.lit("group")))
-    order = Window.partitionBy("_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("mark", mark).withColumn("mode", F.last("mark", True).over(order))
-    section = F.last(F.when(F.col("mark").isin("homework", "practice"), F.col("mark")), True).over(order)
-    lines = lines.withColumn("section", section).withColumn("item", F.col("section").isNotNull() & F.col("line").rlike(_NUMBERED) & F.col("mode").isin("homework", "practice", "group"))
-    opens = F.col("mark").isin("example", "try_it", "activity", "homework", "practice", "group") | F.col("item")
-    lines = lines.withColumn("block", F.sum(opens.cast("int")).over(order)).where("block > 0")
-    own = Window.partitionBy("_id", "block").orderBy("pos")
-    lines = lines.withColumn("nth", F.row_number().over(own) - 1).withColumn("solved", F.coalesce(F.max((F.col("mark") == "solution").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)))
-    line = F.struct("pos", "nth", "solved", "mark", "item", "line")
-    blocks = lines.groupBy("_id", "book_id", "block").agg(F.array_sort(F.collect_list(line)).alias("ls"), F.min_by(F.when(F.col("item"), F.col("section")).otherwise(F.col("mark")), "pos").alias("kind"), F.min("section").alias("section"))
-    head = F.get(F.col("ls"), 0)["line"]
-    join = lambda rows: strip(F.array_join(F.transform(rows, lambda x: x["line"]), "\n"))
-    first = F.when(F.get(F.col("ls"), 0)["item"], F.regexp_replace(head, r"^\s*\d{1,3}\.\s*", "")).when(F.col("kind") == "activity", F.regexp_replace(head, r"(?i)^\s*[A-Z ]+?[:.]\s*", "")).otherwise(F.lit(""))
-    body = F.filter("ls", lambda x: (x["nth"] > 0) & (x["solved"] == 0) & ((F.col("kind") != "activity") | (x["nth"] <= ACTIVITY_LINES)))
-    stem = strip(F.concat_ws("\n", F.nullif(first, F.lit("")), join(body)))
-    option_lines = F.filter(body, lambda x: x["line"].rlike(_OPTION))
-    options = F.transform(option_lines, lambda x: strip(F.regexp_replace(x["line"], r"^\s*[a-d]\.\s*", "")))
-    solution = join(F.filter("ls", lambda x: (x["solved"] == 1) & (F.coalesce(x["mark"], F.lit("")) != "solution")))
-    out = blocks.select("_id", "book_id", "block", "kind", F.regexp_extract(head, r"(\d+(?:\.\d+)?)", 1).alias("label"), stem.alias("stem"), solution.alias("solution"), options.alias("options"), head.alias("head"))
-
-    # A group stem's words, for as many items as it announces.
+    lines = chunks.select("_id", "book_id", F.posexplode(F.split(text_or_empty(F.col("text")), "\r\n|\n|\r")).alias("pos", "line"))
+    order = Window.partitionBy("_id").orderBy("pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("mark", F.coalesce(*[F.when(F.col("line").rlike(p), F.lit(k)) for k, p in _HEAD.items()]))
+    # The box that a line stands in, where it opened, and how many solutions have come since.
+    opens = F.col("mark").isNotNull() & (F.col("mark") != "solution")
+    lines = lines.withColumn("n_solutions", F.sum((F.coalesce("mark", F.lit("")) == "solution").cast("int")).over(so_far))
+    lines = lines.withColumns({"box": F.last(F.when(opens, F.struct("mark", "pos", "n_solutions", (F.regexp_extract("line", _HEAD["activity"], 1) != "").cast("int").alias("inline"))), True).over(so_far), "section": F.last(F.when(F.col("mark").isin("homework", "practice"), F.col("mark")), True).over(so_far)})
+    solved, nth = F.coalesce(F.col("n_solutions") - F.col("box.n_solutions"), F.lit(0)), F.col("pos") - F.col("box.pos")
+    boxed = F.when(F.col("box.mark").isin("example", "try_it"), solved < 2).when(F.col("box.mark") == "activity", (solved < 1) & (nth <= ACTIVITY_LINES - F.col("box.inline"))).otherwise(False)
+    free = F.col("mark").isNull() & ~F.coalesce(boxed, F.lit(False)) & F.col("section").isNotNull()
+    inside = F.when(free & F.col("line").rlike(_SECTION_HEAD), "section").when(free & F.col("line").rlike(_GROUP_STEM), "group").when(free & F.col("line").rlike(_NUMBERED), "item")
+    lines = lines.withColumns({"kind": F.when(opens, F.col("mark")).otherwise(inside), "solved": solved, "boxed": F.coalesce(boxed, F.lit(False))})
+    leaves = F.lag("boxed").over(order) & ~F.col("boxed")  # behind a box that has ended nothing is open
+    lines = lines.withColumn("block", F.sum((F.col("kind").isNotNull() | F.coalesce(leaves, F.lit(False))).cast("int")).over(so_far)).where("block > 0")
+    line = F.struct("pos", "solved", "mark", "line")
+    blocks = lines.groupBy("_id", "book_id", "block").agg(F.array_sort(F.collect_list(line)).alias("ls"), F.min_by("kind", "pos").alias("kind"), F.min_by("section", "pos").alias("section"))
+    blocks = blocks.where("kind IS NOT NULL").withColumn("head", F.get(F.col("ls"), 0)["line"])
+
+    # What a group stem still announces, and the section's number, both forgotten at a heading.
     run = Window.partitionBy("_id").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = out.withColumn("group_no", F.sum((F.col("kind") == "group").cast("int")).over(run))
-    of_group = Window.partitionBy("_id", "group_no").orderBy("block")
-    out = out.withColumn("nth_item", F.row_number().over(of_group) - 1)
-    told = F.first(F.when(F.col("kind") == "group", F.struct(_count(F.regexp_extract("head", _GROUP_STEM, 1)).alias("n"), strip(F.concat_ws("\n", F.nullif(F.regexp_extract("head", _GROUP_STEM, 2), F.lit("")), F.nullif(F.col("stem"), F.lit("")))).alias("words"))), True).over(of_group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = out.withColumn("told", told)
-    shared = F.when((F.col("group_no") > 0) & F.col("kind").isin("homework", "practice") & (F.col("nth_item") <= F.col("told.n")), F.col("told.words"))
-    out = out.withColumn("stem", F.concat_ws("\n", F.nullif(shared, F.lit("")), F.col("stem"))).where(F.col("kind").isin("example", "try_it", "activity", "homework", "practice") & ~is_junk(F.col("stem")))
-    named = out.select(F.col("_id").alias("parent_chunk_id"), "book_id", F.col("block").alias("place"), "kind", "label", "stem", "solution", "options", F.when(F.size("options") >= 2, "mcq").otherwise("short_answer").alias("inferred_qtype"))
-    return _ids(named, "stem")
-
-
-def exercise_text(stem: Column, options: Column, solution: Column) -> Column:
-    return F.substring(F.concat_ws("\n", F.substring(stem, 1, 600), F.array_join(F.slice(options, 1, 6), "\n"), F.substring(solution, 1, 600)), 1, 2200)
+    resets = F.col("kind").isin("homework", "practice", "section")
+    item = F.col("kind") == "item"
+    blocks = blocks.withColumn("n_items", F.sum(item.cast("int")).over(run))
+    group = F.when(F.col("kind") == "group", F.struct(_count(F.regexp_extract("head", _GROUP_STEM, 1)).alias("n"), _one_line(F.regexp_extract("head", _GROUP_STEM, 2)).alias("words"), "n_items")).when(resets, F.struct(F.lit(0).alias("n"), F.lit("").alias("words"), "n_items"))
+    blocks = blocks.withColumns({"group": F.last(group, True).over(run), "section_no": F.last(F.when(F.col("kind") == "section", F.regexp_extract("head", _SECTION_HEAD, 1)), True).over(run)})
+    shared = F.when(item & (F.col("n_items") - F.col("group.n_items") <= F.col("group.n")), F.nullif(F.col("group.words"), F.lit("")))
+
+    texts = lambda rows: F.transform(rows, lambda x: strip(x["line"]))
+    first = F.when(item, F.regexp_extract("head", _NUMBERED, 2)).when(F.col("kind") == "activity", F.regexp_extract("head", _HEAD["activity"], 1)).otherwise("")
+    rest = texts(F.filter(F.slice("ls", 2, F.size("ls")), lambda x: (x["solved"] == 0) | item))
+    blocks = blocks.where(F.col("kind").isin("example", "try_it", "activity", "item")).withColumn("body", F.concat(F.array(first), rest)).withColumn("solution", texts(F.filter("ls", lambda x: (x["solved"] == 1) & x["mark"].isNull())))
+    to_first_option = F.coalesce(F.array_position(F.transform("body", lambda x: x.rlike(_OPTION)), True), F.lit(0))
+    own = F.when(item & (to_first_option > 1), F.slice("body", 1, (to_first_option - 1).cast("int"))).otherwise(F.col("body"))
+    number = F.regexp_extract("head", r"(\d+\.\d+)\s*$", 1)
+    label = (
+        F.when(item, F.concat(F.initcap("section"), F.lit(" "), F.coalesce(F.concat("section_no", F.lit(" ")), F.lit("")), F.lit("Q"), F.regexp_extract("head", _NUMBERED, 1)))
+        .when(F.col("kind") == "activity", F.substring(_one_line(F.col("head")), 1, 60))
+        .otherwise(strip(F.concat(F.when(F.col("kind") == "example", "Example ").otherwise("Try It "), number)))
+    )
+    out = blocks.select(
+        F.col("_id").alias("parent_chunk_id"), "book_id", F.col("block").alias("place"), F.when(item, F.col("section")).otherwise(F.col("kind")).alias("kind"), label.alias("label"),
+        strip(F.concat_ws(" ", shared, _one_line(F.array_join(own, " ")))).alias("stem"), F.when(F.col("kind").isin("example", "try_it"), _one_line(F.array_join("solution", " "))).otherwise("").alias("solution"), _options(F.col("body")).alias("options"),
+    )
+    out = out.where(~is_junk(F.col("stem"))).withColumn("inferred_qtype", F.when(F.size("options") >= 2, "mcq").otherwise("short_answer"))
+    full = lambda c, sep: strip(F.array_join(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.coalesce(x != "", F.lit(False))), sep)) if c in chunks.columns else F.lit("")
+    math = strip(text_or_empty(F.col("math_text"))) if "math_text" in chunks.columns else F.lit("")
+    around = chunks.select(F.col("_id").alias("parent_chunk_id"), full("table_texts", "\n\n").alias("table_markdown"), full("image_texts", "\n").alias("figure_desc"), math.alias("math_text"))
+    return _ids(out.join(around, "parent_chunk_id"), "stem", F.substring(F.lower(_one_line(F.col("stem"))), 1, 300))
+
+
+def exercise_text(label: Column, stem: Column, options: Column, math: Column, table: Column, figure: Column) -> Column:
+    """What an exercise is found by: label, stem, six options, and 600, 600 and 400 characters of its formulas, table and figure; 2200 in all."""
+    part = lambda name, c, cap=None: F.when(text_or_empty(c) != "", F.concat(F.lit(f"{name}: "), F.substring(c, 1, cap) if cap else c))
+    full = lambda c: F.nullif(text_or_empty(c), F.lit(""))
+    return F.substring(F.concat_ws(" — ", full(label), full(stem), part("options", F.array_join(F.slice(options, 1, 6), " | ")), part("formulas", math, 600), part("table", table, 600), part("figure", figure, 400)), 1, 2200)
 
 
 def index_status(jobs: DataFrame, entries: DataFrame) -> DataFrame:

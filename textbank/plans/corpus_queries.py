@@ -361,7 +361,7 @@ def exercise_chunks(s: SparkSession, d: str) -> DataFrame:
         F.lit("Example 1."), F.col("_id").cast("string"), F.lit("\nWhat does this text of ours say, in short:\n"), whole, F.lit("\nSolution\nIt says\n"), whole, F.lit("\nTry It 1.2\nSay it in your own words, please:\n"), whole,
         F.lit("\nHOMEWORK\nUse the following information to answer the next two exercises: A survey of words.\n1. How long is the text that says "), flat, F.lit("\na. short\nb. long\n2. How is it spelt, this text of words? "), flat, F.lit("\n3. What else could be said about all of this?"),
     )
-    return inputs.chunks(s, d).withColumn("text", text)
+    return rich_chunks(s, d).withColumn("text", text)
 
 
 #: The same text in SQL, and its lines from the homework on.
@@ -379,7 +379,7 @@ query("IX-21_exercise_types", rf"WITH {_EXERCISES} SELECT 'example' AS kind, 'sh
     lambda s, d: indexes.build_exercises(exercise_chunks(s, d)).where("kind = 'example' OR inferred_qtype = 'mcq'").groupBy("kind", "inferred_qtype").agg(F.count("*").alias("n"))
 )
 _column("IX-22_junk", indexes.is_junk, r"length(text) < 25 OR regexp_full_match(text, '[\d\s.,%$()/-]+')")
-query("IX-23_exercise_text")(lambda s, d: indexes.build_exercises(exercise_chunks(s, d)).select("_id", indexes.exercise_text(F.col("stem"), F.col("options"), F.col("solution")).alias("text")))
+query("IX-23_exercise_text")(lambda s, d: indexes.build_exercises(exercise_chunks(s, d)).select("_id", indexes.exercise_text(*map(F.col, ("label", "stem", "options", "math_text", "table_markdown", "figure_desc"))).alias("text")))
 query("IX-25_index_status", "SELECT source AS book_id, 'tables' AS index, 'done' AS status, count(*) AS n FROM documents GROUP BY 1")(
     lambda s, d: indexes.index_status(inputs.chunks(s, d).select("book_id", F.lit("tables").alias("index"), F.lit("done").alias("status")).distinct(), inputs.chunks(s, d).select("book_id", F.lit("tables").alias("index")))
 )
