@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textbank.sources import tables
+from textbank.sources import keyed
+from textbank.streaming import marking as stream_marking
 from textbank.streaming import operators as streams
 
 
@@ -74,7 +75,59 @@ def test_expiry_timer(spark, tmp_path):
 
 
 def test_upsert_batches(spark, events, tmp_path):
-    _, stream = events
-    q = stream().select((F.col("event_id") % 50).alias("_id"), "value").writeStream.foreachBatch(tables.upsert_batches(f"{tmp_path}/t")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    batch, stream = events
+    q = stream().select((F.col("event_id") % 50).alias("_id"), "value", "event_id").writeStream.foreachBatch(keyed.upsert_batches(f"{tmp_path}/t", order="event_id", buckets=4)).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/t/v=2").count() == 50
+    last = batch.groupBy((F.col("event_id") % 50).alias("_id")).agg(F.max("event_id").alias("event_id"))
+    same(last, keyed.read_keyed(spark, f"{tmp_path}/t"), ["_id", "event_id"])
+
+
+QUESTIONS = "_id long, question_text string, question_type string, correct_answer string, model_answer string, rubric string, max_marks double"
+
+
+def marker(folder):
+    def ask(row):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        if row["answer_text"] == "fail":
+            raise OSError("the marker is away")
+        return '{"mark": 3, "feedback": "half"}'
+
+    return ask
+
+
+def test_marking_of_arrivals(spark, tmp_path):
+    """Submissions in two files, one read twice and one id in both: outcomes once, as the batch gives them, and no marker asked again."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    questions = spark.createDataFrame([(1, "Which?\nA. x\nB. y\nC. z", "mcq", "B", None, None, 2.0), (2, "Is it?", "true_false", None, "No, it is not", None, 1.0), (3, "Why is it so?", "short_answer", None, "because of gravity", "gravity and mass", 6.0)], QUESTIONS)
+    rows = [(1, 1, "b"), (2, 1, "c"), (3, 2, "false"), (4, 3, "of gravity"), (5, 3, "fail"), (6, 9, "x"), (7, 3, None), (8, 3, "because of gravity and mass"), (9, None, "x")]
+    frame = spark.createDataFrame(rows, "_id long, question_id long, answer_text string")
+    embedder = lambda texts: [[1.0, 0.0] if "because" in t else [0.0, 1.0] for t in texts]
+    for part in ("_id < 5", "_id > 3"):
+        frame.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    arriving = lambda: spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = lambda c: stream_marking.mark_stream(arriving(), questions, f"{tmp_path}/t", f"{tmp_path}/{c}", marker(calls), embedder, 4).trigger(availableNow=True).start().awaitTermination(200)
+    run("c1")
+    got = {r["_id"]: (r["auto_mark"], r["is_flagged"], r["auto_feedback"]) for r in keyed.read_keyed(spark, f"{tmp_path}/t").collect()}
+    assert got == {
+        1: (2.0, False, "[Route:HIGH Conf:1.00] Correct."),
+        2: (0.0, False, "[Route:HIGH Conf:1.00] Not correct."),
+        3: (1.0, False, "[Route:HIGH Conf:1.00] Correct."),
+        4: (3.0, True, "[Route:LOW Conf:0.20] half"),
+        5: (0.0, True, "Marking failed: the marker is away"),
+        6: (0.0, True, "Marking failed: question not found"),
+        7: (3.0, True, "[Route:LOW Conf:0.00] half"),
+        8: (6.0, False, "[Route:HIGH Conf:1.00] Full marks."),
+        9: (0.0, True, "Marking failed: question not found"),
+    }
+    asked = len(list(calls.iterdir()))
+    assert asked == 3
+    files = set((tmp_path / "t").rglob("*.parquet"))
+    run("c1")  # goes on where it ended
+    run("c2")  # and from the start, as after a lost checkpoint
+    assert len(list(calls.iterdir())) == asked and keyed.read_keyed(spark, f"{tmp_path}/t").count() == 9
+    assert set((tmp_path / "t").rglob("*.parquet")) == files
+    batch = {r["_id"]: (r["auto_mark"], r["is_flagged"], r["auto_feedback"]) for r in stream_marking.mark(frame, questions, marker(calls), embedder).collect()}
+    assert batch == got

@@ -7,7 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from textbank.functions.text import let, strip, text_or_empty, tokens
@@ -213,9 +213,9 @@ def embed(rows: DataFrame, embedder, batch: int = 100) -> DataFrame:  # noqa: AN
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
             texts = pdf["text"].fillna("").tolist()
-            yield pdf.assign(embedding=[v for i in range(0, len(texts), batch) for v in embedder(texts[i : i + batch])])
+            yield pdf.drop(columns="embedding", errors="ignore").assign(embedding=[v for i in range(0, len(texts), batch) for v in embedder(texts[i : i + batch])])
 
-    return rows.mapInPandas(run, rows.schema.add("embedding", "array<float>") if "embedding" not in rows.columns else rows.schema)
+    return rows.mapInPandas(run, StructType([*(f for f in rows.schema if f.name != "embedding"), StructField("embedding", ArrayType(FloatType()))]))
 
 
 def hash_embedder(texts: list[str], width: int = 64) -> list[list[float]]:

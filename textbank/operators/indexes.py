@@ -279,14 +279,3 @@ def usable_tables(tables: DataFrame) -> DataFrame:
     sound = tables.where((F.regexp_count("table_markdown", F.lit(r"\|")) >= 4) & ~F.col("table_markdown").contains("?") & (F.size(rows) >= 4) & wordy)
     own = Window.partitionBy(F.substring("table_markdown", 1, 80)).orderBy("_id")
     return sound.withColumn("n_", F.row_number().over(own)).where("n_ = 1").drop("n_")
-
-
-#: The builders by the name of their index.
-BUILDERS = {"formulas": build_formulas, "tables": build_tables, "figures": build_figures, "exercises": build_exercises}
-
-
-def rebuild(index: str, chunks: DataFrame) -> DataFrame:
-    """The named index of chunks, built anew; an unknown name is an error."""
-    if index not in BUILDERS:
-        raise ValueError(f"no index is called {index!r}; there are {', '.join(BUILDERS)}")
-    return BUILDERS[index](chunks)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textbank.functions import text as T
 from textbank.functions.vectors import cosine
-from textbank.operators import chunking, cleaning, indexes, quality, retrieval, structure
+from textbank.operators import chunking, cleaning, index_build, indexes, quality, retrieval, structure
 from textbank.plans import inputs
 from textbank.plans.registry import query
 
@@ -337,7 +339,7 @@ query("IX-11_headers", r"SELECT doc_id, array_to_string(list_filter(list_transfo
     lambda s, d: docs(s, d).select("doc_id", F.array_join(indexes.headers(F.col("text")), ",").alias("headers"))
 )
 query("IX-13_table_text", f"WITH {_TABLES} SELECT _id, 'Name, Size — Name, Size — ' || array_to_string(string_split(entry, chr(10))[1:4], chr(10)) AS text FROM e")(lambda s, d: indexes.build_tables(rich_chunks(s, d)).select("_id", indexes.table_text(F.col("table_summary"), F.col("headers"), F.col("table_markdown")).alias("text")))
-query("IX-14_table_index", f"WITH {_TABLES} SELECT _id, entry AS table_markdown FROM e")(lambda s, d: indexes.rebuild("tables", rich_chunks(s, d)).select("_id", "table_markdown"))
+query("IX-14_table_index", f"WITH {_TABLES} SELECT _id, entry AS table_markdown FROM e")(lambda s, d: index_build.build_index("tables", rich_chunks(s, d))[0].select("_id", "table_markdown"))
 _column("IX-15_caption", lambda c: indexes.caption(F.concat(c, F.lit("\nFigure 2.3 The end"))), r"regexp_extract(text || chr(10) || 'Figure 2.3 The end', '(?im)^\s*(?:Figure|Fig\.)\s+\d+(?:\.\d+)*[^\n]*')")
 query("IX-17_figure_text", f"WITH {_FIGURES} SELECT _id, concat_ws(' — ', nullif({_CAPTION}, ''), entry) AS text FROM e JOIN documents USING (doc_id)")(lambda s, d: indexes.build_figures(rich_chunks(s, d)).select("_id", indexes.figure_text(F.col("figure_kind"), F.col("caption"), F.col("description")).alias("text")))
 query("IX-18_figures", f"WITH {_FIGURES} SELECT _id, book_id, doc_id AS parent_chunk_id, entry AS description, {_CAPTION} AS caption FROM e JOIN documents USING (doc_id)")(lambda s, d: indexes.build_figures(rich_chunks(s, d)).select("_id", "book_id", "parent_chunk_id", "description", "caption"))
@@ -442,9 +444,45 @@ _column("SF-24_stem", lambda c: T.stem_of(F.concat(c, F.lit("\nA. one\nB. two"))
 _column("SF-25_masked", lambda c: F.sha1(T.mask_secrets(F.concat(c, F.lit(" Bearer abc.def key=xyz"))).cast("binary")), r"sha1(regexp_replace(regexp_replace(text || ' Bearer abc.def key=xyz', '(?i)(key=)[^&\s]+', '\1***', 'g'), '(?i)(bearer )\S+', '\1***', 'g'))")
 _column("SF-10_source_labels", lambda c: T.generic_labels(F.concat(F.lit("Table 1.9 shows it; see Figure 2.3. "), c)), "'The table below shows it; see the figure below. ' || text")
 _column("SF-14_table_html", lambda c: T.table_html(F.concat(F.lit("| a | b |\n|---|---|\n| "), F.regexp_replace(c, r"[\n|?]", " "), F.lit(" | ? |")))["n_blanks"], "1")
-query("IX-7_fallbacks", "SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_type END, p_name) AS plain FROM part")(lambda s, d: inputs.table(s, d, "part").select("p_partkey", F.coalesce(F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.col("p_name")).alias("plain")))
-query("IX-24_exercise_index")(lambda s, d: indexes.rebuild("exercises", exercise_chunks(s, d)).groupBy("book_id", "kind").agg(F.count("*").alias("n")))
-query("IX-28_rebuilt", "SELECT source AS book_id, count(*) AS n FROM documents GROUP BY 1")(lambda s, d: indexes.rebuild("tables", rich_chunks(s, d).withColumn("table_texts", F.array(F.concat(F.lit("| Name | Size | of the table |\n| "), F.col("_id").cast("string"), F.lit(" | 1 | 2 |"))))).groupBy("book_id").agg(F.count("*").alias("n")))
+
+
+@query(
+    "IX-7_fallbacks",
+    f"""WITH {_FORMULAS} SELECT 'formulas' AS index, substr(sha1(book_id || ':' || doc_id || ':' || normal), 1, 24) AS _id, '' || '|' || entry AS value FROM f
+    UNION ALL SELECT 'tables', _id, 'Name, Size' FROM (WITH {_TABLES} SELECT * FROM e) UNION ALL SELECT 'figures', _id, 'other|' FROM (WITH {_FIGURES} SELECT * FROM e)""",
+)
+def fallbacks(s: SparkSession, d: str) -> DataFrame:
+    """What stands in enriched columns if nobody was asked."""
+    shown = {"formulas": F.concat_ws("|", "concept_label", "formula_plain"), "tables": F.col("table_summary"), "figures": F.concat_ws("|", "figure_kind", "axis_summary")}
+    parts = [index_build.build_index(name, rich_chunks(s, d))[0].select(F.lit(name).alias("index"), "_id", value.alias("value")) for name, value in shown.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+query("IX-24_exercise_index", "SELECT source AS book_id, kind, CAST(sum(n) AS BIGINT) AS n FROM documents, (VALUES ('example', 1), ('try_it', 1), ('homework', 3)) AS k(kind, n) GROUP BY 1, 2")(
+    lambda s, d: index_build.build_index("exercises", exercise_chunks(s, d))[0].groupBy("book_id", "kind").agg(F.count("*").alias("n"))
+)
+
+
+def summarise(texts: list[str]) -> str:
+    """An enricher for the query below: the length of each table."""
+    return json.dumps([{"i": i, "table_summary": f"{len(t)} characters"} for i, t in enumerate(texts, 1)])
+
+
+_NORMAL = r"substr(lower(regexp_replace(entry, '\s+', '', 'g')), 1, 300)"
+
+
+@query(
+    "IX-28_rebuilt",
+    f"WITH {_TABLES}, n AS (SELECT *, {_NORMAL} AS normal FROM e), c AS (SELECT DISTINCT normal FROM n WHERE doc_id % 2 = 0) SELECT _id, book_id, CASE WHEN normal IN (SELECT normal FROM c) THEN 'known' ELSE length(min(entry) OVER (PARTITION BY normal)) || ' characters' END AS table_summary FROM n",
+)
+def rebuilt(s: SparkSession, d: str) -> DataFrame:
+    """Tables of all texts, of which a cache knows those of every second text; the others are asked about."""
+    chunks = rich_chunks(s, d)
+    even = index_build.build_index("tables", chunks.where("_id % 2 = 0"))[0]
+    cache = even.select(index_build.cache_key("tables", F.col("table_markdown")).alias("_id"), F.to_json(F.struct(F.lit("known").alias("table_summary"))).alias("payload")).distinct()
+    return index_build.build_index("tables", chunks, cache, summarise)[0].select("_id", "book_id", "table_summary")
+
+
 query("IX-12_summaries", "SELECT p_partkey AS batch_id, CAST(p_size % 4 + 1 AS INTEGER) AS i, substr(p_name || ' ' || repeat('x', p_size * 10), 1, 300) AS summary FROM part")(
     lambda s, d: indexes.parse_summaries(inputs.table(s, d, "part").select(F.col("p_partkey").alias("batch_id"), F.lit(4).alias("batch_size"), F.format_string('Here: [{"i": %d, "table_summary": " %s %s "}, {"i": 7, "table_summary": "outside"}, {"i": 1}]', F.col("p_size") % 4 + 1, F.col("p_name"), F.expr("repeat('x', p_size * 10)")).alias("raw"))).select("batch_id", "i", "summary")
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,17 @@ from textbank.operators.quizzes import deadline
 from textbank.plans import inputs
 from textbank.plans.inputs import SUBMISSIONS
 from textbank.plans.registry import query
-from textbank.sources import tables
+from textbank.plans.assessment_queries import raw_questions
+from textbank.sources import keyed, tables
+from textbank.streaming import marking as stream_marking
 from textbank.streaming import operators as streams
 
 
+def fresh(s: SparkSession, name: str) -> str:
+    """A new folder below the warehouse, which all executors share."""
+    return f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/textbank-{name}-{uuid4().hex}"
+
+
 def events(s: SparkSession, d: str) -> DataFrame:
     return inputs.table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
@@ -50,8 +58,43 @@ query("SM-9_marked_upserts", f"WITH {SUBMISSIONS} SELECT _id, CASE WHEN _id % 3
     lambda s, d: tables.upsert(inputs.submissions(s, d).select("_id", F.round("auto_mark", 6).alias("auto_mark")), inputs.submissions(s, d).where("_id % 3 = 0").select("_id", F.lit(1.0).alias("auto_mark")))
 )
 
+
+def reply(row: dict) -> str:
+    """A marker for the query below: a mark as long as the answer, and a failure on every answer that is an error."""
+    if row["answer_text"] == "error":
+        raise ValueError("no answer to mark")
+    return json.dumps({"mark": len(row["answer_text"]), "feedback": "ok"})
+
+
+@query(
+    "SM-9_marked_stream",
+    f"""WITH {_E}, a AS (SELECT event_id AS _id, k, CASE event_id % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'true' ELSE event_type END AS answer FROM e)
+    SELECT _id, CASE WHEN p_partkey IS NULL THEN 0.0 WHEN p_size % 4 = 0 THEN CASE WHEN answer = 'b' AND p_size % 3 = 1 THEN 5.0 ELSE 0.0 END WHEN p_size % 4 = 1 THEN CASE WHEN answer = 'true' AND p_size % 8 = 5 THEN 5.0 ELSE 0.0 END
+      WHEN answer = 'error' THEN 0.0 ELSE CAST(least(length(answer), 5) AS DOUBLE) END AS auto_mark, p_partkey IS NULL OR p_size % 4 > 1 AS is_flagged, true AS is_marked,
+      CASE WHEN p_partkey IS NULL THEN 'Marking failed: question not found' WHEN p_size % 4 = 0 THEN CASE WHEN answer = 'b' AND p_size % 3 = 1 THEN '[Route:HIGH Conf:1.00] Correct.' ELSE '[Route:HIGH Conf:1.00] Not correct.' END
+      WHEN p_size % 4 = 1 THEN CASE WHEN answer = 'true' AND p_size % 8 = 5 THEN '[Route:HIGH Conf:1.00] Correct.' ELSE '[Route:HIGH Conf:1.00] Not correct.' END WHEN answer = 'error' THEN 'Marking failed: no answer to mark' ELSE '[Route:LOW Conf:0.20] ok' END AS auto_feedback
+    FROM a LEFT JOIN part ON p_partkey = k""",
+)
+def marked_stream(s: SparkSession, d: str) -> DataFrame:
+    """Events as answers that arrive as a stream, marked into a keyed table. The pattern in the path lets a stream read a table of one file."""
+    batch = inputs.table(s, d, "events")
+    answer = F.when(F.col("event_id") % 3 == 0, "b").when(F.col("event_id") % 3 == 1, "true").otherwise(F.col("event_type"))
+    arriving = s.readStream.schema(batch.schema).parquet(f"{d}/event[s].parquet").select(F.col("event_id").alias("_id"), F.get_json_object("props", "$.k").cast("long").alias("question_id"), answer.alias("answer_text"))
+    n = F.col("n")
+    questions = raw_questions(s, d).withColumns({"question_type": F.when(n % 4 == 0, "mcq").when(n % 4 == 1, "true_false").otherwise("short_answer"), "rubric": F.lit(""), "max_marks": F.lit(5.0)})
+    path = fresh(s, "marked")
+    stream_marking.mark_stream(arriving, questions, path, f"{path}-checkpoint", reply, buckets=8).trigger(availableNow=True).start().awaitTermination()
+    return keyed.read_keyed(s, path)
+
+
 # Sources and maintenance.
-query("SS-1_pages", "SELECT source AS book_id, CAST(doc_id AS INTEGER) AS page, length(text) AS n FROM documents")(lambda s, d: inputs.chunks(s, d).select("book_id", F.col("page_start").alias("page"), F.length("text").cast("long").alias("n")))
+@query("SS-1_pages", "SELECT source AS book_id, CAST(doc_id AS INTEGER) AS page, length(text) AS n, sha256(text) AS text_sha256 FROM documents")
+def pages(s: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON pages and read as the pages of books."""
+    inputs.chunks(s, d).select("book_id", F.col("page_start").alias("page"), "text").write.json(path := fresh(s, "pages"))
+    return tables.read_pages(s, path, "json").select("book_id", "page", F.length("text").cast("long").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 query("SS-2_scan", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000")(lambda s, d: tables.scan(inputs.table(s, d, "orders"), "o_orderstatus = 'F' AND o_totalprice > 200000", ["o_orderkey", "o_totalprice"]))
 query("SS-4_metrics", "SELECT doc_id, CAST(length(text) AS INTEGER) AS text_length, CAST(coalesce(len(embedding), 0) AS INTEGER) AS embedding_width FROM documents LEFT JOIN embeddings ON vec_id = doc_id")(
     lambda s, d: tables.metrics(inputs.table(s, d, "documents").join(inputs.table(s, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left"), ["text"], ["embedding"], ["doc_id"])
@@ -63,9 +106,15 @@ query("SS-7_safe_csv", "SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^[ \\
 query("SS-9_append_new", "SELECT vec_id AS _id FROM embeddings WHERE vec_id % 3 > 0")(
     lambda s, d: tables.append_new(inputs.vectors(s, d).where("_id % 3 = 0"), inputs.vectors(s, d).unionByName(inputs.vectors(s, d).where("_id % 2 = 0"))).select("_id")
 )
-query("SS-10_upsert", "SELECT p_partkey AS _id, CASE WHEN p_size > 25 THEN 'new' ELSE p_name END AS name FROM part")(
-    lambda s, d: tables.upsert(inputs.table(s, d, "part").select(F.col("p_partkey").alias("_id"), F.col("p_name").alias("name")), inputs.table(s, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("_id"), F.lit("new").alias("name")))
-)
+@query("SS-10_upsert", "SELECT p_partkey AS _id, CASE WHEN p_size > 25 THEN 'new' ELSE p_name END AS name FROM part")
+def upserted(s: SparkSession, d: str) -> DataFrame:
+    """Parts in a keyed table, of which those of large size are written again under another name."""
+    part = inputs.table(s, d, "part")
+    keyed.upsert_keyed(part.select(F.col("p_partkey").alias("_id"), F.col("p_name").alias("name")), path := fresh(s, "keyed"), buckets=8)
+    keyed.upsert_keyed(part.where("p_size > 25").select(F.col("p_partkey").alias("_id"), F.lit("new").alias("name")), path)
+    return keyed.read_keyed(s, path)
+
+
 query("SS-12_rolled_back", "SELECT event_id FROM events WHERE NOT (event_type = 'click' AND ts >= TIMESTAMP '2024-01-15')")(
     lambda s, d: tables.roll_back(inputs.table(s, d, "events").select("event_id", F.col("event_type").alias("book_hash"), F.col("ts").alias("created_at")), "click", "2024-01-15").select("event_id")
 )
@@ -89,11 +138,6 @@ query("SS-17_back_fill", "SELECT doc_id AS _id, text || ' $' AS text FROM docume
 )
 
 
-def fresh(s: SparkSession, name: str) -> str:
-    """A new folder below the warehouse, which all executors share."""
-    return f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/textbank-{name}-{uuid4().hex}"
-
-
 @query("SS-3_golden", "SELECT item_id // 10 AS book_id, item_id % 10 AS query_id, text AS query, CAST(item_id % 5 AS INTEGER) AS chapter_num, CAST(item_id AS INTEGER) AS page, substr(text, 1, 12) AS needle FROM benchmark")
 def golden(s: SparkSession, d: str) -> DataFrame:
     """The benchmark written as golden sets, one JSON file for ten items, and read again."""

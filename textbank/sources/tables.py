@@ -83,9 +83,17 @@ def upsert(target: DataFrame, rows: DataFrame, key: str = "_id") -> DataFrame:
     return target.join(rows.select(key), key, "left_anti").unionByName(rows)
 
 
-def refresh(rows: DataFrame, path: str, by: str = "book_id") -> None:
-    """Replaces the partitions of a table that the rows belong to, and no others."""
+def refresh(rows: DataFrame, path: str, by: str = "book_id", of: list[str] | None = None) -> None:
+    """Replaces the partitions of a table that the rows belong to, and no others; of those named in `of`, which were built anew, the ones without rows go."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    if of:
+        spark = rows.sparkSession
+        left = {r[0] for r in rows.where(F.col(by).isin(of)).select(F.col(by).cast("string")).distinct().collect()}
+        for value in set(map(str, of)) - left:
+            jvm = spark.sparkContext._jvm
+            escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={escaped}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def roll_back(rows: DataFrame, book_hash: str, since: str) -> DataFrame:
@@ -123,16 +131,3 @@ def back_fill(rows: DataFrame, cache: DataFrame, column: str, needs) -> DataFram
     """_id and the new value of a column where it needs one, the cache (_id = sha1 of the old value, value) has it, and it differs."""
     todo = rows.where(needs(F.col(column))).withColumn("key_", F.sha1(F.col(column).cast("binary")))
     return todo.join(cache.select(F.col("_id").alias("key_"), "value"), "key_").where(F.col("value") != F.col(column)).select("_id", F.col("value").alias(column))
-
-
-def upsert_batches(path: str, key: str = "_id"):  # noqa: ANN201
-    """A foreachBatch function that keeps a parquet table unique by key: each batch goes to a version of its own, named by the batch, so a repeated batch changes nothing."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        if number > 0:
-            rows = upsert(spark.read.parquet(f"{path}/v={number - 1}"), rows, key)
-        rows.write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return write
