@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textbank.operators import evaluation, retrieval
+from textbank.operators import evaluation, retrieval, similarity
 from textbank.plans import inputs
 from textbank.plans.registry import query
 
@@ -163,6 +163,23 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.similar_pairs(inputs.vectors(spark, sf_dir), "chapter_num", 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
+_BANK = """WITH r AS (SELECT vec_id AS _id, label, CASE WHEN vec_id % 30 = 3 THEN NULL ELSE list_transform(embedding, lambda x, i: CASE WHEN (i - 1) % 16 = vec_id % 16 THEN 0 ELSE x END) END AS v FROM embeddings WHERE vec_id % 3 = 0),
+  m AS (SELECT r._id, b.vec_id AS bank_id, list_cosine_similarity(CAST(r.v AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM r JOIN embeddings b ON b.vec_id % 2 = 0 AND b.label = r.label)"""
+
+
+def bank_rows(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(new rows, bank): every third vector, of which some components are lost and some rows have none, against all even ones."""
+    v = inputs.vectors(s, d)
+    lossy = F.transform("embedding", lambda x, i: F.when(i % 16 == F.col("_id") % 16, 0.0).otherwise(x))
+    return v.where("_id % 3 = 0").withColumn("embedding", F.when(F.col("_id") % 30 != 3, lossy)), v.where("_id % 2 = 0")
+
+
+query("JN-10_best_in_bank", _BANK + " SELECT _id, bank_id, round(s, 6) AS similarity FROM m WHERE s >= 0.92 QUALIFY row_number() OVER (PARTITION BY _id ORDER BY round(s, 12) DESC, bank_id) = 1")(
+    lambda s, d: similarity.best_in_bank(*bank_rows(s, d), scope="chapter_num", recall=0.9999).withColumn("similarity", F.round("similarity", 6))
+)
+query("QB-6_against_bank", _BANK + " SELECT _id FROM r WHERE _id NOT IN (SELECT _id FROM m WHERE s >= 0.92)")(lambda s, d: similarity.drop_known(*bank_rows(s, d), scope="chapter_num", recall=0.9999).select("_id"))
+
+
 # Evaluation: each benchmark item is a query; the 20 documents of all that share most word triples with it are returned, relevant are those that contain it.
 _JUDGED = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
   dt AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(generate_series(1, len(w) - 2)) AS t(i)),
