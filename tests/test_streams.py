@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from textbank.sources import keyed
 from textbank.streaming import marking as stream_marking
 from textbank.streaming import operators as streams
+from textbank.streaming import stateful
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +20,14 @@ def events(spark, tmp_path_factory):
     return batch, lambda: spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+@pytest.fixture(autouse=True)
+def state_store(spark):
+    """Streams with timers set another state store for the session."""
+    before = spark.conf.get(stateful._PROVIDER)
+    yield
+    spark.conf.set(stateful._PROVIDER, before)
+
+
 def drain(spark, df, name, mode="append", path=None):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", path).trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -33,19 +42,19 @@ def same(a, b, columns):
 def test_limits(spark, events, tmp_path):
     batch, stream = events
     hits = lambda df: df.select((F.col("user_id") % 3).alias("key"), "ts")
-    same(streams.limit_hits(hits(batch), 3, 3600), drain(spark, streams.limit_hits_stream(hits(stream()), 3, 3600), "limits", path=str(tmp_path)), ["key", "ts", "limited"])
+    same(streams.limit_hits(hits(batch), 3, 3600), drain(spark, stateful.limit_hits(hits(stream()), 3, 3600, "40 days"), "limits", path=str(tmp_path)), ["key", "ts", "limited"])
 
 
 def test_lockouts(spark, events, tmp_path):
     batch, stream = events
     hits = lambda df: df.select((F.col("user_id") % 3).alias("key"), "ts", (F.col("event_type") == "signup").alias("ok"))
-    same(streams.lockouts(hits(batch), 4, 7200), drain(spark, streams.lockouts_stream(hits(stream()), 4, 7200), "lockouts", path=str(tmp_path)), ["key", "ts", "outcome"])
+    same(streams.lockouts(hits(batch), 4, 7200), drain(spark, stateful.lockouts(hits(stream()), 4, 7200, 10**7, "40 days"), "lockouts", path=str(tmp_path)), ["key", "ts", "outcome"])
 
 
 def test_changes(spark, events, tmp_path):
     batch, stream = events
     jobs = lambda df: df.select((F.col("user_id") % 7).alias("job_id"), "ts", F.col("event_type").alias("status"), F.lit("m").alias("message"))
-    same(streams.changes(jobs(batch), "job_id", ["status", "message"], final=("purchase",)), drain(spark, streams.changes_stream(jobs(stream()), ("purchase",)), "changes", path=str(tmp_path)), ["job_id", "ts", "status"])
+    same(streams.changes(jobs(batch), "job_id", ["status", "message"], final=("purchase",)), drain(spark, stateful.changes(jobs(stream()), ("purchase",), 10**7, "40 days"), "changes", path=str(tmp_path)), ["job_id", "ts", "status"])
 
 
 def test_counts(spark, events, tmp_path):

@@ -1,8 +1,8 @@
 """Streams of submissions, attempts, drafts and job messages.
 
 Functions that only aggregate or join take a batch or a stream alike. The
-stateful ones come in pairs: a stream form that keeps a little state a key, and a
-batch twin that gives the same rows over a table.
+stateful ones are batch forms here; their streams, whose state ends, are in
+stateful.py and expire_idle_stream.
 """
 
 from __future__ import annotations
@@ -90,20 +90,6 @@ def limit_hits(rows: DataFrame, most: int, seconds: int = 60, pieces: int | None
     return composed(own, ["key"], ["ts"], Fold(["ts"], "limited boolean", list, step), pieces)
 
 
-def limit_hits_stream(rows: DataFrame, most: int, seconds: int = 60) -> DataFrame:
-    """limit_hits on a stream; the state is the times of the key's last hits, `most` at most."""
-
-    def of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("ts")
-        held = list(state.get[0]) if state.exists else []
-        over, held = _limit([t.timestamp() for t in pdf["ts"]], held, most, seconds)
-        state.update((held,))
-        yield pd.DataFrame({"key": key[0], "ts": pdf["ts"], "limited": over})
-
-    own = rows.select(F.col("key").cast("string").alias("key"), "ts")
-    return own.groupBy("key").applyInPandasWithState(of, LIMITED, "held array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 # The lockout: the tenth failure in a row locks for five minutes and starts the count afresh.
 def _lockout(hits: list[tuple[float, bool]], failures: int, until: float, most: int, seconds: float) -> tuple[list[str], int, float]:
     out = []
@@ -143,20 +129,6 @@ def lockouts(rows: DataFrame, most: int = 10, seconds: int = 300, pieces: int |
     return composed(own, ["key"], ["ts", "ok"], Fold(["ts", "ok"], "outcome string", lambda: (0, never), step), pieces).drop("ok")
 
 
-def lockouts_stream(rows: DataFrame, most: int = 10, seconds: int = 300) -> DataFrame:
-    """lockouts on a stream; the state is the failures in a row and the end of the lock."""
-
-    def of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["ts", "ok"])
-        failures, until = state.get if state.exists else (0, 0.0)
-        out, failures, until = _lockout([(t.timestamp(), bool(ok)) for t, ok in zip(pdf["ts"], pdf["ok"], strict=True)], failures, until, most, seconds)
-        state.update((failures, until))
-        yield pd.DataFrame({"key": key[0], "ts": pdf["ts"], "outcome": out})
-
-    own = rows.select(F.col("key").cast("string").alias("key"), "ts", "ok")
-    return own.groupBy("key").applyInPandasWithState(of, OUTCOMES, "failures int, until double", "append", GroupStateTimeout.NoTimeout)
-
-
 def expire_idle(attempts: DataFrame, now: Column, grace: int = 30) -> DataFrame:
     """attempt_id, expired_at of strict attempts under way whose deadline and grace have passed by now."""
     over = (F.col("status") == "in_progress") & (F.col("timing_mode") == "strict") & (F.unix_timestamp(now) - F.unix_timestamp("deadline_at") > grace)
@@ -195,19 +167,3 @@ def changes(rows: DataFrame, key: str, values: list[str], ts: str = "ts", final:
     ended = F.coalesce(F.max(F.col(values[0]).isin(*final).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = F.row_number().over(own) == 1
     return rows.withColumn("emit_", (first | differs) & (ended == 0)).where("emit_").drop("emit_")
-
-
-def changes_stream(rows: DataFrame, final: tuple[str, ...] = ("done", "failed")) -> DataFrame:
-    """changes on a stream of (job_id, ts, status, message); the state is the last message and whether the job has ended."""
-
-    def of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ended = ((state.get[0], state.get[1]), state.get[2]) if state.exists else (None, False)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "status", "message"]).itertuples(index=False):
-            if not ended and (r.status, r.message) != last:
-                out.append((key[0], r.ts, r.status, r.message))
-            last, ended = (r.status, r.message), ended or r.status in final
-        state.update((*last, bool(ended)))
-        yield pd.DataFrame(out, columns=["job_id", "ts", "status", "message"])
-
-    return rows.select("job_id", "ts", "status", "message").groupBy("job_id").applyInPandasWithState(of, "job_id long, ts timestamp, status string, message string", "status string, message string, ended boolean", "append", GroupStateTimeout.NoTimeout)
