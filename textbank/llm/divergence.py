@@ -30,7 +30,7 @@ MIN_DOCS, MAX_RANK = 3, 200
 #: Terms of a block, sources of a group; a task holds at most about 2 * BLOCK_SOURCES arrays of BLOCK_TERMS.
 BLOCK_TERMS, BLOCK_SOURCES = 4096, 32
 #: Counts that a task gathers before it hands them on.
-KEPT_COUNTS = 600_000
+KEPT_COUNTS = 800_000
 #: Parts of a group whose terms are ranked apart before they are ranked together.
 RANK_PARTS = 32
 #: Ids of the shorter array that are looked up at once.
@@ -41,7 +41,7 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with it) for each combination that occurs; nulls are ''."""
+    """lang, term, lang_n, docs and own, the source and n of each source with the term: occurrences in the language and in a source, and documents with it; nulls are ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple[str, str], Counter] = {}
@@ -81,7 +81,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     read = docs.select(plain("lang"), plain("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return read.mapInArrow(run, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = read.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    # Tasks have added up what they can; dealt by language and term once, both sums need no other shuffle.
+    each = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return each.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("own"))
 
 
 def share(n: Column, all_: Column) -> Column:
@@ -182,18 +185,16 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, max_rank: int = MAX_RANK) -
     Columns of docs other than these three are ignored; an empty table gives no
     row, a language without terms pairs of value 0.
     """
-    counts = cut(term_counts(docs))
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     groups = docs.select(plain("lang"), plain("source")).distinct()
 
-    by_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
-    by_lang = cut(by_lang)
+    by_lang = cut(term_counts(docs).where(F.col("docs") >= min_docs).drop("docs"))
     terms = small(cut(by_lang.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_all"))))
     block = F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / BLOCK_TERMS))
     # The join below is a broadcast unless there are very many languages, so that terms are dealt by block and not by language.
     numbered = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term"))
-    vocabulary = by_lang.join(terms, "lang").withColumn("block", block).withColumn("id", numbered)
-    kept = cut(counts.drop("docs").join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n", "block", "id", "lang_n"))
+    vocabulary = cut(by_lang.join(terms, "lang").withColumn("block", block).withColumn("id", numbered))
+    kept = vocabulary.select("lang", "term", "block", "id", "lang_n", F.inline("own"))
 
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     sources = groups.groupBy("lang").agg(F.count("*").alias("sources"))
