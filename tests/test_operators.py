@@ -336,3 +336,27 @@ def test_render_kinds(spark):
     assert block[1:] == ["- [bar] bar (Ch3, p.?) — size by year", "  Description: " + "d" * 280, "- [figure] Figure 1.2 Ages", "  Description: "]
     tables_ = spark.createDataFrame([(1, 1, None, "\n".join(f"| {i} |" for i in range(20)))], "query_group int, rank int, table_summary string, table_markdown string")
     assert retrieval.render_kind(tables_, "table").first()["block"].split("\n")[1:] == ["- table (Ch?, p.?)", *(f"| {i} |" for i in range(8))]
+
+
+def test_clean_each(spark):
+    """Each text of an array as it would be cleaned alone."""
+    items = ["A line\nA line\nA line\nb́ end", "", None, "x\n\n12\n\n| | |\nof the\nsame", "CC BY 4.0 at the end"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "_id int, text string")
+    alone = [r[0] for r in frame.orderBy("_id").select(cleaning.clean(F.col("text"))).collect()]
+    rows = spark.createDataFrame([(1, items), (2, None), (3, [])], "_id int, own array<string>")
+    got = {r["_id"]: r["own"] for r in cleaning.clean_rows(rows, [], ["own"]).collect()}
+    assert got == {1: alone, 2: None, 3: []} and alone[0] == "A line\nA line\nb́ end".replace("b́", "b́")
+
+
+def test_topk_without_a_broadcast(spark, monkeypatch):
+    """Queries in more blocks than are broadcast give the same rows, dealt by part."""
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("_id"), "embedding", F.col("label").alias("chapter_num"))
+    q = v.where("_id % 5 = 0").withColumnRenamed("_id", "query_id")
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    for scope in ((), ("chapter_num",)):
+        want = rows(retrieval.vector_topk(q, v, 4, scope))
+        monkeypatch.setattr(retrieval, "MOST_BLOCKS", 0)
+        monkeypatch.setattr(retrieval, "ROW_BLOCK", 50)
+        found = retrieval.vector_topk(q, v, 4, scope)
+        assert rows(found) == want
+        monkeypatch.undo()

@@ -9,7 +9,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from textbank.functions.text import let, strip
 
@@ -146,20 +146,26 @@ _NUMBER = re.compile(r"\s*\d{1,4}\s*", re.ASCII).fullmatch
 _NOISE = re.compile(r"^[|\s]{3,}$", re.ASCII | re.MULTILINE)
 
 
+def _finished(t: str) -> str:
+    lines = t.split("\n")
+    blank = [True, *(not x or not x.strip(_SPACE) for x in lines), True]
+    t = "\n".join([x for i, x in enumerate(lines) if not (blank[i] and blank[i + 2] and _NUMBER(x))])
+    t = _NOISE.sub("", t)
+    if not t.isascii():
+        t = unicodedata.normalize("NFC", t)
+    return "\n".join(_limited(t.split("\n")))
+
+
 @F.pandas_udf(StringType())
 def finish_lines(text: pd.Series) -> pd.Series:
     """drop_page_numbers, drop_pipe_noise, compose and limit_repeated_lines in one pass."""
+    return text.map(_finished, na_action="ignore")
 
-    def one(t: str) -> str:
-        lines = t.split("\n")
-        blank = [True, *(not x or not x.strip(_SPACE) for x in lines), True]
-        t = "\n".join([x for i, x in enumerate(lines) if not (blank[i] and blank[i + 2] and _NUMBER(x))])
-        t = _NOISE.sub("", t)
-        if not t.isascii():
-            t = unicodedata.normalize("NFC", t)
-        return "\n".join(_limited(t.split("\n")))
 
-    return text.map(one, na_action="ignore")
+@F.pandas_udf(ArrayType(StringType()))
+def finish_each(texts: pd.Series) -> pd.Series:
+    """finish_lines for each text of an array; null texts stay."""
+    return texts.map(lambda own: [t if t is None else _finished(t) for t in own], na_action="ignore")
 
 
 def tidy_space(c: Column) -> Column:
@@ -180,9 +186,14 @@ def clean(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), c).otherwise(tidy_space(finish_lines(_plain_steps(c))))
 
 
+def clean_each(c: Column) -> Column:
+    """clean for each text of an array; null arrays, null texts and empty ones as they are."""
+    return F.transform(finish_each(F.transform(c, _plain_steps)), tidy_space)
+
+
 def clean_rows(rows: DataFrame, texts: list[str], arrays: list[str] = ()) -> DataFrame:
-    """rows with the text columns cleaned, and each text of the array columns but for composition and repeated lines."""
-    return rows.withColumns({**{t: clean(F.col(t)) for t in texts}, **{a: F.transform(a, lambda x: tidy_space(drop_pipe_noise(drop_page_numbers(_plain_steps(x))))) for a in arrays}})
+    """rows with the text columns and each text of the array columns cleaned."""
+    return rows.withColumns({**{t: clean(F.col(t)) for t in texts}, **{a: clean_each(F.col(a)) for a in arrays}})
 
 
 def noise_ratio(c: Column) -> Column:

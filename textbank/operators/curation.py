@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,7 +83,8 @@ def keep_first_of_similar(rows: DataFrame, pairs: DataFrame, cut, max_rounds: in
     still open after it, an error is raised.
     """
     edges = cut(pairs.select("a", "b").distinct())
-    dropped, rounds = None, 0
+    dropped: list[DataFrame] = []
+    rounds = 0
     while not edges.isEmpty():
         if rounds == max_rounds:
             raise RuntimeError(f"similar pairs are still open after {rounds} rounds")
@@ -92,9 +95,9 @@ def keep_first_of_similar(rows: DataFrame, pairs: DataFrame, cut, max_rounds: in
         gone = cut(edges.join(heads.withColumnRenamed("_id", "a"), "a", "left_semi").select(F.col("b").alias("_id")).distinct())
         if gone.isEmpty():  # the least end of all pairs is a head, unless a pair is not in order
             raise ValueError("similar pairs must have a < b")
-        dropped = gone if dropped is None else cut(dropped.unionByName(gone))
+        dropped.append(gone)
         edges = cut(edges.join(gone.withColumnRenamed("_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("_id", "b"), "b", "left_anti").join(heads.withColumnRenamed("_id", "a"), "a", "left_anti"))
-    return rows if dropped is None else rows.join(dropped, "_id", "left_anti")
+    return rows.join(reduce(DataFrame.unionByName, dropped), "_id", "left_anti") if dropped else rows
 
 
 def drop_bank_duplicates(rows: DataFrame, similar: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from textbank.functions.text import distinct_tokens, matches, strip, text_or_empty
 from textbank.functions.vectors import dot, unit
+from textbank.operators.common import cut
 
 #: Words of a query that name a kind of figure.
 KIND_SYNONYMS = {
@@ -54,6 +55,8 @@ FIELDS = {
 
 #: Queries and rows in a block: 512 * 4096 similarities take 16 MB.
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
+#: Blocks of queries that are broadcast, counted first; more of them are joined by a shuffle.
+MOST_BLOCKS = 64
 
 
 def _units(vectors: pa.Array) -> np.ndarray:
@@ -98,11 +101,18 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int = 5, scope: tuple[st
     and them. With pre_filter the scope limits what is ranked, else it filters the
     k best of all. Rows and queries without a usable vector are left out, and only
     vectors of one length meet. Ties go to the smaller _id. Blocks of queries meet
-    blocks of rows in one matrix product each, of which the k best go on.
+    blocks of rows in one matrix product each, of which the k best go on; up to
+    MOST_BLOCKS blocks of queries go to every task, and the rows stay where they are.
     """
     inner = scope if pre_filter else ()
-    q = _blocks(queries, "query_id", inner, QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "matrix": "query_matrix"})
-    pairs = _blocks(rows, "_id", inner, ROW_BLOCK).join(q, [*inner, "width"])
+    q = cut(_blocks(queries, "query_id", inner, QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "matrix": "query_matrix"}))
+    own = _blocks(rows, "_id", inner, ROW_BLOCK)
+    if q.count() <= MOST_BLOCKS:
+        pairs = own.join(F.broadcast(q), [*inner, "width"])
+    else:  # the scope and the width are few keys: blocks of rows are dealt to many tasks, each of which gets the queries
+        n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        own = own.withColumn("deal", F.pmod(F.xxhash64(F.get("ids", 0)), F.lit(n)).cast("int"))
+        pairs = own.join(q.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), [*inner, "width", "deal"])
     kind = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("_id", rows.schema["_id"].dataType), StructField("exact", DoubleType())])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

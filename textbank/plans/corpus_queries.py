@@ -93,9 +93,13 @@ _NOISE_RATIO = rf"CASE WHEN length(text) > 0 THEN round(least(1.0, (len(regexp_e
 _column("CL-17_noise_ratio", lambda c: F.round(cleaning.noise_ratio(c), 6), _NOISE_RATIO)
 
 
-@query("CL-16_clean_rows")
+@query(
+    "CL-16_clean_rows",
+    f"WITH base AS (SELECT doc_id AS d, text AS x, {_N} AS y FROM documents), documents AS (SELECT d * 2 AS doc_id, '' AS source, x AS text FROM base UNION ALL SELECT d * 2 + 1, '', y FROM base), {_clean_sql('text')} SELECT a.doc_id // 2 AS doc_id, sha1(a.t) AS text_sha1, sha1(a.t || '|' || b.t) AS tables_sha1 FROM cleaned a JOIN cleaned b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0",
+)
 def clean_rows(s: SparkSession, d: str) -> DataFrame:
-    rows = docs(s, d).select("doc_id", "text", F.split("text", "\n").alias("table_texts"))
+    """A text, and an array of the text and a noisy form of it."""
+    rows = docs(s, d).select("doc_id", "text", F.array(F.col("text"), _noisy(F.col("text"))).alias("table_texts"))
     return cleaning.clean_rows(rows, ["text"], ["table_texts"]).select("doc_id", F.sha1(F.col("text").cast("binary")).alias("text_sha1"), F.sha1(F.array_join("table_texts", "|").cast("binary")).alias("tables_sha1"))
 
 
