@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textbank.functions.text import LABEL, answer_letter, correct_letter, delimiters_balanced, line_options, matches, option_value, prefix_key, strip, text_or_empty, true_false, true_false_key, within_tolerance
+from textbank.functions.text import LABEL, answer_letter, correct_letter, delimiters_balanced, let, line_options, matches, option_value, prefix_key, strip, text_or_empty, true_false, true_false_key, within_tolerance
 from textbank.operators.chunking import sentences
 
 #: What a question may be, and the level that goes with a difficulty.
@@ -45,19 +45,61 @@ def validate(questions: DataFrame, expected: str = "short_answer") -> DataFrame:
     return sound.withColumns({"question_text": strip(F.col("question_text")), "model_answer": strip(F.col("model_answer")), "question_type": kind, "difficulty": difficulty, "bloom_level": F.when(level.isin(*LEVELS), level).otherwise(default), "max_marks": F.coalesce(F.col("max_marks").try_cast("double"), F.lit(5.0))})
 
 
+#: Options for letters that a question lacks, with the topic in them, and what comes when these are used up.
+DISTRACTORS = (
+    "It applies only when every observed value in {topic} is identical.",
+    "It removes the need to check the conditions or assumptions of the method.",
+    "It reverses the interpretation of the relationship described in the question.",
+    "It treats a sample result as if it were always the exact population value.",
+    "It is unrelated to probability, sampling, or statistical inference.",
+)
+LAST_DISTRACTOR = "An incorrect interpretation of {topic}."
+NO_ANSWER = "The best answer correctly applies the concept in the question."
+
+
+#: How a model answer names its letter before it says what the answer is.
+ANSWER_LEADS = (r"(?i)^\s*(?:the\s+)?(?:correct\s+)?(?:answer|option|choice)(?:\s+is)?\s*[:\-]?\s*[A-D][).:\-]?\s*", r"(?i)^\s*[A-D][).:\-]\s*")
+
+
+def _topical(form: str, topic: Column) -> Column:
+    before, _, after = form.partition("{topic}")
+    return F.concat(F.lit(before), topic, F.lit(after)) if "{topic}" in form else F.lit(form)
+
+
+def answer_as_option(model_answer: Column) -> Column:
+    """A model answer as the text of an option: without a letter in front, its first sentence or 180 characters if it is long."""
+    text = strip(F.regexp_replace(text_or_empty(model_answer), r"\s+", " "))
+    for lead in ANSWER_LEADS:
+        text = strip(F.regexp_replace(text, lead, ""))
+    first = strip(F.get(F.split(text, r"(?<=[.!?])\s+", 2), 0))
+    short = F.when(F.length(first).between(20, 180), first).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, 180), r"[ ,;:]+$", ""), F.lit(".")))
+    return F.when(text == "", NO_ANSWER).when(F.length(text) > 180, short).otherwise(text)
+
+
 def normalise_mcq(questions: DataFrame) -> DataFrame:
-    """mcq rows with options (map of A to D, given ones first, then those in the text), a rebuilt text and correct_answer.
+    """mcq rows with options (map of A to D), a rebuilt text, correct_answer and filled (the letters that were made up).
 
-    Missing options are filled with generic ones; the key is the stored letter, or what the model answer says.
+    Given options come before those in the text. The key is the stored letter, or
+    what the model answer says, or A; its option, if missing, is the model answer.
+    Other missing options are filled with distractors about the topic (topic_tag,
+    if there is such a column), none of them the correct text.
     """
     inline = line_options(F.col("question_text"))
     given = F.coalesce(F.col("options"), F.create_map().cast("map<string,string>"))
-    of = lambda x: F.coalesce(F.nullif(strip(given[x]), F.lit("")), F.nullif(strip(inline[x]), F.lit("")), F.lit(f"None of the other options ({x})"))
-    out = questions.withColumn("options", F.create_map(*[v for x in "ABCD" for v in (F.lit(x), of(x))]))
-    stem = F.get(F.split("question_text", r"\n\s*[A-D][.)]\s"), 0)
-    text = F.concat(strip(stem), *[F.concat(F.lit(f"\n{x}. "), F.col("options")[x]) for x in "ABCD"])
-    key = F.coalesce(answer_letter(F.col("correct_answer"), F.col("options")), correct_letter(F.col("model_answer"), F.col("options")))
-    return out.withColumn("correct_answer", key).withColumn("question_text", text)
+    found = lambda x: F.coalesce(F.nullif(strip(given[x]), F.lit("")), F.nullif(strip(inline[x]), F.lit("")))
+    own = F.map_filter(F.create_map(*[v for x in "ABCD" for v in (F.lit(x), found(x))]), lambda _, v: v.isNotNull())
+    stem = strip(F.get(F.split("question_text", r"\n\s*[A-D][.)]\s"), 0))
+    out = questions.withColumns({"options": own, "stem_": stem})
+    key = F.coalesce(answer_letter(F.col("correct_answer"), F.col("options")), correct_letter(F.col("model_answer"), F.col("options")), F.lit("A"))
+    topic = F.coalesce(F.nullif(strip(F.col("topic_tag")), F.lit("")), F.lit("this topic")) if "topic_tag" in questions.columns else F.lit("this topic")
+    out = out.withColumn("correct_answer", key).withColumn("correct_", F.coalesce(F.col("options")[F.col("correct_answer")], answer_as_option(F.col("model_answer"))))
+    wrong = F.filter(F.array(*[_topical(d, topic) for d in DISTRACTORS]), lambda d: F.lower(d) != F.lower("correct_"))
+    missing = F.filter(F.array(*map(F.lit, "ABCD")), lambda x: F.col("options")[x].isNull() & (x != F.col("correct_answer")))
+    out = out.withColumns({"filled": missing, "wrong_": F.slice(wrong, 1, 3)})
+    full = lambda x: F.coalesce(F.col("options")[x], F.when(F.col("correct_answer") == x, F.col("correct_")), F.get("wrong_", (F.array_position("filled", F.lit(x)) - 1).cast("int")), _topical(LAST_DISTRACTOR, topic))
+    out = out.withColumn("options", F.create_map(*[v for x in "ABCD" for v in (F.lit(x), full(x))]))
+    text = F.concat(F.col("stem_"), *[F.concat(F.lit(f"\n{x}. "), F.col("options")[x]) for x in "ABCD"])
+    return out.withColumn("question_text", text).drop("stem_", "correct_", "wrong_")
 
 
 def derive_key(questions: DataFrame) -> DataFrame:
@@ -241,6 +283,64 @@ def fallback_items(chunks: DataFrame, per_chunk: int = 3) -> DataFrame:
     return rows.select("_id", "place", F.concat(F.lit("Explain in your own words"), F.coalesce(F.concat(F.lit(" what the text says about "), term), F.lit(" what the text says")), F.lit(".")).alias("question_text"), F.col("sentence").alias("model_answer"))
 
 
+#: What a sentence must not have to be asked about, terms that are none, and terms of the subject.
+FALLBACK_SKIP = ("chapter ", "figure ", " table ", "homework", "review question", "practice test", "openstax", "download for free", "table of contents", "appendix", "index")
+TERM_SKIP = ("chapter", "figure", "table", "example", "solution", "introduction")
+SUBJECT_TERMS = ("mean", "median", "mode", "range", "variance", "standard deviation", "probability", "distribution", "sample", "population", "random variable", "hypothesis", "confidence interval", "correlation", "regression")
+#: Sentences of a text that are asked about, from its first.
+FALLBACK_SENTENCES = 24
+
+
+def candidate_sentences(text: Column, most: int = FALLBACK_SENTENCES) -> Column:
+    """Sentences of 35 to 320 characters and six words or more that ask nothing and name no part of the book; the first `most`."""
+    flat = F.replace(strip(F.regexp_replace(text_or_empty(text), r"\s+", " ")), F.lit("•"), F.lit(". "))
+    parts = F.transform(F.split(flat, r"(?<=[.!?])\s+"), lambda s: F.trim(s, F.lit(" -•\t\n")))
+    fit = lambda s: F.length(s).between(35, 320) & ~F.contains(s, F.lit("?")) & (F.size(F.split(s, r"\s+")) >= 6) & ~F.exists(F.array(*map(F.lit, FALLBACK_SKIP)), lambda h: F.contains(F.lower(s), h))
+    return F.slice(F.filter(parts, fit), 1, most)
+
+
+def fallback_terms(text: Column, key_terms: Column) -> Column:
+    """Key terms, then terms of the subject in the text, trimmed, each once in any case, without such as are none."""
+    subject = F.filter(F.array(*map(F.lit, SUBJECT_TERMS)), lambda t: F.contains(F.lower(text_or_empty(text)), t))
+    every = F.transform(F.concat(F.coalesce(key_terms, F.array().cast("array<string>")), subject), lambda t: F.trim(F.regexp_replace(text_or_empty(t), r"\s+", " "), F.lit(" .,:;()[]{}")))
+    sound = F.filter(every, lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(*TERM_SKIP) & ~F.lower(t).endswith(" topics"))
+    return let(sound, lambda ts: F.filter(ts, lambda t, i: F.array_position(F.transform(ts, F.lower), F.lower(t)) == i + 1))
+
+
+def fallback_questions(chunks: DataFrame, kind: str, count: int) -> DataFrame:
+    """_id, place, question_text, question_type, model_answer, rubric, max_marks, topic_tag: `count` plain questions of one kind from a chunk's own sentences.
+
+    chunks has _id, text, topic_tag and key_terms. Sentences take turns, from the
+    first again when all were used; the term of a question is the first that
+    stands in its sentence, else terms take turns. kind is mcq, true_false or
+    short_answer. A chunk without a sentence to ask about gives none.
+    """
+    if kind not in TYPES:
+        raise ValueError(f"a question is {', '.join(TYPES)}, not {kind!r}")
+    topic = F.coalesce(F.col("topic_tag"), F.lit(""))
+    rows = chunks.select("_id", topic.alias("topic_tag"), candidate_sentences(F.col("text")).alias("sentences"), fallback_terms(F.col("text"), F.col("key_terms")).alias("terms")).where("size(sentences) > 0")
+    rows = rows.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))) if count > 0 else rows.withColumn("place", F.lit(0)).where("false")
+    turn = lambda c: F.get(c, (F.col("place") % F.greatest(F.size(c), F.lit(1))).cast("int"))
+    rows = rows.withColumn("sentence", turn("sentences"))
+    word = lambda t: F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), F.regexp_replace(t, r"([^A-Za-z0-9 ])", r"\\$1"), F.lit("(?![A-Za-z0-9_])"))
+    named = F.get(F.filter("terms", lambda t: F.rlike(F.col("sentence"), word(t))), 0)
+    rows = rows.withColumn("term", F.coalesce(named, turn("terms"), F.lit("the concept")))
+    s, term = F.col("sentence"), F.col("term")
+    big = F.concat(F.upper(F.substring(term, 1, 1)), F.lower(F.substring(term, 2, 1 << 20)))
+    if kind == "mcq":
+        text = F.concat(
+            F.lit("Which of the following best describes "), term, F.lit(" in the context of "), F.col("topic_tag"), F.lit("?\nA. "), s,
+            F.lit("\nB. "), big, F.lit(" only applies when every data value is identical.\nC. "), big, F.lit(" is unrelated to probability or sampling.\nD. "), big, F.lit(" eliminates the need to interpret data in context."),
+        )
+        answer = F.concat(F.lit("A. The source directly states: "), s)
+    elif kind == "true_false":
+        text, answer = F.when(s.endswith("."), s).otherwise(F.concat(s, F.lit("."))), F.lit("True. The statement is supported by the source section.")
+    else:
+        text, answer = F.concat(F.lit("What does the source state about "), term, F.lit(" in "), F.col("topic_tag"), F.lit("?")), s
+    rubric = "1 mark: identifies the relevant concept. 1 mark: explains it consistently with the source text." if kind == "short_answer" else "Full marks: selects the correct option."
+    return rows.select("_id", "place", text.alias("question_text"), F.lit(kind).alias("question_type"), answer.alias("model_answer"), F.lit(rubric).alias("rubric"), F.lit(2.0).alias("max_marks"), "topic_tag")
+
+
 def uniqueness_context(questions: DataFrame, most: int = 40, cap: int = 120) -> DataFrame:
     """block: the first questions' beginnings, one a line, for a prompt."""
     first = questions.orderBy("_id").limit(most).select("_id", F.concat(F.lit("- "), F.substring("question_text", 1, cap)).alias("line"))

@@ -130,6 +130,24 @@ query("QB-22_repairs", "SELECT p_partkey AS _id, CASE WHEN p_size % 2 = 0 THEN p
     lambda s, d: curation.merge_repairs(inputs.table(s, d, "part").select(F.col("p_partkey").alias("_id"), F.col("p_name").alias("question_text")), inputs.table(s, d, "part").select(F.col("p_partkey").alias("_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(" ").alias("question_text")), ("question_text",))
 )
 query("QB-23_fallback_items")(lambda s, d: curation.fallback_items(inputs.chunks(s, d).withColumn("key_terms", F.array(F.lit("words"), F.lit("sounds")))).select("_id", "place", "question_text", "model_answer"))
+_LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+_FALLBACK = rf"""WITH c AS (SELECT doc_id AS _id, lang AS topic_tag, lower(text) AS low, replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), '•', '. ') AS t FROM documents),
+  s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' -•')), lambda x: length(x) BETWEEN 35 AND 320 AND NOT contains(x, '?') AND len(string_split(x, ' ')) >= 6 AND NOT regexp_matches(lower(x), '{"|".join(curation.FALLBACK_SKIP)}'))[1:24] AS ss,
+    list_concat(['words', 'mean'], list_filter({_LIST(t for t in curation.SUBJECT_TERMS if t != "mean")}, lambda x: contains(low, x))) AS ts FROM c),
+  p AS (SELECT _id, topic_tag, ts, CAST(place AS INTEGER) AS place, ss[place % len(ss) + 1] AS s FROM s, range(30) AS r(place) WHERE len(ss) > 0),
+  q AS (SELECT *, coalesce(list_filter(ts, lambda x: regexp_matches(s, '(?i)(?:^|[^A-Za-z0-9_])' || x || '(?:$|[^A-Za-z0-9_])'))[1], ts[place % len(ts) + 1]) AS term FROM p),
+  b AS (SELECT *, upper(term[1]) || lower(term[2:]) AS big FROM q)"""
+for _kind, _text, _answer in (
+    ("mcq", "'Which of the following best describes ' || term || ' in the context of ' || topic_tag || '?' || chr(10) || 'A. ' || s || chr(10) || 'B. ' || big || ' only applies when every data value is identical.' || chr(10) || 'C. ' || big || ' is unrelated to probability or sampling.' || chr(10) || 'D. ' || big || ' eliminates the need to interpret data in context.'", "'A. The source directly states: ' || s"),
+    ("true_false", "CASE WHEN s LIKE '%.' THEN s ELSE s || '.' END", "'True. The statement is supported by the source section.'"),
+    ("short_answer", "'What does the source state about ' || term || ' in ' || topic_tag || '?'", "s"),
+):
+    query(f"QB-23_fallback_{_kind}", f"{_FALLBACK} SELECT _id, place, {_text} AS question_text, '{_kind}' AS question_type, {_answer} AS model_answer FROM b")(
+        lambda s, d, kind=_kind: curation.fallback_questions(inputs.chunks(s, d).withColumn("key_terms", F.array(F.lit("words"), F.lit(" Mean."), F.lit("figure"), F.lit("mean"))).withColumn("key_terms", F.transform("key_terms", lambda t: F.lower(t))), kind, 30).select("_id", "place", "question_text", "question_type", "model_answer")
+    )
+query("QB-3_distractors", "SELECT p_partkey AS _id, 'A' AS correct_answer, p_name AS a, 'It applies only when every observed value in ' || p_brand || ' is identical.' AS b, p_type AS c, 'It removes the need to check the conditions or assumptions of the method.' AS d FROM part")(
+    lambda s, d: curation.normalise_mcq(inputs.table(s, d, "part").select(F.col("p_partkey").alias("_id"), F.lit("Which one is it?").alias("question_text"), F.concat(F.lit("A) "), "p_name").alias("model_answer"), F.lit(None).cast("string").alias("correct_answer"), F.col("p_brand").alias("topic_tag"), F.create_map(F.lit("C"), F.col("p_type")).alias("options"))).select("_id", "correct_answer", *[F.col("options")[x].alias(x.lower()) for x in "ABCD"])
+)
 query("QB-24_uniqueness", "SELECT string_agg('- ' || substr(text, 1, 120), chr(10) ORDER BY doc_id) AS block FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 40)")(
     lambda s, d: curation.uniqueness_context(inputs.table(s, d, "documents").select(F.col("doc_id").alias("_id"), F.col("text").alias("question_text")))
 )
