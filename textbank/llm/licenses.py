@@ -29,7 +29,10 @@ def _gnu() -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for key, (name, v) in _GNU.items():
         own = f"{_MODIFY}{name}"
-        out[f"{key}-ref"] = [f"{start} under the GNU {name}{comma} version {v}" for start in ("Licensed", "Released", "This work is licensed", "This project is licensed", "This program is licensed", "This software is licensed") for comma in ("",)]
+        short = key.rstrip("123").upper()
+        full = v if "." in v else f"{v}.0"
+        names = [f"GNU {name} {x}" for x in (f"version {v}", f"version {full}", f"v{v}", f"v{full}", v, full)] + [f"{gnu}{short}{x}" for gnu in ("", "GNU ") for x in (f"-{full}", f"v{v}", f"v{full}", f" version {v}", f" {full}", f" v{v}")]
+        out[f"{key}-ref"] = [f"Licensed under the {n}" for n in names]
         out[f"{key}-ref-later"] = [f"{s} {later}" for s in out[f"{key}-ref"] for later in ("or later", "or any later version", "or (at your option) any later version")]
         out[f"{key}-notice"] = [f"{own} as published by the Free Software Foundation, version {v}", f"{own} version {v} as published by the Free Software Foundation", f"{own} as published by the Free Software Foundation, version {v} of the License", f"{own} as published by the Free Software Foundation, either version {v} of the License", f"{own}, version {v}, as published by the Free Software Foundation"]
         out[f"{key}-notice-later"] = [f"{own} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version"]
@@ -43,6 +46,29 @@ def _gnu() -> dict[str, list[str]]:
     return out
 
 
+#: Names of licences in references, by identifier.
+NAMES = {
+    "mit-ref": ("MIT License", "MIT", "MIT License (MIT)", "Expat License"),
+    "apache-ref": ("Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache 2.0", "Apache-2.0"),
+    "bsd3-ref": ("BSD 3-Clause License", "3-Clause BSD License", "BSD-3-Clause", "BSD-3-Clause License", "New BSD License", "Modified BSD License"),
+    "bsd2-ref": ("BSD 2-Clause License", "2-Clause BSD License", "BSD-2-Clause", "BSD-2-Clause License", "Simplified BSD License"),
+    "isc-ref": ("ISC License", "ISC"),
+    "0bsd-ref": ("BSD Zero Clause License", "Zero-Clause BSD License", "0BSD"),
+    "mpl-ref": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0", "MPL 2.0", "MPL-2.0"),
+    "zlib-ref": ("zlib License", "zlib/libpng License", "Zlib"),
+    "unlicense-ref": ("Unlicense",),
+    "boost-ref": ("Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0"),
+    "cc-by-ref": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International"),
+    "cc-by-sa-ref": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    "cc0-ref": ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"),
+}
+#: Licence tags of files, by the licence that they mean.
+TAGS = {
+    **{x: (x,) for x in ("MIT", "Apache-2.0", "BSD-1-Clause", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "ISC", "0BSD", "MPL-2.0", "Zlib", "Unlicense", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC0-1.0")},
+    **{f"{x}-only": (f"{x}-only", x) for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")},
+    **{f"{x}-or-later": (f"{x}-or-later",) for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")},
+}
+
 #: Licence sentences as published, by identifier. They are normalised as texts are.
 SENTENCES = {
     "mit-ref": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "Licensed under MIT", "This software is released under the MIT License", "This code is licensed under the MIT License"],
@@ -101,7 +127,13 @@ SENTENCES = {
     "cc-by-nd": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
     "cc0": ["This work is dedicated to the public domain", "Licensed under CC0 1.0", "CC0 1.0 Universal"],
     "reserved": ["All rights reserved"],
+    "mit-title": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "tag": ["SPDX-License-Identifier"],
+    **{f"tag-{x}": list(ids) for x, ids in TAGS.items()},
+    **{f"tagged-{x}": [f"SPDX-License-Identifier:{i}" for i in ids] for x, ids in TAGS.items()},
 }
+for _id, _names in NAMES.items():
+    SENTENCES[_id] = [*SENTENCES.get(_id, []), *(f"Licensed under the {n}" for n in _names)]
 
 
 def _gnu_rules() -> list[tuple[tuple[str, ...], str]]:
@@ -120,11 +152,15 @@ def _gnu_rules() -> list[tuple[tuple[str, ...], str]]:
 
 #: Ordered rules, more specific first; a rule is a sequence of sentence identifiers and the licence it means.
 RULES = [
+    *[(("tag", f"tag-{x}"), x) for x in TAGS],
+    *[((f"tagged-{x}",), x) for x in TAGS],
+    *[(("mit-title", *rest), "MIT") for rest in (("mit-grant", "notice-kept", "as-is", "no-liability"), ("mit-grant", "notice-kept", "as-is"), ("mit-grant", "notice-kept"), ("mit-grant",))],
     (("mit-grant", "notice-kept", "as-is", "no-liability"), "MIT"),
     (("mit-grant", "notice-kept", "as-is"), "MIT"),
     (("mit-grant", "notice-kept"), "MIT"),
     (("mit-grant",), "MIT"),
     (("mit-ref",), "MIT"),
+    (("mit-title",), "MIT"),
     (("apache-title", "apache-ref", "apache-limits", "apache-copy", "apache-basis"), "Apache-2.0"),
     (("apache-ref", "apache-limits", "apache-copy", "apache-basis"), "Apache-2.0"),
     (("apache-ref", "apache-limits"), "Apache-2.0"),
@@ -153,9 +189,16 @@ RULES = [
     (("mpl-title",), "MPL-2.0"),
     (("mpl-ref",), "MPL-2.0"),
     *_gnu_rules(),
+    (("0bsd-ref",), "0BSD"),
     (("zlib-grant",), "Zlib"),
+    (("zlib-ref",), "Zlib"),
     (("unlicense",), "Unlicense"),
+    (("unlicense-ref",), "Unlicense"),
     (("boost-title",), "BSL-1.0"),
+    (("boost-ref",), "BSL-1.0"),
+    (("cc-by-ref",), "CC-BY-4.0"),
+    (("cc-by-sa-ref",), "CC-BY-SA-4.0"),
+    (("cc0-ref",), "CC0-1.0"),
     (("cc-by",), "CC-BY-4.0"),
     (("cc-by-sa",), "CC-BY-SA-4.0"),
     (("cc-by-nc",), "CC-BY-NC-4.0"),
@@ -169,9 +212,13 @@ RULES = [
 SENTENCE_END = r"[.!?:;][ \t\r\n]+|[.!?:;]\z|\n[^\nA-Za-z0-9]*\n"
 
 
+#: How a normalised sentence starts that says what something is licensed under; every such start becomes "under".
+LEAD = "^(?:(?:this|the) [a-z0-9]+ is |it is )?(?:licensed|released|distributed|published|provided|available|made available) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+
+
 def normalise(sentence: Column) -> Column:
-    """Lower case, with runs of anything but ASCII letters and digits as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    """Lower case, with runs of anything but ASCII letters and digits as one space, none at the ends, and one form for all ways to begin a reference."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")), LEAD, "under ")
 
 
 def _sentence_table(docs: DataFrame, sentences: dict[str, list[str]]) -> DataFrame:
@@ -219,7 +266,7 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
 
 def _sql() -> str:
     known = ", ".join("('{}', '{}')".format(t.replace("'", "''"), n) for n, texts in SENTENCES.items() for t in texts)
-    normal = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+    normal = f"regexp_replace(trim(regexp_replace(lower({{}}), '[^a-z0-9]+', ' ', 'g')), '{LEAD}', 'under ')"
     line = "' ' || string_agg(sentence_id, '  ' ORDER BY pos, line) || ' '"
     for sequence, name in RULES:
         line = f"replace({line}, ' {'  '.join(sequence)} ', ' ={name} ')"
