@@ -475,6 +475,27 @@ def test_licenses(spark):
     assert got[n] == []
 
 
+def test_license_references_and_tags(spark):
+    want = {
+        "SPDX-License-Identifier: MIT": "MIT",
+        "The MIT License (MIT)": "MIT",
+        "This software is distributed under the MIT License.": "MIT",
+        "Licensed under the terms of the MIT license.": "MIT",
+        "Licensed under the GNU General Public License v3.0": "GPL-3.0-only",
+        "Licensed under GPL-3.0": "GPL-3.0-only",
+        "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "The MIT License (MIT)\n\nCopyright (c) 2020 A. Person\n\n" + MIT: "MIT",
+        "This library is made available under GPLv2 or later": "GPL-2.0-or-later",
+        "It is licensed under the terms and conditions of the 3-Clause BSD License.": "BSD-3-Clause",
+        "MIT": None,
+        "They are under the weather. It is released under the table.": None,
+    }
+    tags = {f"{before}SPDX-License-Identifier:{gap}{tag}{after}": x for x, ids in licenses.TAGS.items() for tag in ids for before, gap, after in (("// ", " ", "\n#include <a.h>"), ("/* Copyright A\n * ", " ", " */"), ("# ", "", ""))}
+    texts = {**want, **tags}
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "licenses")
+    assert {t: got[i] for i, t in enumerate(texts)} == {t: [x] if x else [] for t, x in texts.items()}
+
+
 @pytest.mark.parametrize(("file", "name"), [("Apache-2.0", "Apache-2.0"), ("BSD", "BSD-3-Clause"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-3", "LGPL-3.0-only"), ("MPL-2.0", "MPL-2.0")])
 def test_full_license_texts(spark, file, name):
     path = pathlib.Path("/usr/share/common-licenses", file)
@@ -494,6 +515,15 @@ def test_held_out(spark, name, label, mod, rest, least):
     assert (got["held_out"] == got["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % mod == rest)).all()
     held = got[got["held_out"]]
     assert (held["predicted"] == held[label]).mean() >= least
+    if label == "toxic":  # some labels are wrong: of the words that only toxic texts of the training part have, such a text has none
+        texts = got.merge(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas(), on="doc_id")
+        own = lambda t: set("".join(c if c.isascii() and c.isalpha() else " " for c in t.lower()).split())
+        seen = [[own(t) for t in texts["text"][~texts["held_out"] & (texts[label] == y)]] for y in (0, 1)]
+        clean = set().union(*seen[0])
+        told = {w for w in set().union(*seen[1]) - clean if sum(w in s for s in seen[1]) >= 30}
+        named = texts[texts["held_out"] & texts["text"].map(lambda t: bool(told & own(t)))]
+        assert len(named) >= 50 and (named[label] == 1).all() and named["predicted"].mean() >= 0.85
+        assert held[label][held["predicted"] == 1].mean() >= 0.9
     assert got["score"].between(0, 1).all() and ((got["score"] >= 0.5) == (got["predicted"] == 1)).all()
 
 
