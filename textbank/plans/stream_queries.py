@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from textbank.functions import text as T
 from textbank.operators.quizzes import deadline
 from textbank.plans import inputs
-from textbank.plans.inputs import SUBMISSIONS
+from textbank.plans.inputs import SUBMISSIONS, fresh
 from textbank.plans.registry import query
 from textbank.plans.assessment_queries import raw_questions
 from textbank.sources import keyed, tables
@@ -19,11 +18,6 @@ from textbank.streaming import marking as stream_marking
 from textbank.streaming import operators as streams
 
 
-def fresh(s: SparkSession, name: str) -> str:
-    """A new folder below the warehouse, which all executors share."""
-    return f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/textbank-{name}-{uuid4().hex}"
-
-
 def events(s: SparkSession, d: str) -> DataFrame:
     return inputs.table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
