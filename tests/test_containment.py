@@ -1,6 +1,7 @@
 """Containment, golden evaluation, choice of chunks and gaps, against plain loops."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,16 @@ def test_missing_pages(spark):
     rows = [("a", 0), ("a", 1), ("a", 4), ("a", 4), ("b", 7), ("c", None)]
     got = sorted(tuple(r) for r in analytics.missing_pages(spark.createDataFrame(rows, "book_id string, page long")).collect())
     assert got == [("a", 2, 3), ("a", 5, 7), ("b", 0, 6)]
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_shared_triples(spark, monkeypatch, most):
+    """Looked up in every task, and joined if there are too many."""
+    monkeypatch.setattr(evaluation, "BROADCAST_ROWS", most)
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["a", "B", "c1", "d-e", "ü"]) for _ in range(n))
+    queries, docs = [(f"q{i}", text(rng.randrange(9))) for i in range(12)] + [("null", None)], [(i, text(rng.randrange(30))) for i in range(40)] + [(99, None)]
+    got = {(r["query_id"], r["_id"]): (r["shared"], r["n"]) for r in evaluation.shared_triples(spark.createDataFrame(queries, "query_id string, text string"), spark.createDataFrame(docs, "_id long, text string")).collect()}
+    triples = lambda t: {tuple(w[i : i + 3]) for w in [re.findall("[a-z0-9]+", (t or "").lower())] for i in range(len(w) - 2)}
+    want = {(q, d): (len(triples(a) & triples(b)), len(triples(a))) for q, a in queries for d, b in docs if triples(a) & triples(b)}
+    assert got == want

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from textbank.functions.text import let
-from textbank.operators.common import cut, small
+from textbank.operators.common import BROADCAST_ROWS, cut, small
 from textbank.operators.containment import containment
 from textbank.operators.folds import numbered
 
@@ -21,21 +26,49 @@ def relevant(page_start: Column, page_end: Column, text: Column, pages: Column,
 
 
 def _triples(text: Column) -> Column:
-    """Hashes of the different runs of three words, in lower case."""
+    """The different runs of three words, in lower case, a space between words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    runs = let(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.when(F.size(w) >= i + 2, F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))))
+    at = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1)))
+    runs = let(words, lambda w: F.transform(at(w), lambda i: F.when(F.size(w) >= i + 2, F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))))
     return F.array_distinct(F.array_compact(runs))
 
 
+_WORDS = re.compile("[a-z0-9]+").findall
+
+
+def _met(docs: DataFrame, wanted: list[tuple[int, str]]) -> DataFrame:
+    """_id, triple: which of the wanted triples of words a document has, once each; documents are read once and not moved."""
+    kind = StructType([StructField("_id", docs.schema["_id"].dataType), StructField("triple", LongType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {tuple(words.split(" ")): no for no, words in wanted}
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                w = _WORDS(text or "")
+                own = {no for no in map(number.get, zip(w, w[1:], w[2:])) if no is not None}
+                at += [i] * len(own)
+                found += own
+            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.int64())], names=["_id", "triple"])
+
+    return docs.select("_id", F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(scan, kind)
+
+
 def shared_triples(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """query_id, _id, shared, n: how many of the n different word triples of a query (query_id, text) a document (_id, text) has, if it has any.
 
-    Documents are joined by their triples, so a query meets only what shares one;
-    the queries' triples are broadcast if they are counted few.
+    A query meets only what shares a triple with it. Up to BROADCAST_ROWS different
+    triples go to every task, which looks its documents' up in them; more of them
+    are joined to those of the documents.
     """
-    own = cut(queries.select("query_id", F.explode(_triples(F.col("text"))).alias("triple")).distinct())
+    own = cut(queries.select("query_id", F.explode(_triples(F.col("text"))).alias("words")).distinct())
     n = own.groupBy("query_id").agg(F.count("*").alias("n"))
-    met = docs.select("_id", F.explode(_triples(F.col("text"))).alias("triple")).join(small(own), "triple").groupBy("query_id", "_id").agg(F.count("*").alias("shared"))
+    wanted = cut(own.select("words").distinct().withColumn("triple", F.monotonically_increasing_id()))
+    if wanted.count() <= BROADCAST_ROWS:
+        found = _met(docs, [(r["triple"], r["words"]) for r in wanted.collect()])
+    else:
+        found = docs.select("_id", F.explode(_triples(F.col("text"))).alias("words")).distinct().join(wanted, "words").select("_id", "triple")
+    met = found.join(small(cut(own.join(wanted, "words").select("query_id", "triple"))), "triple").groupBy("query_id", "_id").agg(F.count("*").alias("shared"))
     return met.join(n, "query_id")
 
 
