@@ -187,12 +187,20 @@ _column("DS-11_skip_block", structure.is_skip_block, _SKIP)
 _column("DS-12_teaching_density", lambda c: F.round(structure.teaching_density(c), 6), rf"CASE WHEN len({_LINES}) > 0 THEN round(len(list_filter({_LINES}, lambda x: regexp_matches(x, '(?i){structure.TEACHING}'))) / len({_LINES}), 6) ELSE 0.0 END")
 _column("DS-13_key_terms", lambda c: F.array_join(structure.key_terms(F.concat(c, F.lit(" The Mean is defined. A Central Limit Theorem and the variance."))), ","), rf"(SELECT array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') FROM (SELECT list_filter(list_transform(list_concat(regexp_extract_all(t, '([A-Z][a-z]+(?:\s+[A-Z]?[a-z]+){{0,4}})\s+(?:is|are)\s+(?:defined|called|known)', 1), regexp_extract_all(t, '(?i){structure.TERMS}', 1)), lambda x: lower(x)), lambda x: length(x) > 3) AS l FROM (SELECT text || ' The Mean is defined. A Central Limit Theorem and the variance.' AS t)))")
 _column("DS-14_formula_flag", structure.has_formula, r"regexp_matches(text, '[=÷×±√∑∫µσ²]|\b\w+\s*=\s*[\w\d()\[\]]+\s*/|[A-Za-z]\s*[₀₁₂]|χ²')")
+_column("DS-14_example_flag", lambda c: structure.has_example(F.concat(c, F.when(F.length(c) % 3 == 0, "\nsee example 7").when(F.length(c) % 3 == 1, "\nExamples 7").otherwise("\nEXAMPLE\t12"))), r"length(text) % 3 <> 1 OR regexp_matches(text, '(?i)\bExample\s+\d+')")
 query("DS-15_topic", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'General' ELSE lang END AS topic FROM documents")(lambda s, d: docs(s, d).select("doc_id", structure.topic(F.when(F.col("lang") == "en", " ").otherwise(F.col("lang"))).alias("topic")))
 query("DS-16_chapters", f"WITH {_headings_sql()}, f AS (SELECT book_id, num, arg_min(title, page) AS title FROM h GROUP BY 1, 2) SELECT * FROM f UNION ALL SELECT DISTINCT source, 0, 'Entire Document' FROM documents WHERE source NOT IN (SELECT book_id FROM f)")(lambda s, d: structure.list_chapters(headings(s, d), inputs.chunks(s, d)))
 _column("DS-17_formula_lines", lambda c: F.size(structure.formula_lines(c)), r"CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[=√∑∫±≤≥^]') AND length(regexp_replace(x, '^\s+|\s+$', '', 'g')) >= 4)) AS INTEGER)")
 _column("DS-18_table_rows", lambda c: structure.table_rows(F.transform(F.split(c, "\n"), lambda x: F.split(x, r"\|"))), r"(SELECT CASE WHEN len(g) >= 2 AND len(list_filter(flatten(g), lambda y: regexp_matches(y, '\S'))) / len(flatten(g)) >= 0.2 THEN array_to_string(list_transform(g, lambda y: array_to_string(y, ' | ')), chr(10)) END FROM (SELECT list_transform(string_split(text, chr(10)), lambda x: string_split(x, '|')) AS g))")
-query("DS-19_descriptions")(
-    lambda s, d: structure.triage_descriptions(docs(s, d).select(F.col("doc_id").alias("_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("_id", "pos", F.concat(F.element_at(F.array(F.lit("TEXT: "), F.lit("CHART: "), F.lit("NO_CHART "), F.lit("")), (F.col("pos") % 4 + 1).cast("int")), "line").alias("description")))
+def _descriptions(s: SparkSession, d: str) -> DataFrame:
+    """Lines of texts as descriptions, in turn of a text, of a chart, of nothing, and without a mark."""
+    line = docs(s, d).select(F.col("doc_id").alias("_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return line.select("_id", "pos", F.concat(F.element_at(F.array(F.lit("TEXT: "), F.lit("CHART: "), F.lit("NO_CHART "), F.lit("")), (F.col("pos") % 4 + 1).cast("int")), "line").alias("description"))
+
+
+query("DS-19_descriptions")(lambda s, d: structure.triage_descriptions(_descriptions(s, d)))
+query("DS-19_told_descriptions", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), b AS (SELECT doc_id, pos, trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM l) SELECT doc_id AS _id, coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (pos % 4 = 0 AND body <> ''), '') AS extra_text, coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (pos % 2 = 1 AND body <> ''), '') AS image_text FROM b GROUP BY 1")(
+    lambda s, d: structure.triage_descriptions(_descriptions(s, d)).select("_id", "extra_text", F.array_join("image_texts", "\n").alias("image_text"))
 )
 _column("DS-20_garbled", structure.garbled, r"coalesce(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / nullif(strlen(text), 0) < 0.4, false)")
 

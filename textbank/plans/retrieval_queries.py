@@ -260,7 +260,14 @@ def routed(s: SparkSession, d: str) -> DataFrame:
     return retrieval.routed_retrieve(q, _indexes(s, d))
 
 
-@query("RT-11_concept_queries")
+_FIRST_PART = "regexp_extract(text, '^[^,?.]{8,}')"
+_STRIP = lambda c: f"trim({c}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(
+    "RT-11_concept_queries",
+    f"SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)[1:3], ' | ') AS queries FROM (SELECT conv_id, turn, list_filter([substr({_STRIP('text')}, 1, 300), {_STRIP(_FIRST_PART)}, substr({_STRIP('role')}, 1, 200)], lambda x: x <> '') AS l FROM conversations)",
+)
 def concepts(s: SparkSession, d: str) -> DataFrame:
     from textbank.functions.text import concept_queries
 
