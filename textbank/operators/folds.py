@@ -21,7 +21,6 @@ from typing import Any
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from textbank.operators.common import cut
