@@ -114,6 +114,17 @@ def test_bpe_pieces():
         ends += n
 
 
+def test_bpe_worker_starts_afresh(monkeypatch):
+    """A worker that has met too many strings forgets them in the middle of a slice."""
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 5)
+    r = bpe.load(RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=r.rank, special_tokens={})
+    coder = bpe.Encoder(r, public_tokenizers.PATTERN)
+    for texts in (["one two three", "four  five"], ["six seven, eight nine"], ["ten  eleven twelve!", "thirteen one"], ["two three four"]):
+        ids, counts = coder.encode(texts)
+        assert ids.tolist() == [x for t in texts for x in enc.encode_ordinary(t)]
+
+
 def test_token_counts():
     rng = random.Random(3)
     r = bpe.load(RANKS)

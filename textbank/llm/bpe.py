@@ -294,7 +294,8 @@ class Encoder:
         for i, text in enumerate(texts):
             found += self.find(text)
             ends[i + 1] = len(found)
-        ids, n = self.pieces.ids(self._pieces(found))
+        codes = self._pieces(found)  # may start self.pieces afresh
+        ids, n = self.pieces.ids(codes)
         return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[ends])
 
     def chunked(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[int]]:
