@@ -23,3 +23,9 @@ def test_headings_of_odd_letters(spark, tmp_path, name):
     texts = ["ßa", "ﬁnd", "aΣ", "sİi", "abcカナdef", "word\nChapter 3: Preface\v", "ſa", "word\nChapter 4: Things \v12", "word\nChapter 6: Things .... 12\u2028"]
     values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts, 1))
     assert held_against_sql(spark, tmp_path, name, documents=f"SELECT i::BIGINT AS doc_id, t AS text, 'de' AS lang, 'b' AS source, 1::BIGINT AS n_chars FROM (VALUES {values}) v(i, t)".replace("\\v", "\v"))
+
+
+def test_confidence_is_rounded_as_a_double(spark):
+    scored = spark.createDataFrame([(i, c) for i, c in enumerate((0.125, 0.075, 0.135, 0.005, 1.0))], "_id int, confidence double").selectExpr("*", "'LOW' AS route", "0.0D AS auto_mark", "true AS is_flagged", "'' AS auto_feedback")
+    got = [r["auto_feedback"] for r in marking.outcome(scored).orderBy("_id").collect()]
+    assert got == [f"[Route:LOW Conf:{c:.2f}] " for c in (0.125, 0.075, 0.135, 0.005, 1.0)]

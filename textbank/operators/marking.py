@@ -56,7 +56,8 @@ def mark_subjective(scored: DataFrame) -> DataFrame:
 
 def outcome(scored: DataFrame) -> DataFrame:
     """_id, auto_mark, is_flagged, is_marked and feedback with its route and confidence in front."""
-    prefix = F.format_string("[Route:%s Conf:%.2f] ", F.col("route"), F.col("confidence"))
+    # format_number rounds the double itself, ties to even; %.2f would round its shortest decimal form half up.
+    prefix = F.format_string("[Route:%s Conf:%s] ", F.col("route"), F.call_function("format_number", F.col("confidence"), F.lit("0.00")))
     return scored.select("_id", "auto_mark", "is_flagged", F.lit(True).alias("is_marked"), F.concat(prefix, text_or_empty(F.col("auto_feedback"))).alias("auto_feedback"))
 
 
