@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import rows
 
-from textbank.operators import marking
+from textbank.operators import indexes, marking
 from textbank.plans import registry
 
 
@@ -29,3 +30,14 @@ def test_confidence_is_rounded_as_a_double(spark):
     scored = spark.createDataFrame([(i, c) for i, c in enumerate((0.125, 0.075, 0.135, 0.005, 1.0))], "_id int, confidence double").selectExpr("*", "'LOW' AS route", "0.0D AS auto_mark", "true AS is_flagged", "'' AS auto_feedback")
     got = [r["auto_feedback"] for r in marking.outcome(scored).orderBy("_id").collect()]
     assert got == [f"[Route:LOW Conf:{c:.2f}] " for c in (0.125, 0.075, 0.135, 0.005, 1.0)]
+
+
+@pytest.mark.parametrize("build", [indexes.build_figures, indexes.build_tables, indexes.build_formulas])
+def test_entries_of_a_chunk_are_told_apart_in_its_row(spark, build):
+    chunks = spark.createDataFrame([(1, "b", "Figure 1.2 Bars\nx = 1 + 2\nx  = 1 + 2\ny = 3")], "_id long, book_id string, text string")
+    texts = F.array(*[F.lit(x) for x in ("a picture of many bars", "A picture  of many bars", "another picture of bars")])
+    tables = F.transform(texts, lambda x: F.concat(F.lit("| "), x, F.lit(" | 1 |\n| b | 2 |")))
+    built = build(chunks.withColumns({"math_text": F.lit(""), "image_texts": texts, "table_texts": tables}))
+    assert [r["place"] for r in built.orderBy("place").collect()] == [1, 2]
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the entries alone, by their ids
