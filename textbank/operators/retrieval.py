@@ -179,7 +179,8 @@ def rerank(ranked: DataFrame, alpha: float = 0.5) -> DataFrame:
     The blend is alpha times the linearly scaled vector rank and 1 - alpha times
     the share of the query's tokens found, with extra for shared mathematical
     words of formulas and a named kind of figure. Lists of one row stay as they
-    are; ties keep their order.
+    are; ties keep their order. With a column query_id lists are told apart by it,
+    as two queries may have one text; else by the query's text.
     """
     here = set(ranked.columns)
     text = F.coalesce(
@@ -193,7 +194,7 @@ def rerank(ranked: DataFrame, alpha: float = 0.5) -> DataFrame:
     if "figure_kind" in here:
         bonus = F.when((F.col("kind") == "figure") & F.array_contains(named, F.lower("figure_kind")), 0.5).otherwise(bonus)
     lexical = F.when(F.size(q) > 0, F.size(shared) / F.size(q) + F.coalesce(bonus, F.lit(0.0))).otherwise(0.0)
-    own = Window.partitionBy("query", "kind")
+    own = Window.partitionBy("query_id" if "query_id" in here else "query", "kind")
     n = F.count("*").over(own)
     out = ranked.withColumn("lexical", F.round(lexical, 6)).withColumn("blended", F.when(n < 2, F.lit(None)).otherwise(F.round(alpha * (n - (F.col("rank") - 1)) / n + (1 - alpha) * lexical, 6)))
     return out.withColumn("new_rank", F.row_number().over(own.orderBy(F.desc_nulls_last("blended"), "rank")))
