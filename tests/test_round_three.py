@@ -1,11 +1,12 @@
 """What a review of whole tables found: queries on rows that the given tables lack, against their SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_queries import rows
 
-from textbank.operators import indexes, marking
+from textbank.operators import indexes, marking, retrieval, vector_index
 from textbank.plans import registry
 
 
@@ -41,3 +42,17 @@ def test_entries_of_a_chunk_are_told_apart_in_its_row(spark, build):
     assert [r["place"] for r in built.orderBy("place").collect()] == [1, 2]
     plan = built._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1  # the entries alone, by their ids
+
+
+def test_rerank_tells_queries_of_one_text_apart(spark):
+    ranked = spark.createDataFrame([(q, "mean of rows", "text", r, 10 * q + r, "the mean") for q in (1, 2) for r in (1, 2)], "query_id int, query string, kind string, rank int, _id int, text string")
+    got = retrieval.rerank(ranked).orderBy("query_id", "rank").collect()
+    assert [(r["new_rank"], r["blended"]) for r in got] == [(1, 0.75), (2, 0.5)] * 2
+
+
+def test_search_of_all_cells_is_exact(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.standard_normal((300, 8)))], "_id long, embedding array<float>")
+    q = v.where("_id % 50 = 0").withColumnRenamed("_id", "query_id")
+    vector_index.write_index(v, str(tmp_path / "index"))
+    assert sorted(vector_index.search_index(q, str(tmp_path / "index"), 5, None).collect()) == sorted(retrieval.vector_topk(q, v, 5).collect())

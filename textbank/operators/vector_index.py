@@ -63,13 +63,13 @@ def extend_index(rows: DataFrame, path: str) -> None:
     new.repartitionByRange("cell").sortWithinPartitions("cell").write.mode("append").parquet(f"{path}/vectors")
 
 
-def search_index(queries: DataFrame, path: str, k: int = 5, candidates: int = 1000) -> DataFrame:
+def search_index(queries: DataFrame, path: str, k: int = 5, candidates: int | None = 1000) -> DataFrame:
     """query_id, _id, similarity, rank: the k most similar of about `candidates` vectors, those of the cells nearest to the query.
 
     queries has query_id and embedding. A query looks into whole cells, the
     nearest pivot first, until they hold `candidates` vectors or there is no cell
-    left, so that a number as large as the index gives the exact answer; ties go
-    to the smaller _id. Only the numbers of vectors by cell are gathered. Each
+    left, so that a number as large as the index gives the exact answer, and so
+    does none (all cells); ties go to the smaller _id. Only the numbers of vectors by cell are gathered. Each
     vector is shuffled once, to its cell, of which a task holds HELD at a time.
     """
     spark = queries.sparkSession
@@ -84,7 +84,7 @@ def search_index(queries: DataFrame, path: str, k: int = 5, candidates: int = 10
         for batch in batches:
             order = np.argsort(-(_units(batch.column(1)) @ pivots.T), axis=1, kind="stable")
             before = np.cumsum(sizes[order], axis=1) - sizes[order]
-            row, place = np.nonzero((before < candidates) & (sizes[order] > 0))
+            row, place = np.nonzero((before < (math.inf if candidates is None else candidates)) & (sizes[order] > 0))
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(order[row, place].astype(np.int32))], names=["query_id", "embedding", "cell"])
 
     parts = F.element_at(F.lit(np.maximum(-(-sizes // HELD), 1).astype(int).tolist()), F.col("cell") + 1)
