@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import rows
 
-from textbank.operators import indexes, marking, retrieval, similarity, vector_index
+from textbank.operators import analytics, indexes, marking, retrieval, similarity, vector_index
 from textbank.plans import registry
 
 
@@ -66,3 +66,12 @@ def test_the_bank_is_compared_exactly(spark, monkeypatch):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
     assert registry.queries()["QB-6_against_bank"](spark, "/root/testdata/sf0.001").count() <= v
     assert held_against_sql(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "JN-10_best_in_bank", embeddings="SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+
+
+def test_the_order_of_marks_decides_no_tenth_of_a_percent(spark):
+    own = [0.1, 0.2, 0.3, 63.25, 0.4, -0.4, -0.3, -0.2, -0.1]
+    marks = {1: (own, 220.0), 2: (sorted(own), 220.0), 3: (sorted(own, reverse=True), 220.0), 4: ([0.0], 0.0), 5: ([float("nan")], 1.0), 6: ([0.15], 100.0)}
+    submissions = spark.createDataFrame([(s, s, m, None, True) for s, (each, _) in marks.items() for m in each], "student_id int, question_id int, auto_mark double, override_mark double, is_marked boolean").coalesce(1)
+    questions = spark.createDataFrame([(s, most / len(each)) for s, (each, most) in marks.items()], "_id int, max_marks double")
+    got = {r["student_id"]: r["pct"] for r in analytics.student_scores(submissions, questions).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 6)] == [28.8, 28.8, 28.8, None, 0.2] and np.isnan(got[5])
