@@ -75,3 +75,18 @@ def test_the_order_of_marks_decides_no_tenth_of_a_percent(spark):
     questions = spark.createDataFrame([(s, most / len(each)) for s, (each, most) in marks.items()], "_id int, max_marks double")
     got = {r["student_id"]: r["pct"] for r in analytics.student_scores(submissions, questions).collect()}
     assert [got[i] for i in (1, 2, 3, 4, 6)] == [28.8, 28.8, 28.8, None, 0.2] and np.isnan(got[5])
+
+
+def test_candidates_of_buckets_are_scored_where_they_lie(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((400, 8)).tolist()
+    v = spark.createDataFrame([(i, x[i % 300]) for i in range(400)] + [(900, None), (901, [0.0] * 8), (902, [1.0])], "_id long, embedding array<float>")
+    q = v.where("_id % 50 = 0").withColumnRenamed("_id", "query_id")
+    exact = sorted(retrieval.vector_topk(q, v, 5).where("query_id < 900").collect())
+    for held in (4096, 16):  # every query looks into all four buckets but the opposite one of each table
+        monkeypatch.setattr(retrieval, "BUCKET_HELD", held)
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+        found = retrieval.approximate_topk(q, v, 5, planes=2, tables=16)
+        assert sorted(found.collect()) == exact
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan  # no row for each candidate

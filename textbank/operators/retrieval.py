@@ -6,17 +6,15 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from textbank.functions.text import distinct_tokens, matches, strip, text_or_empty
-from textbank.functions.vectors import dot, unit
-from textbank.operators.common import cut
+from textbank.operators.common import cut, small
 
 #: Words of a query that name a kind of figure.
 KIND_SYNONYMS = {
@@ -57,6 +55,8 @@ FIELDS = {
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 #: Blocks of queries that are broadcast, counted first; more of them are joined by a shuffle.
 MOST_BLOCKS = 64
+#: Rows of a bucket that a task holds at a time.
+BUCKET_HELD = 4096
 
 
 def _units(vectors: pa.Array) -> np.ndarray:
@@ -134,38 +134,89 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int = 5, scope: tuple[st
     return ranked.select("query_id", "_id", F.round("exact", 6).alias("similarity"), "rank")
 
 
+def nearest_held(met: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """query_id, _id, exact: for each query of a group the k most similar of its vectors, ties to the smaller _id.
+
+    met has the keys of a group, side (0 a vector, 1 a query), query_id, _id and embedding, and lies and is sorted by
+    keys, side and _id. A task holds the vectors of one group at a time and makes no row for a pair that is not among the best.
+    """
+    out = StructType([StructField("query_id", met.schema["query_id"].dataType), StructField("_id", met.schema["_id"].dataType), StructField("exact", DoubleType())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, ids = None, [], []
+        for batch in batches:
+            get = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+            marks = list(zip(*(get(c).to_pylist() for c in (*keys, "side")), strict=True))
+            start = 0
+            for i in range(1, batch.num_rows + 1):
+                if i < batch.num_rows and marks[i] == marks[start] and i - start < QUERY_BLOCK:
+                    continue
+                if marks[start][:-1] != key:
+                    key, own, ids = marks[start][:-1], [], []
+                x = _units(get("embedding").slice(start, i - start))
+                if marks[start][-1] == 0:
+                    own.append(x)
+                    ids.append(get("_id").slice(start, i - start))
+                elif own:
+                    if len(own) > 1:
+                        own, ids = [np.concatenate(own)], [pa.concat_arrays(ids)]
+                    exact = np.round(x @ own[0].T, 12)
+                    top = np.argsort(-exact, axis=1, kind="stable")[:, :k]  # vectors are in order of _id
+                    row = np.repeat(np.arange(len(x)), top.shape[1])
+                    at = top.reshape(-1)
+                    yield pa.RecordBatch.from_arrays([get("query_id").slice(start, i - start).take(pa.array(row)), ids[0].take(pa.array(at)), pa.array(exact[row, at])], names=["query_id", "_id", "exact"])
+                start = i
+
+    return met.mapInArrow(best, out)
+
+
 def approximate_topk(queries: DataFrame, rows: DataFrame, k: int = 5, planes: int | None = None, tables: int = 16, seed: int = 17) -> DataFrame:
     """query_id, _id, similarity, rank among candidates that share a bucket of random hyperplanes with the query.
 
     Every row is indexed in each of `tables` tables under the signs of its dot
     products with `planes` random directions; a query looks into its own bucket of
-    each and those that differ in one sign. Candidates are scored exactly. More
-    tables find more. Without planes given there is one for each doubling of the
-    rows beyond 32, so that buckets keep their size as the rows grow.
+    each and those that differ in one sign. Candidates are scored exactly, in their
+    bucket, of which a task holds BUCKET_HELD at a time, and only a bucket's best go
+    on. More tables find more. Without planes given there is one for each doubling
+    of the rows beyond 32, so that buckets keep their size as the rows grow. Vectors
+    of another width than most are not met.
     """
+    r, q = _usable(rows).select("_id", "embedding"), _usable(queries).select("query_id", "embedding")
+    found = r.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
+    width, n = (found["w"], found["count"]) if found else (0, 0)
+    r, q = (x.where(F.size("embedding") == width) for x in (r, q))
     if planes is None:
-        planes = max(2, int(np.log2(max(rows.count(), 1) / 32)) + 1)
+        planes = max(2, int(np.log2(max(n, 1) / 32)) + 1)
+
+    def dealt(vectors: DataFrame, flip: bool) -> DataFrame:
+        """vectors, once for each bucket."""
 
-    def keys(flip: bool):  # noqa: ANN202
-        @F.pandas_udf(ArrayType(IntegerType()))
-        def of(vectors: pd.Series) -> pd.Series:
-            v = np.stack([np.asarray(x, dtype=np.float64) for x in vectors])
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rng = np.random.default_rng(seed)
-            bits = np.stack([(v @ rng.standard_normal((v.shape[1], planes)) >= 0) @ (1 << np.arange(planes)) for _ in range(tables)], axis=1)
-            own = bits + (np.arange(tables) << planes)
-            if flip:
-                own = np.concatenate([own, *(own ^ (1 << i) for i in range(planes))], axis=1)
-            return pd.Series(list(own.astype(np.int32)))
-
-        return of
-
-    r = rows.select("_id", unit(F.col("embedding")).alias("v")).where("v IS NOT NULL")
-    q = queries.select("query_id", unit(F.col("embedding")).alias("q")).where("q IS NOT NULL")
-    index = r.select("_id", "v", F.explode(keys(False)("v")).alias("bucket"))
-    probe = q.select("query_id", "q", F.explode(keys(True)("q")).alias("bucket"))
-    pairs = probe.join(index, "bucket").dropDuplicates(["query_id", "_id"]).select("query_id", "_id", dot(F.col("q"), F.col("v")).alias("exact"))
+            normals = [rng.standard_normal((width, planes)) for _ in range(tables)]
+            for batch in batches:
+                x = _units(batch.column(1))
+                bits = np.stack([(x @ own >= 0) @ (1 << np.arange(planes)) for own in normals], axis=1)
+                own = bits + (np.arange(tables) << planes)
+                if flip:
+                    own = np.concatenate([own, *(own ^ (1 << i) for i in range(planes))], axis=1)
+                ends = np.arange(len(x) + 1, dtype=np.int32) * own.shape[1]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(own.reshape(-1).astype(np.int64)))], names=[*batch.schema.names, "buckets"])
+
+        out = vectors.mapInArrow(of, StructType([*vectors.schema, StructField("buckets", ArrayType(LongType()))]))
+        return out.select(*vectors.columns, F.explode("buckets").alias("bucket"))
+
+    index, probe = dealt(r, False), dealt(q, True)
+    # Buckets of many rows, such as the copies of a vector, are split.
+    large = small(cut(dealt(r, False).groupBy("bucket").count().where(F.col("count") > BUCKET_HELD).select("bucket", F.ceil(F.col("count") / BUCKET_HELD).cast("int").alias("parts"))))
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    none = lambda frame, c: F.lit(None).cast(frame.schema[c].dataType).alias(c)
+    held = index.join(large, "bucket", "left").select("bucket", F.pmod(F.xxhash64("_id"), parts).cast("int").alias("part"), F.lit(0).alias("side"), none(q, "query_id"), "_id", "embedding")
+    asked = probe.join(large, "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("side"), "query_id", none(r, "_id"), "embedding")
+    met = held.unionByName(asked).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "side", "_id")
+    once = nearest_held(met, ["bucket", "part"], k).repartition("query_id").groupBy("query_id", "_id").agg(F.max("exact").alias("exact"))
     own = Window.partitionBy("query_id").orderBy(F.desc("exact"), "_id")
-    return pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "_id", F.round("exact", 6).alias("similarity"), "rank")
+    return once.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "_id", F.round("exact", 6).alias("similarity"), "rank")
 
 
 def classify_intent(query: Column) -> Column:

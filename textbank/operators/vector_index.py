@@ -9,11 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from textbank.operators.common import cut
-from textbank.operators.retrieval import _units, _usable
+from textbank.operators.retrieval import _units, _usable, nearest_held
 
 #: Cells of an index at most, which bounds what a task and the driver hold of it; vectors of a cell that a task holds at a time.
 MOST_CELLS, HELD = 4096, 4096
@@ -92,32 +92,5 @@ def search_index(queries: DataFrame, path: str, k: int = 5, candidates: int | No
     held = vectors.select("cell", F.pmod(F.xxhash64("_id"), parts).cast("int").alias("part"), F.lit(0).alias("side"), none(q, "query_id"), "_id", "embedding")
     asked = q.mapInArrow(visit, kind).select("cell", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"), F.lit(1).alias("side"), "query_id", none(vectors, "_id"), "embedding")
     met = held.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", "side", "_id")
-    out = StructType([StructField("query_id", q.schema["query_id"].dataType), StructField("_id", vectors.schema["_id"].dataType), StructField("exact", DoubleType())])
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, ids = None, [], []
-        for batch in batches:
-            get = lambda c, b=batch: b.column(b.schema.get_field_index(c))
-            marks = list(zip(get("cell").to_pylist(), get("part").to_pylist(), get("side").to_pylist(), strict=True))
-            start = 0
-            for i in range(1, batch.num_rows + 1):
-                if i < batch.num_rows and marks[i] == marks[start]:
-                    continue
-                if marks[start][:2] != key:
-                    key, own, ids = marks[start][:2], [], []
-                x = _units(get("embedding").slice(start, i - start))
-                if marks[start][2] == 0:
-                    own.append(x)
-                    ids.append(get("_id").slice(start, i - start))
-                elif own:
-                    if len(own) > 1:
-                        own, ids = [np.concatenate(own)], [pa.concat_arrays(ids)]
-                    exact = np.round(x @ own[0].T, 12)
-                    top = np.argsort(-exact, axis=1, kind="stable")[:, :k]  # vectors are in order of _id
-                    row = np.repeat(np.arange(len(x)), top.shape[1])
-                    at = top.reshape(-1)
-                    yield pa.RecordBatch.from_arrays([get("query_id").slice(start, i - start).take(pa.array(row)), ids[0].take(pa.array(at)), pa.array(exact[row, at])], names=["query_id", "_id", "exact"])
-                start = i
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "_id"))
-    return met.mapInArrow(best, out).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "_id", F.round("exact", 6).alias("similarity"), "rank")
+    return nearest_held(met, ["cell", "part"], k).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "_id", F.round("exact", 6).alias("similarity"), "rank")
