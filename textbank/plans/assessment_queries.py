@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textbank.functions import text as T
-from textbank.operators import curation, marking, quizzes, retrieval
-from textbank.operators.common import cut
+from textbank.operators import curation, marking, quizzes, retrieval, similarity
 from textbank.plans import inputs
 from textbank.plans.inputs import QUESTIONS, SUBMISSIONS
 from textbank.plans.corpus_queries import replies
@@ -62,7 +61,7 @@ query("QB-4_prefix_dedup", "SELECT min(doc_id) AS _id FROM documents WHERE trim(
 def first_of_similar(s: SparkSession, d: str) -> DataFrame:
     """Across chapters: a row goes if an earlier one of any chapter that stays is similar."""
     v = inputs.vectors(s, d)
-    return curation.keep_first_of_similar(v.select("_id"), retrieval.similar_pairs(v, None, 0.3), cut)
+    return similarity.keep_first_apart(v, 0.3).select("_id")
 
 
 query("QB-6_bank_duplicates", "SELECT vec_id AS _id FROM embeddings e WHERE vec_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.vec_id % 2 = 0 AND b.vec_id < e.vec_id AND b.label = e.label AND list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) >= 0.3)")(
