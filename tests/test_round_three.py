@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import rows
 
-from textbank.operators import analytics, indexes, marking, retrieval, similarity, vector_index
+from textbank.operators import analytics, common, curation, indexes, marking, retrieval, similarity, vector_index
 from textbank.plans import registry
 
 
@@ -90,3 +90,33 @@ def test_candidates_of_buckets_are_scored_where_they_lie(spark, monkeypatch):
         assert sorted(found.collect()) == exact
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan  # no row for each candidate
+
+
+def test_the_first_of_similar_rows_is_kept_without_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((150, 6)), rng.standard_normal((1, 6)).repeat(40, axis=0)])
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)] + [(900, None), (901, [0.0] * 6)], "_id long, embedding array<double>").repartition(3)
+    for threshold, block in ((0.3, 7), (0.8, 7), (0.8, 8192)):
+        monkeypatch.setattr(similarity, "AT_FIRST", block)
+        want = curation.keep_first_of_similar(v.select("_id"), retrieval.similar_pairs(v, None, threshold), common.cut)
+        got = similarity.keep_first_apart(v, threshold).select("_id")
+        assert sorted(got.collect()) == sorted(want.collect()) and {900, 901} <= {r[0] for r in got.collect()}
+    monkeypatch.setattr(retrieval, "similar_pairs", None)  # their number grows with the square of the rows
+    assert registry.queries()["QB-5_keep_first_of_similar"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_queries_are_sent_once_to_all_rows(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "_id long, embedding array<double>")
+    plan = retrieval.vector_topk(v.withColumnRenamed("_id", "query_id"), v, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # no row of two matrices
+
+
+def test_of_two_similar_rows_one_visits_the_other(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "HELD", 20)
+    x = np.random.default_rng(5).standard_normal((300, 6))
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.3, 1))
+    found = retrieval.similar_pairs(v.withColumn("embedding", F.col("embedding").cast("array<float>")), None, 0.3)
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+    assert "unit" not in found._jdf.queryExecution().optimizedPlan().toString()  # vectors travel as they are, not as doubles

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from textbank.functions.text import distinct_tokens, matches, strip, text_or_empty
@@ -55,8 +55,8 @@ FIELDS = {
 QUERY_BLOCK, ROW_BLOCK = 512, 4096
 #: Blocks of queries that are broadcast, counted first; more of them are joined by a shuffle.
 MOST_BLOCKS = 64
-#: Rows of a bucket that a task holds at a time.
-BUCKET_HELD = 4096
+#: Rows of a bucket, and of a cell or part of what all meet, that a task holds at a time.
+BUCKET_HELD, HELD = 4096, 16384
 
 
 def _units(vectors: pa.Array) -> np.ndarray:
@@ -65,33 +65,55 @@ def _units(vectors: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _top(exact: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest of each row, greatest first, of equals the first."""
+    n, width = exact.shape
+    if width <= k or np.isnan(exact).any():
+        return np.argsort(-exact, axis=1, kind="stable")[:, :k]
+    least = np.partition(exact, width - k, axis=1)[:, width - k]
+    row, place = np.nonzero(exact >= least[:, None])
+    order = np.lexsort((place, -exact[row, place], row))
+    row, place = row[order], place[order]
+    return place[np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row] < k].reshape(n, k)
+
+
 def _usable(rows: DataFrame) -> DataFrame:
     """Rows whose embedding has a length other than zero and no null inside."""
     e = F.col("embedding")
     return rows.where(F.coalesce((F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull()) & F.exists(e, lambda x: x != 0), F.lit(False)))
 
 
-def _blocks(rows: DataFrame, key: str, scope: tuple[str, ...], size: int) -> DataFrame:
-    """ids, matrix (packed doubles), width and the scope columns: rows of one scope and vector length in blocks of `size`."""
-    rows = _usable(rows).select(key, *scope, "embedding", F.size("embedding").alias("width"))
-    by = [*scope, "width"]
-    if scope:  # a hot scope is dealt to many tasks
-        rows = rows.repartition(*by, F.pmod(F.xxhash64(key), F.lit(64)))
-    rows = rows.sortWithinPartitions(*by)
-    kind = StructType([StructField("ids", ArrayType(rows.schema[key].dataType)), *(rows.schema[c] for c in by), StructField("matrix", BinaryType())])
+def _met_by_all(queries: DataFrame, rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """query_id, _id, exact: the k best of each block of rows for every query that has its values of `by`; queries are few enough to be sent to all tasks."""
+    table = queries.toArrow().combine_chunks()
+    keys, told = list(zip(*(table[c].to_pylist() for c in by), strict=True)), {}
+    for i, key in enumerate(keys):
+        told.setdefault(key, []).append(i)
+    column = lambda c, at: pa.concat_arrays(table[c].take(pa.array(at)).chunks)
+    sent = rows.sparkSession.sparkContext.broadcast({key: (column("query_id", at), _units(column("embedding", at))) for key, at in told.items()})
+    kind = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("_id", rows.schema["_id"].dataType), StructField("exact", DoubleType())])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            marks = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in by), strict=True))
             start = 0
             for i in range(1, batch.num_rows + 1):
-                if i == batch.num_rows or i - start == size or marks[i] != marks[start]:
-                    part = batch.slice(start, i - start)
-                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                    yield pa.RecordBatch.from_arrays([ids, *(part.column(c).slice(0, 1) for c in by), pa.array([_units(part.column("embedding")).tobytes()], pa.binary())], names=["ids", *by, "matrix"])
-                    start = i
+                if i < batch.num_rows and i - start < ROW_BLOCK and marks[i] == marks[start]:
+                    continue
+                query_ids, x = sent.value.get(marks[start], ((), ()))
+                part = batch.slice(start, i - start)
+                ids = part.column(0)
+                if len(x):
+                    by_id = pc.sort_indices(ids)
+                    y, ids = _units(part.column(part.schema.get_field_index("embedding")))[by_id.to_numpy()], ids.take(by_id)
+                for at in range(0, len(x), QUERY_BLOCK):
+                    exact = np.round(x[at : at + QUERY_BLOCK] @ y.T, 12)
+                    top = _top(exact, k)
+                    own = np.repeat(np.arange(len(exact)), top.shape[1])
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(own + at)), ids.take(pa.array(top.reshape(-1))), pa.array(exact[own, top.reshape(-1)])], names=["query_id", "_id", "exact"])
+                start = i
 
-    return rows.mapInArrow(pack, kind)
+    return rows.sortWithinPartitions(*by).mapInArrow(best, kind)
 
 
 def vector_topk(queries: DataFrame, rows: DataFrame, k: int = 5, scope: tuple[str, ...] = (), pre_filter: bool = True) -> DataFrame:
@@ -100,35 +122,26 @@ def vector_topk(queries: DataFrame, rows: DataFrame, k: int = 5, scope: tuple[st
     queries has query_id, embedding and the scope columns; rows has _id, embedding
     and them. With pre_filter the scope limits what is ranked, else it filters the
     k best of all. Rows and queries without a usable vector are left out, and only
-    vectors of one length meet. Ties go to the smaller _id. Blocks of queries meet
-    blocks of rows in one matrix product each, of which the k best go on; up to
-    MOST_BLOCKS blocks of queries go to every task, and the rows stay where they are.
+    vectors of one length meet. Ties go to the smaller _id. Up to MOST_BLOCKS blocks
+    of queries go to every task, and the rows stay where they are, of which a block
+    at a time meets a block of queries in one matrix product; more queries visit the
+    parts of the rows. Only the k best of a block or part go on.
     """
     inner = scope if pre_filter else ()
-    q = cut(_blocks(queries, "query_id", inner, QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "matrix": "query_matrix"}))
-    own = _blocks(rows, "_id", inner, ROW_BLOCK)
-    if q.count() <= MOST_BLOCKS:
-        pairs = own.join(F.broadcast(q), [*inner, "width"])
-    else:  # the scope and the width are few keys: blocks of rows are dealt to many tasks, each of which gets the queries
-        n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        own = own.withColumn("deal", F.pmod(F.xxhash64(F.get("ids", 0)), F.lit(n)).cast("int"))
-        pairs = own.join(q.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), [*inner, "width", "deal"])
-    kind = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("_id", rows.schema["_id"].dataType), StructField("exact", DoubleType())])
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, query_ids = batch.column("ids")[i].values, batch.column("query_ids")[i].values
-                width = batch.column("width")[i].as_py()
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, width) for c in ("query_matrix", "matrix"))
-                exact = np.round(x @ y.T, 12)
-                by_id = pc.sort_indices(ids).to_numpy()
-                top = by_id[np.argsort(-exact[:, by_id], axis=1, kind="stable")[:, :k]]
-                own = np.repeat(np.arange(len(x)), top.shape[1])
-                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(own)), ids.take(pa.array(top.reshape(-1))), pa.array(exact[own, top.reshape(-1)])], names=["query_id", "_id", "exact"])
-
+    by = [*inner, "width"]
+    usable = lambda frame, key: _usable(frame).select(key, *inner, "embedding", F.size("embedding").alias("width")).dropna(subset=by)
+    q, r = cut(usable(queries, "query_id")), usable(rows, "_id")
+    if q.count() <= MOST_BLOCKS * QUERY_BLOCK:
+        found = _met_by_all(q, r, by, k)
+    else:
+        # Parts of a scope hold about HELD rows at most.
+        parts = F.lit(-(-r.count() // HELD) or 1)
+        none = lambda frame, c: F.lit(None).cast(frame.schema[c].dataType).alias(c)
+        held = r.select(*by, F.pmod(F.xxhash64("_id"), parts).cast("int").alias("part"), F.lit(0).alias("side"), none(q, "query_id"), "_id", "embedding")
+        asked = q.select(*by, F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"), F.lit(1).alias("side"), "query_id", none(r, "_id"), "embedding")
+        found = nearest_held(held.unionByName(asked).repartition(*by, "part").sortWithinPartitions(*by, "part", "side", "_id"), [*by, "part"], k)
     own = Window.partitionBy("query_id").orderBy(F.desc("exact"), "_id")
-    ranked = pairs.select("query_ids", "query_matrix", "ids", "matrix", "width").mapInArrow(best, kind).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     if scope and not pre_filter:
         ranked = ranked.join(queries.select("query_id", *scope), "query_id").join(rows.select("_id", *scope), ["_id", *scope], "left_semi")
     return ranked.select("query_id", "_id", F.round("exact", 6).alias("similarity"), "rank")
@@ -161,7 +174,7 @@ def nearest_held(met: DataFrame, keys: list[str], k: int) -> DataFrame:
                     if len(own) > 1:
                         own, ids = [np.concatenate(own)], [pa.concat_arrays(ids)]
                     exact = np.round(x @ own[0].T, 12)
-                    top = np.argsort(-exact, axis=1, kind="stable")[:, :k]  # vectors are in order of _id
+                    top = _top(exact, k)  # vectors are in order of _id
                     row = np.repeat(np.arange(len(x)), top.shape[1])
                     at = top.reshape(-1)
                     yield pa.RecordBatch.from_arrays([get("query_id").slice(start, i - start).take(pa.array(row)), ids[0].take(pa.array(at)), pa.array(exact[row, at])], names=["query_id", "_id", "exact"])
@@ -351,8 +364,8 @@ def union_first_seen(results: DataFrame) -> DataFrame:
     return results.withColumn("n_", F.row_number().over(own)).where("n_ = 1").drop("n_")
 
 
-#: Pivots that vectors are dealt to, and rows of a pivot that a task holds at a time, about.
-PIVOTS, HELD = 64, 1024
+#: Pivots that vectors are dealt to.
+PIVOTS = 64
 
 
 def similar_pairs(rows: DataFrame, scope: str | None, threshold: float) -> DataFrame:
@@ -360,10 +373,12 @@ def similar_pairs(rows: DataFrame, scope: str | None, threshold: float) -> DataF
 
     rows has _id, embedding and the scope column. A vector belongs to the nearest
     of PIVOTS vectors, which are chosen by a hash of the id, and visits the cells
-    of others only where the triangle inequality of angles allows a partner. A cell
+    of others only where the triangle inequality of angles allows a partner; of two
+    cells the rows of one visit the other, which are as many for each cell. A cell
     is split into parts of about HELD rows; a task holds one part and compares it
-    with its visitors in matrix products, so no row is made for a pair that is not
-    similar. Rows without a usable vector are in no pair; all vectors have one length.
+    with itself and its visitors in matrix products, so no row is made for a pair
+    that is not similar. Rows without a usable vector are in no pair; all vectors
+    have one length.
     """
     rows = _usable(rows).select("_id", (F.col(scope) if scope else F.lit(0)).cast("string").alias("scope"), "embedding").where("scope IS NOT NULL")
     chosen = rows.select("_id", "embedding").orderBy(F.xxhash64("_id"), "_id").limit(PIVOTS).collect()
@@ -371,47 +386,56 @@ def similar_pairs(rows: DataFrame, scope: str | None, threshold: float) -> DataF
         return rows.select(F.col("_id").alias("a"), F.col("_id").alias("b"), F.lit(0.0).alias("similarity")).where("false")
     pivots = _units(pa.array([r["embedding"] for r in chosen], pa.list_(pa.float64())))
     reach = 2 * np.arccos(np.clip(threshold, -1, 1)) + 1e-9
-    id_kind = rows.schema["_id"].dataType
-    base = [StructField("_id", id_kind), StructField("scope", StringType()), StructField("unit", BinaryType())]
+    id_kind, n = rows.schema["_id"].dataType, len(pivots)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = np.arange(n)
         for batch in batches:
-            x = _units(batch.column("embedding"))
-            angle = np.arccos(np.clip(x @ pivots.T, -1, 1))
-            home = angle.argmin(axis=1)
-            cells = [np.flatnonzero(r).astype(np.int32).tolist() for r in angle - angle.min(axis=1, keepdims=True) <= reach]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(home.astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))], names=["_id", "scope", "unit", "home", "cells"])
-
-    dealt = rows.mapInArrow(deal, StructType([*base, StructField("home", IntegerType()), StructField("cells", ArrayType(IntegerType()))]))
-    parts = dealt.groupBy("scope", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / HELD).alias("parts"))
-    at_home = dealt.withColumn("cell", F.col("home")).join(parts, ["scope", "cell"]).select("scope", "cell", F.pmod(F.xxhash64("_id"), "parts").alias("part"), F.lit(0).alias("visits"), "_id", "unit")
-    visits = dealt.select("scope", F.explode("cells").alias("cell"), "_id", "unit").join(parts, ["scope", "cell"])
-    visits = visits.select("scope", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("visits"), "_id", "unit")
+            angle = np.arccos(np.clip(_units(batch.column(2)) @ pivots.T, -1, 1))
+            home = angle.argmin(axis=1)[:, None]
+            ahead = (cell - home) % n  # a row visits the half of the cells behind its own, going round
+            chosen = (angle - angle.min(axis=1, keepdims=True) <= reach) & ((ahead * 2 < n) | ((ahead * 2 == n) & (home < cell)))
+            cells = [np.flatnonzero(r).astype(np.int32).tolist() for r in chosen]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home[:, 0].astype(np.int32)), pa.array(cells, pa.list_(pa.int32()))], names=["_id", "scope", "embedding", "home", "cells"])
+
+    dealt = rows.mapInArrow(deal, StructType([*rows.schema, StructField("home", IntegerType()), StructField("cells", ArrayType(IntegerType()))]))
+    # Few rows, counted, so that visitors are shuffled once and not for the join as well.
+    parts = small(cut(dealt.groupBy("scope", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / HELD).alias("parts"))))
+    own_part = F.pmod(F.xxhash64("_id"), "parts")
+    at_home = dealt.withColumn("cell", F.col("home")).join(parts, ["scope", "cell"]).select("scope", "cell", own_part.alias("part"), F.lit(0).alias("visits"), "_id", "embedding")
+    visits = dealt.select("scope", "home", F.explode("cells").alias("cell"), "_id", "embedding").join(parts, ["scope", "cell"])
+    visits = visits.withColumn("from", F.when(F.col("cell") == F.col("home"), own_part + 1).otherwise(0)).where("from < parts")
+    visits = visits.select("scope", "cell", F.explode(F.sequence(F.col("from"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("visits"), "_id", "embedding")
     met = at_home.unionByName(visits).repartition("scope", "cell", "part").sortWithinPartitions("scope", "cell", "part", "visits")
     kind = StructType([StructField("a", id_kind), StructField("b", id_kind), StructField("similarity", DoubleType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, ids, ready = None, [], [], None
+        def near(x: np.ndarray, own: pa.Array, y: np.ndarray, ids: pa.Array, itself: bool = False) -> pa.RecordBatch:
+            exact = np.round(x @ y.T, 12)
+            v, h = np.nonzero(np.triu(exact >= threshold, 1) if itself else exact >= threshold)
+            a, b = own.take(pa.array(v)), ids.take(pa.array(h))
+            first = pc.less(a, b)
+            return pa.RecordBatch.from_arrays([pc.if_else(first, a, b), pc.if_else(first, b, a), pa.array(exact[v, h])], names=["a", "b", "similarity"])
+
+        key, held, ids = None, [], []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("scope", "cell", "part")), strict=True))
-            visiting = np.asarray(batch.column("visits").to_pylist(), dtype=bool)
-            units = [np.frombuffer(v.as_buffer(), np.float64) for v in batch.column("unit")]
-            own_ids = batch.column("_id").to_pylist()
+            get = lambda c, b=batch: b.column(b.schema.get_field_index(c))
+            marks = list(zip(*(get(c).to_pylist() for c in ("scope", "cell", "part", "visits")), strict=True))
             start = 0
             for i in range(1, batch.num_rows + 1):
-                if i < batch.num_rows and keys[i] == keys[start] and visiting[i] == visiting[start]:
+                if i < batch.num_rows and marks[i] == marks[start] and i - start < QUERY_BLOCK:
                     continue
-                if keys[start] != key:
-                    key, held, ids, ready = keys[start], [], [], None
-                if not visiting[start]:
-                    held += [u.copy() for u in units[start:i]]
-                    ids += own_ids[start:i]
-                elif held:
-                    ready = np.stack(held) if ready is None else ready
-                    exact = np.round(np.stack(units[start:i]) @ ready.T, 12)
-                    pairs = [(own_ids[start + v], ids[h], exact[v, h]) for v, h in zip(*np.nonzero(exact >= threshold), strict=True) if own_ids[start + v] < ids[h]]
-                    a, b, s = zip(*pairs, strict=True) if pairs else ((), (), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field("_id").type), pa.array(b, batch.schema.field("_id").type), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+                if marks[start][:3] != key:
+                    key, held, ids = marks[start][:3], [], []
+                x, own = _units(get("embedding").slice(start, i - start)), get("_id").slice(start, i - start)
+                if marks[start][3] and len(held) > 1:
+                    held, ids = [np.concatenate(held)], [pa.concat_arrays(ids)]
+                for y, others in zip(held, ids, strict=True):
+                    yield near(x, own, y, others)
+                if not marks[start][3]:
+                    yield near(x, own, x, own, True)
+                    held.append(x)
+                    ids.append(own)
                 start = i
 
     return met.mapInArrow(compare, kind)
