@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import rows
 
-from textbank.operators import analytics, common, curation, indexes, marking, retrieval, similarity, vector_index
+from textbank.operators import analytics, chunking, common, curation, indexes, marking, retrieval, similarity, vector_index
 from textbank.plans import registry
 
 
@@ -120,3 +120,11 @@ def test_of_two_similar_rows_one_visits_the_other(spark, monkeypatch):
     found = retrieval.similar_pairs(v.withColumn("embedding", F.col("embedding").cast("array<float>")), None, 0.3)
     assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(zip(a.tolist(), b.tolist(), strict=True))
     assert "unit" not in found._jdf.queryExecution().optimizedPlan().toString()  # vectors travel as they are, not as doubles
+
+
+def test_redundant_parts_are_found_by_hashing(spark):
+    told = [("a a a a b", "a"), ("a a a b", "a"), ("a b c", "c b a x"), ("", "a"), ("x y", ""), ("a a a a b b", "a")]
+    frame = spark.createDataFrame(told, "part string, base string").coalesce(1)
+    found = frame.select(chunking.redundant(F.col("part"), F.col("base")))
+    assert [r[0] for r in found.collect()] == [True, False, True, True, False, False]
+    assert "array_except" in found._jdf.queryExecution().optimizedPlan().toString()  # not each word against each
