@@ -77,3 +77,13 @@ def test_exercise_text(spark):
     frame = spark.createDataFrame(rows, "label string, stem string, options array<string>, math string, tab string, fig string")
     got = [r[0] for r in frame.select(indexes.exercise_text(*map(F.col, frame.columns))).collect()]
     assert got == ["Example 5.3 — Compute it. — options: a | b | a | b | a | b — formulas: " + "m" * 600 + " — table: " + "t" * 600 + " — figure: " + "f" * 400, "Only a stem"]
+
+
+def test_exercises_are_mined_in_the_row_of_their_chunk(spark):
+    """A shuffle of all lines, and another of what each exercise carries, grew with the text and not with the exercises."""
+    frame = spark.createDataFrame([(1, "b", HOMEWORK.replace("\n", "\r\n")), (2, "b", HOMEWORK.replace("\n", "\r"))], "_id long, book_id string, text string")
+    built = indexes.build_exercises(frame)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and plan.count("ArrowEvalPython") == 1
+    rows = built.orderBy("parent_chunk_id", "place").collect()
+    assert [r["stem"] for r in rows[:8]] == [r["stem"] for r in rows[8:]] and len(rows) == 16
