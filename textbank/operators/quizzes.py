@@ -51,9 +51,13 @@ def timing_verdict(submissions: DataFrame, quizzes: DataFrame, attempts: DataFra
     and its grace is over, rejects; a quiz not begun or finished rejects. A question
     in no quiz is accepted.
     """
-    lines = quizzes.select(F.col("_id").alias("quiz_id"), "time_limit_minutes", "timing_mode", F.col("student_id"), F.explode("question_ids").alias("question_id")).distinct()
+    lines = quizzes.select(F.col("_id").alias("quiz_id"), "time_limit_minutes", "timing_mode", F.col("student_id"), F.explode(F.array_distinct("question_ids")).alias("question_id"))
     own = attempts.select("quiz_id", "student_id", "status", "started_at", "deadline_at")
-    joined = submissions.join(lines, ["student_id", "question_id"], "left").join(own, ["quiz_id", "student_id"], "left")
+    # Which quiz decides does not depend on the submission, so one is left for each student and question before submissions meet it.
+    rank = F.when(F.col("time_limit_minutes").isNull(), 0).when(F.col("status") == "in_progress", 1).otherwise(2)
+    first = F.min(F.struct(rank.alias("rank"), "started_at", "quiz_id", "time_limit_minutes", "timing_mode", "status", "deadline_at")).alias("r")
+    decisive = lines.join(own, ["quiz_id", "student_id"], "left").groupBy("student_id", "question_id").agg(first).select("student_id", "question_id", "r.*")
+    joined = submissions.join(decisive, ["student_id", "question_id"], "left")
     late = F.greatest(F.lit(0), F.coalesce(seconds(F.col("deadline_at"), F.col("submitted_at")), F.lit(0))).cast("long")
     verdict = (
         F.when(F.col("quiz_id").isNull() | F.col("time_limit_minutes").isNull(), "accepted")
@@ -61,8 +65,7 @@ def timing_verdict(submissions: DataFrame, quizzes: DataFrame, attempts: DataFra
         .when(F.col("status").isNull(), "not started")
         .otherwise("finished")
     )
-    rank = F.when(F.col("time_limit_minutes").isNull(), 0).when(F.col("status") == "in_progress", 1).otherwise(2)
-    best = F.row_number().over(Window.partitionBy("_id").orderBy(rank, "started_at", "quiz_id"))
+    best = F.row_number().over(Window.partitionBy("_id").orderBy("rank", "started_at", "quiz_id"))
     return joined.withColumns({"verdict": verdict, "late_by_seconds": F.when(F.col("time_limit_minutes").isNull(), F.lit(0)).otherwise(late).cast("long"), "n_": best}).where("n_ = 1").select("_id", "quiz_id", "verdict", "late_by_seconds")
 
 
