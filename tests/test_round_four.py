@@ -1,7 +1,9 @@
 """What a second review of whole tables found: queries on rows that the given tables lack, against their SQL, to the last digit."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from textbank.operators import indexes
 from textbank.plans import registry
 
 
@@ -35,3 +37,30 @@ def test_marks_of_many_places_are_summed_whole(spark, tmp_path):
 
 def test_a_submission_that_may_be_marked_is_not_pending(spark, tmp_path):
     held_to_the_digit(spark, tmp_path, "AG-11_student_scores", events=f"{EVENTS} (VALUES (NULL, 1, 5), (11, 1, 6), (3, 2, 7)) t(i, u, v)", part=PART)
+
+
+def texts(*each):
+    """SQL of documents that have these texts (SQL expressions)."""
+    return " UNION ALL ".join(f"SELECT {i}::BIGINT AS doc_id, {t}::VARCHAR AS text, 'en' AS lang, 'b' AS source, 1::BIGINT AS n_chars" for i, t in enumerate(each))
+
+
+def lines(*each):
+    """SQL of a text of these lines (SQL expressions)."""
+    return " || chr(10) || ".join(each)
+
+
+def test_captions_keep_the_white_space_around_them(spark, tmp_path):
+    odd = texts(
+        "NULL", "''", "'   '", "chr(10)", "chr(11)", lines("'word.'", "''"), lines("'word.'", "''", "'  '"), "'word. '", lines("'Figure 1.2 Bars  '", "'x'"), lines("'a'", "''", "'  figure 3 x' || chr(13)", "'b'"),
+        "chr(11) || 'Figure 3 x'", "'Fig. 3.4.5.' || chr(11)", "'Fig 3'", lines("'FIG.'", "'7 b'"), "'Figure' || chr(11) || '3'", "'fıgure 3'", "'FİGURE 4'", "'x' || chr(13) || 'Figure 5'", "'Figure 2 ' || chr(160)", "'Figure 2 ' || chr(133) || 'z'", "'Figure ' || chr(1635)",
+    )
+    held_to_the_digit(spark, tmp_path, "IX-15_caption", documents=odd)
+
+
+def test_captions_of_very_many_numbers(spark, tmp_path):
+    held_to_the_digit(spark, tmp_path, "IX-15_caption", documents=texts("'Fig. 1' || repeat('.1', 20000)"))
+
+
+def test_captions_of_figures_are_stripped(spark):
+    frame = spark.createDataFrame([(0, None), (1, ""), (2, "a\n\n  Figure 1.2 Bars \r\nx"), (3, "Figure 1")], "i int, t string")
+    assert [r[0] for r in frame.orderBy("i").select(indexes.caption(F.col("t"))).collect()] == ["", "", "Figure 1.2 Bars", "Figure 1"]
