@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from textbank.functions import text as T
 from textbank.operators import indexes
 from textbank.plans import registry
 
@@ -64,3 +65,13 @@ def test_captions_of_very_many_numbers(spark, tmp_path):
 def test_captions_of_figures_are_stripped(spark):
     frame = spark.createDataFrame([(0, None), (1, ""), (2, "a\n\n  Figure 1.2 Bars \r\nx"), (3, "Figure 1")], "i int, t string")
     assert [r[0] for r in frame.orderBy("i").select(indexes.caption(F.col("t"))).collect()] == ["", "", "Figure 1.2 Bars", "Figure 1"]
+
+
+def test_a_table_with_any_text_has_one_blank(spark, tmp_path):
+    odd = texts("NULL", "''", "'   '", "chr(10)", "'???'", "'?'", "'|'", "'| ? |'", "'-- : --'", "chr(11)", "chr(28)", "chr(133)", "chr(160)", "chr(12288)", lines("'a | b'", "'? c'"), "'a'")
+    held_to_the_digit(spark, tmp_path, "SF-14_table_html", documents=odd)
+
+
+def test_empty_cells_of_a_table_are_blanks(spark):
+    frame = spark.createDataFrame([(0, "| a | b |\n|---|---|\n|  | ? |"), (1, "| a | b |\n| 1 |"), (2, None), (3, "| a |  |\n| 1 | 2 |")], "i int, t string")
+    assert [r[0] for r in frame.orderBy("i").select(T.table_html("t")["n_blanks"]).collect()] == [2, 1, 0, 0]
